@@ -1,8 +1,8 @@
 """All queries of this subpackage and their SQL."""
 
-from . import quality
+from . import chat, decontaminate, packing, quality, token_files, urls, warc
 
-_MODULES = (quality,)
+_MODULES = (token_files, packing, chat, quality, decontaminate, warc, urls)
 
 
 def queries() -> dict:
