@@ -1,8 +1,8 @@
 """All queries of this subpackage and their SQL."""
 
-from . import chat, decontaminate, packing, quality, token_files, urls, warc
+from . import chat, decontaminate, langid, neardup, packing, pii, quality, token_files, urls, warc
 
-_MODULES = (token_files, packing, chat, quality, decontaminate, warc, urls)
+_MODULES = (neardup, token_files, packing, langid, chat, quality, decontaminate, warc, pii, urls)
 
 
 def queries() -> dict:
