@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,29 +24,21 @@ def modes(names: list[str]) -> tuple[str, str]:
     return out
 
 
-def axis_least_parallel(n: vec3.Vec) -> vec3.Vec:
+def axis_least_parallel(n: np.ndarray) -> np.ndarray:
     """The coordinate axis along which ``n`` has the least component (the first of equals)."""
-    size = [F.abs(c) for c in n]
-    is_x = (size[0] <= size[1]) & (size[0] <= size[2])
-    is_y = ~is_x & (size[1] <= size[2])
-    return (is_x.cast("double"), is_y.cast("double"), (~is_x & ~is_y).cast("double"))
+    return np.eye(3)[np.abs(n).argmin()]
 
 
-def plane_normal(n: vec3.Vec, axes: list[vec3.Vec], mode: str) -> vec3.Vec:
+def plane_normal(n: np.ndarray, axes: list[np.ndarray], mode: str) -> np.ndarray:
     """The plane's normal from the mesh normal and its principal axes; an axis whose part across ``n`` is shorter than 1e-6 gives way to the next."""
     if mode == "normal":
         return n
-    tried = [*axes[: 2 if mode == "longitudinal" else 3], axis_least_parallel(n)]
-    across = [vec3.sub(u, vec3.scale(n, vec3.dot(u, n))) for u in tried]
-    unit = [vec3.scale(a, 1 / F.nullif(vec3.norm(a), F.lit(0.0))) for a in across]
-    chosen = []
-    for k in range(3):
-        value: Column = unit[-1][k]
-        for a, u in reversed(list(zip(across[:-1], unit[:-1], strict=True))):
-            value = F.when(vec3.norm(a) >= 1e-6, u[k]).otherwise(value)
-        chosen.append(value)
-    u = tuple(chosen)
-    return vec3.cross(n, u) if mode == "longitudinal" else u
+    for u in (*axes[: 2 if mode == "longitudinal" else 3], axis_least_parallel(n)):
+        across = u - (u @ n) * n
+        length = np.linalg.norm(across)
+        if length >= 1e-6:
+            return np.cross(n, across / length) if mode == "longitudinal" else across / length
+    raise ValueError("no axis across the normal")
 
 
 def context(vertices: DataFrame, faces: DataFrame) -> DataFrame:
@@ -64,9 +57,14 @@ def context(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 
 
 def with_plane(ctx: DataFrame, mode: str) -> DataFrame:
-    """The context row with the plane's normal mx, my, mz."""
-    m = plane_normal(vec3.vec("n"), [vec3.vec(f"u{i}") for i in range(3)], mode)
-    return ctx.select("*", *(p.alias(f"m{k}") for k, p in zip("xyz", m, strict=True)))
+    """Context rows (one for each mesh) with the plane's normal mx, my, mz."""
+
+    def solve(frames):
+        for f in frames:
+            rows = [plane_normal(r[["nx", "ny", "nz"]].to_numpy(float), [r[[f"u{i}x", f"u{i}y", f"u{i}z"]].to_numpy(float) for i in range(3)], mode) for _, r in f.iterrows()]
+            yield f.assign(**{f"m{k}": [m[i] for m in rows] for i, k in enumerate("xyz")})
+
+    return ctx.mapInPandas(solve, ", ".join(f"`{c}` double" for c in (*ctx.columns, "mx", "my", "mz")))
 
 
 def signed_distances(vertices: DataFrame, plane: DataFrame) -> DataFrame:
