@@ -173,22 +173,22 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its texts replaced by its kind in brackets; ``n_chars``, where there is one, follows the text."""
-    spans = find_pii(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), "spans").dropDuplicates(["s_id", "s_hash"])
+    spans = find_pii(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__key"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__key"])
     names = docs.columns
     rows = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    met = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("__hash") == F.col("s_hash")), "left")
+    met = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__key")), "left")
     # overlapping spans are one; the pieces between them and their labels make the new text
     merged = F.aggregate(
-        "spans",
+        "__spans",
         F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts")),
         lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts"))).otherwise(
             F.struct(s["end"].alias("at"), F.concat(acc["parts"], F.array(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("parts"))
         ),
         lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))),
     )
-    met = met.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(merged))
+    met = met.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(merged))
     if "n_chars" in names:
-        met = met.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+        met = met.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
     return met.select(*names)
 
 
