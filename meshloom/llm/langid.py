@@ -103,7 +103,9 @@ class Model:
 
     def __init__(self, counts: pd.DataFrame):
         self.languages = sorted(counts["lang"].unique())
-        tables = [self._one(counts[counts["lang"] == lang]) for lang in self.languages]
+        # letters of any language, and one more for those that no training text has, share what a language keeps for unseen ones
+        vocabulary = len(np.unique(counts["gram"].to_numpy().view(np.uint64) & _LOW[1])) + 1
+        tables = [self._one(counts[counts["lang"] == lang], vocabulary) for lang in self.languages]
         self.floor = np.array([t["floor"] for t in tables])
         self.grams, self.backoff = [], []
         for order in range(1, ORDER + 1):
@@ -144,14 +146,13 @@ class Model:
         return (x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))) - np.uint64(order)
 
     @staticmethod
-    def _one(counts: pd.DataFrame) -> dict:
+    def _one(counts: pd.DataFrame, vocabulary: int) -> dict:
         """log p of each gram and log back-off weight of each context, by order, of one language."""
         keys, n = counts["gram"].to_numpy().view(np.uint64), counts["n"].to_numpy(float)
         levels = {ORDER: (keys, n)}
         for order in range(ORDER - 1, 0, -1):  # continuation counts: distinct left neighbours
             lower, count = np.unique(levels[order + 1][0] & _LOW[order], return_counts=True)
             levels[order] = (lower, count.astype(float))
-        vocabulary = len(levels[1][0]) + 1
         out: dict = {"p": {}, "b": {}}
         log_lower = None
         for order in range(1, ORDER + 1):
