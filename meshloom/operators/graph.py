@@ -23,11 +23,11 @@ BLOCK = 1 << 14
 _NEWS = "vid long, d double, label long, own boolean"
 
 
-def block_of(vid: str) -> Column:
-    return F.floor(F.col(vid) / BLOCK).cast("long")
+def block_of(vid: str, block: int) -> Column:
+    return F.floor(F.col(vid) / block).cast("long")
 
 
-def _relax_block(key, edges: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+def _relax_block(key, edges: pd.DataFrame, state: pd.DataFrame, size: int) -> pd.DataFrame:
     """Values of the block's vertices that changed in this round (own), and proposals to vertices outside it."""
     best = {v: (d, k) for v, d, k, known in zip(state["vid"], state["d"], state["label"], state["known"], strict=True) if known}
     changed: dict[int, tuple[float, int]] = {}
@@ -49,7 +49,7 @@ def _relax_block(key, edges: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         a, b = starts.get(v, (0, 0))
         for j in range(a, b):
             x, new = int(w[j]), (d + float(length[j]), k)
-            if x // BLOCK != block:
+            if x // size != block:
                 if x not in out or new < out[x]:
                     out[x] = new
             elif x not in best or new < best[x]:
@@ -59,18 +59,18 @@ def _relax_block(key, edges: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["vid", "d", "label", "own"]).astype({"vid": "int64", "d": "float64", "label": "int64", "own": "bool"})
 
 
-def relax(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def relax(edges: DataFrame, seeds: DataFrame, block: int = BLOCK) -> DataFrame:
     """vid, d, label: the least d of a seed (vid, d, label) plus a path over undirected ``edges`` (u, w, len), and that seed's label (the least of equals). Vertices that no seed reaches have no row."""
-    arcs = materialise(edges.select(F.inline(F.array(F.struct("u", "w", "len"), F.struct(F.col("w").alias("u"), F.col("u").alias("w"), "len")))).withColumn("block", block_of("u")), "arcs")
+    arcs = materialise(edges.select(F.inline(F.array(F.struct("u", "w", "len"), F.struct(F.col("w").alias("u"), F.col("u").alias("w"), "len")))).withColumn("block", block_of("u", block)), "arcs")
     least = F.min(F.struct("d", "label")).alias("s")
     known = None
     news = seeds.groupBy("vid").agg(least).select("vid", "s.d", "s.label")
     while True:
-        news = news.withColumns({"known": F.lit(False), "block": block_of("vid")})
+        news = news.withColumns({"known": F.lit(False), "block": block_of("vid", block)})
         blocks = news.select("block").distinct()
-        state = news if known is None else news.unionByName(known.withColumns({"known": F.lit(True), "block": block_of("vid")}).join(blocks, "block", "left_semi").select(*news.columns))
+        state = news if known is None else news.unionByName(known.withColumns({"known": F.lit(True), "block": block_of("vid", block)}).join(blocks, "block", "left_semi").select(*news.columns))
         active = arcs.join(blocks, "block", "left_semi")
-        step = materialise(active.groupBy("block").cogroup(state.groupBy("block")).applyInPandas(_relax_block, _NEWS), "step")
+        step = materialise(active.groupBy("block").cogroup(state.groupBy("block")).applyInPandas(lambda key, edges, state: _relax_block(key, edges, state, block), _NEWS), "step")
         mine = step.filter("own").select("vid", "d", "label")
         merged = mine if known is None else known.unionByName(mine)
         known = materialise(merged.groupBy("vid").agg(least).select("vid", "s.d", "s.label"), "known")
@@ -81,15 +81,15 @@ def relax(edges: DataFrame, seeds: DataFrame) -> DataFrame:
             return known
 
 
-def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
     """K1, K3: vid, d and the nearest source's vid as label."""
-    return relax(edges, sources.select("vid", F.lit(0.0).alias("d"), F.col("vid").alias("label")))
+    return relax(edges, sources.select("vid", F.lit(0.0).alias("d"), F.col("vid").alias("label")), block)
 
 
-def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+def components(edges: DataFrame, vertices: DataFrame, block: int = BLOCK) -> DataFrame:
     """Vid and ``root``, the least vid that it reaches."""
     seeds = vertices.select("vid", F.col("vid").cast("double").alias("d"), F.col("vid").alias("label"))
-    return relax(edges.select("u", "w", F.lit(0.0).alias("len")), seeds).select("vid", F.col("label").alias("root"))
+    return relax(edges.select("u", "w", F.lit(0.0).alias("len")), seeds, block).select("vid", F.col("label").alias("root"))
 
 
 def face_components(faces: DataFrame) -> DataFrame:
