@@ -37,6 +37,8 @@ STEPS = 16
 SAMPLES = 5
 MAX_RATIO = 0.25
 SHORT = 8
+#: Different words that a key has to sample.
+LEAST_WORDS = 4
 #: Characters of item text in one broadcast index (about 100 bytes of index each).
 BLOCK_CHARS = 1_000_000
 MATCHES = "doc_id long, item_id long, start_word long, end_word long, edits long"
@@ -87,6 +89,7 @@ class Index:
         self.item_ids, self.repeats = item_ids, repeats
         hashes, at = words(pa.array(texts, pa.string()))
         self.words = [hashes[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        self.lists = [w.tolist() for w in self.words]
         self.edits = [int(max_ratio * len(w)) if len(w) >= SHORT else 0 for w in self.words]
         long = [i for i, w in enumerate(self.words) if len(w) >= SHORT]
         self.short: dict[int, dict[int, list[int]]] = {}
@@ -99,30 +102,41 @@ class Index:
         begin = np.repeat(ends - [len(self.words[i]) for i in long], [len(self.words[i]) for i in long]) if long else np.zeros(0, np.int64)
         anchors = np.arange(len(item))
         limit = np.repeat(ends, [len(self.words[i]) for i in long]) if long else np.zeros(0, np.int64)
-        self.walks = []
+        self.walks, self.starts = [], []
         for t in range(repeats if len(item) else 0):
             place, keys, step, filters, fine = anchors, np.zeros(len(item), np.uint64), 0, [], np.ones(len(item), bool)
+            apart, last = np.zeros(len(item), np.int64), np.full(len(item), -1)
             for s in SAMPLED[t]:
                 place = _advance(padded, np.minimum(place, len(padded) - STEPS - 2), t, step, s)
                 step = s
                 fine &= place < limit  # a walk that leaves its item makes no key
                 keys = _extend(keys, padded[np.minimum(place, len(padded) - 1)])
                 filters.append(keys)
+                apart, last = apart + (place != last), place
+            fine &= apart >= LEAST_WORDS  # nor does one whose pointer hardly moved
             filters = [Filter(k[fine]) for k in filters]
             order = np.argsort(keys[fine], kind="stable")
+            self.starts.append(anchors[fine])
             self.walks.append((filters, keys[fine][order], item[fine][order], (anchors - begin)[fine][order]))
 
+        self.vocabulary = Filter(np.unique(padded))
+        self.first = Filter(np.unique(np.concatenate([padded[item_at] for item_at in self.starts]))) if self.walks else self.vocabulary
+
     def candidates(self, hashes: np.ndarray, words_at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(document, item, diagonal) of equal keys; the diagonal is where the item's first word would be."""
         n = len(hashes)
         padded = np.concatenate([hashes, np.zeros(STEPS + 1, np.uint64)])
+        # every walk samples the word under it first, so places that no anchor begins with are left out once
+        known = np.flatnonzero(self.first(hashes)) if self.walks else np.zeros(0, np.int64)
+        known_key = _extend(np.zeros(len(known), np.uint64), hashes[known])
+        in_items = np.append(self.vocabulary(hashes), np.zeros(STEPS + 1, bool))
         for t, (filters, keys, items, offsets) in enumerate(self.walks):
-            start, step = np.arange(n), 0
-            place, key = start, np.zeros(n, np.uint64)
-            for s, may in zip(SAMPLED[t], filters, strict=True):
+            start, step, place, key = known, 0, known, known_key
+            for s, may in zip(SAMPLED[t][1:], filters[1:], strict=True):
                 place = _advance(padded, place, t, step, s)
                 step = s
-                key = _extend(key, padded[place])
+                some = in_items[place]
+                start, place, key = start[some], place[some], _extend(key[some], padded[place[some]])
                 some = may(key)
                 start, place, key = start[some], place[some], key[some]
             low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
@@ -159,9 +173,8 @@ def _semi_global(pattern: list[int], text: list[int]) -> tuple[int, int]:
     return best, end
 
 
-def best_window(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """Edits, start and end of the part of ``text`` nearest to ``pattern``."""
-    p, t = pattern.tolist(), text.tolist()
+def best_window(p: list[int], t: list[int]) -> tuple[int, int, int]:
+    """Edits, start and end of the part of ``t`` nearest to ``p``."""
     edits, end = _semi_global(p, t)
     # backwards from there, with both ends turned round, the nearest part that starts at the end
     row, best, start = list(range(len(p) + 1)), len(p), end
@@ -183,21 +196,23 @@ def matches_of(index: Index, column: pa.Array) -> Iterator[tuple[int, int, int,
     pairs = np.unique(np.concatenate(found, axis=1).T, axis=0)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     k = 0
+    pairs = pairs.tolist()
     while k < len(pairs):
-        doc, item, low = (int(x) for x in pairs[k])
+        doc, item, low = pairs[k]
         edits, pattern, high = index.edits[item], index.words[item], low
         while k + 1 < len(pairs) and pairs[k + 1][0] == doc and pairs[k + 1][1] == item and pairs[k + 1][2] <= high + max(1, edits):
             k += 1
-            high = int(pairs[k][2])
+            high = pairs[k][2]
         k += 1
         a, b = int(words_at[doc]), int(words_at[doc + 1])
         first, last = max(a, low - edits), min(b, high + len(pattern) + edits)
         if last - first < len(pattern) - edits:
             continue
-        text = hashes[first:last]
-        if len(pattern) - np.isin(pattern, text).sum() > edits:  # each word of the item that the window lacks is an edit
+        text = hashes[first:last].tolist()
+        there = set(text)
+        if sum(w not in there for w in index.lists[item]) > edits:  # each word of the item that the window lacks is an edit
             continue
-        got, start, end = best_window(pattern, text)
+        got, start, end = best_window(index.lists[item], text)
         if got <= edits:
             here = (got, first + start - a, first + end - a)
             best[doc, item] = min(best.get((doc, item), here), here)
