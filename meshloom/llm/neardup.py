@@ -10,7 +10,11 @@ No group is ever expanded into its pairs:
 
 1. documents with equal sets are one class, its smallest doc_id stands for it;
 2. every representative is verified against one pivot, the smallest member that shares most of its bands;
-3. components of these links are found; then in each bucket only members of different components are compared.
+3. components of these links are found; only members of different components that share a bucket are still open;
+4. of open documents, the shingles that occur in another component bound every overlap: shingles of at most RARE open
+   documents lead to their pairs directly, and a pair that shares none of these overlaps in frequent shingles only. A pair
+   is compared where the bound allows a similarity of 0.75, so documents that drifted away from a large group meet
+   none of its members, and no link is lost.
 
 At a similarity of 0.75 a pair shares no band with a probability of about 4e-8.
 
@@ -40,6 +44,8 @@ ROWS = 7
 MANTISSA_BITS = 10
 #: Pairs whose estimate is below this are dropped unverified: 0.75 less almost five standard deviations.
 LEAST_ESTIMATE = 0.62
+#: A shingle of at most so many open documents leads to its pairs directly. Any value gives the same links.
+RARE = 64
 
 _rng = np.random.default_rng(88)
 BAND_REGISTERS = np.stack([_rng.choice(REGISTERS, ROWS, replace=False) for _ in range(BANDS)])
@@ -153,7 +159,7 @@ def _likely(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and shingles (as signed integers) of the documents of ``ids``."""
+    """doc_id, a hash of the set, its size n and shingles (as signed integers) of the documents of ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,16 +168,18 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 sets = [s.view(np.int64) for s in shingle_sets(d, a)]
                 offsets = np.zeros(len(sets) + 1, np.int32)
                 np.cumsum([len(s) for s in sets], out=offsets[1:])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["doc_id", "shingles"])
+                of = [int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True) for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(of, pa.int64()), pa.array(np.diff(offsets), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["doc_id", "of", "n", "shingles"])
 
-    return text_only(docs).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles array<long>")
+    return text_only(docs).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, of long, n long, shingles array<long>")
 
 
-def verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame) -> DataFrame:
-    """The (a, b) pairs with 100 * intersection >= 75 * union of their full sets."""
+def verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """The (a, b) pairs with 100 * intersection >= 75 * union of their full sets; ``sets`` has these where they are known."""
     likely = materialise(_likely(pairs, sketch), "likely")
-    ids = materialise(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    sets = materialise(_sets(docs, ids), "sets")
+    if sets is None:
+        ids = materialise(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+        sets = materialise(_sets(docs, ids), "sets")
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
     both = likely.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return materialise(both.filter(100 * F.col("common") >= 75 * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b").distinct(), "links")
@@ -191,6 +199,35 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _possible(rows: DataFrame, on: str, shared: str) -> DataFrame:
+    """The (a, b) pairs of different labels among ``rows`` that meet in ``on`` and can be similar if they overlap in ``shared`` at most.
+
+    With at most c common shingles, 100 * c >= 75 * (n + m - c) is 7 * c >= 3 * (n + m).
+    """
+    x, y = (rows.select(on, F.col("doc_id").alias(d), F.col("label").alias(f"l{d}"), F.col("n").alias(f"n{d}"), F.col(shared).alias(f"c{d}")) for d in "xy")
+    met = x.join(y, [x[on] == y[on], F.col("lx") < F.col("ly"), 7 * F.least("cx", "cy") >= 3 * (F.col("nx") + F.col("ny"))])
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def open_pairs(open_: DataFrame, sets: DataFrame, rare: int = RARE) -> DataFrame:
+    """The distinct (a, b) pairs still to compare, of (key, doc_id, label) rows of mixed buckets and the sets of their documents.
+
+    Rows of ``sets`` that share a doc_id are told apart by the hash of the set. A shingle occurs once in a set, so its rows
+    are no more than the open documents, and AQE splits what is large in the join that brings them its count.
+    """
+    members = open_.select("doc_id", "label").distinct()
+    rows = sets.join(members, "doc_id").select("doc_id", "of", "label", "n", F.explode("shingles").alias("shingle"))
+    counts = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle", "df")
+    posted = materialise(rows.join(counts, "shingle"), "postings")
+    bounds = posted.groupBy("doc_id", "of", "label", "n").agg(F.count("*").alias("any"), F.count(F.when(F.col("df") > rare, 1)).alias("frequent"))
+    bounds = materialise(bounds.filter("4 * any >= 3 * n"), "bounds")
+    few = posted.filter(F.col("df") <= rare).select("shingle", "doc_id", "of").join(bounds, ["doc_id", "of"])
+    placed = materialise(open_.select("key", "doc_id").join(bounds.filter("4 * frequent >= 3 * n"), "doc_id"), "placed")
+    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).filter("low < high").select("key", "least")
+    many = placed.join(mixed, "key").filter("7 * frequent >= 3 * (n + least)")
+    return _possible(few, "shingle", "any").unionAll(_possible(many, "key", "frequent")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``docs``."""
     sketch = materialise(sketches(docs), "sketches")
@@ -209,11 +246,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = buckets.select("key", "doc_id").join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
     open_ = materialise(placed.join(mixed, "key"), "mixed")
-    x, y = (open_.select("key", F.col("doc_id").alias(d), F.col("label").alias(f"l{d}")) for d in "xy")
-    pairs = x.join(y, "key").filter("lx < ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = materialise(pairs.join(first, ["a", "b"], "left_anti"), "pairs")
+    sets = materialise(_sets(docs, materialise(open_.select("doc_id").distinct(), "open")), "open-sets")
+    pairs = materialise(open_pairs(open_, sets).join(first, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
-        labels = components(links.unionAll(verified(pairs, reps, docs)))
+        labels = components(links.unionAll(verified(pairs, reps, docs, sets)))
     # class of each row, then component of the class
     leaders = leads.filter("copies > 1").select("class", F.col("doc_id").alias("leader"))
     rows = sketch.select("doc_id", "n_shingles", "class").join(leaders, "class", "left").select("doc_id", "n_shingles", F.coalesce("leader", "doc_id").alias("leader"))

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import base_spans, components, counts, edit_distance_in
+from brute import base_spans, components, counts, edit_distance_in, shingles
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -59,6 +59,28 @@ def test_near_duplicate_chains_and_groups(spark):
     assert got == components(rows)
 
 
+@pytest.mark.parametrize("rare", [0, 3, 1000])
+def test_open_pairs_lose_no_link(spark, rare):
+    """Copies that drift far from the base of a group, some of them near each other, with each way of finding pairs."""
+    rng = random.Random(rare)
+    words = [f"w{i}" for i in range(30)]
+    base, rows = [rng.choice(words) for _ in range(90)], []
+    for i in range(150):
+        near = rows[-1][1].split() if i % 5 == 4 else base
+        at = set(rng.sample(range(len(near)), rng.randrange(5)))
+        rows.append((i, " ".join(rng.choice(words) if k in at else w for k, w in enumerate(near[: rng.choice([90, 90, 72])]))))
+    rows += [(7, rows[8][1]), (7, rows[8][1]), (9, "x " + rows[30][1])]  # rows that share a doc_id
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = neardup._sets(docs, docs.select("doc_id").distinct())
+    label = {i: i % 3 for i, _ in rows}
+    open_ = spark.createDataFrame([(1, i, k) for i, k in label.items()], "key long, doc_id long, label long")
+    got = [tuple(r) for r in neardup.open_pairs(open_, sets, rare).collect()]
+    full = [(i, shingles(t)) for i, t in rows]
+    want = {(min(i, j), max(i, j)) for i, s in full for j, t in full if label[i] != label[j] and 100 * len(s & t) >= 75 * len(s | t)}
+    assert len(got) == len(set(got)) and want and want <= set(got)
+    assert len(got) < sum(label[i] < label[j] for i in label for j in label)
+
+
 def test_near_duplicates_of_odd_tables(spark):
     out = neardup.near_duplicates(odd_documents(spark)).collect()
     assert len(out) == 10
