@@ -4,12 +4,17 @@ Every (language, source) group gets a minimum-covariance-determinant estimate of
 transformed text statistics; documents far from it by Mahalanobis distance are rejected. The estimate is found by
 concentration steps over all rows, as Spark aggregations:
 
-1. start from the medians and quartile ranges of the group;
-2. the distances of all rows fall into logarithmic bins; the bin that completes ``support`` of the group is the cut;
-3. mean and covariance of the rows within the cut are the next estimate (with the consistency factor of the normal law).
+1. three starts: medians and quartile ranges of the group, alone, and with the correlations of squashed rows or of spatial signs;
+2. the distances of all rows fall into logarithmic bins; the bin that completes ``support`` of the group is the cut, and
+   its rows weigh as much as completes it exactly;
+3. weighted mean and covariance within the cut are the next estimate (with the consistency factor of the normal law),
+   until the determinant stops falling; the least determinant of all starts wins.
+
+A group with fewer than MIN_GROUP passing rows is judged by the estimate of its language, and where that has too few
+by the estimate of all rows, so every row is judged.
 
 Defined cases: null texts are empty and fail the base rule; null languages and sources are groups of their own;
-groups with fewer than ``min_group`` passing rows judge nobody (all kept); repeated rows each get the same verdict;
+repeated rows each get the same verdict;
 an empty table gives an empty result; other columns of the input are ignored.
 """
 
@@ -21,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
@@ -29,7 +34,9 @@ from .common import materialise, salt_of, salted, table, text_only
 
 WINDOW = 5
 SUPPORT = 0.75
-STEPS = 3
+#: A step that lowers the logarithm of the determinant by less is the last one.
+LEAST_FALL = 1e-4
+#: Passing rows of a group that has an estimate of its own.
 MIN_GROUP = 60
 #: Squared distance beyond which a document is rejected. Statistics of prose have heavier tails than the normal law,
 #: so this lies beyond their 0.99999 quantile (28.5 for four statistics).
@@ -143,23 +150,38 @@ def chi2_quantile(p: float, k: int) -> float:
 #: Makes the covariance of the central SUPPORT of a normal sample that of the whole.
 CONSISTENCY = SUPPORT / chi2_cdf(chi2_quantile(SUPPORT, D), D + 2)
 _ENTRIES = [(i, j) for i in range(D) for j in range(i, D)]
-_PARAMS = "g_lang string, g_source string, " + ", ".join([f"m{i} double" for i in range(D)] + [f"p{i}{j} double" for i, j in _ENTRIES])
+#: Whose estimate it is: of a group, of a language (no source), or of all rows (neither).
+_OWNER = ["level", "k_lang", "k_source"]
+_PARAMS = "level int, k_lang string, k_source string, start int, logdet double, " + ", ".join([f"m{i} double" for i in range(D)] + [f"p{i}{j} double" for i, j in _ENTRIES])
 
 
-def _param_rows(frame: pd.DataFrame, means: np.ndarray, covs: np.ndarray) -> pd.DataFrame:
+def _param_rows(frame: pd.DataFrame, start, means: np.ndarray, covs: np.ndarray) -> pd.DataFrame:
     covs = covs + np.diag(np.square(FLOOR))
     inverse = np.linalg.inv(covs)
-    out = {"g_lang": frame["g_lang"], "g_source": frame["g_source"]}
+    out = {c: frame[c] for c in _OWNER} | {"start": start, "logdet": np.linalg.slogdet(covs)[1]}
     out |= {f"m{i}": means[:, i] for i in range(D)} | {f"p{i}{j}": inverse[:, i, j] for i, j in _ENTRIES}
     return pd.DataFrame(out)
 
 
-def _from_quartiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _symmetric(f: pd.DataFrame, name: str) -> np.ndarray:
+    out = np.empty((len(f), D, D))
+    for i, j in _ENTRIES:
+        out[:, i, j] = out[:, j, i] = f[f"{name}{i}{j}"].to_numpy(float)
+    return out
+
+
+def _starts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         if len(f):
-            q = np.stack([np.stack(f[f"q{i}"]) for i in range(D)], axis=1).astype(float)
-            spread = (q[:, :, 2] - q[:, :, 0]) / 1.349
-            yield _param_rows(f, q[:, :, 1], np.einsum("gi,ij->gij", np.square(spread), np.eye(D)))
+            means = f[[f"m{i}" for i in range(D)]].to_numpy(float)
+            spread = f[[f"d{i}" for i in range(D)]].to_numpy(float)
+            for start, name in enumerate((None, "t", "u")):
+                shape = np.broadcast_to(np.eye(D), (len(f), D, D))
+                if name:
+                    shape = _symmetric(f, name)
+                    scale = np.sqrt(np.maximum(np.einsum("gii->gi", shape), 1e-12))
+                    shape = shape / scale[:, :, None] / scale[:, None, :]
+                yield _param_rows(f, start, means, shape * spread[:, :, None] * spread[:, None, :])
 
 
 def _from_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,10 +189,8 @@ def _from_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(f):
             n = f["n"].to_numpy(float)
             means = f[[f"s{i}" for i in range(D)]].to_numpy(float) / n[:, None]
-            covs = np.empty((len(f), D, D))
-            for i, j in _ENTRIES:
-                covs[:, i, j] = covs[:, j, i] = f[f"s{i}{j}"].to_numpy(float) / n - means[:, i] * means[:, j]
-            yield _param_rows(f, means, covs * CONSISTENCY)
+            covs = _symmetric(f, "s") / n[:, None, None] - np.einsum("gi,gj->gij", means, means)
+            yield _param_rows(f, f["start"], means, covs * CONSISTENCY)
 
 
 def _distance():
@@ -184,40 +204,78 @@ def _distance():
 _KEY = ["g_lang", "g_source"]
 
 
-def _meet(rows: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
+def _meet(rows: DataFrame, params: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Rows with the parameters of their group; a hot group is dealt over SALTS tasks."""
-    return rows.join(salted(params, SALTS), [*_KEY, "salt"], how)
+    return rows.join(salted(params, SALTS), [*keys, "salt"], how)
+
+
+def owners(rows: DataFrame) -> DataFrame:
+    """g_lang, g_source and whose estimate judges it: its own, its language's or that of all rows."""
+    passing = F.sum((~F.col("base_failed")).cast("long"))
+    groups = materialise(rows.groupBy(*_KEY).agg(passing.alias("n")), "groups")
+    langs = groups.groupBy("g_lang").agg(F.sum("n").alias("n_lang"))
+    level = F.when(F.col("n") >= MIN_GROUP, 0).when(F.col("n_lang") >= MIN_GROUP, 1).otherwise(2).alias("level")
+    chosen = groups.join(langs, "g_lang").select(*_KEY, level)
+    return chosen.withColumns({"k_lang": F.when(F.col("level") < 2, F.col("g_lang")).otherwise(""), "k_source": F.when(F.col("level") < 1, F.col("g_source")).otherwise("")})
+
+
+def _first_params(rows: DataFrame) -> DataFrame:
+    """Three starts of each owner: the quartiles, with no correlations, those of squashed rows, and those of spatial signs."""
+    quartiles = rows.groupBy(*_OWNER).agg(*(F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, x in enumerate(FEATURES)))
+    spread = {f"d{i}": (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349 for i in range(D)}
+    centre = materialise(quartiles.withColumns({f"m{i}": F.col(f"q{i}")[1] for i in range(D)} | spread).drop(*(f"q{i}" for i in range(D))), "quartiles")
+    z = _meet(rows, centre, _OWNER).withColumns({f"z{i}": (F.col(f"x{i}") - F.col(f"m{i}")) / F.greatest(f"d{i}", F.lit(FLOOR[i])) for i in range(D)})
+    z = z.withColumn("zz", F.greatest(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(D)), F.lit(0.0)), F.lit(1e-12)))
+    sums = z.groupBy(*_OWNER).agg(
+        *(F.avg(F.tanh(f"z{i}") * F.tanh(f"z{j}")).alias(f"t{i}{j}") for i, j in _ENTRIES),
+        *(F.avg(F.col(f"z{i}") * F.col(f"z{j}") / F.col("zz")).alias(f"u{i}{j}") for i, j in _ENTRIES),
+    )
+    return sums.join(centre, _OWNER).mapInPandas(_starts, _PARAMS)
+
+
+def _concentrated(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """The next estimate of each owner and start, from the nearest ``SUPPORT`` of its rows."""
+    binned = _meet(rows, params, _OWNER).withColumn("bin", F.floor(F.log2(_distance() + 1e-9) * BIN_PER_OCTAVE).cast("int"))
+    key, names = [*_OWNER, "start"], [*(f"s{i}" for i in range(D)), *(f"s{i}{j}" for i, j in _ENTRIES)]
+    sums = binned.groupBy(*key, "bin").agg(F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(D)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in _ENTRIES))
+    # few bins in a group, however many rows it has
+    all_bins = Window.partitionBy(*key)
+    left = SUPPORT * F.sum("n").over(all_bins) - F.coalesce(F.sum("n").over(all_bins.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shares = sums.withColumn("share", F.least(left / F.col("n"), F.lit(1.0))).filter("share > 0")
+    return shares.groupBy(*key).agg(*(F.sum(F.col("share") * F.col(c)).alias(c) for c in ("n", *names))).mapInPandas(_from_sums, _PARAMS)
 
 
 def robust_estimates(rows: DataFrame) -> DataFrame:
-    """One row for each large enough group of ``rows`` (g_lang, g_source, salt, x0..): its location and inverse scatter."""
-    quartiles = rows.groupBy(*_KEY).agg(F.count("*").alias("n"), *(F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, x in enumerate(FEATURES)))
-    params = materialise(quartiles.filter(F.col("n") >= MIN_GROUP).mapInPandas(_from_quartiles, _PARAMS), "estimates")
-    for _ in range(STEPS):
-        binned = _meet(rows, params).withColumn("bin", F.floor(F.log2(_distance() + 1e-9) * BIN_PER_OCTAVE).cast("int"))
-        counts = binned.groupBy(*_KEY, "bin").agg(F.count("*").alias("n"))
-        # few bins in a group, however many rows it has
-        totals = counts.groupBy(*_KEY).agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"))
-        cut = totals.select(
-            *_KEY,
-            F.aggregate(
-                "bins",
-                F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("cut")),
-                lambda acc, x: F.struct((acc["seen"] + x["n"]).alias("seen"), F.when(acc["seen"] < SUPPORT * F.col("total"), x["bin"]).otherwise(acc["cut"]).alias("cut")),
-            )["cut"].alias("cut"),
-        )
-        near = _meet(rows, params.join(cut, _KEY)).filter(F.floor(F.log2(_distance() + 1e-9) * BIN_PER_OCTAVE) <= F.col("cut"))
-        sums = near.groupBy(*_KEY).agg(F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(D)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in _ENTRIES))
-        params = materialise(sums.mapInPandas(_from_sums, _PARAMS), "estimates")
-    return params
+    """One row for each owner of ``rows`` (level, k_lang, k_source, salt, x0..): its location and inverse scatter of least determinant."""
+    now = materialise(_concentrated(rows, materialise(_first_params(rows), "starts")), "estimates")
+    ended = None
+    # each further round lowers every determinant in it, which the floor of the scatter bounds from below
+    while not now.isEmpty():
+        after = _concentrated(rows, now)
+        before = now.select(*_OWNER, "start", F.col("logdet").alias("__was"))
+        after = materialise(after.join(before, [*_OWNER, "start"]), "estimates")
+        falls = F.col("logdet") < F.col("__was") - LEAST_FALL
+        stopped = now.join(after.filter(~falls).select(*_OWNER, "start"), [*_OWNER, "start"], "left_semi")
+        ended = stopped if ended is None else ended.unionByName(stopped)
+        now = after.filter(falls).drop("__was")
+    if ended is None:
+        return now.drop("start", "logdet")
+    names = [c for c in ended.columns if c not in _OWNER]
+    best = ended.groupBy(*_OWNER).agg(F.min(F.struct("logdet", *(c for c in names if c != "logdet"))).alias("p"))
+    return materialise(best.select(*_OWNER, "p.*").drop("start", "logdet"), "estimates")
 
 
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """doc_id, the counts, ``base_failed``, ``kept`` and ``distance`` (null where no estimate applies) of each row of ``docs``."""
+    """doc_id, the counts, ``base_failed``, ``kept`` and ``distance`` (null only where no row of the table passes the base rule) of each row of ``docs``."""
     counts = text_counts(docs, "lang", "source").withColumns({"g_lang": F.coalesce("lang", F.lit("")), "g_source": F.coalesce("source", F.lit("")), "salt": salt_of("doc_id", SALTS)}).drop("lang", "source")
     rows = materialise(with_statistics(counts), "statistics")
-    params = robust_estimates(rows.filter(~F.col("base_failed")).select(*_KEY, "salt", *FEATURES))
-    judged = _meet(rows, params, "left").withColumn("distance", _distance())
+    owner = materialise(owners(rows), "owners")
+    wanted = owner.select(*_OWNER).distinct()
+    # a row counts for its group, its language and the whole, as far as these are asked for
+    levels = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), (F.col("g_lang") if k < 2 else F.lit("")).alias("k_lang"), (F.col("g_source") if k < 1 else F.lit("")).alias("k_source")) for k in range(3))))
+    passing = rows.filter(~F.col("base_failed")).select(*_KEY, "salt", *FEATURES, levels.alias("o")).select("o.*", "salt", *FEATURES)
+    params = robust_estimates(materialise(_meet(passing, wanted, _OWNER), "levels"))
+    judged = _meet(rows, owner.join(params, _OWNER).drop(*_OWNER), _KEY, "left").withColumn("distance", _distance())
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"),

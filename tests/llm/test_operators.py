@@ -260,6 +260,33 @@ def test_quality_finds_the_odd_one(spark):
     assert all(got[i] for i in range(300)) and not any(got[900 + i] for i in range(20))
 
 
+def test_quality_judges_small_groups(spark):
+    rng = random.Random(3)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(150))
+    odd = lambda: prose().replace(" ", " #$% ")
+    rows = [(i, prose(), "en", f"s{i % 20}") for i in range(400)] + [(900, odd(), "en", "s3"), (901, odd(), "en", "alone")]
+    rows += [(500 + i, prose(), "es", "t") for i in range(20)] + [(902, odd(), "es", "t"), (903, odd(), "xx", None)]
+    got = {r["doc_id"]: (r["kept"], r["distance"]) for r in quality.quality_rules(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i][0] for i in range(400)) and all(got[500 + i][0] for i in range(20))
+    assert not any(got[i][0] for i in range(900, 904)) and all(d is not None for _, d in got.values())
+
+
+def test_quality_estimate_of_correlated_rows(spark):
+    rng = np.random.default_rng(5)
+    z = rng.normal(size=(400, 4)) @ rng.normal(size=(4, 4))
+    z[:60] += 40
+    rows = spark.createDataFrame([(0, "", "", i % 16, *map(float, x)) for i, x in enumerate(z)], "level int, k_lang string, k_source string, salt int, x0 double, x1 double, x2 double, x3 double")
+    r = quality.robust_estimates(rows).collect()[0]
+    mean = np.array([r[f"m{i}"] for i in range(4)])
+    inverse = np.array([[r[f"p{min(i, j)}{max(i, j)}"] for j in range(4)] for i in range(4)])
+    d = np.einsum("ni,ij,nj->n", z - mean, inverse, z - mean)
+    assert d[:60].min() > quality.CUTOFF > d[60:].max()
+    # another step from all but the least determinant finds nothing lower
+    near = z[np.argsort(d)[:300]]
+    again = np.linalg.slogdet(np.cov(near.T, bias=True) * quality.CONSISTENCY + np.diag(np.square(quality.FLOOR)))[1]
+    assert again >= -np.linalg.slogdet(inverse)[1] - 0.01
+
+
 def test_quality_of_odd_tables(spark):
     out = quality.quality_rules(odd_documents(spark)).collect()
     assert len(out) == 10 and all(r["base_failed"] and not r["kept"] for r in out)
