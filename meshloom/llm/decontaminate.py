@@ -9,7 +9,8 @@ Every word of an item starts an anchor window, and so does every word of a docum
 candidate alignment of the item with an item-sized window of the document. In a document most walks end early: after
 each sampled word the partial key has to be one of some anchor. Candidates are verified by the exact word edit distance
 (bit-parallel, free ends in the document); a match has at most ``max_ratio`` edits a word of the item. Items of fewer than
-SHORT words are compared exactly.
+SHORT words are compared exactly. Walks leave short items too early, so those of fewer than SEEDED words have exact seeds
+as well: of e + 1 blocks of their words, e edits leave one unchanged, and none of their matches is lost.
 
 The walk over a document needs nothing but its own text, so documents are never shuffled. The item index is broadcast in
 blocks of bounded size: a benchmark with more text takes more passes.
@@ -37,6 +38,8 @@ STEPS = 16
 SAMPLES = 5
 MAX_RATIO = 0.25
 SHORT = 8
+#: Items of fewer words are found by unchanged blocks of words, too.
+SEEDED = 16
 #: Different words that a key has to sample.
 LEAST_WORDS = 4
 #: Characters of item text in one broadcast index (about 100 bytes of index each).
@@ -82,6 +85,15 @@ class Filter:
         return self.table[(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]
 
 
+def _equal(keys: np.ndarray, items: np.ndarray, offsets: np.ndarray, start: np.ndarray, key: np.ndarray, words_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, item, diagonal) of the document places ``start`` whose ``key`` is among the sorted ones of items."""
+    low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+    many = high - low
+    hit = np.repeat(np.arange(len(key)), many)
+    which = np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)
+    return np.searchsorted(words_at, start[hit], "right") - 1, items[which], start[hit] - offsets[which]
+
+
 class Index:
     """Anchor keys of a block of items."""
 
@@ -96,6 +108,19 @@ class Index:
         for i, w in enumerate(self.words):
             if 0 < len(w) < SHORT:
                 self.short.setdefault(len(w), {}).setdefault(int(tb.window_hashes(w, len(w))[0]), []).append(i)
+        seeds: dict[int, list[tuple[int, int, int]]] = {}
+        for i in long:
+            n = len(self.words[i])
+            if n < SEEDED:
+                cuts = [k * n // (self.edits[i] + 1) for k in range(self.edits[i] + 2)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if b > a:
+                        seeds.setdefault(b - a, []).append((int(tb.window_hashes(self.words[i][a:b], b - a)[0]), i, a))
+        self.seeds = {}
+        for size, rows in seeds.items():
+            rows.sort()
+            keys = np.array([r[0] for r in rows], np.uint64)
+            self.seeds[size] = (Filter(keys), keys, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
         padded = np.concatenate([*(hashes[at[i] : at[i + 1]] for i in long), np.zeros(STEPS + 1, np.uint64)])
         ends = np.cumsum([len(self.words[i]) for i in long]) if long else np.zeros(0, np.int64)
         item = np.repeat(np.array(long, np.int64), [len(self.words[i]) for i in long])
@@ -139,11 +164,11 @@ class Index:
                 start, place, key = start[some], place[some], _extend(key[some], padded[place[some]])
                 some = may(key)
                 start, place, key = start[some], place[some], key[some]
-            low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            many = high - low
-            hit = np.repeat(np.arange(len(key)), many)
-            which = np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)
-            yield np.searchsorted(words_at, start[hit], "right") - 1, items[which], start[hit] - offsets[which]
+            yield _equal(keys, items, offsets, start, key, words_at)
+        for size, (may, keys, items, offsets) in self.seeds.items():
+            grams = tb.window_hashes(hashes, size)
+            start = np.flatnonzero(may(grams)) if len(grams) else np.zeros(0, np.int64)
+            yield _equal(keys, items, offsets, start, grams[start], words_at)
         for size, by_key in self.short.items():
             grams = tb.window_hashes(hashes, size)
             wanted = np.array(list(by_key), np.uint64)

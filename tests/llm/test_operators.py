@@ -325,6 +325,22 @@ def test_leaks_with_edits_are_found_and_verified(spark):
         assert edits == edit_distance_in(dict(items)[i].split(), [w.lower() for w in re.findall(r"\w+", dict(docs)[d])])
 
 
+@pytest.mark.parametrize(("length", "least"), [(8, 1), (9, 1), (11, 1), (12, 1), (15, 1), (16, 0.97), (24, 0.97)])
+def test_leaks_at_the_full_quarter_of_edits(length, least):
+    rng = random.Random(length)
+    items = [[f"v{rng.randrange(3000)}" for _ in range(length)] for _ in range(100)]
+    docs = []
+    for item in items:
+        leak = list(item)
+        for k, at in enumerate(sorted(rng.sample(range(length), length // 4), reverse=True)):
+            leak[at : at + 1] = ([f"other{k}"], [], [leak[at], f"more{k}"])[rng.randrange(3)]
+        docs.append([f"u{rng.randrange(3000)}" for _ in range(60)] + leak + [f"u{rng.randrange(3000)}" for _ in range(60)])
+    index = decontaminate.Index(list(range(100)), [" ".join(i) for i in items])
+    got = {(d, i) for d, i, *_ in decontaminate.matches_of(index, pa.array([" ".join(d) for d in docs]))}
+    want = {(k, k) for k in range(100) if edit_distance_in(items[k], docs[k]) <= length // 4}
+    assert len(want) == 100 and len(got & want) >= least * len(want)
+
+
 def test_leaks_of_odd_tables(spark, monkeypatch):
     bench = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "word word word word word word word word word")], "item_id long, text string")
     want = {(6, 1), (None, 1), (7, 1), (5, None)}
