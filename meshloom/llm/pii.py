@@ -43,7 +43,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NAMED = re.compile(r"[=:]")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_-]{1,31}\Z")
-_VALUE = re.compile(r"[\x20\t]{0,2}[\"'`]?([^\s\"'`,;]{4,256})")
+_BEFORE = re.compile(r"[\x20\t]{0,2}[\"'`]?")
+_RUN = re.compile(r"[^\s\"'`,;]*+")
+#: Characters of a value from which on its hash is built from the right, once for all values that end together.
+LONG = 256
 _SECRET = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|xox[abp]-[A-Za-z0-9-]{20,72})(?![A-Za-z0-9])")
 _HEX = re.compile(r"(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,128}\Z", re.I)
 
@@ -87,19 +90,39 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _suffix_hash(text: str, ends: dict[int, tuple[int, int]], start: int, end: int) -> int:
+    """Hash of text[start:end]. The starts of one end come from the right, and ``ends`` keeps how far its hash has come."""
+    at, h = ends.get(end, (end, 0))
+    for k in range(at - 1, start - 1, -1):
+        h = (h * 1_000_003 + ord(text[k]) + 1) % ((1 << 61) - 1)
+    ends[end] = (start, h)
+    return h
+
+
 def named_values(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str | None, int, bool, int, int]]:
     """(pattern, instance, seed, start, end) of each named value, and with no pattern of each well-known secret."""
     starts, out = {s for _, s, _ in base}, [(None, 0, True, m.start(), m.end()) for m in _SECRET.finditer(text)]
+    named, high, stripped = [], -1, -1
     for m in _NAMED.finditer(text):
         sign = m.start()
         left = text[max(0, sign - 34) : sign].rstrip(" \t")
-        name, value = _NAME.search(left), _VALUE.match(text, sign + 1)
-        if name and value:
-            word = value[1].rstrip(".!?)]}>")
-            if len(word) >= 4:
-                seed = value.start(1) in starts or bool(_HEX.match(word)) or bool(_SECRET.fullmatch(word))
-                instance = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little", signed=True)
-                out.append((name[0].lower() + m[0], instance, seed, value.start(1), value.start(1) + len(word)))
+        name, start = _NAME.search(left), _BEFORE.match(text, sign + 1).end()
+        if name:
+            if start >= high:  # values of one run of characters end together
+                high = stripped = _RUN.match(text, start).end()
+                while stripped > start and text[stripped - 1] in ".!?)]}>":
+                    stripped -= 1
+            if stripped - start >= 4:
+                named.append((name[0].lower() + m[0], start, stripped))
+    ends: dict[int, tuple[int, int]] = {}
+    for pattern, start, end in reversed(named):
+        if end - start > LONG:  # longer than any well-known secret
+            seed, instance = start in starts, _suffix_hash(text, ends, start, end)
+        else:
+            word = text[start:end]
+            seed = start in starts or bool(_HEX.match(word)) or bool(_SECRET.fullmatch(word))
+            instance = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little", signed=True)
+        out.append((pattern, instance, seed, start, end))
     return out
 
 

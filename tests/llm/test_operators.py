@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -407,6 +408,19 @@ def test_bootstrapped_patterns(spark):
     assert got[51] == [] and [k for k, _, _ in got[52]] == ["secret"] and [k for k, _, _ in got[53]] == ["email"]
 
 
+def test_long_values_are_whole():
+    token = "".join(random.Random(7).choice("ghijkXYZ0123") for _ in range(5000))
+    text = f"token = '{token}' and token={token[:-1]}z, a=b={token}"
+    found = [(p, i, text[a:b]) for p, i, _, a, b in pii.named_values(text, pii.base_spans(text))]
+    by = {v: i for _, i, v in found}
+    assert {v for _, _, v in found} >= {token, token[:-1] + "z"}
+    assert by[token] != by[token[:-1] + "z"] and len({i for _, i, v in found if v == token}) == 1
+    start = time.monotonic()
+    for t in ("xy=" * 100_000, "xy=" + "a" * 300_000, "xy=" * 50_000 + ")" * 50_000):
+        pii.named_values(t, [])
+    assert time.monotonic() - start < 20
+
+
 def test_redaction(spark):
     docs = odd_documents(spark).unionByName(spark.createDataFrame([(30, "é mail a@b.com, 1.2.3.4 end", "en", "a")], DOCS), allowMissingColumns=True)
     out = pii.redact(docs)
