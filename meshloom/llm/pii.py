@@ -1,7 +1,7 @@
 """9. Personal data: four base kinds, and identifiers found by bootstrapped contexts.
 
-Base kinds are regular expressions with checks. The method then looks at every ``name = value`` or ``name: value`` of the
-texts: the name and its sign are a lexical pattern, the value an instance. Seeds are values that a base kind or a
+Base kinds are regular expressions with checks. The method then looks at every ``name = value``, ``name: value`` or
+``name := value`` of the texts, with any number of blanks and either side in quotes or not: the name and its sign are a lexical pattern, the value an instance. Seeds are values that a base kind or a
 well-known secret format recognises. Patterns and instances are the two sides of a graph that Spark scores in rounds:
 
 * a pattern's confidence is the mean score of its distinct instances (with one more that scores 0);
@@ -41,9 +41,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_NAMED = re.compile(r"[=:]")
+_NAMED = re.compile(r":=|[=:]")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_-]{1,31}\Z")
-_BEFORE = re.compile(r"[\x20\t]{0,2}[\"'`]?")
+_BEFORE = re.compile(r"[\x20\t]*+[\"'`]?")
 _RUN = re.compile(r"[^\s\"'`,;]*+")
 #: Characters of a value from which on its hash is built from the right, once for all values that end together.
 LONG = 256
@@ -105,8 +105,11 @@ def named_values(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str
     named, high, stripped = [], -1, -1
     for m in _NAMED.finditer(text):
         sign = m.start()
-        left = text[max(0, sign - 34) : sign].rstrip(" \t")
-        name, start = _NAME.search(left), _BEFORE.match(text, sign + 1).end()
+        while sign and text[sign - 1] in " \t":
+            sign -= 1
+        if sign and text[sign - 1] in "\"'`":  # a quoted name, as in JSON
+            sign -= 1
+        name, start = _NAME.search(text[max(0, sign - 34) : sign]), _BEFORE.match(text, m.end()).end()
         if name:
             if start >= high:  # values of one run of characters end together
                 high = stripped = _RUN.match(text, start).end()

@@ -421,6 +421,17 @@ def test_long_values_are_whole():
     assert time.monotonic() - start < 20
 
 
+@pytest.mark.parametrize(("text", "pattern"), [('{"api_key": "abcd1234"}', "api_key:"), ("{'token': 'abcd1234'}", "token:"), ("x_token := abcd1234", "x_token:="), ("password          =       abcd1234", "password="), ("api_key='abcd1234'", "api_key=")])
+def test_names_in_quotes_and_columns(text, pattern):
+    assert [(p, text[a:b]) for p, _, _, a, b in pii.named_values(text, [])] == [(pattern, "abcd1234")]
+
+
+def test_patterns_in_json(spark):
+    rows = [(i, f'{{"api_key": "{i:02d}aabbccddeeff0011"}}') for i in range(8)] + [(50, '{"api_key" :   "plainsecret", "colour": "green"}')]
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [rows[8][1][a:b] for _, a, b in got[50]] == ["plainsecret"]
+
+
 def test_redaction(spark):
     docs = odd_documents(spark).unionByName(spark.createDataFrame([(30, "é mail a@b.com, 1.2.3.4 end", "en", "a")], DOCS), allowMissingColumns=True)
     out = pii.redact(docs)
