@@ -2,13 +2,18 @@
 
 The vocabulary's pre-tokenizer cuts a text into short pieces and merges never cross them, so the ids of a text are
 those of its pieces in order. Inside a task the pieces of a slice of documents are found with numpy, each distinct
-piece is encoded by the library once, and its ids are laid out where the piece occurs. The table of known pieces is
-bounded (``KNOWN_PIECES``); beyond it it starts anew, which costs time and changes no result.
+piece is encoded by the library once, and its ids are laid out where the piece occurs. A long text is cut into several
+slices where a piece ends. The table of known pieces starts anew between slices once it has ``KNOWN_PIECES``, never within
+one, and a slice whose pieces are not all known is an error, so the table's size changes no result.
+
+A vocabulary file that names another normalizer or pre-tokenizer is left to the library, text by text.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -21,6 +26,8 @@ SLICE_CHARS = 1 << 19
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 _CHAR_CODE = np.random.default_rng(7).integers(1, 2**63, 1 << 16, dtype=np.uint64) | np.uint64(1)
 _P, _PINV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
+#: Where a piece ends whatever comes before and after: before a blank, and between a letter and a digit.
+_CUT = re.compile(r"\S(?=[\x20\n])|[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
 
 
 def default_vocabulary() -> str:
@@ -47,6 +54,11 @@ class Encoder:
 
         self.library = Tokenizer.from_file(vocabulary)
         self.size = self.library.get_vocab_size()
+        self.known = KNOWN_PIECES
+        with open(vocabulary, encoding="utf-8") as file:
+            described = json.load(file)
+        cutter = described.get("pre_tokenizer") or {}
+        self.plain = described.get("normalizer") is None and cutter.get("type") == "ByteLevel" and cutter.get("add_prefix_space") is False and cutter.get("use_regex", True) is True
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.kinds = np.full(0x110000, 255, np.uint8)
         self._grow(SLICE_CHARS)
@@ -67,8 +79,6 @@ class Encoder:
         return kinds
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        if len(self.keys) + len(keys) > KNOWN_PIECES:
-            self._forget()
         encoded = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
         at = np.cumsum(lengths) - lengths + len(self.ids)
@@ -133,17 +143,15 @@ class Encoder:
         keys = mix64((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * SHINGLE_CODE[60])
         at, known = self._find(keys)
         if not known.all():
+            if len(self.keys) > self.known:  # only here, so that all pieces of this slice are there below
+                self._forget()
+                known = np.zeros(len(keys), bool)
             new, where = np.unique(keys[~known], return_index=True)
             places = np.flatnonzero(~known)[where]
-            before = len(self.keys)
             self._learn(new, [text[a:b] for a, b in zip(starts[places].tolist(), ends[places].tolist(), strict=True)])
-            if len(self.keys) < before + len(new):  # the table began anew
-                at, known = self._find(keys)
-                if not known.all():
-                    new, where = np.unique(keys[~known], return_index=True)
-                    places = np.flatnonzero(~known)[where]
-                    self._learn(new, [text[a:b] for a, b in zip(starts[places].tolist(), ends[places].tolist(), strict=True)])
             at, known = self._find(keys)
+            if not known.all():
+                raise RuntimeError("a piece of the text has no ids")
         lengths, source = self.lengths[at], self.at[at]
         before = np.zeros(len(keys) + 1, np.int64)
         np.cumsum(lengths, out=before[1:])
@@ -157,14 +165,28 @@ class Encoder:
             powers[0] = 1
             np.multiply.accumulate(powers, out=powers)
 
+    def _long(self, text: str) -> np.ndarray:
+        """The ids of a text of more than SLICE_CHARS characters, slice by slice."""
+        at, parts = 0, []
+        while at < len(text):
+            cut = _CUT.search(text, at + SLICE_CHARS) if at + SLICE_CHARS < len(text) else None
+            end = cut.start() + 1 if cut else len(text)
+            parts.append(self._slice(text[at:end], np.array([0, end - at]))[0])
+            at = end
+        return np.concatenate(parts)
+
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
         i = 0
         while i < len(texts):
-            if any(t in texts[i] for t in self.added):
+            if not self.plain or any(t in texts[i] for t in self.added):
                 yield np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32)
                 i += 1
                 continue
+            if len(texts[i]) > SLICE_CHARS:
+                yield self._long(texts[i])
+                i += 1
+                continue
             j, size = i, 0
             while j < len(texts) and (j == i or size + len(texts[j]) <= SLICE_CHARS) and not any(t in texts[j] for t in self.added):
                 size += len(texts[j])
