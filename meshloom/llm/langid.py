@@ -14,7 +14,7 @@ language, chosen by hash. That bounds the models, whatever the corpus; every row
 
 Defined cases: null texts and texts without letters are ``und`` with score 0; languages of fewer rows than others have
 smaller models; ties take the first language in order; with no labelled row every text is ``und``; repeated rows repeat
-their result; an empty table gives an empty result; other columns are ignored.
+their result, whatever stands beside them; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -66,14 +66,26 @@ def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return chars[keep], np.append(0, np.cumsum(keep))[at]
 
 
-def grams(chars: np.ndarray) -> np.ndarray:
-    """At each place the ORDER characters that end there, the last one in the lowest bits."""
+def grams(chars: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """At each place the ORDER characters that end there, the last one in the lowest bits.
+
+    ``offset`` is how many characters of the same text come before; what would come before a text is blank.
+    """
     out = chars.astype(np.uint64)
     for k in range(1, ORDER):
-        out[k:] |= chars[:-k].astype(np.uint64) << np.uint64(16 * k)
+        before = np.full(len(chars), _BLANK, np.uint64)
+        before[k:] = chars[:-k]
+        before[offset < k] = _BLANK
+        out |= before << np.uint64(16 * k)
     return out
 
 
+def offsets(at: np.ndarray, low: int, high: int) -> np.ndarray:
+    """How many characters of the same text come before each of the places low..high-1; texts begin at ``at``."""
+    places = np.arange(low, high)
+    return places - at[np.searchsorted(at, places, "right") - 1]
+
+
 def is_held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
 
@@ -94,7 +106,8 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frame = pd.DataFrame({"lang": batch.column("lang").to_pylist(), "k": range(batch.num_rows)})
         for lang, part in frame.groupby("lang"):
             chars, at = characters(batch.column("text").take(pa.array(part["k"].to_numpy())))
-            keys, n = np.unique(grams(chars)[np.setdiff1d(np.arange(len(chars)), at[:-1])], return_counts=True)
+            offset = offsets(at, 0, len(chars))
+            keys, n = np.unique(grams(chars, offset)[offset > 0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
@@ -219,7 +232,8 @@ class Model:
         step = 1 << 18
         for low in range(0, len(chars), step):  # a long text spans several parts
             high = min(low + step, len(chars))
-            part = grams(chars[max(0, low - ORDER) : high])[low - max(0, low - ORDER) :]
+            first = max(0, low - ORDER)
+            part = grams(chars[first:high], offsets(at, first, high))[low - first :]
             logs = np.zeros((high - low + 1, len(self.languages)))
             np.cumsum(self.log_probs(part), axis=0, out=logs[1:])
             real = tb.counts_before(chars[low:high] != _BLANK)
