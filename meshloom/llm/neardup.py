@@ -4,7 +4,8 @@ A document is the set of its distinct five-word shingles (64-bit hashes). A sket
 leading-zero count and ten mantissa bits of its smallest hash in 16 bits, and an empty bucket borrows from the non-empty
 one that a fixed random order of the bucket prefers, so short documents have whole sketches too. Bands of ROWS registers
 are hashed to keys; documents that share a key are candidates; the Jaccard estimate from equal registers, corrected for
-those that collide by chance, drops far pairs; full shingle sets decide.
+those that collide by chance, drops far pairs of large sets (small sets borrow many registers, which widens the estimate's
+error, and are cheap to compare); full shingle sets decide.
 
 No group is ever expanded into its pairs:
 
@@ -20,7 +21,8 @@ At a similarity of 0.75 a pair shares no band with a probability of about 4e-8.
 
 Defined cases: null and empty texts, and texts without words, have no shingle, link with nothing and stay; texts with fewer
 than five words have one shingle; rows that share a doc_id count as one document with all their links; rows without a
-doc_id join a class by their text and lead none; an empty table gives an empty result; other columns are ignored.
+doc_id join a class by their text and lead none, so they stay only where no document with an id has their set; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .common import materialise, table, text_only
+from .common import materialise, table, text_hash, text_only, without
 
 WORDS = 5
 REGISTERS = 256
@@ -44,6 +46,8 @@ ROWS = 7
 MANTISSA_BITS = 10
 #: Pairs whose estimate is below this are dropped unverified: 0.75 less almost five standard deviations.
 LEAST_ESTIMATE = 0.62
+#: A pair with a set of fewer shingles is verified whatever the estimate.
+SMALL_SET = 256
 #: A shingle of at most so many open documents leads to its pairs directly. Any value gives the same links.
 RARE = 64
 
@@ -53,7 +57,7 @@ _BAND_SALT = _rng.integers(1, 2**63, BANDS, dtype=np.uint64)
 #: For each bucket the order in which it borrows from the others.
 _ORDER = np.stack([_rng.permutation(REGISTERS) for _ in range(REGISTERS)]).astype(np.int16)
 _BOUNDS = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(56)
-_SKETCHES = "doc_id long, n_shingles long, class binary, registers binary"
+_SKETCHES = "doc_id long, text_hash long, n_shingles long, class binary, registers binary"
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
@@ -112,7 +116,7 @@ def estimates(registers_a: np.ndarray, registers_b: np.ndarray, n_a: np.ndarray,
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class (a digest of the set; null for none) and registers of each row."""
+    """doc_id, text_hash, n_shingles, class (a digest of the set; null for none) and registers of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,9 +127,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                     sizes.append(len(s))
                     classes.append(hashlib.blake2b(s, digest_size=16).digest() if len(s) else None)
                     registers.append(registers_of(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(registers, pa.binary())], names=["doc_id", "n_shingles", "class", "registers"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("doc_id", "text_hash")), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(registers, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "class", "registers"])
 
-    return text_only(docs).mapInArrow(run, _SKETCHES)
+    return text_only(docs).withColumn("text_hash", text_hash(F.col("text"))).mapInArrow(run, _SKETCHES)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -151,7 +155,12 @@ def _likely(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = estimates(_matrix(batch.column("ra")), _matrix(batch.column("rb")), batch.column("na").to_numpy(), batch.column("nb").to_numpy()) >= LEAST_ESTIMATE if batch.num_rows else []
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            near = (na < SMALL_SET) | (nb < SMALL_SET)
+            large = np.flatnonzero(~near)
+            if len(large):
+                some = batch.take(pa.array(large))
+                near[large] = estimates(_matrix(some.column("ra")), _matrix(some.column("rb")), na[large], nb[large]) >= LEAST_ESTIMATE
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     side = lambda x: sketch.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
@@ -181,7 +190,8 @@ def verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, sets: DataFra
         ids = materialise(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
         sets = materialise(_sets(docs, ids), "sets")
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
-    both = likely.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    # a is the pivot of many pairs: it meets them last, so that only the set of b travels with a pair
+    both = likely.join(side("b"), "b").join(side("a"), "a").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return materialise(both.filter(100 * F.col("common") >= 75 * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b").distinct(), "links")
 
 
@@ -229,10 +239,10 @@ def open_pairs(open_: DataFrame, sets: DataFrame, rare: int = RARE) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of ``docs``."""
+    """doc_id, text_hash, n_shingles, component_id and kept of each row of ``docs``."""
     sketch = materialise(sketches(docs), "sketches")
-    lead = sketch.filter("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    leads = materialise(lead, "classes")
+    lead = sketch.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    leads = materialise(lead.filter("doc_id is not null"), "classes")
     # a sketch for each class, that of its leader
     reps = materialise(sketch.join(leads.select("class", "doc_id"), ["class", "doc_id"], "left_semi").dropDuplicates(["class", "doc_id"]).select("doc_id", "n_shingles", "registers"), "representatives")
     keys = band_keys(reps)
@@ -252,19 +262,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labels = components(links.unionAll(verified(pairs, reps, docs, sets)))
     # class of each row, then component of the class
     leaders = leads.filter("copies > 1").select("class", F.col("doc_id").alias("leader"))
-    rows = sketch.select("doc_id", "n_shingles", "class").join(leaders, "class", "left").select("doc_id", "n_shingles", F.coalesce("leader", "doc_id").alias("leader"))
-    out = rows.join(labels.select(F.col("doc_id").alias("leader"), "label"), "leader", "left").select("doc_id", "n_shingles", F.coalesce("label", "leader").alias("component_id"))
+    rows = sketch.select("doc_id", "text_hash", "n_shingles", "class").join(leaders, "class", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("leader", "doc_id").alias("leader"))
+    out = rows.join(labels.select(F.col("doc_id").alias("leader"), "label"), "leader", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("label", "leader").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that are not the first of their component (rows that share a doc_id go together)."""
-    gone = near_duplicates(docs).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the documents that are not the first of their component.
+
+    Rows that share a doc_id go together; a row without one goes where a document with an id has its text's set.
+    """
+    gone = near_duplicates(docs).filter(~F.col("kept") & F.col("component_id").isNotNull())
+    by = lambda text: F.when(F.col("doc_id").isNull(), text).otherwise(F.lit(0))
+    return without(docs, gone.select("doc_id", by(F.col("text_hash")).alias("row_hash")), by(text_hash(F.col("text"))))
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 QUERIES = {"op1_near_duplicates": op1_near_duplicates}
