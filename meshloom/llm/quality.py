@@ -8,7 +8,8 @@ concentration steps over all rows, as Spark aggregations:
 2. the distances of all rows fall into logarithmic bins; the bin that completes ``support`` of the group is the cut, and
    its rows weigh as much as completes it exactly;
 3. weighted mean and covariance within the cut are the next estimate (with the consistency factor of the normal law),
-   until the determinant stops falling; the least determinant of all starts wins.
+   until the determinant stops falling; the least determinant of all starts wins;
+4. mean and covariance of the rows within the 0.975 quantile of that estimate (with its own factor) are the final one.
 
 A group with fewer than MIN_GROUP passing rows is judged by the estimate of its language, and where that has too few
 by the estimate of all rows, so every row is judged.
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textblocks as tb
-from .common import materialise, salt_of, salted, table, text_only
+from .common import materialise, row_hash, salt_of, salted, table, text_only, without
 
 WINDOW = 5
 SUPPORT = 0.75
@@ -110,9 +111,9 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def text_counts(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, the named columns and the six counts of each whole text."""
-    rows = text_only(docs, *more)
-    schema = ", ".join(["doc_id long", *(f"`{c}` string" for c in more), COUNTS])
+    """doc_id, the named columns, a hash of the row and the six counts of each whole text."""
+    rows = text_only(docs, *more).withColumn("row_hash", row_hash("text", *more))
+    schema = ", ".join(["doc_id long", *(f"`{c}` string" for c in more), "row_hash long", COUNTS])
     return rows.mapInArrow(count_batches, schema)
 
 
@@ -149,6 +150,10 @@ def chi2_quantile(p: float, k: int) -> float:
 
 #: Makes the covariance of the central SUPPORT of a normal sample that of the whole.
 CONSISTENCY = SUPPORT / chi2_cdf(chi2_quantile(SUPPORT, D), D + 2)
+#: Rows beyond this squared distance of the raw estimate have no weight in the final one, and its factor of consistency.
+REWEIGHT = 0.975
+REWEIGHT_WITHIN = chi2_quantile(REWEIGHT, D)
+REWEIGHT_CONSISTENCY = REWEIGHT / chi2_cdf(REWEIGHT_WITHIN, D + 2)
 _ENTRIES = [(i, j) for i in range(D) for j in range(i, D)]
 #: Whose estimate it is: of a group, of a language (no source), or of all rows (neither).
 _OWNER = ["level", "k_lang", "k_source"]
@@ -184,13 +189,20 @@ def _starts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield _param_rows(f, start, means, shape * spread[:, :, None] * spread[:, None, :])
 
 
-def _from_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        if len(f):
-            n = f["n"].to_numpy(float)
-            means = f[[f"s{i}" for i in range(D)]].to_numpy(float) / n[:, None]
-            covs = _symmetric(f, "s") / n[:, None, None] - np.einsum("gi,gj->gij", means, means)
-            yield _param_rows(f, f["start"], means, covs * CONSISTENCY)
+def _from_sums(consistency: float):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                n = f["n"].to_numpy(float)
+                means = f[[f"s{i}" for i in range(D)]].to_numpy(float) / n[:, None]
+                covs = _symmetric(f, "s") / n[:, None, None] - np.einsum("gi,gj->gij", means, means)
+                yield _param_rows(f, f["start"], means, covs * consistency)
+
+    return run
+
+
+def _sums() -> list:
+    return [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(D)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in _ENTRIES)]
 
 
 def _distance():
@@ -237,15 +249,15 @@ def _concentrated(rows: DataFrame, params: DataFrame) -> DataFrame:
     """The next estimate of each owner and start, from the nearest ``SUPPORT`` of its rows."""
     binned = _meet(rows, params, _OWNER).withColumn("bin", F.floor(F.log2(_distance() + 1e-9) * BIN_PER_OCTAVE).cast("int"))
     key, names = [*_OWNER, "start"], [*(f"s{i}" for i in range(D)), *(f"s{i}{j}" for i, j in _ENTRIES)]
-    sums = binned.groupBy(*key, "bin").agg(F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(D)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in _ENTRIES))
+    sums = binned.groupBy(*key, "bin").agg(*_sums())
     # few bins in a group, however many rows it has
     all_bins = Window.partitionBy(*key)
     left = SUPPORT * F.sum("n").over(all_bins) - F.coalesce(F.sum("n").over(all_bins.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shares = sums.withColumn("share", F.least(left / F.col("n"), F.lit(1.0))).filter("share > 0")
-    return shares.groupBy(*key).agg(*(F.sum(F.col("share") * F.col(c)).alias(c) for c in ("n", *names))).mapInPandas(_from_sums, _PARAMS)
+    return shares.groupBy(*key).agg(*(F.sum(F.col("share") * F.col(c)).alias(c) for c in ("n", *names))).mapInPandas(_from_sums(CONSISTENCY), _PARAMS)
 
 
-def robust_estimates(rows: DataFrame) -> DataFrame:
+def least_determinants(rows: DataFrame) -> DataFrame:
     """One row for each owner of ``rows`` (level, k_lang, k_source, salt, x0..): its location and inverse scatter of least determinant."""
     now = materialise(_concentrated(rows, materialise(_first_params(rows), "starts")), "estimates")
     ended = None
@@ -265,9 +277,16 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     return materialise(best.select(*_OWNER, "p.*").drop("start", "logdet"), "estimates")
 
 
+def robust_estimates(rows: DataFrame) -> DataFrame:
+    """The estimates of least determinant, reweighted: those of the rows that lie within them."""
+    within = _meet(rows, least_determinants(rows), _OWNER).filter(_distance() <= REWEIGHT_WITHIN)
+    sums = within.groupBy(*_OWNER).agg(*_sums()).withColumn("start", F.lit(0))
+    return materialise(sums.mapInPandas(_from_sums(REWEIGHT_CONSISTENCY), _PARAMS).drop("start", "logdet"), "reweighted")
+
+
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """doc_id, the counts, ``base_failed``, ``kept`` and ``distance`` (null only where no row of the table passes the base rule) of each row of ``docs``."""
-    counts = text_counts(docs, "lang", "source").withColumns({"g_lang": F.coalesce("lang", F.lit("")), "g_source": F.coalesce("source", F.lit("")), "salt": salt_of("doc_id", SALTS)}).drop("lang", "source")
+    """doc_id, row_hash, the counts, ``base_failed``, ``kept`` and ``distance`` (null only where no row of the table passes the base rule) of each row of ``docs``."""
+    counts = text_counts(docs, "lang", "source").withColumns({"g_lang": F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")), "g_source": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "salt": salt_of("doc_id", SALTS)}).drop("lang", "source")
     rows = materialise(with_statistics(counts), "statistics")
     owner = materialise(owners(rows), "owners")
     wanted = owner.select(*_OWNER).distinct()
@@ -277,16 +296,17 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     params = robust_estimates(materialise(_meet(passing, wanted, _OWNER), "levels"))
     judged = _meet(rows, owner.join(params, _OWNER).drop(*_OWNER), _KEY, "left").withColumn("distance", _distance())
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "doc_id", "row_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"),
         "distance", *FEATURES,
     )
 
 
 def reject(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rejected documents (rows that share a doc_id go together; rows without one stay)."""
-    gone = quality_rules(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rejected rows; each row is judged by itself, also where rows share a doc_id or have none."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    gone = quality_rules(docs).filter(~F.col("kept"))
+    return without(docs, gone, F.xxhash64(F.lit(False), text, *(x for c in ("lang", "source") for x in (F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit(""))))))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
