@@ -6,6 +6,9 @@ backslash after their opening, one more if they have some already, so no text ho
 the backslash away again. ``loss_spans`` are the places (code points of the formatted text, end exclusive) of each
 assistant text.
 
+All work is linear in a conversation's length: runs of one role are slices between the places where the role changes, places
+are running sums over the pieces as rows, and texts under the mask are cut from short chunks of the formatted text.
+
 Defined cases: a null text or role is empty; turns sort by number (null first), then role, then text; repeated rows are
 turns of their own; rows with a null conv_id are one conversation; an empty table gives no conversation; other
 columns are ignored. A conversation is one output row, so it has to fit in one.
@@ -13,15 +16,16 @@ columns are ignored. A conversation is one output row, so it has to fit in one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
 
 _CONTROL = r"(s>|ROLE\]|SEP\]|INST\])"
-_TEXTS = "array<struct<role:string,texts:array<string>>>"
-_SPANS = "array<struct<start:int,end:int>>"
 LOSS_ROLE = "assistant"
+CHUNK = 1024
 
 
 def escaped(text: Column) -> Column:
@@ -32,54 +36,69 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"([<\[]/?)\\(\\*)" + _CONTROL, r"$1$2$3")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body's own lambdas use it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _merged(turns: Column) -> Column:
-    """Runs of one role: the block under way is kept apart, so a turn copies no finished block's texts."""
+    """Runs of one role as (role, texts): the slices between the turns that change it."""
 
-    def step(acc: Column, t: Column) -> Column:
-        same = acc["role"].eqNullSafe(t["role"])
-        done = F.when(same | acc["role"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["role"].alias("role"), acc["texts"].alias("texts")))))
-        texts = F.when(same, F.concat(acc["texts"], F.array(t["text"]))).otherwise(F.array(t["text"]))
-        return F.struct(t["role"].alias("role"), texts.alias("texts"), done.alias("done"))
+    def blocks(turns: Column, starts: Column) -> Column:
+        def block(start: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(starts, k + 1), F.size(turns))
+            return F.struct(F.get(turns, start)["role"].alias("role"), F.transform(F.slice(turns, start + 1, end - start), lambda t: t["text"]).alias("texts"))
 
-    start = F.struct(F.lit(None).cast("string").alias("role"), F.array().cast("array<string>").alias("texts"), F.array().cast(_TEXTS).alias("done"))
-    return F.aggregate(turns, start, step, lambda acc: F.concat(acc["done"], F.array(F.struct(acc["role"].alias("role"), acc["texts"].alias("texts")))))
+        return F.transform(starts, block)
 
+    def starts(turns: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: (i == 0) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"]))
 
-def _loss_spans(blocks: Column) -> Column:
-    def text_step(acc: Column, text: Column, counts: Column) -> Column:
-        end = acc["pos"] + F.length(text)
-        spans = F.when(counts, F.concat(acc["spans"], F.array(F.struct(acc["pos"].alias("start"), end.alias("end"))))).otherwise(acc["spans"])
-        return F.struct((end + F.lit(len("[SEP]"))).alias("pos"), spans.alias("spans"))
+    return _let(turns, lambda t: _let(starts(t), lambda s: blocks(t, s)))
 
-    def step(acc: Column, block: Column) -> Column:
-        head = F.struct((acc["pos"] + F.length(block["role"]) + F.lit(len("[ROLE][/ROLE]"))).alias("pos"), acc["spans"].alias("spans"))
-        body = F.aggregate(block["texts"], head, lambda a, t: text_step(a, t, block["role"] == LOSS_ROLE))
-        return F.struct((body["pos"] - F.lit(len("[SEP]")) + F.lit(len("</s>"))).alias("pos"), body["spans"].alias("spans"))
 
-    return F.aggregate(blocks, F.struct(F.lit(len("<s>")).alias("pos"), F.array().cast(_SPANS).alias("spans")), step)["spans"]
+def _pieces(blocks: Column) -> Column:
+    """Each text of each block with the control strings before it and whether it counts for the loss."""
+
+    def of_block(block: Column, k: Column) -> Column:
+        head = F.concat(F.when(k == 0, "<s>").otherwise("</s>"), F.lit("[ROLE]"), escaped(block["role"]), F.lit("[/ROLE]"))
+        return F.transform(block["texts"], lambda text, j: F.struct(F.when(j == 0, head).otherwise("[SEP]").alias("before"), escaped(text).alias("text"), (block["role"] == LOSS_ROLE).alias("counts")))
+
+    return F.flatten(F.transform(blocks, of_block))
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
     """conv_id, formatted and loss_spans of each conversation of conv_id, turn, role, text rows."""
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     turns = rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    safe = lambda block: F.struct(escaped(block["role"]).alias("role"), F.transform(block["texts"], escaped).alias("texts"))
-    blocks = turns.select("conv_id", F.transform(_merged(F.col("turns")), safe).alias("blocks"))
-    formatted = F.concat(F.lit("<s>"), F.array_join(F.transform("blocks", lambda b: F.concat(F.lit("[ROLE]"), b["role"], F.lit("[/ROLE]"), F.array_join(b["texts"], "[SEP]"), F.lit("</s>"))), ""))
-    return blocks.select("conv_id", formatted.alias("formatted"), _loss_spans(F.col("blocks")).alias("loss_spans"))
+    # all that follows is by conv_id, so the rows stay where they are
+    pieces = turns.select("conv_id", F.posexplode(_pieces(_merged(F.col("turns")))).alias("place", "p")).select("conv_id", "place", "p.*")
+    upto = F.sum(F.length("before") + F.length("text")).over(Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    placed = pieces.withColumn("end", upto).withColumn("start", F.col("end") - F.length("text"))
+    whole = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "before", "text", "start", "end", "counts"))).alias("pieces"))
+    formatted = F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["before"], p["text"])), ""), F.lit("</s>"))
+    spans = F.transform(F.filter("pieces", lambda p: p["counts"]), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))
+    return whole.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
+
+
+def _cut(chunks: Column, span: Column) -> Column:
+    """The text of a span, from the chunks that it touches."""
+    first, last = ((x - x % CHUNK) / CHUNK for x in (span["start"], span["end"] - 1))
+    some = F.slice(chunks, (first + 1).cast("int"), F.greatest(last - first + 1, F.lit(0)).cast("int"))
+    return F.substring(F.array_join(some, ""), span["start"] % CHUNK + 1, span["end"] - span["start"])
 
 
 def read_conversations(formatted: DataFrame) -> DataFrame:
     """conv_id, formatted, loss_spans and, read from the formatted text, ``turns`` (role, text) and ``loss_texts``."""
     blocks = F.split(F.expr("substring(formatted, 4)"), "</s>", -1)
-    whole = F.slice(blocks, 1, F.size(blocks) - 1)
+    whole = _let(blocks, lambda b: F.slice(b, F.lit(1), F.size(b) - 1))
 
     def turns_of(block: Column) -> Column:
         parts = F.split(block, r"\[/ROLE\]", 2)
-        role = unescaped(F.substring(parts[0], len("[ROLE]") + 1, 2**31 - 1))
-        return F.transform(F.split(parts[1], r"\[SEP\]", -1), lambda text: F.struct(role.alias("role"), unescaped(text).alias("text")))
+        return _let(parts, lambda p: _let(unescaped(F.substring(p[0], len("[ROLE]") + 1, 2**31 - 1)), lambda role: F.transform(F.split(p[1], r"\[SEP\]", -1), lambda text: F.struct(role.alias("role"), unescaped(text).alias("text")))))
 
-    loss = F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"])))
+    chunks = F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    loss = _let(chunks, lambda c: F.transform("loss_spans", lambda s: unescaped(_cut(c, s))))
     return formatted.select("conv_id", "formatted", "loss_spans", F.flatten(F.transform(whole, turns_of)).alias("turns"), loss.alias("loss_texts"))
 
 

@@ -2,14 +2,16 @@
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from brute import components
 from pyspark.sql import functions as F
 
-from meshloom.llm import langid, neardup, quality, tokens
+from meshloom.llm import chat, langid, neardup, quality, tokens
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string"
@@ -156,3 +158,25 @@ def test_rejection_is_by_row(spark):
     assert out.columns == docs.columns
     assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter([(1, good), (None, good), (2, good)])
     assert quality.reject(docs.limit(0)).isEmpty()
+
+
+# chat
+
+
+@pytest.mark.parametrize("alternate", [True, False])
+def test_long_conversations_take_linear_work(spark, alternate):
+    n, roles = 100_000, ["user", "assistant"] if alternate else ["assistant"]
+    text = lambda i: ["", "é🙂 " * (i % 9), "[SEP] </s> x"][i % 3]
+    rows = spark.createDataFrame([(1, i, roles[i % len(roles)], text(i)) for i in range(n)], "conv_id long, turn long, role string, text string")
+    start = time.monotonic()
+    out = chat.read_conversations(chat.format_conversations(rows)).collect()
+    assert time.monotonic() - start < 60
+    assert [tuple(t) for t in out[0]["turns"]] == [(roles[i % len(roles)], text(i)) for i in range(n)]
+    assert list(out[0]["loss_texts"]) == [text(i) for i in range(n) if roles[i % len(roles)] == "assistant"]
+
+
+def test_texts_across_chunks_are_read_whole(spark):
+    rng = random.Random(7)
+    rows = [(c, t, rng.choice(["user", "assistant"]), "".join(rng.choice("aé🙂") for _ in range(rng.choice([0, 1, chat.CHUNK - 1, chat.CHUNK, 3 * chat.CHUNK + 5])))) for c in range(6) for t in range(8)]
+    got = {r["conv_id"]: list(r["loss_texts"]) for r in chat.read_conversations(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert got == {c: [t for d, _, role, t in rows if d == c and role == "assistant"] for c in range(6)}
