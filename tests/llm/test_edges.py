@@ -11,7 +11,7 @@ import pytest
 from brute import components
 from pyspark.sql import functions as F
 
-from meshloom.llm import chat, langid, neardup, quality, tokens
+from meshloom.llm import chat, langid, neardup, pii, quality, tokens
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string"
@@ -180,3 +180,66 @@ def test_texts_across_chunks_are_read_whole(spark):
     rows = [(c, t, rng.choice(["user", "assistant"]), "".join(rng.choice("aé🙂") for _ in range(rng.choice([0, 1, chat.CHUNK - 1, chat.CHUNK, 3 * chat.CHUNK + 5])))) for c in range(6) for t in range(8)]
     got = {r["conv_id"]: list(r["loss_texts"]) for r in chat.read_conversations(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
     assert got == {c: [t for d, _, role, t in rows if d == c and role == "assistant"] for c in range(6)}
+
+
+# personal data
+
+
+def prose_rows():
+    rng = random.Random(8)
+    unlike = lambda: f"E-{rng.randrange(10**5):05d}"
+    rows = [(i, f"As asked, my employee number is {'%020x' % rng.getrandbits(79)}a1, thank you {i}.") for i in range(40)]
+    rows += [(100 + i, f"Hello, my employee number is {unlike()}. Regards") for i in range(4)]
+    # words that stand before data of all kinds, and before numbers
+    mixed = ["a@b.com", "10.0.0.7", "+1 (303) 555-0100", "4111 1111 1111 1111"]
+    rows += [(200 + i, f"it is of the {mixed[i % 4].replace('0', str(i % 10))} here") for i in range(24)] + [(300 + i, f"it is of the {1000 + i} here") for i in range(3)]
+    return rows
+
+
+def added(rows, found):
+    text = dict(rows)
+    return {r["doc_id"]: [text[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "secret"] for r in found}
+
+
+def test_prose_contexts_find_unseen_identifiers(spark):
+    rows = prose_rows()
+    got = added(rows, pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert all(got[100 + i] == [rows[40 + i][1].split("is ")[1].split(".")[0]] for i in range(4))
+    assert all(len(got[i]) == 1 for i in range(40)) and not any(got[300 + i] for i in range(3))
+
+
+def test_pattern_scores_equal_plain_rounds(spark):
+    rows = prose_rows() + [(400 + i, f"api_key = '{'%016x' % (i * 7**20)}b' and token: {'%016x' % (i * 7**20)}b") for i in range(12)] + [(500 + i, f"token: word{i}") for i in range(3)]
+    edges = defaultdict(dict)
+    for _, text in rows:
+        for pattern, instance, kind, _, _ in pii.found_values(text, pii.base_spans(text)):
+            if pattern is not None:
+                edges[pattern][instance] = max(kind, edges[pattern].get(instance, 0))
+    edges = {p: x for p, x in edges.items() if sum(k > 0 for k in x.values()) >= pii.LEAST_SEEDS}
+    scores = {p: {i: float(k > 0) for i, k in x.items()} for p, x in edges.items()}
+    for turn in range(pii.ROUNDS):
+        confidence = {p: sum(s.values()) / (len(s) + 1) for p, s in scores.items()}
+        if turn == pii.ROUNDS - 1:
+            break
+        speaks = {p: 1 - min(c, 0.999) if c >= pii.SPEAKS else 1.0 for p, c in confidence.items()}
+        scores = {p: {i: 1.0 if k else 1 - math.prod(speaks[q] for q, y in edges.items() if q != p and i in y) for i, k in x.items()} for p, x in edges.items()}
+    scanned = pii.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["pattern"]: r for r in pii.score_patterns(scanned).collect()}
+    assert set(got) == set(confidence)
+    for p, c in confidence.items():
+        kinds = [k for k in edges[p].values() if k]
+        assert (got[p]["instances"], got[p]["seeds"]) == (len(edges[p]), len(kinds))
+        assert math.isclose(got[p]["confidence"], c, abs_tol=1e-9) and math.isclose(got[p]["share"], max(Counter(kinds).values()) / len(kinds))
+
+
+def test_nothing_of_a_long_secret_is_left(spark):
+    rng = random.Random(9)
+    secret = "".join(rng.choice("0123456789abcdef") for _ in range(10_000))
+    name = "the_name_of_this_key_is_longer_than_thirty_two_characters_and_goes_on"
+    rows = [(i, f"{name} = '{i:02d}aabbccddeeff0011'") for i in range(8)] + [(50, f"{name} = '{secret}'"), (51, f"xoxb-{'a1-' * 200}z and sk-{'Ab1' * 300}."), (None, f"{name}={secret[:500]}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(7) for c in CLASHING}).withColumn("n_chars", F.length("text"))
+    out = pii.redact(docs)
+    assert out.columns == docs.columns
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert got[50]["text"] == f"{name} = '[SECRET]'" and got[51]["text"] == "[SECRET] and [SECRET]." and got[None]["text"] == f"{name}=[SECRET]"
+    assert all(r["n_chars"] == len(r["text"]) and r["__spans"] == 7 for r in got.values())
