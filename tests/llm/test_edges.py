@@ -8,10 +8,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import components
+from brute import components, edit_distance_in
 from pyspark.sql import functions as F
 
-from meshloom.llm import chat, langid, neardup, pii, quality, tokens
+from meshloom.llm import chat, decontaminate, langid, neardup, pii, quality, tokens
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string"
@@ -243,3 +243,25 @@ def test_nothing_of_a_long_secret_is_left(spark):
     got = {r["doc_id"]: r for r in out.collect()}
     assert got[50]["text"] == f"{name} = '[SECRET]'" and got[51]["text"] == "[SECRET] and [SECRET]." and got[None]["text"] == f"{name}=[SECRET]"
     assert all(r["n_chars"] == len(r["text"]) and r["__spans"] == 7 for r in got.values())
+
+
+# decontamination
+
+
+def test_cleaning_is_by_row(spark):
+    bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog"), (2, None)], "item_id long, text string")
+    rows = [(1, "see: The quick brown fox jumped over the lazy dog!"), (1, "nothing of the kind"), (None, "the quick brown fox jumps over the lazy dog"), (None, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(7) for c in CLASHING})
+    out = decontaminate.clean(docs, bench)
+    assert out.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(rows[k] for k in (1, 3, 4))
+    assert decontaminate.clean(docs.limit(0), bench).isEmpty() and decontaminate.clean(docs, bench.limit(0)).count() == 5
+
+
+def test_short_items_with_an_edit_are_found_and_verified(spark):
+    rng = random.Random(10)
+    words = [f"v{i}" for i in range(12)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 15)))) for i in range(40)]
+    docs = [(d, " ".join(rng.choice(words) for _ in range(30))) for d in range(60)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(d, i) for d, t in docs for i, x in items if edit_distance_in(x.split(), t.split()) <= len(x.split()) // 4}

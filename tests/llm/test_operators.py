@@ -353,7 +353,7 @@ def test_leaks_with_edits_are_found_and_verified(spark):
         assert edits == edit_distance_in(dict(items)[i].split(), [w.lower() for w in re.findall(r"\w+", dict(docs)[d])])
 
 
-@pytest.mark.parametrize(("length", "least"), [(8, 1), (9, 1), (11, 1), (12, 1), (15, 1), (16, 0.97), (24, 0.97)])
+@pytest.mark.parametrize(("length", "least"), [(3, 1), (4, 1), (5, 1), (6, 1), (7, 1), (8, 1), (9, 1), (11, 1), (12, 1), (15, 1), *((n, 0.97) for n in (16, 17, 18, 20, 23, 24, 31, 32, 47, 48, 60))])
 def test_leaks_at_the_full_quarter_of_edits(length, least):
     rng = random.Random(length)
     items = [[f"v{rng.randrange(3000)}" for _ in range(length)] for _ in range(100)]
@@ -364,7 +364,7 @@ def test_leaks_at_the_full_quarter_of_edits(length, least):
             leak[at : at + 1] = ([f"other{k}"], [], [leak[at], f"more{k}"])[rng.randrange(3)]
         docs.append([f"u{rng.randrange(3000)}" for _ in range(60)] + leak + [f"u{rng.randrange(3000)}" for _ in range(60)])
     index = decontaminate.Index(list(range(100)), [" ".join(i) for i in items])
-    got = {(d, i) for d, i, *_ in decontaminate.matches_of(index, pa.array([" ".join(d) for d in docs]))}
+    got = {(d, i) for d, i, *_ in decontaminate.matches_of(index, *decontaminate.words(pa.array([" ".join(d) for d in docs])))}
     want = {(k, k) for k in range(100) if edit_distance_in(items[k], docs[k]) <= length // 4}
     assert len(want) == 100 and len(got & want) >= least * len(want)
 
@@ -374,6 +374,7 @@ def test_leaks_of_odd_tables(spark, monkeypatch):
     want = {(6, 1), (None, 1), (7, 1), (5, None)}
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(odd_documents(spark), bench).collect()} == want
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 12)  # several blocks
+    monkeypatch.setattr(decontaminate, "PASS_BLOCKS", 2)  # and passes
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(odd_documents(spark), bench).collect()} == want
     assert decontaminate.find_leaks(empty(spark), bench).isEmpty()
     assert decontaminate.find_leaks(odd_documents(spark), bench.limit(0)).isEmpty()
