@@ -3,10 +3,13 @@
 A shard holds the ids of a run of documents in ascending doc_id order, each id in the minimum number of bits that
 the vocabulary needs. Layout (little-endian):
 
-* ``TOKPACK1``, bits, ids in a block, number of documents, number of ids (four unsigned 64-bit integers);
+* ``TOKPACK1``;
+* blocks of 64 ids, ``bits`` 64-bit words each, the last one padded with zeros. Block b starts at ``8 + 8 * bits * b``,
+  so any id, and with numpy any range of ids, is unpacked without reading the rest;
 * the doc_ids, then a byte for each that tells a null doc_id, then the place of each document's first id and the end;
-* blocks of 64 ids, ``bits`` 64-bit words each, the last one padded with zeros. Block b starts at ``header + 8 * bits * b``,
-  so any id, and with numpy any range of ids, is unpacked without reading the rest.
+* bits, ids in a block, number of documents, number of ids (four unsigned 64-bit integers).
+
+Blocks are written as they fill, so a task holds one text's ids and 17 bytes for each document of its shard.
 
 Spark range-partitions the documents by doc_id; each task writes one shard to the shared folder and returns its
 manifest row. Shards are read back one task each, and starts come from sums over the manifest (a row for each shard).
@@ -18,6 +21,7 @@ encoded, in any order among equal ids; an empty table gives no shard; other colu
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +37,8 @@ MAGIC = b"TOKPACK1"
 BLOCK = 64
 END_ID = 2
 READ_BLOCKS = 4096
+#: Ids that are packed and written at once (a multiple of BLOCK).
+WRITE_IDS = 1 << 17
 MANIFEST = "shard long, path string, n_docs long, n_ids long"
 
 
@@ -72,14 +78,16 @@ class ShardReader:
 
     def __init__(self, path: str):
         self.file = random_access(path)
-        head = self.file.read(40)
-        if head[:8] != MAGIC:
+        size = self.file.size()
+        if self.file.read(8) != MAGIC:
             raise ValueError(f"{path} is no token file")
-        self.bits, self.block, self.n_docs, self.n_ids = (int(x) for x in np.frombuffer(head, "<u8", 4, 8))
+        self.data = 8
+        self.file.seek(size - 32)
+        self.bits, self.block, self.n_docs, self.n_ids = (int(x) for x in np.frombuffer(self.file.read(32), "<u8"))
+        self.file.seek(self.data + -(-self.n_ids // self.block) * self.bits * 8)
         self.doc_ids = np.frombuffer(self.file.read(8 * self.n_docs), "<i8")
         self.nulls = np.frombuffer(self.file.read(self.n_docs), np.uint8).astype(bool)
         self.offsets = np.frombuffer(self.file.read(8 * (self.n_docs + 1)), "<i8")
-        self.data = 40 + 9 * self.n_docs + 8 * (self.n_docs + 1)
 
     def ids(self, first: int, last: int) -> np.ndarray:
         low, high = first // BLOCK, -(-last // BLOCK)
@@ -98,33 +106,34 @@ def write_shards(rows: DataFrame, folder: str, vocabulary: str, end_id: int = EN
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
+        path = f"{folder}/shard-{shard:06d}.tok"
         coder = encoder(vocabulary)
-        bits, doc_ids, nulls, lengths, packed, rest = bits_for(max(coder.size, end_id + 1)), [], [], [], [], np.zeros(0, np.uint32)
-        for batch in batches:
-            column = batch.column("doc_id")
-            nulls += column.is_null().to_pylist()
-            doc_ids += column.fill_null(0).to_pylist()
-            texts, parts = batch.column("text"), [rest]
-            for i in range(0, len(texts), 256):
-                for ids in coder.encode(texts.slice(i, 256).to_pylist()):
-                    parts += (ids, np.array([end_id], np.uint32))
-                    lengths.append(len(ids) + 1)
-                gathered = np.concatenate(parts)
-                whole = len(gathered) // BLOCK * BLOCK
-                packed.append(pack(gathered[:whole], bits).tobytes())
-                parts = [gathered[whole:]]
-            rest = parts[0]
-        if not doc_ids:
+        bits, doc_ids, nulls, offsets, parts, size = bits_for(max(coder.size, end_id + 1)), array("q"), bytearray(), array("q", [0]), [np.zeros(0, np.uint32)], 0
+        batch = next((b for b in batches if b.num_rows), None)
+        if batch is None:
             return
-        packed.append(pack(rest, bits).tobytes())
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")
-        path = f"{folder}/shard-{shard:06d}.tok"
         with writing(path) as out:
-            out.write(MAGIC + np.array([bits, BLOCK, len(doc_ids), offsets[-1]], "<u8").tobytes())
-            out.write(np.array(doc_ids, "<i8").tobytes() + np.array(nulls, np.uint8).tobytes() + offsets.tobytes())
-            for block in packed:
-                out.write(block)
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [len(doc_ids)], "n_ids": [int(offsets[-1])]}, schema=pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            out.write(MAGIC)
+            while batch is not None:
+                column, texts = batch.column("doc_id"), batch.column("text")
+                nulls += column.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
+                doc_ids.frombytes(column.fill_null(0).to_numpy().astype(np.int64).tobytes())
+                for i in range(0, len(texts), 256):
+                    for ids in coder.encode(texts.slice(i, 256).to_pylist()):
+                        offsets.append(offsets[-1] + len(ids) + 1)
+                        parts += (ids, np.array([end_id], np.uint32))
+                        size += len(ids) + 1
+                        if size >= WRITE_IDS:
+                            rest = np.concatenate(parts)
+                            whole = size // BLOCK * BLOCK
+                            for at in range(0, whole, WRITE_IDS):
+                                out.write(pack(rest[at : min(at + WRITE_IDS, whole)], bits).tobytes())
+                            parts, size = [rest[whole:]], size - whole
+                batch = next(batches, None)
+            out.write(pack(np.concatenate(parts), bits).tobytes())
+            out.write(doc_ids.tobytes() + bytes(nulls) + offsets.tobytes())
+            out.write(np.array([bits, BLOCK, len(doc_ids), offsets[-1]], "<u8").tobytes())
+        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [len(doc_ids)], "n_ids": [offsets[-1]]}, schema=pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     dealt.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
