@@ -48,10 +48,14 @@ def classified(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
 
 
 def chunked(rows: DataFrame, size: int = CHUNK) -> DataFrame:
-    """A row for each chunk; those of a record follow each other in one partition. Records without payload have one empty chunk."""
-    n = f"greatest(1, cast(ceil(octet_length(coalesce(payload, X'')) / {size}) as int))"
-    chunks = F.expr(f"transform(sequence(0, {n} - 1), i -> substring(coalesce(payload, X''), i * {size} + 1, {size}))")
-    return rows.select("page_id", "url", "n_bytes", "sha1", "record_type", "refers_to", F.posexplode(chunks).alias("chunk_no", "chunk"))
+    """A row for each chunk; those of a record follow each other in one partition. Records without payload have one empty chunk.
+
+    Chunk numbers are exploded and each cuts its own bytes, so no second copy of a payload is built as an array of chunks.
+    """
+    payload = F.coalesce("payload", F.lit(b""))
+    last = F.greatest(F.ceil(F.octet_length(payload) / size), F.lit(1)).cast("int") - 1
+    numbered = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
+    return numbered.select("page_id", "url", "n_bytes", "sha1", "record_type", "refers_to", "chunk_no", F.substring(payload, F.col("chunk_no") * size + 1, F.lit(size)).alias("chunk"))
 
 
 def _record_id(page_id: int | None) -> str:
