@@ -4,14 +4,18 @@ Two kinds of rules: host and path (``example.com/en/``: the host and its subdoma
 (``/banner/``, ``||ads.example.org^``; ``*`` any text, ``^`` a separator or the end, ``||`` the start of a host label,
 ``|`` the start or end). Every rule becomes a regular expression and has literal tokens, letter and digit runs that
 a fitting url must have as whole tokens. Spark counts the urls in which each of these tokens occurs; a rule is filed
-under its rarest one. For a url its tokens fetch the rules filed there and only those run their expression. Rules without
-a whole token are tried on every url.
+under its rarest one. For a url its tokens fetch the rules filed there and only those run their expression, which a task
+compiles when it is first fetched. Rules without a whole token are tried on every url.
+
+Rules are given as tuples or as a table (kind, verdict, text). They are broadcast in blocks of BLOCK_RULES; the blocks judge
+the urls one after the other in the same pass, each handing on the best rule so far, so any number of rules takes one scan.
 
 The host and path rule with the longest text wins (of equals the first given). Where none fits, any fitting pattern rule
 decides in the same way, and where none does the verdict is ``allow``.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no host rule and is allowed; a rule's
-path does not fit an empty path; repeated rows are judged each; an empty table gives an empty result; other columns are ignored.
+path does not fit an empty path; repeated rows are judged each; an empty table gives an empty result, and an empty rule
+table allows all; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +23,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +51,8 @@ PATTERN_RULES = (
     ("block", ".zip|"),
     ("allow", "/cart/help^"),
 )
+#: Rules of one broadcast index (a few hundred bytes each).
+BLOCK_RULES = 100_000
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _WHOLE = re.compile(r"[a-z0-9]+")
 
@@ -86,8 +94,15 @@ def pattern_rule(verdict: str, text: str) -> Rule:
     return Rule(text, verdict, head + regex + tail, tokens, False)
 
 
-def compiled(host_rules=HOST_RULES, pattern_rules=PATTERN_RULES) -> list[Rule]:
-    return [*(host_rule(*r) for r in host_rules), *(pattern_rule(*r) for r in pattern_rules)]
+def rules_of(host_rules, pattern_rules) -> Iterator[Rule]:
+    yield from (host_rule(*r) for r in host_rules)
+    yield from (pattern_rule(*r) for r in pattern_rules)
+
+
+def rules_of_table(table: DataFrame) -> Iterator[Rule]:
+    """Rules of a table (kind: host or pattern, verdict, text), read partition by partition, in the order of their texts."""
+    for r in table.select("kind", "verdict", "text").distinct().orderBy("kind", "text", "verdict").toLocalIterator():
+        yield (host_rule if r["kind"] == "host" else pattern_rule)(r["verdict"], r["text"])
 
 
 def token_counts(pages: DataFrame, rules: list[Rule]) -> dict[str, int]:
@@ -95,9 +110,11 @@ def token_counts(pages: DataFrame, rules: list[Rule]) -> dict[str, int]:
     known = sorted({t for r in rules for t in r.tokens})
     if not known:
         return {}
+    wanted = pages.sparkSession.createDataFrame(pd.DataFrame({"token": known}))
     lowered = F.translate("url", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    tokens = pages.select(F.explode(F.array_intersect(F.split(lowered, "[^a-z0-9]+"), F.array(*map(F.lit, known)))).alias("token"))
-    return {r["token"]: r["count"] for r in tokens.groupBy("token").count().collect()}
+    tokens = pages.select(F.explode(F.array_distinct(F.split(lowered, "[^a-z0-9]+"))).alias("token"))
+    counts = tokens.groupBy("token").count().join(wanted, "token").toPandas()  # a row for each token of a block of rules
+    return dict(zip(counts["token"], counts["count"].tolist(), strict=True))
 
 
 def filed(rules: list[Rule], counts: dict[str, int]) -> tuple[dict[str, list[int]], list[int]]:
@@ -112,32 +129,51 @@ def filed(rules: list[Rule], counts: dict[str, int]) -> tuple[dict[str, list[int
     return index, rest
 
 
-def judge(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES) -> DataFrame:
-    """page_id, host, path, rule (of the host rules), verdict and pattern (the pattern rule that decided) of each row."""
-    rules = compiled(host_rules, pattern_rules)
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
-    index, rest = filed(rules, token_counts(rows, rules))
+_BEST = "page_id long, url string, host string, path string, rule string, rule_verdict string, pattern string, pattern_verdict string"
+
+
+def _judged(rows: DataFrame, rules: list[Rule], index: dict[str, list[int]], rest: list[int]) -> DataFrame:
+    """``rows`` (columns of _BEST) with the best rules so far and of this block; of equals the earlier stays."""
+    shared = rows.sparkSession.sparkContext.broadcast((rules, index, rest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        regexes = [re.compile(r.regex, re.S) for r in rules]
+        rules, index, rest = shared.value
+        regexes: dict[int, re.Pattern] = {}
         for batch in batches:
-            out = {c: [] for c in ("host", "path", "rule", "verdict", "pattern")}
-            for url in batch.column("url").to_pylist():
-                host, path = split_url(url)
+            columns = {c: batch.column(c).to_pylist() for c in ("rule", "rule_verdict", "pattern", "pattern_verdict")}
+            for n, (url, host, path) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("url", "host", "path")), strict=True)):
                 lowered = (url or "").translate(_LOWER)
                 place = f"{host}\0{path}"
-                tried = {k for t in set(_WHOLE.findall(lowered)) for k in index.get(t, ())}.union(rest)
-                fits = [k for k in tried if regexes[k].search(place if rules[k].on_host else lowered)]
-                best = {on: min((k for k in fits if rules[k].on_host == on), key=lambda k: (-len(rules[k].text), k), default=None) for on in (True, False)}
-                chosen = best[True] if best[True] is not None else best[False]
-                out["host"].append(host)
-                out["path"].append(path)
-                out["rule"].append(None if best[True] is None else rules[best[True]].text)
-                out["verdict"].append("allow" if chosen is None else rules[chosen].verdict)
-                out["pattern"].append(None if best[True] is not None or best[False] is None else rules[best[False]].text)
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), *(pa.array(v, pa.string()) for v in out.values())], names=["page_id", *out])
-
-    return rows.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, pattern string")
+                for k in sorted({k for t in set(_WHOLE.findall(lowered)) for k in index.get(t, ())}.union(rest)):
+                    rule = rules[k]
+                    if k not in regexes:
+                        regexes[k] = re.compile(rule.regex, re.S)
+                    if regexes[k].search(place if rule.on_host else lowered):
+                        text, verdict = ("rule", "rule_verdict") if rule.on_host else ("pattern", "pattern_verdict")
+                        if columns[text][n] is None or len(rule.text) > len(columns[text][n]):
+                            columns[text][n], columns[verdict][n] = rule.text, rule.verdict
+            kept = [batch.column(c) for c in ("page_id", "url", "host", "path")]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v, pa.string()) for v in columns.values())], names=["page_id", "url", "host", "path", *columns])
+
+    return rows.mapInArrow(run, _BEST)
+
+
+def _split_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parts = [split_url(u) for u in batch.column("url").to_pylist()]
+        none = pa.nulls(batch.num_rows, pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *(pa.array([p[k] for p in parts], pa.string()) for k in range(2)), none, none, none, none], names=[c.split()[0] for c in _BEST.split(", ")])
+
+
+def judge(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES, rules: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule (of the host rules), verdict and pattern (the pattern rule that decided) of each row. ``rules`` is a table in place of the tuples."""
+    urls = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
+    given = rules_of(host_rules, pattern_rules) if rules is None else rules_of_table(rules)
+    rows = urls.mapInArrow(_split_batches, _BEST)
+    while block := list(islice(given, BLOCK_RULES)):
+        rows = _judged(rows, block, *filed(block, token_counts(urls, block)))
+    pattern = F.when(F.col("rule").isNull(), F.col("pattern")).alias("pattern")
+    return rows.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "pattern_verdict", F.lit("allow")).alias("verdict"), pattern)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

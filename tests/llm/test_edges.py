@@ -11,7 +11,7 @@ import pytest
 from brute import components, edit_distance_in
 from pyspark.sql import functions as F
 
-from meshloom.llm import chat, decontaminate, langid, neardup, pii, quality, tokens
+from meshloom.llm import chat, decontaminate, langid, neardup, pii, quality, tokens, urls
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string"
@@ -265,3 +265,29 @@ def test_short_items_with_an_edit_are_found_and_verified(spark):
     docs = [(d, " ".join(rng.choice(words) for _ in range(30))) for d in range(60)]
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(d, i) for d, t in docs for i, x in items if edit_distance_in(x.split(), t.split()) <= len(x.split()) // 4}
+
+
+# url filters
+
+
+def test_rules_from_a_table_in_several_blocks(spark, monkeypatch):
+    rng = random.Random(11)
+    names = [f"n{i}" for i in range(40)]
+    host = [(rng.choice(["allow", "block"]), f"{rng.choice(names)}.{rng.choice(['org', 'net'])}/{rng.choice(['', 'a/', 'a/b', 'c'])}") for _ in range(150)]
+    host = list({t: (v, t) for v, t in host}.values())
+    pattern = [("block", f"/{n}^") for n in names[:20]] + [("allow", f"/{n}/keep") for n in names[:5]] + [("block", "*x*")]
+    pages = [(i, f"https://{rng.choice(['www.', ''])}{rng.choice(names)}.{rng.choice(['ORG', 'net'])}/{rng.choice(['a/b/', 'c', ''])}{rng.choice(names)}{rng.choice(['/keep', '', '/', 'x'])}") for i in range(400)] + [(900, None), (901, "no scheme"), (902, "http://" + "n1." * 20_000 + "org/a/" + "y" * 300_000)]
+    frame = spark.createDataFrame(pages, "page_id long, url string").withColumn("rule", F.lit(1))
+    rules = spark.createDataFrame([("host", v, t) for v, t in host] + [("pattern", v, t) for v, t in pattern], "kind string, verdict string, text string")
+    given = lambda **k: sorted(map(repr, urls.judge(frame, **k).collect()))
+    want = given(host_rules=sorted(host, key=lambda r: (r[1], r[0])), pattern_rules=sorted(pattern, key=lambda r: (r[1], r[0])))
+    plain = {}
+    for i, url in pages:
+        h, p = urls.split_url(url)
+        fits = [(t, v) for v, t in host if p and (h == t.partition("/")[0] or h.endswith("." + t.partition("/")[0])) and p.startswith("/" + t.partition("/")[2])]
+        plain[i] = max(fits, key=lambda f: len(f[0]), default=(None,))[0]
+    assert {r["page_id"]: r["rule"] for r in urls.judge(frame, rules=rules).collect()} == plain
+    assert given(rules=rules) == want
+    monkeypatch.setattr(urls, "BLOCK_RULES", 90)
+    assert given(rules=rules) == want
+    assert {r["verdict"] for r in urls.judge(frame, rules=rules.limit(0)).collect()} == {"allow"}
