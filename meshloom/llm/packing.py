@@ -32,15 +32,15 @@ LEAST_SALTS = 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def cut_into_pieces(rows: DataFrame, vocabulary: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of each doc_id, text row."""
+def cut_into_pieces(rows: DataFrame, vocabulary: str, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+    """The pieces of each doc_id, text row; with_ids: and their ids as little-endian unsigned 32-bit integers."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
         for batch in batches:
             ids_of, texts = batch.column("doc_id"), batch.column("text")
             for i in range(0, len(texts), 512):
-                index, start, length, crc, total = [], [], [], [], []
+                index, start, length, crc, total, kept = [], [], [], [], [], []
                 for k, ids in enumerate(coder.encode(texts.slice(i, 512).to_pylist()), i):
                     raw = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for at in range(0, len(raw), capacity):
@@ -50,10 +50,12 @@ def cut_into_pieces(rows: DataFrame, vocabulary: str, end_id: int = END_ID, capa
                         length.append(len(piece))
                         crc.append(zlib.crc32(piece))
                         total.append(len(raw))
+                        if with_ids:
+                            kept.append(piece.tobytes())
                 long = lambda x: pa.array(x, pa.int64())
-                yield pa.RecordBatch.from_arrays([ids_of.take(long(index)), long(start), long(length), long(crc), long(total)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                yield pa.RecordBatch.from_arrays([ids_of.take(long(index)), long(start), long(length), long(crc), long(total), *([pa.array(kept, pa.binary())] if with_ids else [])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])])
 
-    return rows.mapInArrow(pieces, PIECES)
+    return rows.mapInArrow(pieces, f"{PIECES}, ids binary" if with_ids else PIECES)
 
 
 def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -107,10 +109,10 @@ def ranked(pieces: DataFrame, n_rows: int) -> DataFrame:
     return rows.withColumn("own", own).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own")).drop("salt", "own", "before")
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Every piece of every document with its sequence and its place there."""
+def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """Every piece of every document with its sequence and its place there; with_ids: and its ids, so that a sequence is its pieces' ids by offset."""
     spark = docs.sparkSession
-    pieces = materialise(cut_into_pieces(text_only(docs), vocabulary or default_vocabulary(), end_id, capacity), "pieces")
+    pieces = materialise(cut_into_pieces(text_only(docs), vocabulary or default_vocabulary(), end_id, capacity, with_ids), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     where = spark.sparkContext.broadcast(slots(pack_histogram(counts, capacity)))  # bounded by the capacity, not by the corpus
 
@@ -123,8 +125,16 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
             names = [n for n in batch.schema.names if n != "rank"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(s["base"][at] + rank - s["first"][at]), pa.array(s["offset"][at])], names=[*names, "sequence_id", "offset"])
 
-    columns = [c.split()[0] for c in PIECES.split(", ")]
-    return ranked(pieces, sum(counts.values())).select(*columns, "rank").mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
+    columns = [c.split()[0] for c in PIECES.split(", ")] + (["ids"] if with_ids else [])
+    schema = f"{PIECES}, {'ids binary, ' if with_ids else ''}sequence_id long, offset long"
+    return ranked(pieces, sum(counts.values())).select(*columns, "rank").mapInArrow(place, schema)
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """sequence_id, ids (of the whole sequence, without padding) and n_tokens of what ``pack`` returned with ids; a sequence has at most ``capacity`` pieces."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    joined = F.aggregate(F.transform(parts, lambda p: p["ids"]), F.lit(b""), lambda a, x: F.concat(a, x))
+    return packed.groupBy("sequence_id").agg(joined.alias("ids"), F.sum("length").alias("n_tokens"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
