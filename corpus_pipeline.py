@@ -33,8 +33,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in training sequences."""
-    return packing.pack(docs)
+    """The pieces of all documents with their token ids and places in training sequences (``packing.sequences`` joins them)."""
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES = [
