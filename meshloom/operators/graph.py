@@ -1,35 +1,53 @@
-"""Shortest paths, components and what is built on them, by block-synchronous relaxation.
+"""Shortest paths by block-synchronous relaxation, components by contraction, and what is built on them.
 
-Vertices are dealt in blocks of consecutive ids. In a round every block with news runs Dijkstra on its own edges from its
-current values and proposes values to the neighbours outside; the proposals are the news of the next round. A block is of
-bounded size, so no task holds a mesh, and a path costs a round only where it leaves a block.
+Vertices are dealt in blocks: of consecutive ids, or of places in space (``blocks_by_place``) where ids say nothing. In a
+round every block with news runs Dijkstra on its own edges from its current values and proposes values to the neighbours
+outside; the proposals are the news of the next round. A block is of bounded size, so no task holds a mesh, and a path costs
+a round only where it leaves a block. A round writes only what it changed: values are kept as the changes of all rounds, blocks
+without news are scanned past and not shuffled, and one aggregation at the end takes the least of each vertex.
 
-Components are the same relaxation with zero lengths: each vertex starts with its own id as value.
+Components contract: edges are reduced to a spanning forest where they lie, every vertex hooks to its least neighbour, chains of
+hooks are halved until they are stars, and edges between stars go on. At least half of the vertices that still have edges go
+in each round.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.operators.topology import both_ways, corner_rows, edge_incidence
+from meshloom.operators import nearest
+from meshloom.operators.topology import both_ways, corner_rows, edge_incidence, numbered_along, renumbered
 from meshloom.sources.store import materialise
 
 BLOCK = 1 << 14
-_NEWS = "vid long, d double, label long, own boolean"
+#: Rounds after which the changes are brought together.
+COMPACT = 16
+_NEWS = "block long, vid long, d double, label long, own boolean"
 
 
 def block_of(vid: str, block: int) -> Column:
     return F.floor(F.col(vid) / block).cast("long")
 
 
-def _relax_block(key, edges: pd.DataFrame, state: pd.DataFrame, size: int) -> pd.DataFrame:
+def blocks_by_place(vertices: DataFrame, block: int = BLOCK) -> DataFrame:
+    """vid and block of ``vertices``: runs of ``block`` vertices along the curve that interleaves the bits of their coordinates."""
+    ranked = numbered_along(vertices, [nearest.along_curve(vertices), F.col("vid")], "place")
+    return ranked.select("vid", F.floor(F.col("place") / block).cast("long").alias("block"))
+
+
+def _relax_block(key, edges: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
     """Values of the block's vertices that changed in this round (own), and proposals to vertices outside it."""
-    best = {v: (d, k) for v, d, k, known in zip(state["vid"], state["d"], state["label"], state["known"], strict=True) if known}
+    best: dict[int, tuple[float, int]] = {}
+    for v, d, k in zip(state["vid"][state["known"]], state["d"][state["known"]], state["label"][state["known"]], strict=True):
+        if v not in best or (d, k) < best[v]:
+            best[v] = (d, k)
     changed: dict[int, tuple[float, int]] = {}
     heap = []
     for v, d, k in zip(state["vid"][~state["known"]], state["d"][~state["known"]], state["label"][~state["known"]], strict=True):
@@ -38,7 +56,7 @@ def _relax_block(key, edges: pd.DataFrame, state: pd.DataFrame, size: int) -> pd
             heap.append((d, k, v))
     heapq.heapify(heap)
     order = np.argsort(edges["u"].to_numpy(), kind="stable")
-    u, w, length = (edges[c].to_numpy()[order] for c in ("u", "w", "len"))
+    u, w, length, there = (edges[c].to_numpy()[order] for c in ("u", "w", "len", "there"))
     firsts = np.flatnonzero(np.diff(u, prepend=-1))
     starts = {int(u[a]): (int(a), int(b)) for a, b in zip(firsts, [*firsts[1:], len(u)], strict=False)}
     block, out = key[0], {}
@@ -49,36 +67,47 @@ def _relax_block(key, edges: pd.DataFrame, state: pd.DataFrame, size: int) -> pd
         a, b = starts.get(v, (0, 0))
         for j in range(a, b):
             x, new = int(w[j]), (d + float(length[j]), k)
-            if x // size != block:
-                if x not in out or new < out[x]:
-                    out[x] = new
+            if there[j] != block:
+                if x not in out or (*new, int(there[j])) < out[x]:
+                    out[x] = (*new, int(there[j]))
             elif x not in best or new < best[x]:
                 best[x] = changed[x] = new
                 heapq.heappush(heap, (*new, x))
-    rows = [(v, *x, True) for v, x in changed.items()] + [(v, *x, False) for v, x in out.items()]
-    return pd.DataFrame(rows, columns=["vid", "d", "label", "own"]).astype({"vid": "int64", "d": "float64", "label": "int64", "own": "bool"})
-
-
-def relax(edges: DataFrame, seeds: DataFrame, block: int = BLOCK) -> DataFrame:
-    """vid, d, label: the least d of a seed (vid, d, label) plus a path over undirected ``edges`` (u, w, len), and that seed's label (the least of equals). Vertices that no seed reaches have no row."""
-    arcs = materialise(edges.select(F.inline(F.array(F.struct("u", "w", "len"), F.struct(F.col("w").alias("u"), F.col("u").alias("w"), "len")))).withColumn("block", block_of("u", block)), "arcs")
-    least = F.min(F.struct("d", "label")).alias("s")
-    known = None
-    news = seeds.groupBy("vid").agg(least).select("vid", "s.d", "s.label")
-    while True:
-        news = news.withColumns({"known": F.lit(False), "block": block_of("vid", block)})
+    rows = [(block, v, *x, True) for v, x in changed.items()] + [(b, v, d, k, False) for v, (d, k, b) in out.items()]
+    return pd.DataFrame(rows, columns=["block", "vid", "d", "label", "own"]).astype({"block": "int64", "vid": "int64", "d": "float64", "label": "int64", "own": "bool"})
+
+
+def relax(edges: DataFrame, seeds: DataFrame, block: int = BLOCK, placed: DataFrame | None = None) -> DataFrame:
+    """vid, d, label: the least d of a seed (vid, d, label) plus a path over undirected ``edges`` (u, w, len), and that seed's label (the least of equals). Vertices that no seed reaches have no row. ``placed`` (vid, block) deals the vertices otherwise than by id."""
+    arcs = edges.select(F.inline(F.array(F.struct("u", "w", "len"), F.struct(F.col("w").alias("u"), F.col("u").alias("w"), "len"))))
+    if placed is None:
+        arcs = arcs.withColumns({"block": block_of("u", block), "there": block_of("w", block)})
+        news = seeds.withColumn("block", block_of("vid", block))
+    else:
+        for end, name in (("u", "block"), ("w", "there")):
+            arcs = arcs.join(placed.select(F.col("vid").alias(end), F.col("block").alias(name)), end)
+        news = seeds.join(placed, "vid")
+    arcs = materialise(arcs.select("block", "u", "w", "len", "there"), "arcs")
+    columns = ["block", "vid", "d", "label"]
+    known, news = [], materialise(news.select(*columns), "seeds")
+    while not news.isEmpty():
         blocks = news.select("block").distinct()
-        state = news if known is None else news.unionByName(known.withColumns({"known": F.lit(True), "block": block_of("vid", block)}).join(blocks, "block", "left_semi").select(*news.columns))
+        parts = [x.join(blocks, "block", "left_semi").withColumn("known", F.lit(True)) for x in known]
+        state = reduce(DataFrame.unionByName, parts, news.withColumn("known", F.lit(False)))
         active = arcs.join(blocks, "block", "left_semi")
-        step = materialise(active.groupBy("block").cogroup(state.groupBy("block")).applyInPandas(lambda key, edges, state: _relax_block(key, edges, state, block), _NEWS), "step")
-        mine = step.filter("own").select("vid", "d", "label")
-        merged = mine if known is None else known.unionByName(mine)
-        known = materialise(merged.groupBy("vid").agg(least).select("vid", "s.d", "s.label"), "known")
-        outside = step.filter("not own").groupBy("vid").agg(least).select("vid", F.col("s.d").alias("d"), F.col("s.label").alias("label"))
-        better = outside.join(known.select("vid", F.struct("d", "label").alias("k")), "vid", "left").filter(F.col("k").isNull() | (F.struct("d", "label") < F.col("k")))
-        news = materialise(better.select("vid", "d", "label"), "news")
-        if news.isEmpty():
-            return known
+        step = materialise(active.groupBy("block").cogroup(state.groupBy("block")).applyInPandas(_relax_block, _NEWS), "step")
+        known.append(step.filter("own").select(*columns))
+        if len(known) > COMPACT:
+            known = [materialise(_least(known), "known")]
+        news = step.filter("not own").select(*columns)
+    if not known:
+        return seeds.select("vid", "d", "label")
+    return materialise(_least(known), "known").select("vid", "d", "label")
+
+
+def _least(parts: list[DataFrame]) -> DataFrame:
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.groupBy("block", "vid").agg(F.min(F.struct("d", "label")).alias("s")).select("block", "vid", "s.d", "s.label")
 
 
 def distances(edges: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -86,10 +115,49 @@ def distances(edges: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataF
     return relax(edges, sources.select("vid", F.lit(0.0).alias("d"), F.col("vid").alias("label")), block)
 
 
-def components(edges: DataFrame, vertices: DataFrame, block: int = BLOCK) -> DataFrame:
+def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each vertex of these edges the least vertex that they link it to, as an edge."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for f in frames:
+        for u, w in zip(f["u"].tolist(), f["w"].tolist(), strict=True):
+            a, b = find(u), find(w)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        if len(parent) > 1 << 20:  # what is known so far goes on as edges, too
+            yield _roots(parent, find)
+            parent.clear()
+    yield _roots(parent, find)
+
+
+def _roots(parent: dict[int, int], find) -> pd.DataFrame:
+    return pd.DataFrame([(find(v), v) for v in list(parent) if find(v) != v], columns=["u", "w"]).astype("int64")
+
+
+def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """Vid and ``root``, the least vid that it reaches."""
-    seeds = vertices.select("vid", F.col("vid").cast("double").alias("d"), F.col("vid").alias("label"))
-    return relax(edges.select("u", "w", F.lit(0.0).alias("len")), seeds, block).select("vid", F.col("label").alias("root"))
+    left = materialise(edges.select("u", "w").filter("u <> w").mapInPandas(_forest, "u long, w long"), "forest")
+    labels = vertices.select("vid", F.col("vid").alias("root"))
+    while not left.isEmpty():
+        hooks = materialise(both_ways(left).groupBy("u").agg(F.min("w").alias("w")).select(F.col("u").alias("v"), F.least("u", "w").alias("to")), "hooks")
+        while True:
+            beyond = hooks.select(F.col("v").alias("to"), F.col("to").alias("beyond"))
+            halved = materialise(hooks.join(beyond, "to").select("v", "to", "beyond"), "hooks")
+            hooks = halved.select("v", F.col("beyond").alias("to"))
+            if halved.filter("to <> beyond").isEmpty():
+                break
+        labels = materialise(labels.join(hooks.withColumnRenamed("v", "root"), "root", "left").select("vid", F.coalesce("to", "root").alias("root")), "labels")
+        moved = left
+        for end in "uw":
+            moved = moved.join(hooks.select(F.col("v").alias(end), F.col("to").alias(f"to_{end}")), end)
+        left = materialise(moved.select(F.col("to_u").alias("u"), F.col("to_w").alias("w")).filter("u <> w").distinct(), "left")
+    return labels
 
 
 def face_components(faces: DataFrame) -> DataFrame:
@@ -108,10 +176,8 @@ def boundary_loops(boundary: DataFrame) -> DataFrame:
     """Vid and loop (0, 1, ... by least vid) of boundary edges (u, w)."""
     ends = both_ways(boundary).select(F.col("u").alias("vid")).distinct()
     roots = materialise(components(boundary, ends), "loops")
-    # a row for each loop
-    ids = roots.groupBy("root").agg(F.count("*").alias("n"))
-    numbered = ids.select("root", (F.row_number().over(Window.orderBy("root")) - 1).cast("long").alias("loop"))
-    return roots.join(numbered, "root").select("vid", "loop")
+    numbered = renumbered(roots.select(F.col("root").alias("vid")).distinct())
+    return roots.join(numbered.select(F.col("vid").alias("root"), F.col("new_vid").alias("loop")), "root").select("vid", "loop")
 
 
 def on_shortest_path(edges: DataFrame, source: DataFrame, target: DataFrame, slack: float = 1e-9) -> DataFrame:
@@ -120,3 +186,21 @@ def on_shortest_path(edges: DataFrame, source: DataFrame, target: DataFrame, sla
     back = distances(edges, target).select("vid", F.col("d").alias("rest"))
     length = there.join(F.broadcast(target), "vid").select(F.col("d").alias("length"))
     return there.join(back, "vid").join(F.broadcast(length)).filter(F.col("d") + F.col("rest") <= F.col("length") + slack).select("vid", "d", "length")
+
+
+def one_shortest_path(edges: DataFrame, source: DataFrame, target: DataFrame, slack: float = 1e-9) -> DataFrame:
+    """K2: vid, d and length along one shortest path: from the target always to the least vid before.
+
+    The chain from the target is found by doubling, so a path of n vertices takes log n rounds.
+    """
+    on = materialise(on_shortest_path(edges, source, target, slack), "on-path")
+    d = lambda s: on.select(F.col("vid").alias(s), F.col("d").alias(f"d{s}"))
+    arcs = edges.select(F.inline(F.array(F.struct("u", "w", "len"), F.struct(F.col("w").alias("u"), F.col("u").alias("w"), "len"))))
+    tight = arcs.join(d("u"), "u").join(d("w"), "w").filter((F.abs(F.col("dw") + F.col("len") - F.col("du")) <= slack) & (F.col("dw") < F.col("du")))
+    jumps = materialise(tight.groupBy(F.col("u").alias("vid")).agg(F.min("w").alias("to")), "jumps")
+    reached = materialise(target.select("vid"), "reached")
+    while not jumps.isEmpty():
+        more = reached.join(jumps, "vid").select(F.col("to").alias("vid"))
+        reached = materialise(reached.unionByName(more).distinct(), "reached")
+        jumps = materialise(jumps.join(jumps.select(F.col("vid").alias("to"), F.col("to").alias("beyond")), "to").select("vid", F.col("beyond").alias("to")), "jumps")
+    return on.join(reached, "vid", "left_semi")

@@ -1,17 +1,33 @@
-"""Nearest neighbours and range joins without cross joins: points are dealt in grid cells and meet those of cells nearby.
+"""Nearest neighbours and range joins without cross joins.
 
-A search starts with the cells around a point and widens, ring by ring doubled, only for the points that the ring cannot
-settle, so a round joins ever fewer points.
+A range join deals points in grid cells and joins those of cells nearby.
+
+A nearest search deals the targets in blocks of bounded size along a curve through space and keeps each block's box. The
+boxes, of which there are never more than MAX_BLOCKS, go to all tasks. A point first meets the block whose box is nearest, which
+bounds its distance, then those blocks alone whose boxes lie within that bound. Points travel to a block in bundles, so a block that
+all points ask for is met in many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.functions import vec3
+from meshloom.operators.topology import numbered_along
 from meshloom.sources.store import materialise
 
+#: Targets of a block, at least; and blocks, at most (56 bytes each in every task).
+BLOCK = 512
+MAX_BLOCKS = 1 << 18
+BUNDLE = 512
+_BUNDLES = "block long, ids array<long>, places array<double>"
+_FOUND = "id long, x double, y double, z double, block long, target long, d double"
+
 
 def _cell(k: str, size) -> F.Column:
     return F.floor(F.col(k) / size).cast("long")
@@ -38,42 +54,149 @@ def range_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return near.join(other, cells).withColumn("d", vec3.distance(vec3.vec("l"), vec3.vec("r"))).filter(F.col("d") <= radius).select("l", "r", "d")
 
 
-def nearest(points: DataFrame, targets: DataFrame, size: float | None = None) -> DataFrame:
-    """Id, target, d: for each of ``points`` (id, x, y, z) the nearest of ``targets`` (the least id of equals); no row where there is no target."""
-    box = targets.agg(F.count("*").alias("n"), *(F.min(k).alias(f"l{k}") for k in "xyz"), *(F.max(k).alias(f"h{k}") for k in "xyz")).first()
-    if not box["n"]:
-        return points.limit(0).select("id", F.lit(0).cast("long").alias("target"), F.lit(0.0).alias("d"))
-    span = max(box[f"h{k}"] - box[f"l{k}"] for k in "xyz")
-    size = size or max(span / max(1.0, box["n"] ** (1 / 3)), 1e-9)
-    # a point outside the targets' box is searched from the nearest place of the box
-    todo = points.select("id", *("xyz"), *(F.least(F.greatest(F.col(k), F.lit(box[f"l{k}"])), F.lit(box[f"h{k}"])).alias(f"q{k}") for k in "xyz"))
-    gap = vec3.distance(vec3.vec(), vec3.vec("q"))
-    todo, found, cells = materialise(todo.withColumn("gap", gap), "points"), None, ["cx", "cy", "cz"]
-    while True:
-        other = targets.select(F.col("id").alias("target"), *(F.col(k).alias(f"t{k}") for k in "xyz"), *(_cell(k, size).alias(f"c{k}") for k in "xyz"))
-        offsets = todo
-        for k in "xyz":
-            offsets = offsets.withColumn(f"o{k}", F.explode(_around(1)))
-        near = offsets.select("id", "x", "y", "z", *((_cell(f"q{k}", size) + F.col(f"o{k}")).alias(f"c{k}") for k in "xyz"))
-        met = near.join(other, cells).select("id", F.struct(vec3.distance(vec3.vec(), vec3.vec("t")).alias("d"), "target").alias("s")).groupBy("id").agg(F.min("s").alias("s"))
-        # within a cell's width of the searched place nothing is missed: anything else is farther from it than that
-        asked = todo.join(met, "id", "left").withColumn("settled", F.col("s").isNotNull() & (F.col("s.d") <= F.greatest(F.lit(size) - F.col("gap"), F.lit(0.0))))
-        asked = materialise(asked if size < 4 * span + 1e-9 else asked.withColumn("settled", F.lit(True)), "asked")
-        done = asked.filter("settled").select("id", "s.target", "s.d")
-        found = done if found is None else found.unionByName(done)
-        todo = asked.filter("not settled").select(*todo.columns)
-        if todo.isEmpty():
-            return found
-        size *= 2
+def along_curve(rows: DataFrame, bits: int = 16) -> Column:
+    """The place of x, y, z along the curve that interleaves the bits of the three coordinates within the rows' box."""
+    box = rows.agg(*(F.min(k).alias(f"l{k}") for k in "xyz"), *(F.max(k).alias(f"h{k}") for k in "xyz")).first()
+    total = F.lit(0).cast("long")
+    for i, k in enumerate("xyz"):
+        span = ((box[f"h{k}"] or 0.0) - (box[f"l{k}"] or 0.0)) or 1.0
+        v = F.least(F.greatest(((F.col(k) - F.lit(box[f"l{k}"])) / span * (1 << bits)).cast("long"), F.lit(0)), F.lit((1 << bits) - 1))
+        for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        total = total.bitwiseOR(F.shiftleft(v, i))
+    return total
 
 
-def closest_on_triangles(points: DataFrame, corners: DataFrame) -> DataFrame:
-    """For each of ``points`` (id, x, y, z; few, such as a centroid for each mesh) the closest place on the triangles ``corners`` (fid, ax, .. cz): id, fid, x, y, z, d; the least fid of equals.
+def _gap(low: np.ndarray, high: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Distance of places from boxes."""
+    return np.sqrt((np.maximum(np.maximum(low - at, at - high), 0) ** 2).sum(axis=-1))
+
+
+def _near_together(places: np.ndarray) -> Iterator[np.ndarray]:
+    """Runs of at most BUNDLE places that lie near each other."""
+    span = np.maximum(np.ptp(places, axis=0), 1e-300) if len(places) else 1
+    cell = ((places - places.min(axis=0)) / span * 15.99).astype(np.int64) if len(places) else np.zeros((0, 3), np.int64)
+    order = np.lexsort(cell.T)
+    for i in range(0, len(order), BUNDLE):
+        yield order[i : i + BUNDLE]
+
 
-    Points are a query set of bounded size, so they are broadcast and every triangle is read once; the least of
-    each point is combined before it is shuffled.
+def _bundles(point: np.ndarray, block: np.ndarray, ids: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    """Rows of _BUNDLES for pairs of a point and a block."""
+    order = np.argsort(block, kind="stable")
+    point, block = point[order], block[order]
+    first = np.flatnonzero(np.diff(block, prepend=-1))
+    rank = np.arange(len(block)) - np.repeat(first, np.diff(first, append=len(block)))
+    cuts = np.flatnonzero(rank % BUNDLE == 0)
+    at = np.append(cuts, len(block)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(block[cuts]), pa.ListArray.from_arrays(pa.array(at), pa.array(ids[point])), pa.ListArray.from_arrays(pa.array(at * 3), pa.array(places[point].ravel()))], names=["block", "ids", "places"])
+
+
+def _search(points: DataFrame, targets: DataFrame, measure: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """id, target, d: for each of ``points`` (id, x, y, z) the target of least ``measure`` (the least id of equals).
+
+    ``targets`` has target, a place x, y, z, its box lx .. hz and ``data``, numbers that ``measure`` compares (n, 3) places with.
     """
-    few = F.broadcast(points.select(F.col("id"), *(F.col(k).alias(f"p{k}") for k in "xyz")))
+    spark = points.sparkSession
+    n = targets.count()
+    size = max(BLOCK, -(-n // MAX_BLOCKS))
+    placed = numbered_along(targets, [along_curve(targets), F.col("target")], "place").withColumn("block", F.floor(F.col("place") / size).cast("long"))
+    corners = [*(F.min(f"l{k}").alias(f"l{k}") for k in "xyz"), *(F.max(f"h{k}").alias(f"h{k}") for k in "xyz")]
+    blocks = materialise(placed.groupBy("block").agg(F.collect_list("target").alias("targets"), F.flatten(F.collect_list("data")).alias("data"), *corners), "blocks")
+    table = blocks.select("block", *(f"{e}{k}" for e in "lh" for k in "xyz")).orderBy("block").toPandas()  # at most MAX_BLOCKS rows
+    boxes = spark.sparkContext.broadcast((table["block"].to_numpy(), table[["lx", "ly", "lz"]].to_numpy(float), table[["hx", "hy", "hz"]].to_numpy(float)))
+
+    def places_of(batch: pa.RecordBatch) -> np.ndarray:
+        return np.stack([batch.column(k).to_numpy() for k in "xyz"], axis=1)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, low, high = boxes.value
+        for batch in batches:
+            ids, at = batch.column("id").to_numpy(), places_of(batch)
+            best = np.zeros(len(ids), np.int64)
+            for some in _near_together(at):
+                l, h = at[some].min(axis=0), at[some].max(axis=0)
+                # no place of this run is farther from some box than ``most``
+                most = np.sqrt((np.maximum(np.maximum(low - l, h - high), 0) ** 2).sum(axis=1)).min()
+                may = np.flatnonzero(np.sqrt((np.maximum(np.maximum(low - h, l - high), 0) ** 2).sum(axis=1)) <= most * (1 + 1e-12))
+                best[some] = may[_gap(low[may][None], high[may][None], at[some][:, None]).argmin(axis=1)]
+            if len(ids):
+                yield _bundles(np.arange(len(ids)), names[best], ids, at)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, low, high = boxes.value
+        for batch in batches:
+            ids, at, met, bound = batch.column("id").to_numpy(), places_of(batch), batch.column("block").to_numpy(), batch.column("d").to_numpy() * (1 + 1e-12)
+            for some in _near_together(at):
+                l, h = at[some].min(axis=0), at[some].max(axis=0)
+                may = np.flatnonzero(np.sqrt((np.maximum(np.maximum(low - h, l - high), 0) ** 2).sum(axis=1)) <= bound[some].max())
+                point, box = np.nonzero(_gap(low[may][None], high[may][None], at[some][:, None]) <= bound[some][:, None])
+                point, box = some[point], names[may[box]]
+                new = box != met[point]
+                if new.any():
+                    yield _bundles(point[new], box[new], ids, at)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, targets_, data = (batch.column(c)[k].values.to_numpy() for c in ("ids", "targets", "data"))
+                at, data = batch.column("places")[k].values.to_numpy().reshape(-1, 3), data.reshape(len(targets_), -1)
+                order = np.argsort(targets_, kind="stable")  # so that of equals the least id comes first
+                targets_, data = targets_[order], data[order]
+                d, which, step = np.empty(len(ids)), np.empty(len(ids), np.int64), max(1, (1 << 19) // len(targets_))
+                for i in range(0, len(ids), step):
+                    gaps = measure(at[i : i + step], data)
+                    which[i : i + step] = gaps.argmin(axis=1)
+                    d[i : i + step] = gaps.min(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(at[:, c]) for c in range(3)), pa.array(np.full(len(ids), batch.column("block")[k].as_py())), pa.array(targets_[which]), pa.array(d)], names=[c.split()[0] for c in _FOUND.split(", ")])
+
+    rows = points.select(F.col("id").cast("long").alias("id"), *(F.col(k).cast("double").alias(k) for k in "xyz"))
+    data = blocks.select("block", "targets", "data")
+    near = materialise(rows.mapInArrow(first, _BUNDLES).join(data, "block").mapInArrow(meet, _FOUND), "near")
+    far = near.mapInArrow(others, _BUNDLES).join(data, "block").mapInArrow(meet, _FOUND)
+    both = near.unionByName(far).groupBy("id").agg(F.min(F.struct("d", "target")).alias("s"))
+    return both.select("id", "s.target", "s.d")
+
+
+def _to_places(at: np.ndarray, data: np.ndarray) -> np.ndarray:
+    gap = at[:, None, :] - data[None]
+    return np.sqrt(gap[:, :, 0] * gap[:, :, 0] + gap[:, :, 1] * gap[:, :, 1] + gap[:, :, 2] * gap[:, :, 2])
+
+
+def _to_triangles(at: np.ndarray, data: np.ndarray) -> np.ndarray:
+    p, (a, b, c) = at[:, None, :], (data[None, :, 3 * k : 3 * k + 3] for k in range(3))
+    dot = lambda u, v: (u * v).sum(axis=-1)
+    ab, ac, ap = b - a, c - a, p - a
+    d00, d01, d11, d20, d21 = dot(ab, ab), dot(ab, ac), dot(ac, ac), dot(ap, ab), dot(ap, ac)
+    det = d00 * d11 - d01 * d01
+    with np.errstate(divide="ignore", invalid="ignore"):
+        v, w = (d11 * d20 - d01 * d21) / det, (d00 * d21 - d01 * d20) / det
+        on_face = np.sqrt(dot(*(2 * [ap - v[..., None] * ab - w[..., None] * ac])))
+        best = np.where((v >= 0) & (w >= 0) & (v + w <= 1), on_face, np.inf)
+        for q, r in ((a, b), (b, c), (c, a)):
+            side = r - q
+            t = np.clip(np.nan_to_num(dot(p - q, side) / dot(side, side)), 0, 1)
+            gap = p - q - t[..., None] * side
+            best = np.fmin(best, np.sqrt(dot(gap, gap)))
+    return best
+
+
+def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
+    """Id, target, d: for each of ``points`` (id, x, y, z) the nearest of ``targets`` (the least id of equals); no row where there is no target."""
+    place = [F.col(k).cast("double") for k in "xyz"]
+    boxes = [*(c.alias(f"l{k}") for k, c in zip("xyz", place, strict=True)), *(c.alias(f"h{k}") for k, c in zip("xyz", place, strict=True))]
+    return _search(points, targets.select(F.col("id").cast("long").alias("target"), *("xyz"), *boxes, F.array(*place).alias("data")), _to_places)
+
+
+def closest_on_triangles(points: DataFrame, corners: DataFrame) -> DataFrame:
+    """For each of ``points`` (id, x, y, z) the closest place on the triangles ``corners`` (fid, ax, .. cz): id, fid, x, y, z, d; the least fid of equals."""
+    ends = {k: [F.col(f"{c}{k}") for c in "abc"] for k in "xyz"}
+    middle = [(sum(ends[k][1:], ends[k][0]) / 3).alias(k) for k in "xyz"]
+    boxes = [*(F.least(*ends[k]).alias(f"l{k}") for k in "xyz"), *(F.greatest(*ends[k]).alias(f"h{k}") for k in "xyz")]
+    data = F.array(*(F.col(f"{c}{k}") for c in "abc" for k in "xyz")).alias("data")
+    found = _search(points, corners.select(F.col("fid").alias("target"), *middle, *boxes, data), _to_triangles)
+    sides = corners.select("fid", *(f"{c}{k}" for c in "abc" for k in "xyz"))
+    met = found.select("id", F.col("target").alias("fid")).join(points.select("id", *(F.col(k).alias(f"p{k}") for k in "xyz")), "id").join(sides, "fid")
     p, a, b, c = (vec3.vec(k) for k in "pabc")
     ab, ac, ap = vec3.sub(b, a), vec3.sub(c, a), vec3.sub(p, a)
     d00, d01, d11, d20, d21 = vec3.dot(ab, ab), vec3.dot(ab, ac), vec3.dot(ac, ac), vec3.dot(ap, ab), vec3.dot(ap, ac)
@@ -89,5 +212,4 @@ def closest_on_triangles(points: DataFrame, corners: DataFrame) -> DataFrame:
     pick = lambda q, ok=None: F.when(F.lit(True) if ok is None else ok, F.struct(vec3.distance(p, q).alias("d"), q[0].alias("x"), q[1].alias("y"), q[2].alias("z")))
     within = F.coalesce((v >= 0) & (w >= 0) & (v + w <= 1), F.lit(False))
     best = F.array_min(F.filter(F.array(pick(inside, within), pick(on_side(a, b)), pick(on_side(b, c)), pick(on_side(c, a))), lambda s: s.isNotNull()))
-    rows = corners.join(few).select("id", "fid", best.alias("s")).select("id", F.struct(F.col("s.d").alias("d"), "fid", F.col("s.x").alias("x"), F.col("s.y").alias("y"), F.col("s.z").alias("z")).alias("s"))
-    return rows.groupBy("id").agg(F.min("s").alias("s")).select("id", "s.fid", "s.x", "s.y", "s.z", "s.d")
+    return met.select("id", "fid", best.alias("s")).select("id", "fid", "s.x", "s.y", "s.z", "s.d")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshloom.functions import vec3
+from meshloom.sources.store import materialise
 
 CORNERS = ("a", "b", "c")
 
@@ -101,6 +102,18 @@ def renumbered(vertices: DataFrame, block: int = 1 << 16) -> DataFrame:
     return rows.withColumn("__own", own).join(shifts, "__block").withColumn("new_vid", F.col("__before") + F.col("__own")).drop("__block", "__own", "__before")
 
 
+def numbered_along(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``rows`` with ``name``: 0, 1, ... in the order of the given columns. Ranges of the order are numbered each by themselves and shifted by the counts before."""
+    keys = [f"__k{i}" for i in range(len(order))]
+    ordered = rows.withColumns(dict(zip(keys, order, strict=True)))
+    dealt = materialise(ordered.repartitionByRange(*(F.col(k).asc() for k in keys)).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
+    # a row for each range
+    shifts = counts.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*keys)) - 1
+    return dealt.withColumn("__own", own).join(F.broadcast(shifts), "__range").withColumn(name, (F.col("__before") + F.col("__own")).cast("long")).select(*rows.columns, name)
+
+
 def faces_of_kept(faces: DataFrame, kept: DataFrame) -> DataFrame:
     """Faces all of whose corners are among the vids of ``kept``."""
     ids = kept.select("vid")

@@ -56,7 +56,7 @@ def test_fan_of_quad_and_two_gon(spark):
 def test_components_over_blocks(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20) if i != 9], "u long, w long")
     vertices = spark.range(21).withColumnRenamed("id", "vid")
-    got = {r["vid"]: r["root"] for r in graph.components(edges, vertices, block=4).collect()}
+    got = {r["vid"]: r["root"] for r in graph.components(edges, vertices).collect()}
     assert got == {i: 0 if i <= 9 else 10 for i in range(21)}
 
 
@@ -73,14 +73,51 @@ def test_overlap_keeps_not_a_number(spark):
     assert sorted(r["vid"] for r in topology.without_overlap(v, cut).collect()) == [1, 2]
 
 
-def test_nearest_against_brute_force(spark):
+def test_nearest_against_brute_force(spark, monkeypatch):
     import numpy as np
 
     rng = np.random.default_rng(1)
     p, q = rng.normal(size=(60, 3)), rng.normal(size=(25, 3)) * 3
     frame = lambda x: spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, x double, y double, z double")
-    got = {r["id"]: r["target"] for r in nearest.nearest(frame(p), frame(q)).collect()}
-    assert got == {i: int(np.linalg.norm(q - r, axis=1).argmin()) for i, r in enumerate(p)}
+    for size in (4, 512):
+        monkeypatch.setattr(nearest, "BLOCK", size)
+        for places in (p, p + [300, -40, 7]):  # around the targets, and far from all of them
+            got = {r["id"]: r["target"] for r in nearest.nearest(frame(places), frame(q)).collect()}
+            assert got == {i: int(np.linalg.norm(q - r, axis=1).argmin()) for i, r in enumerate(places)}
+    assert nearest.nearest(frame(p), frame(q).limit(0)).isEmpty() and nearest.nearest(frame(p).limit(0), frame(q)).isEmpty()
+
+
+def test_closest_places_against_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(nearest, "BLOCK", 4)
+    rng = np.random.default_rng(2)
+    p, t = rng.normal(size=(30, 3)) * 3, rng.normal(size=(20, 9))
+    t[0, 3:6] = t[0, :3]  # a degenerate one
+    points = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(p)], "id long, x double, y double, z double")
+    corners = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(t)], "fid long, " + ", ".join(f"{c}{k} double" for c in "abc" for k in "xyz"))
+    s, u = (x.ravel() for x in np.meshgrid(np.linspace(0, 1, 90), np.linspace(0, 1, 90)))
+    weights = np.stack([(1 - s), s * (1 - u), s * u], axis=1)
+    for r in nearest.closest_on_triangles(points, corners).collect():
+        spots = np.einsum("nk,tkc->tnc", weights, t.reshape(-1, 3, 3))
+        least = np.linalg.norm(spots - p[r["id"]], axis=2).min()
+        assert r["d"] <= least + 1e-9 and r["d"] >= least - 0.05
+        assert abs(np.linalg.norm(np.array([r["x"], r["y"], r["z"]]) - p[r["id"]]) - r["d"]) < 1e-9
+
+
+def test_one_path_and_blocks_by_place(spark):
+    n = 7  # a grid of unit steps has many shortest paths
+    v = spark.createDataFrame([(i * n + j, float(i), float(j), 0.0) for i in range(n) for j in range(n)], "vid long, x double, y double, z double")
+    e = [(i * n + j, i * n + j + s, 1.0) for i in range(n) for j in range(n) for s, ok in ((1, j < n - 1), (n, i < n - 1)) if ok]
+    edges = spark.createDataFrame(e, "u long, w long, len double")
+    one = lambda i: spark.createDataFrame([(i,)], "vid long")
+    path = {r["d"]: r["vid"] for r in graph.one_shortest_path(edges, one(0), one(n * n - 1)).collect()}
+    assert sorted(path) == list(range(2 * n - 1)) and path[0] == 0 and path[2 * n - 2] == n * n - 1
+    assert all((min(path[k], path[k + 1]), max(path[k], path[k + 1]), 1.0) in e for k in range(2 * n - 2))
+    placed = graph.blocks_by_place(v, 8)
+    assert placed.groupBy("block").count().agg({"count": "max"}).first()[0] <= 8
+    got = {r["vid"]: (r["d"], r["label"]) for r in graph.relax(edges, one(24).select("vid", F.lit(0.0).alias("d"), F.lit(5).cast("long").alias("label")), placed=placed).collect()}
+    assert got == {i * n + j: (float(abs(i - 3) + abs(j - 3)), 5) for i in range(n) for j in range(n)}
 
 
 def test_poisson_select_is_the_greedy_set(spark):
