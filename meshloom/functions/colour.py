@@ -35,3 +35,29 @@ def hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
 def red_like(hue: Column, saturation: Column) -> Column:
     """P16."""
     return (hue <= RED_HUE) & (saturation >= RED_SATURATION)
+
+
+#: Names of colour columns by which they are found, the first that is there.
+COLOUR_NAMES = ("Colors", "colors", "RGB", "rgb", "RGBA", "rgba")
+
+
+def find(rows: DataFrame) -> str | None:
+    """the array column that holds colours: one of COLOUR_NAMES with three or four values a row, else the first numeric one with finite values in [0, 255] only whose name has no *normal*. One pass over the table."""
+    arrays = [n for n, t in rows.dtypes if t in {f"array<{x}>" for x in ("tinyint", "smallint", "int", "bigint", "float", "double")}]
+    named = [n for n in COLOUR_NAMES if n in arrays]
+    others = [n for n in arrays if n not in named and "normal" not in n.lower()]
+    if not named + others:
+        return None
+    sized = lambda n: F.coalesce(F.min(F.size(f"`{n}`")) == F.max(F.size(f"`{n}`")), F.lit(False)) & F.coalesce(F.min(F.size(f"`{n}`")).isin(3, 4), F.lit(False))
+    within = lambda n: F.coalesce(F.every(F.forall(f"`{n}`", lambda x: x.isNotNull() & (x >= 0) & (x <= 255) & ~F.isnan(x.cast("double")))), F.lit(False))
+    fits = rows.agg(*(sized(n).alias(f"s{i}") for i, n in enumerate(named + others)), *(within(n).alias(f"w{i}") for i, n in enumerate(named + others))).first()
+    for i, n in enumerate(named + others):
+        if fits[f"s{i}"] and (n in named or fits[f"w{i}"]):
+            return n
+    return None
+
+
+def grey(weight: Column) -> dict[str, Column]:
+    """A weight as grey r, g, b with full alpha, in single precision."""
+    level = F.least(F.greatest(weight, F.lit(0.0)), F.lit(1.0)).cast("float")
+    return {"r": level, "g": level, "b": level, "alpha": F.lit(1.0).cast("float")}

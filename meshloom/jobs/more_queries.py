@@ -4,52 +4,131 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meshloom.jobs.queries import _CENTRE, _COT, _PLANE, FACES, V, _centre, _edges, _plane, plane_band, query, r6
-from meshloom.operators import graph, metrics, nearest, planes, sampling, topology
-from meshloom.sources import ply
+from meshloom.functions import colour
+from meshloom.jobs.queries import _AREA, _CENTRE, _COT, _SP, _TETS, FACES, V, _centre, _edges, plane_band, query, r6
+from meshloom.operators import fields, graph, metrics, nearest, planes, sampling, topology
+from meshloom.sources import derived, ply
 from meshloom.sources.store import materialise, shared_dir
 
-# PLY: the tube is written with two scalars and read back
+# PLY: the tube is written to one file with two scalars and read back
 
 
-def _written(spark, d) -> str:
+def _written(spark, d, binary: bool = False) -> str:
     v = V(spark, d).withColumns({"quality_longitudinal": F.col("z") / 10, "quality_transverse": F.col("x")})
     polygons = FACES(spark, d).select("fid", F.array("a", "b", "c").alias("idx"))
-    return ply.write_ply(v, polygons, f"{shared_dir(spark)}/tube.ply", ["x", "y", "z", "quality_longitudinal", "quality_transverse"])
+    return ply.write_file(v, polygons, f"{shared_dir(spark)}/tube.ply", ["x", "y", "z", "quality_longitudinal", "quality_transverse"], binary=binary)
 
 
 @query("SELECT vid, round(x,5)+0 AS x, round(y,5)+0 AS y, round(z,5)+0 AS z FROM v")
 def src_ply_vertices(spark, d):
-    v = ply.read_folder(spark, _written(spark, d))[0]
+    v = ply.read_ply(spark, _written(spark, d))[0]
     return v.select("vid", *((F.round(k, 5) + 0.0).alias(k) for k in "xyz"))
 
 
 @query("SELECT row_number() OVER (ORDER BY fid) - 1 AS fid, a, b, c FROM f")
 def src_ply_faces(spark, d):
-    f = ply.read_folder(spark, _written(spark, d))[1]
+    f = ply.read_ply(spark, _written(spark, d))[1]
     return f.select("fid", F.col("idx")[0].alias("a"), F.col("idx")[1].alias("b"), F.col("idx")[2].alias("c"))
 
 
-@query("SELECT vid, round((z/10)::FLOAT::DOUBLE,4)+0 AS quality_longitudinal, round(x::FLOAT::DOUBLE,4)+0 AS quality_transverse FROM v")
+_NAMED = "SELECT vid, round((z/10)::FLOAT::DOUBLE,4)+0 AS quality_longitudinal, round(x::FLOAT::DOUBLE,4)+0 AS quality_transverse FROM v"
+
+
+def _named(spark, path):
+    vertices = ply.read_named(spark, path, list(ply.DUAL))[0]
+    return vertices.select("vid", *((F.round(n, 4) + 0.0).alias(n) for n in ply.DUAL))
+
+
+@query(_NAMED)
 def src_ply_named_quality(spark, d):
-    vertices, _, header = ply.read_folder(spark, _written(spark, d))
-    kinds = {n: k for k, n in header.properties}
-    narrowed = [F.col(n).cast("float").cast("double") if kinds[n] in ply.SINGLE else F.col(n) for n in ("quality_longitudinal", "quality_transverse")]
-    return vertices.select("vid", *((F.round(c, 4) + 0.0).alias(n) for c, n in zip(narrowed, ("quality_longitudinal", "quality_transverse"), strict=True)))
+    return _named(spark, _written(spark, d))
+
+
+@query(_NAMED)
+def src_ply_binary_quality(spark, d):
+    return _named(spark, _written(spark, d, binary=True))
+
+
+@query("SELECT row_number() OVER (ORDER BY fid) - 1 AS fid, a, b, c FROM f")
+def src_ply_binary_faces(spark, d):
+    return ply.read_named(spark, _written(spark, d, binary=True), [])[1]
 
 
 @query("SELECT (SELECT count(*) FROM v) AS n_vertices, (SELECT count(*) FROM f) AS n_faces, (SELECT count(*) FROM v) + (SELECT count(*) FROM f) AS n_rows, 'x,y,z,quality_longitudinal,quality_transverse' AS properties")
 def ply_summary(spark, d):
-    path = _written(spark, d)
-    header = ply.read_folder(spark, path)[2]
-    rows = spark.read.text([f"{path}/b-vertices", f"{path}/c-faces"]).agg(F.count("*").alias("n_rows"))
-    return rows.select(F.lit(header.n_vertices).cast("long").alias("n_vertices"), F.lit(header.n_faces).cast("long").alias("n_faces"), "n_rows", F.lit(",".join(n for _, n in header.properties)).alias("properties"))
+    return ply.summary(spark, _written(spark, d))
+
+
+@query("SELECT vid, round(x::FLOAT::DOUBLE,4)+0 AS x, round(y::FLOAT::DOUBLE,4)+0 AS y, round(z::FLOAT::DOUBLE,4)+0 AS z, vid % 256 AS red, (vid * 7) % 256 AS green, 255 - vid % 256 AS blue FROM v")
+def mesh_roundtrip(spark, d):
+    """Positions and byte colours through a file that names their types."""
+    v = V(spark, d).withColumns({"red": F.col("vid") % 256, "green": F.col("vid") * 7 % 256, "blue": 255 - F.col("vid") % 256})
+    names = ["x", "y", "z", "red", "green", "blue"]
+    path = ply.write_file(v, FACES(spark, d).select("fid", F.array("a", "b", "c").alias("idx")), f"{shared_dir(spark)}/colours.ply", names, {n: "uchar" for n in names[3:]}, binary=True)
+    back = ply.read_binary(spark, path)[0]
+    return back.select("vid", *((F.round(k, 4) + 0.0).alias(k) for k in "xyz"), *(F.col(n).cast("long").alias(n) for n in names[3:]))
+
+
+@query("SELECT vid, round((x::FLOAT::DOUBLE*2.5)::FLOAT::DOUBLE,3)+0 AS x, round((z::FLOAT::DOUBLE*2.5)::FLOAT::DOUBLE,3)+0 AS z, round(x::FLOAT::DOUBLE,4)+0 AS quality_transverse FROM v")
+def scale_chain(spark, d):
+    """A file is read, scaled by a pair of distances and written; other properties stay."""
+    path = f"{shared_dir(spark)}/scaled.ply"
+    ply.scale_file(spark, _written(spark, d), path, 40.0, 100.0)
+    back = ply.read_named(spark, path, list(ply.DUAL))[0]
+    return back.select("vid", *((F.round(k, 3) + 0.0).alias(k) for k in "xz"), (F.round("quality_transverse", 4) + 0.0).alias("quality_transverse"))
+
+
+@query("SELECT vid, round((vid % 3 + 0.25)::DOUBLE,4) AS quality, round(z/10,4)+0 AS quality_longitudinal, round(x,4)+0 AS quality_transverse FROM v")
+def export_dispatch(spark, d):
+    """The same mesh by either ending; both files say the same."""
+    v = V(spark, d).withColumns({"mine": F.col("vid") % 3 + 0.25, "quality_longitudinal": F.col("z") / 10, "quality_transverse": F.col("x")})
+    root = shared_dir(spark)
+    one = ply.export_mesh(v, FACES(spark, d), f"{root}/mesh.ply", "mine")
+    two = ply.export_mesh(v, FACES(spark, d), f"{root}/mesh.parquet", "mine")
+    columns = ["quality", *ply.DUAL]
+    text = ply.read_ply(spark, one)[0].select("vid", *((F.round(n, 4) + 0.0).alias(n) for n in columns))
+    native = spark.read.parquet(f"{two}/vertices").select("vid", F.col("mine").alias("quality"), *ply.DUAL).select("vid", *((F.round(n, 4) + 0.0).alias(f"n_{n}") for n in columns))
+    return text.join(native, "vid").filter(" and ".join(f"{n} = n_{n}" for n in columns)).select("vid", *columns)
+
+
+@query(", r AS (SELECT fid, a, b, c, 4 * (a // 20) + fid % 2 AS k FROM f) SELECT row_number() OVER (ORDER BY fid // 64, fid) - 1 AS fid, a, b, c FROM f")
+def padded_faces(spark, d):
+    """faces from chunks of padded arrays."""
+    chunks = FACES(spark, d).groupBy(F.floor(F.col("fid") / 64).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("fid", "a", "b", "c"))).alias("f"))
+    padded = F.flatten(F.transform("f", lambda x: F.array(F.lit(3).cast("long"), x["a"], x["b"], x["c"])))
+    return topology.padded_triangles(chunks.select("chunk", padded.alias("padded")))
+
+
+@query(", w AS (SELECT vid, x, y, z FROM v UNION ALL SELECT vid + (SELECT n FROM n), x, y, z FROM v WHERE vid % 3 = 0) SELECT fid, part, a, b, c FROM (SELECT fid, 0::BIGINT AS part, a, b, c FROM f UNION ALL SELECT fid, 1, a, c, b FROM f)")
+def load_surface(spark, d):
+    """Polygons of four corners over vertices that occur twice, as triangles over each place once."""
+    v = V(spark, d)
+    n = v.agg(F.count("*").alias("n"))
+    twice = v.select("vid", *("xyz")).unionByName(v.join(F.broadcast(n)).filter("vid % 3 = 0").select((F.col("vid") + F.col("n")).alias("vid"), *("xyz")))
+    second = lambda k: F.when(F.col(k) % 3 == 0, F.col(k) + F.col("n")).otherwise(F.col(k))
+    polygons = FACES(spark, d).join(F.broadcast(n)).select("fid", F.array("a", second("b"), "c", "b").alias("idx"))
+    return topology.cleaned(twice, polygons)[1].select("fid", "part", "a", "b", "c")
+
+
+@query("SELECT fid, a, b, c FROM f")
+def mesh_contract(spark, d):
+    """Corners that come as floating numbers, and vertices, checked on the way."""
+    f = FACES(spark, d).select("fid", *(F.col(k).cast("double").alias(k) for k in "abc"))
+    v = topology.checked_vertices(V(spark, d))
+    return topology.faces_of_kept(topology.checked_faces(f), v.filter("x is not null")).select("fid", "a", "b", "c")
+
 
+@query("SELECT sid, round(r*255,6) AS r, round(g*255,6) AS g, round(b*255,6) AS b, 'paint' AS name FROM samples")
+def color_find(spark, d):
+    """normals and texture places are no colours."""
+    rows = derived.samples(spark, d).select("sid", F.array(F.col("t") - 1, "t", "t").alias("Normals"), F.array("t", "r").alias("uv"), F.array(*(F.col(c) * 255 for c in "rgb")).alias("paint"))
+    name = colour.find(rows)
+    return rows.select("sid", *(r6(F.col(name)[i], c) for i, c in enumerate("rgb")), F.lit(name).alias("name"))
 
-@query("SELECT vid, round(x::FLOAT::DOUBLE,4)+0 AS x, round(y::FLOAT::DOUBLE,4)+0 AS y, round(z::FLOAT::DOUBLE,4)+0 AS z, 1.0::DOUBLE AS alpha FROM v")
-def adapter_roundtrip(spark, d):
-    neutral = V(spark, d).select("vid", *(F.col(k).cast("float").alias(k) for k in "xyz"), F.lit(None).cast("float").alias("alpha"))
-    return neutral.select("vid", *((F.round(F.col(k).cast("double"), 4) + 0.0).alias(k) for k in "xyz"), F.coalesce("alpha", F.lit(1.0)).cast("double").alias("alpha"))
+
+@query("SELECT sid, least(greatest(t*2-0.5::DOUBLE,0),1)::FLOAT AS r, least(greatest(t*2-0.5::DOUBLE,0),1)::FLOAT AS g, least(greatest(t*2-0.5::DOUBLE,0),1)::FLOAT AS b, 1::FLOAT AS alpha FROM samples")
+def grey_weight(spark, d):
+    return derived.samples(spark, d).select("sid", *(c.alias(n) for n, c in colour.grey(F.col("t") * 2 - 0.5).items()))
 
 
 @query("SELECT vid, round(z,6)+0 AS value FROM v")
@@ -60,17 +139,23 @@ def export_scalar(spark, d):
     return rows.select("vid", r6(name, "value"))
 
 
-# crop: faces whose centroid lies in the middle of x and high in z
+# crop: faces whose centroid lies in the middle of x and high in z, and that look up
 
 
-@query("""SELECT fid FROM (SELECT fid, (ax+bx+cx)/3 AS mx, (az+bz+cz)/3 AS mz FROM p), (SELECT min(x) AS x0, max(x)-min(x) AS dx, min(z) AS z0, max(z)-min(z) AS dz FROM v)
-WHERE NOT (mx > x0+0.45::DOUBLE*dx AND mx < x0+0.55::DOUBLE*dx AND mz > z0+0.6::DOUBLE*dz AND mz < z0+dz)""")
+@query(""", nrm AS (SELECT vid, sum(sx) AS sx, sum(sy) AS sy, sum(sz) AS sz FROM (SELECT unnest([a,b,c]) AS vid, (by_-ay)*(cz-az)-(bz-az)*(cy-ay) AS sx, (bz-az)*(cx-ax)-(bx-ax)*(cz-az) AS sy, (bx-ax)*(cy-ay)-(by_-ay)*(cx-ax) AS sz FROM p) GROUP BY vid),
+nz AS (SELECT vid, CASE WHEN sx*sx+sy*sy+sz*sz > 0 THEN sz/sqrt(sx*sx+sy*sy+sz*sz) ELSE 0 END AS nz FROM nrm)
+SELECT fid FROM (SELECT fid, (ax+bx+cx)/3 AS mx, (ay+by_+cy)/3 AS my, (az+bz+cz)/3 AS mz, (i.nz+j.nz+k.nz)/3 AS up FROM p JOIN nz i ON i.vid=a JOIN nz j ON j.vid=b JOIN nz k ON k.vid=c), (SELECT min(x) AS x0, max(x)-min(x) AS dx, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z)-min(z) AS dz FROM v)
+WHERE NOT (mx > x0+0.45::DOUBLE*dx AND mx < x0+0.55::DOUBLE*dx AND my >= y0 AND my <= y1 AND mz > z0+0.6::DOUBLE*dz AND mz < z0+dz AND up > 0.25::DOUBLE)""")
 def crop_condition(spark, d):
-    p = topology.with_corners(FACES(spark, d), V(spark, d)).join(F.broadcast(metrics.bounds(V(spark, d))))
-    mid = {k: (F.col(f"a{k}") + F.col(f"b{k}") + F.col(f"c{k}")) / 3 for k in "xz"}
+    v, f = V(spark, d), FACES(spark, d)
+    up = metrics.vertex_normals(f, v).select("vid", "nz")
+    p = topology.with_corners(f, v).join(F.broadcast(metrics.bounds(v)))
+    for k in topology.CORNERS:
+        p = p.join(up.select(F.col("vid").alias(k), F.col("nz").alias(f"n{k}")), k)
+    mid = {k: (F.col(f"a{k}") + F.col(f"b{k}") + F.col(f"c{k}")) / 3 for k in "xyz"}
     at = lambda k, share: F.col(f"min_{k}") + share * (F.col(f"max_{k}") - F.col(f"min_{k}"))
-    inside = (mid["x"] > at("x", 0.45)) & (mid["x"] < at("x", 0.55)) & (mid["z"] > at("z", 0.6)) & (mid["z"] < F.col("max_z"))
-    return p.filter(~inside).select("fid")
+    inside = (mid["x"] > at("x", 0.45)) & (mid["x"] < at("x", 0.55)) & mid["y"].between(F.col("min_y"), F.col("max_y")) & (mid["z"] > at("z", 0.6)) & (mid["z"] < F.col("max_z"))
+    return p.filter(~(inside & ((F.col("na") + F.col("nb") + F.col("nc")) / 3 > 0.25))).select("fid")
 
 
 # neighbours
@@ -115,22 +200,40 @@ def radius_conflicts(spark, d):
     return sampling.conflicts(_points(spark, d), 1.0)
 
 
-@query()
+_CONFLICTS = ", cf AS (SELECT p.vid AS l, list(q.vid) AS rs FROM pts p JOIN pts q ON p.vid <> q.vid AND (q.w > p.w OR (q.w = p.w AND q.vid < p.vid)) AND sqrt(pow(p.x-q.x,2)+pow(p.y-q.y,2)+pow(p.z-q.z,2)) < (p.radius+q.radius)/2 GROUP BY p.vid)"
+_ORDERED = ", od AS (SELECT vid, row_number() OVER (ORDER BY w DESC, vid) AS k FROM pts)"
+
+
+@query(_RADII + _CONFLICTS + _ORDERED + """, g(k, acc) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT g.k + 1, CASE WHEN list_has_any(coalesce(rs, []::BIGINT[]), acc) THEN acc ELSE list_append(acc, vid) END FROM g JOIN od ON od.k = g.k + 1 LEFT JOIN cf ON cf.l = od.vid)
+SELECT unnest(acc) AS vid FROM g WHERE k = (SELECT count(*) FROM v)""")
 def poisson_euclid(spark, d):
     return sampling.poisson_select(materialise(_points(spark, d), "points"), 1.0).select(F.col("id").alias("vid"))
 
 
-@query()
+@query(_SP + _RADII + _ORDERED + """, gr(l, vid, d) USING KEY (l, vid) AS (SELECT vid, vid, 0.0::DOUBLE FROM v UNION SELECT gr.l, s.w, min(gr.d+s.len) FROM gr JOIN sym s ON s.u=gr.vid LEFT JOIN recurring.gr o ON o.vid=s.w AND o.l=gr.l WHERE gr.d+s.len < (SELECT max(radius) FROM pts) AND (o.d IS NULL OR gr.d+s.len<o.d) GROUP BY gr.l, s.w),
+nb AS (SELECT gr.l, list_sort(list({'d': gr.d, 'k': o2.k, 'r': gr.vid, 'need': (p.radius+q.radius)/2})) AS ns FROM gr JOIN pts p ON p.vid=gr.l JOIN pts q ON q.vid=gr.vid JOIN od o1 ON o1.vid=gr.l JOIN od o2 ON o2.vid=gr.vid WHERE o2.k < o1.k GROUP BY gr.l),
+g(k, acc) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT k + 1, CASE WHEN ok THEN list_append(acc, vid) ELSE acc END FROM (SELECT g.k, acc, od.vid, coalesce((list_filter(ns, lambda x: list_contains(acc, x.r))[1]).d >= (list_filter(ns, lambda x: list_contains(acc, x.r))[1]).need, true) AS ok FROM g JOIN od ON od.k = g.k + 1 LEFT JOIN nb ON nb.l = od.vid))
+SELECT acc[i] AS vid, i - 1 AS place FROM (SELECT acc, unnest(range(1, len(acc) + 1)) AS i FROM g WHERE k = (SELECT count(*) FROM v))""")
 def poisson_geodesic(spark, d):
-    edges = _edges(spark, d).select(F.lit(0).cast("long").alias("mesh_id"), "u", "w", "len")
-    points = _points(spark, d).select(F.lit(0).cast("long").alias("mesh_id"), F.col("id").alias("vid"), "w", "radius")
-    return sampling.geodesic_select(edges, points).select("vid", "place")
+    points = _points(spark, d).select(F.col("id").alias("vid"), "w", "radius")
+    return sampling.geodesic_select(_edges(spark, d), points)
 
 
 # the closest place of the surface to the centre of the box
 
 
-@query()
+_CLOSE = """, tri AS (SELECT p.*, px, py, pz, bx-ax AS ex, by_-ay AS ey, bz-az AS ez, cx-ax AS fx, cy-ay AS fy, cz-az AS fz, px-ax AS qx, py-ay AS qy, pz-az AS qz FROM p, pt),
+dots AS (SELECT *, ex*ex+ey*ey+ez*ez AS d00, ex*fx+ey*fy+ez*fz AS d01, fx*fx+fy*fy+fz*fz AS d11, qx*ex+qy*ey+qz*ez AS d20, qx*fx+qy*fy+qz*fz AS d21 FROM tri),
+bary AS (SELECT *, (d11*d20-d01*d21)/(d00*d11-d01*d01) AS bv, (d00*d21-d01*d20)/(d00*d11-d01*d01) AS bw,
+  least(greatest(d20/d00,0),1) AS t1, least(greatest(d21/d11,0),1) AS t3, least(greatest(((px-bx)*(cx-bx)+(py-by_)*(cy-by_)+(pz-bz)*(cz-bz))/(pow(cx-bx,2)+pow(cy-by_,2)+pow(cz-bz,2)),0),1) AS t2 FROM dots),
+spots AS (SELECT fid, px, py, pz, ax+bv*ex+bw*fx AS x, ay+bv*ey+bw*fy AS y, az+bv*ez+bw*fz AS z FROM bary WHERE bv >= 0 AND bw >= 0 AND bv+bw <= 1
+  UNION ALL SELECT fid, px, py, pz, ax+t1*ex, ay+t1*ey, az+t1*ez FROM bary UNION ALL SELECT fid, px, py, pz, bx+t2*(cx-bx), by_+t2*(cy-by_), bz+t2*(cz-bz) FROM bary
+  UNION ALL SELECT fid, px, py, pz, ax+t3*fx, ay+t3*fy, az+t3*fz FROM bary),
+far AS (SELECT fid, x, y, z, sqrt(pow(px-x,2)+pow(py-y,2)+pow(pz-z,2)) AS d FROM spots),
+close AS (SELECT fid, x, y, z, d FROM far ORDER BY d, fid LIMIT 1)"""
+
+
+@query(_CENTRE + ", pt AS (SELECT rx AS px, ry AS py, rz AS pz FROM ctr)" + _CLOSE + " SELECT fid, round(x,6)+0 AS x, round(y,6)+0 AS y, round(z,6)+0 AS z, round(d,6)+0 AS d FROM close")
 def closest_surface_point(spark, d):
     v = V(spark, d)
     point = _centre(spark, d).select(F.lit(0).cast("long").alias("id"), *(F.col(f"r{k}").alias(k) for k in "xyz"))
@@ -199,7 +302,44 @@ def farthest_loop_pair(spark, d):
 # planes from the mesh itself
 
 
-@query()
+def _axis(i: int) -> str:
+    """The unit eigenvector of the i-th eigenvalue of the moments, from the longest product of two rows of the shifted matrix; its largest component is positive."""
+    return f""", s{i} AS (SELECT cxx-e{i} AS a, cxy AS b, cxz AS c, cyy-e{i} AS d, cyz AS e, czz-e{i} AS f FROM ev),
+x{i} AS (SELECT unnest([{{'x': b*e-c*d, 'y': c*b-a*e, 'z': a*d-b*b}}, {{'x': b*f-c*e, 'y': c*c-a*f, 'z': a*e-b*c}}, {{'x': d*f-e*e, 'y': e*c-b*f, 'z': b*e-d*c}}]) AS k FROM s{i}),
+y{i} AS (SELECT k.x AS x, k.y AS y, k.z AS z, sqrt(k.x*k.x+k.y*k.y+k.z*k.z) AS n FROM x{i} ORDER BY n DESC LIMIT 1),
+u{i} AS (SELECT x/n*g AS u{i}x, y/n*g AS u{i}y, z/n*g AS u{i}z FROM y{i}, (SELECT CASE WHEN abs(x) >= abs(y) AND abs(x) >= abs(z) THEN sign(x) WHEN abs(y) >= abs(z) THEN sign(y) ELSE sign(z) END AS g FROM y{i}))"""
+
+
+_CONTEXT = (
+    _TETS + ", pt AS (SELECT centroid_x AS px, centroid_y AS py, centroid_z AS pz FROM vc)" + _CLOSE
+    + """, mo AS (SELECT avg((x-px)*(x-px)) AS cxx, avg((x-px)*(y-py)) AS cxy, avg((x-px)*(z-pz)) AS cxz, avg((y-py)*(y-py)) AS cyy, avg((y-py)*(z-pz)) AS cyz, avg((z-pz)*(z-pz)) AS czz FROM v, pt),
+m1 AS (SELECT *, (cxx+cyy+czz)/3 AS q, sqrt((pow(cxx-(cxx+cyy+czz)/3,2)+pow(cyy-(cxx+cyy+czz)/3,2)+pow(czz-(cxx+cyy+czz)/3,2)+2*(cxy*cxy+cxz*cxz+cyz*cyz))/6) AS p FROM mo),
+m2 AS (SELECT *, acos(least(greatest((((cxx-q)*((cyy-q)*(czz-q)-cyz*cyz)-cxy*(cxy*(czz-q)-cyz*cxz)+cxz*(cxy*cyz-(cyy-q)*cxz))/(p*p*p))/2,-1),1))/3 AS phi FROM m1),
+ev AS (SELECT *, q+2*p*cos(phi) AS e0, q+2*p*cos(phi+2*pi()/3) AS e2, 3*q-(q+2*p*cos(phi))-(q+2*p*cos(phi+2*pi()/3)) AS e1 FROM m2)"""
+    + _axis(0) + _axis(1) + _axis(2)
+    + """, dg AS (SELECT sqrt(pow(max(x)-min(x),2)+pow(max(y)-min(y),2)+pow(max(z)-min(z),2)) AS diag FROM v),
+ctx AS (SELECT diag, volume, px AS cx, py AS cy, pz AS cz, (close.x-px)/d AS nx, (close.y-py)/d AS ny, (close.z-pz)/d AS nz, u0.*, u1.*, u2.*, diag*0.01::DOUBLE AS ep FROM dg, vc, pt, close, u0, u1, u2)"""
+)
+_ACROSS = "(SELECT *, u0x-k*nx AS wx, u0y-k*ny AS wy, u0z-k*nz AS wz FROM (SELECT *, u0x*nx+u0y*ny+u0z*nz AS k FROM ctx))"
+_UNIT = f"(SELECT *, wx/l AS tx, wy/l AS ty, wz/l AS tz FROM (SELECT *, sqrt(wx*wx+wy*wy+wz*wz) AS l FROM {_ACROSS}))"
+_NORMALS = {"normal": ("nx", "ny", "nz"), "transverse": ("tx", "ty", "tz"), "longitudinal": ("ny*tz-nz*ty", "nz*tx-nx*tz", "nx*ty-ny*tx")}
+
+
+def _mode_sql(mode: str) -> str:
+    """The signed quality q_<mode> (vid, x, y, z, s, quality) about the mesh's own plane, after _CONTEXT and _SP."""
+    m = mode[0]
+    x, y, z = _NORMALS[mode]
+    return f""", pl_{m} AS (SELECT {x} AS mx, {y} AS my, {z} AS mz, cx, cy, cz, ep FROM {_UNIT}),
+sd_{m} AS (SELECT vid, x, y, z, mx*x+my*y+mz*z - (mx*cx+my*cy+mz*cz) AS s, ep FROM v, pl_{m}),
+band_{m} AS (SELECT vid FROM sd_{m} WHERE abs(s) <= ep UNION SELECT vid FROM (SELECT arg_min(vid, (abs(s), vid)) AS vid, min(abs(s)) AS a, any_value(ep) AS ep FROM sd_{m}) WHERE a > ep),
+r_{m}(vid, d) USING KEY (vid) AS (SELECT vid, 0.0::DOUBLE FROM band_{m} UNION SELECT s.w, min(r.d+s.len) FROM r_{m} r JOIN sym s ON s.u=r.vid LEFT JOIN recurring.r_{m} o ON o.vid=s.w WHERE o.d IS NULL OR r.d+s.len<o.d GROUP BY s.w),
+q_{mode} AS (SELECT sd.vid, x, y, z, s, (d-lo)/(hi-lo) * CASE WHEN s < 0 THEN -1 ELSE 1 END AS quality FROM sd_{m} sd JOIN r_{m} USING (vid), (SELECT min(d) AS lo, max(d) AS hi FROM r_{m}))"""
+
+
+_CONTEXT_COLUMNS = ["diag", "volume", "cx", "cy", "cz", "nx", "ny", "nz", *(f"u{i}{k}" for i in range(3) for k in "xyz"), "ep"]
+
+
+@query(_CONTEXT + " SELECT " + ", ".join(f"round({c},6)+0 AS {c}" for c in _CONTEXT_COLUMNS) + " FROM ctx")
 def geometry_context(spark, d):
     c = planes.context(V(spark, d), FACES(spark, d))
     return c.select(*(r6(x, x) for x in c.columns))
@@ -216,16 +356,34 @@ def _mode_query(mode: str):
 
 
 for _mode in planes.MODES:
-    query()(_mode_query(_mode))
+    query(_CONTEXT + _SP + _mode_sql(_mode) + f" SELECT vid, round(s,6)+0 AS s, round(quality,6)+0 AS quality FROM q_{_mode}")(_mode_query(_mode))
 
 
-@query()
+_TWO = _CONTEXT + _SP + _mode_sql("longitudinal") + _mode_sql("transverse") + ", two AS (SELECT l.vid, l.quality AS quality_longitudinal, t.quality AS quality_transverse FROM q_longitudinal l JOIN q_transverse t USING (vid))"
+
+
+@query(_TWO + " SELECT vid, round(quality_longitudinal,6)+0 AS quality, round(quality_longitudinal,6)+0 AS quality_longitudinal, round(quality_transverse,6)+0 AS quality_transverse FROM two")
 def enrich_two_modes(spark, d):
     q = planes.two_modes(V(spark, d), FACES(spark, d), ["longitudinal", "transverse"])
     return q.select("vid", *(r6(c, c) for c in ("quality", "quality_longitudinal", "quality_transverse")))
 
 
-@query()
+@query(_TWO + """, ok AS (SELECT vid FROM two WHERE round(quality_longitudinal,9) BETWEEN -1 AND 0.2::DOUBLE AND round(quality_transverse,9) BETWEEN -0.75 AND 0.75),
+ kf AS (SELECT * FROM f WHERE a IN (SELECT vid FROM ok) AND b IN (SELECT vid FROM ok) AND c IN (SELECT vid FROM ok)),
+ num AS (SELECT vid, row_number() OVER (ORDER BY vid) - 1 AS new FROM ok WHERE vid IN (SELECT unnest([a,b,c]) FROM kf))
+ SELECT fid, i.new AS a, j.new AS b, k.new AS c FROM kf JOIN num i ON i.vid=a JOIN num j ON j.vid=b JOIN num k ON k.vid=c""")
+def masked_two_modes(spark, d):
+    """The surface within the bounds of two modes about the mesh's own planes."""
+    v, f = V(spark, d), materialise(FACES(spark, d), "faces")
+    names = ["longitudinal", "transverse"]
+    q = planes.two_modes(v, f, names)
+    rows = materialise(q.select("vid", *("xyz"), *(F.round(f"quality_{m}", 9).alias(f"quality_{m}") for m in names)), "qualities")
+    return planes.masked_surface(rows, f, planes.within_bounds(names))[1]
+
+
+@query(_CENTRE.replace("ctr", "unused") + """, pt AS (SELECT avg(x) AS px, avg(y) AS py, avg(z) AS pz FROM v)""" + _CONTEXT[_CONTEXT.index(", mo AS") : _CONTEXT.index(", s1 AS")]
+       + """, pr AS (SELECT vid, (x-px)*u0x+(y-py)*u0y+(z-pz)*u0z AS s FROM v, pt, u0), le AS (SELECT min(s) AS lo, max(s) AS hi FROM pr)
+SELECT vid, CASE WHEN s <= lo+0.05::DOUBLE*(hi-lo) THEN 'low' ELSE 'high' END AS "end" FROM pr, le WHERE s <= lo+0.05::DOUBLE*(hi-lo) OR s >= hi-0.05::DOUBLE*(hi-lo)""")
 def pca_end_sets(spark, d):
     return sampling.pca_ends(V(spark, d))
 
@@ -233,20 +391,21 @@ def pca_end_sets(spark, d):
 # sampling
 
 
-@query()
+@query("SELECT fid, a, b, c FROM f ORDER BY md5(fid || ':7'), fid LIMIT 200")
 def sample_faces(spark, d):
-    return FACES(spark, d).orderBy(F.xxhash64("fid", F.lit(7)), "fid").limit(200)
+    """200 faces drawn by the digest of their numbers."""
+    return FACES(spark, d).orderBy(F.md5(F.concat_ws(":", F.col("fid").cast("string"), F.lit("7")).cast("binary")), "fid").limit(200)
 
 
 def _laplacian(spark, d):
-    return metrics.cotan_laplacian(FACES(spark, d), V(spark, d)).select(F.lit(0).cast("long").alias("mesh_id"), "i", "j", "val")
+    return metrics.cotan_laplacian(FACES(spark, d), V(spark, d))
 
 
 def _harmonic(spark, d):
     v = V(spark, d)
     n = v.agg(F.count("*").alias("n"))
-    ends = v.join(F.broadcast(n)).filter("vid < 20 or vid >= n - 20").select(F.lit(0).cast("long").alias("mesh_id"), "vid", F.when(F.col("vid") < 20, 0.0).otherwise(1.0).alias("value"))
-    return sampling.solve_harmonic(_laplacian(spark, d), ends).select("vid", "t")
+    ends = v.join(F.broadcast(n)).filter("vid < 20 or vid >= n - 20").select("vid", F.when(F.col("vid") < 20, 0.0).otherwise(1.0).alias("value"))
+    return fields.solve_harmonic(_laplacian(spark, d), ends)
 
 
 @query()
@@ -254,22 +413,27 @@ def harmonic_t(spark, d):
     return _harmonic(spark, d).select("vid", r6("t", "t"))
 
 
+def _embedding(spark, d):
+    return materialise(fields.diffusion_embedding(_laplacian(spark, d), metrics.lumped_mass(FACES(spark, d), V(spark, d)), 12, 0.01), "embedding")
+
+
 @query()
 def diffusion_embedding(spark, d):
-    mass = metrics.lumped_mass(FACES(spark, d), V(spark, d)).select(F.lit(0).cast("long").alias("mesh_id"), "vid", "mass")
-    e = sampling.diffusion_embedding(_laplacian(spark, d), mass, 12, 0.01)
-    return e.select("vid", F.size("coordinates").cast("long").alias("k"), r6(F.aggregate("coordinates", F.lit(0.0), lambda a, x: a + x * x), "norm2"))
+    return _embedding(spark, d).select("vid", F.size("coordinates").cast("long").alias("k"), r6(F.aggregate("coordinates", F.lit(0.0), lambda a, x: a + x * x), "norm2"))
 
 
 @query()
 def diffusion_to_band(spark, d):
-    mass = metrics.lumped_mass(FACES(spark, d), V(spark, d)).select(F.lit(0).cast("long").alias("mesh_id"), "vid", "mass")
-    e = sampling.diffusion_embedding(_laplacian(spark, d), mass, 12, 0.01)
-    band = plane_band(spark, d).select(F.lit(0).cast("long").alias("mesh_id"), "vid")
-    return sampling.nearest_embedded(e, band).select("vid", r6("d", "d"))
+    return sampling.nearest_embedded(_embedding(spark, d), plane_band(spark, d)).select("vid", r6("d", "d"))
 
 
-@query()
+_DRAW = "('0x' || substr(md5(id || ':{}'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE"
+
+
+@query(f""", ar AS (SELECT p.*, {_AREA} AS area FROM p), cu AS (SELECT *, sum(area) OVER (ORDER BY fid) AS upto FROM ar), tot AS (SELECT sum(area) AS total FROM ar),
+dr AS (SELECT id, {_DRAW.format(0)} * total AS at, sqrt({_DRAW.format(1)}) AS root, {_DRAW.format(2)} AS r2 FROM (SELECT range AS id FROM range((SELECT n FROM n))), tot),
+hit AS (SELECT dr.*, cu.* FROM dr ASOF JOIN cu ON dr.at < cu.upto)
+SELECT id, fid, round((1-root)*ax+root*(1-r2)*bx+root*r2*cx,6)+0 AS x, round((1-root)*ay+root*(1-r2)*by_+root*r2*cy,6)+0 AS y, round((1-root)*az+root*(1-r2)*bz+root*r2*cz,6)+0 AS z FROM hit""")
 def surface_sample(spark, d):
     n = V(spark, d).count()
     return sampling.surface_sample(FACES(spark, d), V(spark, d), n).select("id", "fid", *(r6(k, k) for k in "xyz"))
@@ -277,17 +441,25 @@ def surface_sample(spark, d):
 
 @query()
 def center_weighted_sample(spark, d):
-    """Clean, parametrise, draw candidates, weigh them by their place between the ends, select."""
-    v, f = V(spark, d), materialise(FACES(spark, d), "faces")
-    t = materialise(_harmonic(spark, d), "t")
-    drawn = sampling.surface_sample(f, v, 4 * v.count())
-    corners = f.select("fid", *topology.CORNERS)
-    for k in topology.CORNERS:
-        corners = corners.join(t.select(F.col("vid").alias(k), F.col("t").alias(f"t{k}")), k)
-    placed = drawn.join(corners.select("fid", "ta", "tb", "tc"), "fid").withColumn("t", sum(F.col(f"w{k}") * F.col(f"t{k}") for k in "abc"))
-    some = placed.filter(F.col("t").between(0.1, 0.9) & ~F.isnan("t")).withColumn("w", metrics.sample_weight(F.col("t"), 0.1, 0.2))
-    points = materialise(some.select("id", *("xyz"), "w", metrics.poisson_radius(F.col("w"), 0.4, 2.0, 0.05).alias("radius"), "t"), "candidates")
-    return sampling.poisson_select(points, 0.8, 5000).select("id", *(r6(k, k) for k in (*"xyz", "t")))
+    """C7 on a limb with holes: cleaned, between its end loops, away from the holes."""
+    config = sampling.SampleConfig(n_points=200, oversample=8, rmin=0.4, rmax_mult=3.0, delta=0.1, eps=0.2, hole_keepout=0.3)
+    return sampling.center_weighted(V(spark, d), _open_faces(spark, d), config).select("id", *(r6(k, k) for k in (*"xyz", "t", "w")))
+
+
+@query()
+def center_weighted_geodesic(spark, d):
+    """C7 with ends by the main axis and spacing along the surface."""
+    config = sampling.SampleConfig(n_points=200, oversample=4, rmin=0.4, rmax_mult=3.0, delta=0.1, eps=0.2, end_mode="pca", distance="geodesic")
+    return sampling.center_weighted(V(spark, d), FACES(spark, d), config).select("id", *(r6(k, k) for k in (*"xyz", "t", "w")))
+
+
+@query()
+def poisson_exact_75(spark, d):
+    """L4: 75 points of one spacing over the surface."""
+    v, f = V(spark, d), FACES(spark, d)
+    area = metrics.with_area(f, v).agg(F.sum("area")).first()[0]
+    drawn = materialise(sampling.surface_sample(f, v, 750).select("id", *("xyz"), sampling.uniform("id", F.lit(9)).alias("w")), "drawn")
+    return sampling.poisson_exact(drawn, 75, area).select("id", *(r6(k, k) for k in "xyz"))
 
 
 @query(", nb AS (SELECT u AS vid, w FROM edge UNION ALL SELECT w, u FROM edge), s1 AS (SELECT nb.vid, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM nb JOIN v ON v.vid = nb.w GROUP BY nb.vid), s2 AS (SELECT nb.vid, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM nb JOIN s1 ON s1.vid = nb.w GROUP BY nb.vid) SELECT vid, round(x,6)+0 AS x, round(y,6)+0 AS y, round(z,6)+0 AS z FROM s2")
@@ -302,20 +474,30 @@ def laplacian_checks(spark, d):
     return e.agg(F.sum("val").alias("s"), F.count("*").alias("n_entries"), F.max(F.abs("val")).alias("m")).select(r6("s", "total"), "n_entries", r6("m", "most"))
 
 
-@query(_PLANE + " SELECT mode, round(CASE mode WHEN 'normal' THEN 0.6 WHEN 'transverse' THEN 0.8 ELSE 0 END::DOUBLE,6)+0 AS mx, round(CASE mode WHEN 'longitudinal' THEN 1 ELSE 0 END::DOUBLE,6)+0 AS my, round(CASE mode WHEN 'normal' THEN 0.8 WHEN 'transverse' THEN -0.6 ELSE 0 END::DOUBLE,6)+0 AS mz, round(cx,6)+0 AS cx FROM pl, (VALUES ('normal'), ('transverse'), ('longitudinal')) t(mode)")
+@query(_CONTEXT + " " + " UNION ALL ".join(f"SELECT '{m}' AS mode, round({x},6)+0 AS mx, round({y},6)+0 AS my, round({z},6)+0 AS mz, round(cx,6)+0 AS cx FROM {_UNIT}" for m, (x, y, z) in _NORMALS.items()))
 def plane_normal(spark, d):
-    """P23 about the given plane's normal and the coordinate axes, in all modes."""
-    axes = {f"u{i}{k}": F.lit(float(i == j)) for i in range(3) for j, k in enumerate("xyz")}
-    ctx = _plane(spark, d).select("cx", *(F.col(f"m{k}").alias(f"n{k}") for k in "xyz")).withColumns(axes)
+    """P23 about the mesh's own normal and axes, in all modes."""
+    ctx = planes.context(V(spark, d), FACES(spark, d))
     rows = [planes.with_plane(ctx, m).withColumn("mode", F.lit(m)) for m in planes.MODES]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).select("mode", *(r6(c, c) for c in ("mx", "my", "mz", "cx")))
 
 
+@query(_SP + """, far AS (SELECT max(vid) AS t FROM v), r(vid, d) USING KEY (vid) AS (SELECT 0::BIGINT, 0.0::DOUBLE UNION SELECT s.w, min(r.d+s.len) FROM r JOIN sym s ON s.u=r.vid LEFT JOIN recurring.r o ON o.vid=s.w WHERE o.d IS NULL OR r.d+s.len<o.d GROUP BY s.w),
+pred AS (SELECT s.u AS vid, min(s.w) AS prev FROM sym s JOIN r i ON i.vid=s.u JOIN r j ON j.vid=s.w WHERE abs(j.d+s.len-i.d) <= 1e-9 AND j.d < i.d GROUP BY s.u),
+walk(vid) AS (SELECT t FROM far UNION SELECT prev FROM walk JOIN pred USING (vid))
+SELECT vid, round(d,6)+0 AS d FROM walk JOIN r USING (vid)""")
+def geodesic_path(spark, d):
+    """K2: one shortest path between the first and the last vertex."""
+    v = V(spark, d)
+    target = materialise(v.agg(F.max("vid").alias("vid")), "target")
+    return graph.one_shortest_path(materialise(_edges(spark, d), "edges"), v.filter("vid = 0").select("vid"), target).select("vid", r6("d", "d"))
+
+
 @query("SELECT vid, round(z/10,5)+0 AS quality, round(z/10,5)+0 AS quality_longitudinal, round(x,5)+0 AS quality_transverse FROM v")
 def export_dual_quality(spark, d):
     v = V(spark, d).withColumns({"quality_longitudinal": F.col("z") / 10, "quality_transverse": F.col("x")}).withColumn("quality", F.col("quality_longitudinal"))
     names = ["x", "y", "z", "quality", "quality_longitudinal", "quality_transverse"]
-    path = ply.write_ply(v, FACES(spark, d).select("fid", F.array("a", "b", "c").alias("idx")), f"{shared_dir(spark)}/dual.ply", names)
-    return ply.read_folder(spark, path)[0].select("vid", *((F.round(n, 5) + 0.0).alias(n) for n in names[3:]))
+    path = ply.write_file(v, FACES(spark, d).select("fid", F.array("a", "b", "c").alias("idx")), f"{shared_dir(spark)}/dual.ply", names)
+    return ply.read_ply(spark, path)[0].select("vid", *((F.round(n, 5) + 0.0).alias(n) for n in names[3:]))
 
 

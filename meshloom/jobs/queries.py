@@ -274,15 +274,15 @@ def mesh_gate(spark, d):
 # scale
 
 
-@query("SELECT vid, (x*2.5)::FLOAT AS x, (y*2.5)::FLOAT AS y, (z*2.5)::FLOAT AS z FROM v".replace("(x*2.5)::FLOAT AS x, (y*2.5)::FLOAT AS y, (z*2.5)::FLOAT AS z", ", ".join(f"round((({k}::FLOAT)::DOUBLE*2.5)::FLOAT::DOUBLE,4)+0 AS {k}" for k in "xyz")))
+@query("SELECT vid, " + ", ".join(f"round((({k}::FLOAT)::DOUBLE*2.5)::FLOAT::DOUBLE,4)+0 AS {k}" for k in "xyz") + " FROM v")
 def mesh_scale(spark, d):
-    return V(spark, d).select("vid", *(((F.round((F.col(k).cast("float").cast("double") * 2.5).cast("float").cast("double"), 4)) + 0.0).alias(k) for k in "xyz"))
+    return metrics.scaled(V(spark, d), metrics.scale_factor(40.0, 100.0)).select("vid", *((F.round(F.col(k).cast("double"), 4) + 0.0).alias(k) for k in "xyz"))
 
 
 @query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_extendedprice/l_quantity AS factor FROM lineitem WHERE l_quantity > 0 AND l_extendedprice > 0")
 def scale_calibrate(spark, d):
     rows = derived.read(spark, d, "lineitem").filter("l_quantity > 0 and l_extendedprice > 0")
-    return rows.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("factor"))
+    return rows.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), metrics.scale_factors(F.col("l_quantity"), F.col("l_extendedprice")).alias("factor"))
 
 
 # per-row expressions of the sampler and of colours
@@ -313,13 +313,10 @@ def t_filter(spark, d):
     return SAMPLES(spark, d).filter(F.col("t").between(0.1, 0.9) & ~F.isnan("t")).select("sid", "t")
 
 
-@query(f"SELECT sid, round({_W},6) AS w, row_number() OVER (ORDER BY round({_W},6) DESC, sid, r, g, b) AS place FROM samples ORDER BY place LIMIT 1000")
+@query(f"SELECT sid, round({_W},6) AS w, row_number() OVER (ORDER BY round({_W},6) DESC, sid, r, g, b) - 1 AS place FROM samples")
 def candidate_order(spark, d):
-    from pyspark.sql import Window
-
     rows = SAMPLES(spark, d).withColumn("w", r6(metrics.sample_weight(F.col("t"), 0.1, 0.2), "w"))
-    top = rows.orderBy(F.desc("w"), "sid", "r", "g", "b").limit(1000)
-    return top.select("sid", "w", F.row_number().over(Window.orderBy(F.desc("w"), "sid", "r", "g", "b")).cast("long").alias("place"))
+    return topology.numbered_along(rows, [-F.col("w"), *map(F.col, ("sid", "r", "g", "b"))], "place").select("sid", "w", "place")
 
 
 @query("SELECT sid, round(r*255/255,6) AS r, round(g*255/255,6) AS g, round(b*255/255,6) AS b FROM samples")

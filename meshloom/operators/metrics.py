@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -125,6 +127,37 @@ def poisson_radius(w: Column, r_min: float, most: float, floor: float) -> Column
     return F.least(F.greatest(r, F.lit(r_min)), F.lit(r_min * most))
 
 
+def scale_factor(mesh_distance: float, actual_distance: float) -> float:
+    """Actual over mesh distance; both have to be finite and above zero."""
+    for name, x in (("mesh", mesh_distance), ("actual", actual_distance)):
+        if not (math.isfinite(x) and x > 0):
+            raise ValueError(f"the {name} distance has to be finite and above zero, not {x}")
+    return actual_distance / mesh_distance
+
+
+def scale_factors(mesh_distance: Column, actual_distance: Column) -> Column:
+    """P3 by row; a pair that is not finite and above zero (or null) fails the query."""
+    fine = lambda x: (x > 0) & (x < float("inf")) & ~F.isnan(x)
+    ok = F.coalesce(fine(mesh_distance.cast("double")) & fine(actual_distance.cast("double")), F.lit(False))
+    return F.when(ok, actual_distance / mesh_distance).otherwise(F.raise_error(F.lit("distances have to be finite and above zero")).cast("double"))
+
+
+def scaled(vertices: DataFrame, factor: float) -> DataFrame:
+    """``vertices`` with x, y, z times a factor (finite, above zero), in single precision; other columns stay."""
+    if not (math.isfinite(factor) and factor > 0):
+        raise ValueError(f"the factor has to be finite and above zero, not {factor}")
+    return vertices.withColumns({k: (F.col(k).cast("float").cast("double") * factor).cast("float") for k in "xyz"})
+
+
+def vertex_normals(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """vid and nx, ny, nz: the unit sum of the area-weighted normals of a vertex's faces (zero where they cancel)."""
+    p = with_corners(faces, vertices)
+    n = vec3.cross(vec3.sub(corner("b"), corner("a")), vec3.sub(corner("c"), corner("a")))
+    sums = corner_rows(p.select("fid", "a", "b", "c", *(c.alias(f"s{k}") for k, c in zip("xyz", n, strict=True))), "sx", "sy", "sz").groupBy("vid").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in "xyz"))
+    length = vec3.norm(vec3.vec("s"))
+    return sums.select("vid", *(F.when(length > 0, F.col(f"s{k}") / F.nullif(length, F.lit(0.0))).otherwise(0.0).alias(f"n{k}") for k in "xyz"))
+
+
 def rank_before(rows: DataFrame, value: str, key: str) -> DataFrame:
     """The running total of ``value`` in key order over a table dealt in blocks of keys."""
     blocks = rows.withColumn("__block", F.floor(F.col(key) / (1 << 16)))

@@ -10,7 +10,7 @@ all points ask for is met in many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,6 @@ BLOCK = 512
 MAX_BLOCKS = 1 << 18
 BUNDLE = 512
 _BUNDLES = "block long, ids array<long>, places array<double>"
-_FOUND = "id long, x double, y double, z double, block long, target long, d double"
 
 
 def _cell(k: str, size) -> F.Column:
@@ -54,11 +53,12 @@ def range_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return near.join(other, cells).withColumn("d", vec3.distance(vec3.vec("l"), vec3.vec("r"))).filter(F.col("d") <= radius).select("l", "r", "d")
 
 
-def along_curve(rows: DataFrame, bits: int = 16) -> Column:
-    """The place of x, y, z along the curve that interleaves the bits of the three coordinates within the rows' box."""
-    box = rows.agg(*(F.min(k).alias(f"l{k}") for k in "xyz"), *(F.max(k).alias(f"h{k}") for k in "xyz")).first()
+def along_curve(rows: DataFrame, axes: Sequence[str] = "xyz", bits: int = 16) -> Column:
+    """The place along the curve that interleaves the bits of the first three coordinates within the rows' box."""
+    axes = axes[:3]
+    box = rows.agg(*(F.min(k).alias(f"l{k}") for k in axes), *(F.max(k).alias(f"h{k}") for k in axes)).first()
     total = F.lit(0).cast("long")
-    for i, k in enumerate("xyz"):
+    for i, k in enumerate(axes):
         span = ((box[f"h{k}"] or 0.0) - (box[f"l{k}"] or 0.0)) or 1.0
         v = F.least(F.greatest(((F.col(k) - F.lit(box[f"l{k}"])) / span * (1 << bits)).cast("long"), F.lit(0)), F.lit((1 << bits) - 1))
         for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
@@ -75,7 +75,7 @@ def _gap(low: np.ndarray, high: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _near_together(places: np.ndarray) -> Iterator[np.ndarray]:
     """Runs of at most BUNDLE places that lie near each other."""
     span = np.maximum(np.ptp(places, axis=0), 1e-300) if len(places) else 1
-    cell = ((places - places.min(axis=0)) / span * 15.99).astype(np.int64) if len(places) else np.zeros((0, 3), np.int64)
+    cell = ((places - places.min(axis=0)) / span * 15.99).astype(np.int64)[:, :3] if len(places) else np.zeros((0, 3), np.int64)
     order = np.lexsort(cell.T)
     for i in range(0, len(order), BUNDLE):
         yield order[i : i + BUNDLE]
@@ -89,25 +89,26 @@ def _bundles(point: np.ndarray, block: np.ndarray, ids: np.ndarray, places: np.n
     rank = np.arange(len(block)) - np.repeat(first, np.diff(first, append=len(block)))
     cuts = np.flatnonzero(rank % BUNDLE == 0)
     at = np.append(cuts, len(block)).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(block[cuts]), pa.ListArray.from_arrays(pa.array(at), pa.array(ids[point])), pa.ListArray.from_arrays(pa.array(at * 3), pa.array(places[point].ravel()))], names=["block", "ids", "places"])
+    return pa.RecordBatch.from_arrays([pa.array(block[cuts]), pa.ListArray.from_arrays(pa.array(at), pa.array(ids[point])), pa.ListArray.from_arrays(pa.array(at * places.shape[1]), pa.array(places[point].ravel()))], names=["block", "ids", "places"])
 
 
-def _search(points: DataFrame, targets: DataFrame, measure: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """id, target, d: for each of ``points`` (id, x, y, z) the target of least ``measure`` (the least id of equals).
+def _search(points: DataFrame, targets: DataFrame, measure: Callable[[np.ndarray, np.ndarray], np.ndarray], axes: Sequence[str] = "xyz") -> DataFrame:
+    """id, target, d: for each of ``points`` (id and a column for each axis) the target of least ``measure`` (the least id of equals).
 
-    ``targets`` has target, a place x, y, z, its box lx .. hz and ``data``, numbers that ``measure`` compares (n, 3) places with.
+    ``targets`` has target, a place, its box (an l and an h column for each axis) and ``data``, numbers that ``measure`` compares places with.
     """
-    spark = points.sparkSession
+    spark, dims = points.sparkSession, len(axes)
+    schema = ", ".join(["id long", *(f"{k} double" for k in axes), "block long, target long, d double"])
     n = targets.count()
     size = max(BLOCK, -(-n // MAX_BLOCKS))
-    placed = numbered_along(targets, [along_curve(targets), F.col("target")], "place").withColumn("block", F.floor(F.col("place") / size).cast("long"))
-    corners = [*(F.min(f"l{k}").alias(f"l{k}") for k in "xyz"), *(F.max(f"h{k}").alias(f"h{k}") for k in "xyz")]
+    placed = numbered_along(targets, [along_curve(targets, axes), F.col("target")], "place").withColumn("block", F.floor(F.col("place") / size).cast("long"))
+    corners = [*(F.min(f"l{k}").alias(f"l{k}") for k in axes), *(F.max(f"h{k}").alias(f"h{k}") for k in axes)]
     blocks = materialise(placed.groupBy("block").agg(F.collect_list("target").alias("targets"), F.flatten(F.collect_list("data")).alias("data"), *corners), "blocks")
-    table = blocks.select("block", *(f"{e}{k}" for e in "lh" for k in "xyz")).orderBy("block").toPandas()  # at most MAX_BLOCKS rows
-    boxes = spark.sparkContext.broadcast((table["block"].to_numpy(), table[["lx", "ly", "lz"]].to_numpy(float), table[["hx", "hy", "hz"]].to_numpy(float)))
+    table = blocks.select("block", *(f"{e}{k}" for e in "lh" for k in axes)).orderBy("block").toPandas()  # at most MAX_BLOCKS rows
+    boxes = spark.sparkContext.broadcast((table["block"].to_numpy(), *(table[[f"{e}{k}" for k in axes]].to_numpy(float) for e in "lh")))
 
     def places_of(batch: pa.RecordBatch) -> np.ndarray:
-        return np.stack([batch.column(k).to_numpy() for k in "xyz"], axis=1)
+        return np.stack([batch.column(k).to_numpy() for k in axes], axis=1)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, low, high = boxes.value
@@ -140,7 +141,7 @@ def _search(points: DataFrame, targets: DataFrame, measure: Callable[[np.ndarray
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, targets_, data = (batch.column(c)[k].values.to_numpy() for c in ("ids", "targets", "data"))
-                at, data = batch.column("places")[k].values.to_numpy().reshape(-1, 3), data.reshape(len(targets_), -1)
+                at, data = batch.column("places")[k].values.to_numpy().reshape(-1, dims), data.reshape(len(targets_), -1)
                 order = np.argsort(targets_, kind="stable")  # so that of equals the least id comes first
                 targets_, data = targets_[order], data[order]
                 d, which, step = np.empty(len(ids)), np.empty(len(ids), np.int64), max(1, (1 << 19) // len(targets_))
@@ -148,19 +149,22 @@ def _search(points: DataFrame, targets: DataFrame, measure: Callable[[np.ndarray
                     gaps = measure(at[i : i + step], data)
                     which[i : i + step] = gaps.argmin(axis=1)
                     d[i : i + step] = gaps.min(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(at[:, c]) for c in range(3)), pa.array(np.full(len(ids), batch.column("block")[k].as_py())), pa.array(targets_[which]), pa.array(d)], names=[c.split()[0] for c in _FOUND.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(at[:, c]) for c in range(dims)), pa.array(np.full(len(ids), batch.column("block")[k].as_py())), pa.array(targets_[which]), pa.array(d)], names=[c.split()[0] for c in schema.split(", ")])
 
-    rows = points.select(F.col("id").cast("long").alias("id"), *(F.col(k).cast("double").alias(k) for k in "xyz"))
+    rows = points.select(F.col("id").cast("long").alias("id"), *(F.col(k).cast("double").alias(k) for k in axes))
     data = blocks.select("block", "targets", "data")
-    near = materialise(rows.mapInArrow(first, _BUNDLES).join(data, "block").mapInArrow(meet, _FOUND), "near")
-    far = near.mapInArrow(others, _BUNDLES).join(data, "block").mapInArrow(meet, _FOUND)
+    near = materialise(rows.mapInArrow(first, _BUNDLES).join(data, "block").mapInArrow(meet, schema), "near")
+    far = near.mapInArrow(others, _BUNDLES).join(data, "block").mapInArrow(meet, schema)
     both = near.unionByName(far).groupBy("id").agg(F.min(F.struct("d", "target")).alias("s"))
     return both.select("id", "s.target", "s.d")
 
 
 def _to_places(at: np.ndarray, data: np.ndarray) -> np.ndarray:
-    gap = at[:, None, :] - data[None]
-    return np.sqrt(gap[:, :, 0] * gap[:, :, 0] + gap[:, :, 1] * gap[:, :, 1] + gap[:, :, 2] * gap[:, :, 2])
+    total = np.zeros((len(at), len(data)))
+    for k in range(at.shape[1]):
+        gap = at[:, k, None] - data[None, :, k]
+        total += gap * gap
+    return np.sqrt(total)
 
 
 def _to_triangles(at: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -181,11 +185,11 @@ def _to_triangles(at: np.ndarray, data: np.ndarray) -> np.ndarray:
     return best
 
 
-def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
-    """Id, target, d: for each of ``points`` (id, x, y, z) the nearest of ``targets`` (the least id of equals); no row where there is no target."""
-    place = [F.col(k).cast("double") for k in "xyz"]
-    boxes = [*(c.alias(f"l{k}") for k, c in zip("xyz", place, strict=True)), *(c.alias(f"h{k}") for k, c in zip("xyz", place, strict=True))]
-    return _search(points, targets.select(F.col("id").cast("long").alias("target"), *("xyz"), *boxes, F.array(*place).alias("data")), _to_places)
+def nearest(points: DataFrame, targets: DataFrame, axes: Sequence[str] = "xyz") -> DataFrame:
+    """Id, target, d: for each of ``points`` (id and a column for each axis) the nearest of ``targets`` (the least id of equals); no row where there is no target."""
+    boxes = [F.col(k).cast("double").alias(f"{e}{k}") for e in "lh" for k in axes]
+    data = F.array(*(F.col(k).cast("double") for k in axes)).alias("data")
+    return _search(points, targets.select(F.col("id").cast("long").alias("target"), *axes, *boxes, data), _to_places, axes)
 
 
 def closest_on_triangles(points: DataFrame, corners: DataFrame) -> DataFrame:

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.operators import graph, metrics, nearest, topology
+from meshloom.operators import fields, graph, metrics, nearest, topology
 from meshloom.sources.store import materialise
 
 
 def uniform(*keys):
-    """A number in [0, 1) from a hash of the keys."""
-    return F.pmod(F.xxhash64(*keys), F.lit(1 << 48)) / float(1 << 48)
+    """A number in [0, 1): the first 48 bits of the digest of the keys, which any engine can repeat."""
+    text = F.concat_ws(":", *((F.col(k) if isinstance(k, str) else k).cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
 def loop_table(faces: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,76 +45,13 @@ def holes(loops: DataFrame, ends: DataFrame, ratio: float = 0.35) -> DataFrame:
     return loops.join(ends, "loop", "left_anti").join(F.broadcast(most)).filter("perimeter <= most").select("loop")
 
 
-def solve_harmonic(entries: DataFrame, fixed: DataFrame, tolerance: float = 1e-12, most: int = 20_000) -> DataFrame:
-    """L1: mesh_id, vid, t of a harmonic field with given values (mesh_id, vid, value), rescaled to [0, 1].
-
-    Conjugate gradients on the sparse rows of one mesh in a task: memory is in proportion to the mesh, meshes are dealt over tasks.
-    """
-
-    def solve(key, rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.concatenate([rows["i"], rows["j"], given["vid"]]))
-        i, j = np.searchsorted(ids, rows["i"]), np.searchsorted(ids, rows["j"])
-        val, t = rows["val"].to_numpy(), np.zeros(len(ids))
-        known = np.zeros(len(ids), bool)
-        at = np.searchsorted(ids, given["vid"])
-        known[at], t[at] = True, given["value"]
-        product = lambda x: np.bincount(i, val * x[j], len(ids))
-        diagonal = np.bincount(i[i == j], val[i == j], len(ids))
-        diagonal = np.where(np.abs(diagonal) > 1e-300, diagonal, 1.0)
-        r = np.where(known, 0.0, -product(t))
-        z = r / diagonal
-        d, rz = z.copy(), r @ z
-        start = max(float(np.abs(r).max(initial=0)), 1e-300)
-        for _ in range(most):
-            if np.abs(r).max(initial=0) <= tolerance * start:
-                break
-            q = np.where(known, 0.0, product(d))
-            step = rz / (d @ q)
-            t += step * d
-            r -= step * q
-            z = r / diagonal
-            rz, before = r @ z, rz
-            d = z + rz / before * d
-        span = t.max() - t.min()
-        if span > 1e-12:
-            t = (t - t.min()) / span
-        return pd.DataFrame({"mesh_id": key[0], "vid": ids, "t": np.clip(t, 0, 1)})
-
-    return entries.groupBy("mesh_id").cogroup(fixed.groupBy("mesh_id")).applyInPandas(solve, "mesh_id long, vid long, t double")
-
-
-def diffusion_embedding(entries: DataFrame, mass: DataFrame, k: int, t: float) -> DataFrame:
-    """L2: mesh_id, vid and the k coordinates of the diffusion map (dense eigenvectors of one mesh in a task)."""
-
-    def solve(key, rows: pd.DataFrame, masses: pd.DataFrame) -> pd.DataFrame:
-        masses = masses.sort_values("vid")
-        ids, m = masses["vid"].to_numpy(), masses["mass"].to_numpy()
-        dense = np.zeros((len(ids), len(ids)))
-        np.add.at(dense, (np.searchsorted(ids, rows["i"]), np.searchsorted(ids, rows["j"])), rows["val"].to_numpy())
-        dense = (dense + dense.T) / 2
-        root = 1 / np.sqrt(m)
-        values, vectors = np.linalg.eigh(root[:, None] * dense * root[None, :])
-        n = min(k, len(ids) - 1)
-        coordinates = root[:, None] * vectors[:, 1 : n + 1] * np.exp(-values[1 : n + 1] * t)
-        return pd.DataFrame({"mesh_id": key[0], "vid": ids, "coordinates": list(coordinates)})
-
-    return entries.groupBy("mesh_id").cogroup(mass.groupBy("mesh_id")).applyInPandas(solve, "mesh_id long, vid long, coordinates array<double>")
-
-
 def nearest_embedded(embedding: DataFrame, among: DataFrame) -> DataFrame:
-    """mesh_id, vid, d: the distance of each embedded vertex to the nearest of ``among`` (mesh_id, vid), one mesh in a task, in blocks."""
-
-    def solve(key, rows: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(rows["coordinates"])
-        y = x[np.isin(rows["vid"], chosen["vid"])]
-        out = np.full(len(x), np.inf)
-        for a in range(0, len(x), 1024):
-            for b in range(0, len(y), 1024):
-                gap = x[a : a + 1024, None, :] - y[None, b : b + 1024, :]
-                out[a : a + 1024] = np.minimum(out[a : a + 1024], np.sqrt((gap * gap).sum(axis=2)).min(axis=1))
-        return pd.DataFrame({"mesh_id": key[0], "vid": rows["vid"], "d": out})
-
-    return embedding.groupBy("mesh_id").cogroup(among.groupBy("mesh_id")).applyInPandas(solve, "mesh_id long, vid long, d double")
+    """Vid, d: the distance of each embedded vertex to the nearest of ``among`` (vid)."""
+    k = embedding.select(F.size("coordinates").alias("k")).first()["k"]
+    axes = [f"e{i}" for i in range(k)]
+    rows = embedding.select(F.col("vid").alias("id"), *(F.col("coordinates")[i].alias(e) for i, e in enumerate(axes)))
+    chosen = among.select(F.col("vid").alias("id"))
+    return nearest.nearest(rows, rows.join(chosen, "id", "left_semi"), axes).select(F.col("id").alias("vid"), "d")
 
 
 def surface_sample(faces: DataFrame, vertices: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -165,6 +103,23 @@ def poisson_select(candidates: DataFrame, r_max: float, n: int | None = None) ->
     return candidates.join(chosen.select("id"), "id", "left_semi")
 
 
+def poisson_exact(candidates: DataFrame, n: int, area: float, steps: int = 12) -> DataFrame:
+    """L4: exactly ``n`` of the candidates (id, x, y, z, w) with one spacing: the widest of ``steps`` bisections that leaves n; of its selection the first n by falling w, then id. Fewer candidates are an error."""
+    if candidates.count() < n:
+        raise ValueError(f"fewer than {n} candidates")
+    low, high, best = 0.0, 2 * (area / n) ** 0.5, None
+    for _ in range(steps):
+        radius = (low + high) / 2
+        chosen = materialise(poisson_select(candidates.withColumn("radius", F.lit(radius)), radius), "chosen")
+        if chosen.count() >= n:
+            low, best = radius, chosen
+        else:
+            high = radius
+        if best is not None and high - low < 0.05 * high:
+            break
+    return (candidates if best is None else best.drop("radius")).orderBy(F.desc("w"), "id").limit(n)
+
+
 def pca_ends(vertices: DataFrame, fraction: float = 0.05) -> DataFrame:
     """Vid and end ('low', 'high') of vertices within ``fraction`` of the range at either end of the main axis about the mean; ends of fewer than three vertices are an error."""
     mean = materialise(vertices.agg(*(F.avg(k).alias(f"r{k}") for k in "xyz")), "mean")
@@ -177,42 +132,41 @@ def pca_ends(vertices: DataFrame, fraction: float = 0.05) -> DataFrame:
     return out.join(F.broadcast(few)).withColumn("end", F.when(F.col("n") >= 3, F.col("end")).otherwise(F.raise_error(F.lit("an end has fewer than three vertices")).cast("string"))).select("vid", "end")
 
 
+def geodesic_pairs(edges: DataFrame, sources: DataFrame, reach: float) -> DataFrame:
+    """(l, r, d) of all sources (vid) nearer to each other than ``reach`` along ``edges`` (u, w, len): rounds of steps along edges that stay within reach."""
+    arcs = materialise(edges.select(F.inline(F.array(F.struct("u", "w", "len"), F.struct(F.col("w").alias("u"), F.col("u").alias("w"), "len")))), "arcs")
+    known = sources.select(F.col("vid").alias("l"), F.col("vid").alias("u"), F.lit(0.0).alias("d"), F.lit(True).alias("fresh"))
+    while not known.filter("fresh").isEmpty():
+        steps = known.filter("fresh").join(arcs, "u").select("l", F.col("w").alias("u"), (F.col("d") + F.col("len")).alias("d"), F.lit(True).alias("fresh")).filter(F.col("d") < reach)
+        # of equal distances the known one stays, so only what got shorter is fresh
+        rows = known.withColumn("fresh", F.lit(False)).unionByName(steps).groupBy("l", "u").agg(F.min(F.struct("d", "fresh")).alias("s"))
+        known = materialise(rows.select("l", "u", "s.d", "s.fresh"), "known")
+    return known.filter("l <> u").join(sources.select(F.col("vid").alias("u")), "u", "left_semi").select("l", F.col("u").alias("r"), "d")
+
+
 def geodesic_select(edges: DataFrame, candidates: DataFrame, n: int | None = None) -> DataFrame:
-    """K5: mesh_id, vid, order of candidates (mesh_id, vid, w, radius) accepted by falling weight when the geodesic distance to the nearest accepted one is at least half the sum of both radii.
+    """K5: vid, place of candidates (vid, w, radius) accepted by falling weight (then vid) where the geodesic distance to the nearest accepted one is at least half the sum of both radii.
 
-    Each acceptance changes the distances that the next one is judged by, so a mesh is one task; meshes are dealt over tasks.
+    Beyond the largest radius nothing is refused, so only pairs nearer than that count. A candidate is decided once all heavier
+    ones of its pairs are; rounds of this give exactly what deciding one after the other gives.
     """
-    import heapq
-
-    def solve(key, arcs: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[tuple[int, float]]] = {}
-        for u, w, length in zip(arcs["u"], arcs["w"], arcs["len"], strict=True):
-            near.setdefault(u, []).append((w, length))
-            near.setdefault(w, []).append((u, length))
-        points = points.assign(minus=-points["w"]).sort_values(["minus", "vid"])
-        dist: dict[int, float] = {}
-        nearest_of: dict[int, float] = {}
-        out = []
-        for vid, radius in zip(points["vid"], points["radius"], strict=True):
-            if vid in dist and dist[vid] < (radius + nearest_of[vid]) / 2:
-                continue
-            out.append(vid)
-            if n is not None and len(out) >= n:
-                break
-            heap = [(0.0, vid)] if dist.get(vid, np.inf) > 0 else []
-            if heap:
-                dist[vid], nearest_of[vid] = 0.0, radius
-            while heap:
-                d, v = heapq.heappop(heap)
-                if d > dist[v]:
-                    continue
-                for x, length in near.get(v, ()):
-                    if d + length < dist.get(x, np.inf) - 1e-12:
-                        dist[x], nearest_of[x] = d + length, radius
-                        heapq.heappush(heap, (d + length, x))
-        return pd.DataFrame({"mesh_id": np.full(len(out), key[0]), "vid": np.array(out, np.int64), "place": np.arange(len(out))})
-
-    return edges.groupBy("mesh_id").cogroup(candidates.groupBy("mesh_id")).applyInPandas(solve, "mesh_id long, vid long, place long")
+    candidates = materialise(candidates.select("vid", "w", "radius"), "candidates")
+    reach = candidates.agg(F.max("radius").alias("r")).first()["r"]
+    if reach is None:
+        return candidates.select("vid", F.lit(0).cast("long").alias("place"))
+    side = lambda s: candidates.select(F.col("vid").alias(s), F.struct((-F.col("w")).alias("minus"), F.col("vid").alias("vid")).alias(f"order_{s}"), F.col("radius").alias(f"radius_{s}"))
+    pairs = geodesic_pairs(edges, candidates, reach).join(side("l"), "l").join(side("r"), "r").filter(F.col("order_r") < F.col("order_l"))
+    pairs = materialise(pairs, "pairs")
+    states = candidates.select("vid", F.lit(None).cast("boolean").alias("in"))
+    while not states.filter(F.col("in").isNull()).isEmpty():
+        told = pairs.join(states.select(F.col("vid").alias("r"), "in"), "r")
+        nearest_in = F.min(F.when(F.col("in"), F.struct("d", "order_r", "radius_r", "radius_l"))).alias("s")
+        heard = told.groupBy(F.col("l").alias("vid")).agg(F.bool_or(F.col("in").isNull()).alias("waits"), nearest_in)
+        far = F.col("s").isNull() | (F.col("s.d") >= (F.col("s.radius_l") + F.col("s.radius_r")) / 2)
+        states = materialise(states.join(heard, "vid", "left").select("vid", F.when(F.col("in").isNotNull(), F.col("in")).when(~F.coalesce("waits", F.lit(False)), far).alias("in")), "states")
+    accepted = states.filter("in")
+    placed = topology.numbered_along(candidates.join(accepted, "vid", "left_semi"), [-F.col("w"), F.col("vid")], "place")
+    return (placed if n is None else placed.filter(F.col("place") < n)).select("vid", "place")
 
 
 def smoothed(vertices: DataFrame, faces: DataFrame, steps: int) -> DataFrame:
@@ -224,7 +178,96 @@ def smoothed(vertices: DataFrame, faces: DataFrame, steps: int) -> DataFrame:
     return vertices
 
 
-def dense_rank_of(rows: DataFrame, column: str, out: str) -> DataFrame:
-    """Numbers 0, 1, ... for the distinct values of a column of few values."""
-    values = rows.select(column).distinct()
-    return rows.join(F.broadcast(values.withColumn(out, (F.row_number().over(Window.orderBy(column)) - 1).cast("long"))), column)
+@dataclass(frozen=True)
+class SampleConfig:
+    """Parameters of ``center_weighted``, in the units of the mesh."""
+
+    n_points: int = 5000
+    oversample: int = 30
+    delta: float = 0.15
+    eps: float = 0.05
+    rmin: float = 2.0
+    rmax_mult: float = 6.0
+    w_floor: float = 1e-3
+    end_mode: str = "boundary"
+    boundary_pick: str = "two_largest"
+    boundary_topk: int = 10
+    hole_keepout: float = 0.0
+    hole_ratio: float = 0.35
+    hole_loops: tuple[int, ...] = ()
+    distance: str = "euclidean"
+    seed: int = 0
+
+
+def largest_clean(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices and faces of the largest part without degenerate faces."""
+    sound = metrics.with_area(faces.filter(~topology.is_degenerate()), vertices).filter("area > 1e-14").select("fid", *topology.CORNERS)
+    kept = materialise(graph.largest(materialise(graph.face_components(materialise(sound, "sound")), "parts")).select("fid", *topology.CORNERS), "largest")
+    if kept.isEmpty():
+        raise ValueError("no face is left after cleaning")
+    return materialise(topology.referenced(vertices, kept).select("vid", *("xyz")), "vertices"), kept
+
+
+def end_sets(vertices: DataFrame, faces: DataFrame, config: SampleConfig) -> tuple[DataFrame, DataFrame | None]:
+    """vid and value (0 or 1) of the two ends, and the vertices of the holes to keep away from (None: none asked for). Ends that are empty or overlap are an error."""
+    members, loops = loop_table(faces, vertices)
+    ends, ids = None, []
+    if config.end_mode == "boundary":
+        if config.boundary_pick == "two_largest":
+            ids = [r["loop"] for r in end_loops(loops).collect()]  # two rows
+        else:
+            pair = farthest_pair(loops, config.boundary_topk).first()
+            ids = [] if pair is None else [pair["loop_a"], pair["loop_b"]]
+    if len(ids) == 2:
+        ends = members.filter(F.col("loop").isin(ids)).select("vid", (F.col("loop") == ids[1]).cast("double").alias("value"))
+    else:
+        ids, ends = [], pca_ends(vertices).select("vid", (F.col("end") == "high").cast("double").alias("value"))
+    ends = materialise(ends, "ends")
+    both = ends.groupBy("vid").agg(F.countDistinct("value").alias("n"))
+    seen = ends.agg(F.countDistinct("value").alias("n")).first()["n"]
+    if seen < 2 or not both.filter("n > 1").isEmpty():
+        raise ValueError("an end is empty, or the ends overlap")
+    if config.hole_keepout <= 0:
+        return ends, None
+    if config.hole_loops:
+        chosen = loops.filter(F.col("loop").isin([i for i in config.hole_loops if i not in ids]))
+    else:
+        reference = loops.filter(F.col("loop").isin(ids)) if ids else loops
+        most = reference.agg((F.max("perimeter") * config.hole_ratio).alias("most"))
+        chosen = loops.filter(~F.col("loop").isin(ids)).join(F.broadcast(most)).filter("perimeter <= most")
+    return ends, materialise(members.join(chosen, "loop", "left_semi").select("vid").distinct(), "holes")
+
+
+def center_weighted(vertices: DataFrame, faces: DataFrame, config: SampleConfig) -> DataFrame:
+    """Id, x, y, z, t, w and radius of points on the largest clean part, dense between its ends and thin near them.
+
+    Clean, find the two ends (boundary loops, or the ends of the main axis), solve for the harmonic place t between them, draw
+    candidates by area, leave out those near the ends and the holes, weigh by t, select by falling weight with a spacing that follows it.
+    """
+    v, f = largest_clean(vertices, faces)
+    ends, holes_ = end_sets(v, f, config)
+    t = materialise(fields.solve_harmonic(metrics.cotan_laplacian(f, v), ends), "t")
+    drawn = surface_sample(f, v, config.oversample * config.n_points, config.seed)
+    corners = f
+    for k in topology.CORNERS:
+        corners = corners.join(t.select(F.col("vid").alias(k), F.col("t").alias(f"t{k}")), k)
+    placed = drawn.join(corners.select("fid", "ta", "tb", "tc"), "fid").withColumn("t", sum(F.col(f"w{k}") * F.col(f"t{k}") for k in "abc"))
+    kept = materialise(placed.filter(F.col("t").between(config.delta, 1 - config.delta) & ~F.isnan("t")).select("id", *("xyz"), "t"), "drawn")
+    if holes_ is not None and not holes_.isEmpty():
+        near = nearest.nearest(kept, v.join(holes_, "vid", "left_semi").select(F.col("vid").alias("id"), *("xyz")))
+        kept = kept.join(near.filter(F.col("d") >= config.hole_keepout).select("id"), "id", "left_semi")
+    w = metrics.sample_weight(F.col("t"), config.delta, config.eps)
+    points = materialise(kept.withColumn("w", w).withColumn("radius", metrics.poisson_radius(F.col("w"), config.rmin, config.rmax_mult, config.w_floor)), "candidates")
+    if points.isEmpty():
+        raise ValueError("no candidate is left: lower delta or hole_keepout, or draw more")
+    if config.distance == "euclidean":
+        return poisson_select(points, config.rmin * config.rmax_mult, config.n_points)
+    if config.distance != "geodesic":
+        raise ValueError(f"unknown distance {config.distance}")
+    # a candidate counts at its nearest vertex; of those at one vertex all but the heaviest have distance zero to it and fall
+    at = nearest.nearest(points, v.select(F.col("vid").alias("id"), *("xyz"))).select("id", F.col("target").alias("vid"))
+    best = points.join(at, "id").groupBy("vid").agg(F.max(F.struct("w", (-F.col("id")).alias("minus"), "radius")).alias("s")).select("vid", (-F.col("s.minus")).alias("id"), "s.w", "s.radius")
+    best = materialise(best, "snapped")
+    edges = topology.with_lengths(topology.edge_incidence(f), v)
+    chosen = geodesic_select(edges, best.select("vid", "w", "radius"), config.n_points)
+    return points.join(best.join(chosen, "vid").select("id"), "id", "left_semi")

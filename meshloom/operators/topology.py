@@ -62,6 +62,43 @@ def fan_triangles(polygons: DataFrame) -> DataFrame:
     return polygons.filter(F.size("idx") >= 3).select("fid", F.posexplode(fans).alias("part", "t")).select("fid", F.col("part").cast("long").alias("part"), "t.a", "t.b", "t.c")
 
 
+def padded_triangles(rows: DataFrame) -> DataFrame:
+    """faces (fid, a, b, c) of rows (chunk, padded): a chunk's array is 3, a, b, c, 3, a, b, c, ... and chunks follow each other by number. Another count than 3 is an error."""
+    n = F.size("padded")
+    runs = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 4).cast("int")), lambda i: F.slice("padded", i * 4 + 1, F.lit(4)))
+    each = rows.filter(n > 0).select("chunk", F.posexplode(runs).alias("place", "f"))
+    ok = (F.size("f") == 4) & (F.col("f")[0] == 3)
+    checked = each.select("chunk", "place", F.when(ok, F.col("f")).otherwise(F.raise_error(F.lit("a face is no triangle")).cast("array<long>")).alias("f"))
+    counts = rows.select("chunk", F.floor(n / 4).alias("n"))
+    # a row for each chunk
+    before = counts.select("chunk", F.coalesce(F.sum("n").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return checked.join(before, "chunk").select((F.col("before") + F.col("place")).alias("fid"), *(F.col("f")[i + 1].alias(k) for i, k in enumerate(CORNERS)))
+
+
+def checked_vertices(vertices: DataFrame) -> DataFrame:
+    """``vertices``; a coordinate that is null or not finite fails the query."""
+    odd = F.lit(False)
+    for k in "xyz":
+        odd = odd | F.col(k).isNull() | F.isnan(k) | (F.abs(k) == float("inf"))
+    return vertices.withColumn("x", F.when(odd, F.raise_error(F.concat(F.lit("non-finite vertex "), F.col("vid").cast("string"))).cast("double")).otherwise(F.col("x")))
+
+
+def checked_faces(faces: DataFrame) -> DataFrame:
+    """``faces`` with long corners; one that is null, fractional or negative fails the query."""
+    def whole(k: str) -> Column:
+        fine = F.col(k).isNotNull() & (F.col(k) == F.floor(k)) & (F.col(k) >= 0)
+        return F.when(fine, F.col(k).cast("long")).otherwise(F.raise_error(F.concat(F.lit("non-integer corner of face "), F.col("fid").cast("string"))).cast("long"))
+
+    return faces.withColumns({k: whole(k) for k in CORNERS})
+
+
+def cleaned(vertices: DataFrame, polygons: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices and faces (fid, part, a, b, c) of a loaded mesh: polygons as fans, coincident vertices merged into the least, unused ones dropped."""
+    faces = fan_triangles(polygons)
+    faces = remapped(faces, merged_points(vertices))
+    return referenced(vertices, faces), faces
+
+
 def is_degenerate() -> Column:
     return (F.col("a") == F.col("b")) | (F.col("b") == F.col("c")) | (F.col("c") == F.col("a"))
 
