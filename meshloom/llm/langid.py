@@ -3,7 +3,8 @@
 Texts are lower-cased; characters that are no letters are blanks and runs of them one. For each language a model of
 ORDER characters is trained: the highest order uses counts, lower orders the numbers of distinct left neighbours, and an
 absolute discount moves mass from each order to the next. The probabilities of all grams that training saw, and the
-back-off weights of all contexts, are arrays sorted by the 64-bit hash of the gram, one row with a column for each language.
+back-off weights of all contexts, are arrays sorted by the 64-bit hash of the gram, with an entry for each language that saw it:
+memory follows what training saw, not grams times languages. Each distinct gram of a stretch of text is scored once.
 
 A text gets the language of least cross-entropy by character. ``score`` is its share among all languages after
 temperature scaling, with the temperature fitted on training documents that the models did not see; ``rejected`` marks
@@ -120,28 +121,21 @@ class Model:
         vocabulary = len(np.unique(counts["gram"].to_numpy().view(np.uint64) & _LOW[1])) + 1
         tables = [self._one(counts[counts["lang"] == lang], vocabulary) for lang in self.languages]
         self.floor = np.array([t["floor"] for t in tables])
-        self.grams, self.backoff = [], []
-        for order in range(1, ORDER + 1):
-            for out, name in ((self.grams, "p"), (self.backoff, "b")):
-                keys = np.unique(np.concatenate([t[name][order][0] for t in tables])) if tables else np.zeros(0, np.uint64)
-                hashes = tb.mix64(keys + np.uint64(order))
-                by = np.argsort(hashes)
-                values = np.full((len(keys), len(tables)), np.nan if name == "p" else 0.0)
-                for k, t in enumerate(tables):
-                    values[np.searchsorted(keys, t[name][order][0]), k] = t[name][order][1]
-                out.append([hashes[by], values[by]])
-        # what a language lacks it backs off to
-        hashes, values = self.grams[0]
-        values[np.isnan(values)] = np.broadcast_to(self.floor, values.shape)[np.isnan(values)]
-        for order in range(2, ORDER + 1):
-            hashes, values = self.grams[order - 1]
-            keys, lacking = self._unmixed(hashes, order), np.isnan(values)
-            if lacking.any():
-                lower = self.log_probs(keys & _LOW[order - 1], order - 1) + self.weights(keys >> np.uint64(16), order - 1)
-                values[lacking] = lower[lacking]
-        self.index = [self._prefixes(h) for h, _ in self.grams]
+        self.letters = np.unique(np.concatenate([t["p"][1][0] for t in tables])) if tables else np.zeros(0, np.uint64)
+        self.grams = [self._sorted([t["p"][order] for t in tables], order) for order in range(1, ORDER + 1)]
+        self.backoff = [self._sorted([t["b"][order] for t in tables], order) for order in range(1, ORDER)]
         self.temperature, self.limits = 1.0, np.zeros((0, 2))
 
+    @classmethod
+    def _sorted(cls, parts: list[tuple[np.ndarray, np.ndarray]], order: int) -> tuple:
+        """The (keys, values) of each language as one array of distinct hashes, where the entries of each start, their languages and values."""
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(tb.mix64(k + np.uint64(order)) for k, _ in parts)])
+        language = np.repeat(np.arange(len(parts), dtype=np.int32), [len(k) for k, _ in parts])
+        values = np.concatenate([np.zeros(0), *(v for _, v in parts)])
+        by = np.argsort(hashes, kind="stable")
+        hashes, first = np.unique(hashes[by], return_index=True)
+        return hashes, np.append(first, len(by)), language[by], values[by], cls._prefixes(hashes)
+
     @staticmethod
     def _prefixes(hashes: np.ndarray) -> tuple[np.ndarray, int, int]:
         """Where the hashes with each leading bits start, and the most that share them."""
@@ -149,15 +143,6 @@ class Model:
         starts = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
         return starts.astype(np.int32), bits, int(np.diff(starts).max(initial=0))
 
-    @staticmethod
-    def _unmixed(hashes: np.ndarray, order: int) -> np.ndarray:
-        """The grams of hashes (mix64 backwards)."""
-        x = hashes ^ (hashes >> np.uint64(31)) ^ (hashes >> np.uint64(62))
-        x = x * np.uint64(pow(0x94D049BB133111EB, -1, 2**64))
-        x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
-        x = x * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 2**64))
-        return (x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))) - np.uint64(order)
-
     @staticmethod
     def _one(counts: pd.DataFrame, vocabulary: int) -> dict:
         """log p of each gram and log back-off weight of each context, by order, of one language."""
@@ -187,15 +172,12 @@ class Model:
         out["b"][ORDER] = (np.zeros(0, np.uint64), np.zeros(0))
         return out
 
-    def _look(self, hashes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """Place in the sorted array of ``order`` and whether it is there."""
-        known = self.grams[order - 1][0]
+    @staticmethod
+    def _put(out: np.ndarray, table: tuple, hashes: np.ndarray) -> None:
+        """Write the entries of ``table`` for these hashes into their rows of ``out``, at their languages."""
+        known, first, language, values, (starts, bits, most) = table
         if not len(known):
-            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        if not hasattr(self, "index"):
-            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            return at, known[at] == hashes
-        starts, bits, most = self.index[order - 1]
+            return
         at = np.minimum(starts[(hashes >> np.uint64(64 - bits)).astype(np.int64)], len(known) - 1).astype(np.int64)
         behind = np.flatnonzero(known[at] < hashes)
         for _ in range(most):  # hashes are spread evenly, so this is a few steps for a few of them
@@ -203,25 +185,20 @@ class Model:
                 break
             at[behind] = np.minimum(at[behind] + 1, len(known) - 1)
             behind = behind[(known[at[behind]] < hashes[behind]) & (at[behind] < len(known) - 1)]
-        return at, known[at] == hashes
-
-    def weights(self, contexts: np.ndarray, order: int) -> np.ndarray:
-        """log back-off weight of contexts of ``order`` characters in each language (0 where unseen)."""
-        known, values = self.backoff[order - 1]
-        if not len(known):
-            return np.zeros((len(contexts), len(self.languages)))
-        hashes = tb.mix64(contexts + np.uint64(order))
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        return np.where((known[at] == hashes)[:, None], values[at], 0.0)
+        rows = np.flatnonzero(known[at] == hashes)
+        low, many = first[at[rows]], first[at[rows] + 1] - first[at[rows]]
+        entry = np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)
+        out[np.repeat(rows, many), language[entry]] = values[entry]
 
     def log_probs(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
         """log p of the last character of each gram given the others, in each language."""
-        at, there = self._look(tb.mix64(keys + np.uint64(order)), order)
-        out = self.grams[order - 1][1][at] if len(self.grams[order - 1][0]) else np.tile(self.floor, (len(keys), 1))
-        missing = np.flatnonzero(~there)
-        if len(missing):
-            rest = keys[missing]
-            out[missing] = self.floor if order == 1 else self.log_probs(rest & _LOW[order - 1], order - 1) + self.weights(rest >> np.uint64(16), order - 1)
+        if order == 1:
+            out = np.tile(self.floor, (len(keys), 1))
+        else:  # what a language lacks it backs off to
+            out = np.zeros((len(keys), len(self.languages)))
+            self._put(out, self.backoff[order - 2], tb.mix64((keys >> np.uint64(16)) + np.uint64(order - 1)))
+            out += self.log_probs(keys & _LOW[order - 1], order - 1)
+        self._put(out, self.grams[order - 1], tb.mix64(keys + np.uint64(order)))
         return out
 
     def cross_entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -229,13 +206,14 @@ class Model:
         chars, at = characters(texts)
         sums, letters = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
         sizes = np.diff(at) - 1  # the first blank is given
-        step = 1 << 18
+        step = max(1 << 12, (1 << 20) // max(4, len(self.languages)))
         for low in range(0, len(chars), step):  # a long text spans several parts
             high = min(low + step, len(chars))
             first = max(0, low - ORDER)
             part = grams(chars[first:high], offsets(at, first, high))[low - first :]
             logs = np.zeros((high - low + 1, len(self.languages)))
-            np.cumsum(self.log_probs(part), axis=0, out=logs[1:])
+            distinct, place = np.unique(part, return_inverse=True)
+            np.cumsum(self.log_probs(distinct)[place], axis=0, out=logs[1:])
             real = tb.counts_before(chars[low:high] != _BLANK)
             a, b = np.clip(at[:-1] + 1, low, high) - low, np.clip(at[1:], low, high) - low
             sums += logs[np.maximum(a, b)] - logs[a]

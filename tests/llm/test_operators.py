@@ -210,7 +210,7 @@ def test_language_id_of_odd_tables(spark):
 
 def test_language_model_is_a_distribution(spark):
     model = langid.train(table(spark, "documents"))
-    known = [langid.Model._unmixed(h, 1) for h, _ in model.grams[:1]][0]
+    known = model.letters
     for context in ("the", " in", "xqz"):
         h = sum(ord(c) << 16 * k for k, c in enumerate(reversed(context), 1))
         total = np.exp(model.log_probs(np.uint64(h) + known)).sum(axis=0)
