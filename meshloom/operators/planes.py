@@ -132,8 +132,8 @@ def within_bounds(names: list[str], bounds: dict[str, tuple[float, float]] = BOU
 def masked_surface(vertices: DataFrame, faces: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
     """Faces all of whose corners are kept, the vertices they use, both renumbered densely in vid order (after exact merging of places)."""
     kept = vertices.filter(keep)
-    left = topology.faces_of_kept(faces, kept)
+    left = materialise(topology.faces_of_kept(faces, kept), "kept-faces")  # three things are built from it
     merged = topology.merged_points(topology.referenced(kept, left))
-    left = topology.remapped(left, merged)
+    left = materialise(topology.remapped(left, merged), "merged-faces")
     numbered = topology.renumbered(topology.referenced(kept, left))
     return numbered, topology.remapped(left, numbered, "vid", "new_vid")
