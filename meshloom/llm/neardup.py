@@ -28,7 +28,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -50,6 +50,8 @@ LEAST_ESTIMATE = 0.62
 SMALL_SET = 256
 #: A shingle of at most so many open documents leads to its pairs directly. Any value gives the same links.
 RARE = 64
+#: Pairs of one pivot that meet its sketch and its set in the same task.
+PAIRS = 256
 
 _rng = np.random.default_rng(88)
 BAND_REGISTERS = np.stack([_rng.choice(REGISTERS, ROWS, replace=False) for _ in range(BANDS)])
@@ -150,6 +152,14 @@ def band_keys(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "registers").mapInArrow(run, "key long, doc_id long")
 
 
+def _spread(pairs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(a, b) pairs with ``part``, and a function that repeats rows of ``a`` for all of its parts: a pivot of many pairs is met in as many tasks as they need."""
+    many = materialise(pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > PAIRS).select("a", F.ceil(F.col("n") / PAIRS).alias("parts")), "many")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(many, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), parts)).drop("parts")
+    return dealt, lambda rows: rows.join(many, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+
+
 def _likely(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
     """The (a, b) pairs whose estimate is high enough."""
 
@@ -164,7 +174,8 @@ def _likely(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     side = lambda x: sketch.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
+    dealt, repeated = _spread(pairs)
+    return dealt.join(side("b"), "b").join(repeated(side("a")), ["a", "part"]).select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -191,7 +202,8 @@ def verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, sets: DataFra
         sets = materialise(_sets(docs, ids), "sets")
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s{x}"))
     # a is the pivot of many pairs: it meets them last, so that only the set of b travels with a pair
-    both = likely.join(side("b"), "b").join(side("a"), "a").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    dealt, repeated = _spread(likely)
+    both = dealt.join(side("b"), "b").join(repeated(side("a")), ["a", "part"]).withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return materialise(both.filter(100 * F.col("common") >= 75 * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b").distinct(), "links")
 
 

@@ -137,6 +137,14 @@ def odd_rows(spark):
     return spark.createDataFrame([(i, t, "en", "s") for i, t in rows], DOCS).withColumns({c: F.lit(7) for c in CLASHING})
 
 
+def test_pivots_of_many_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PAIRS", 3)
+    rng, base = random.Random(5), [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join([*base[:at], f"x{i}", *base[at + 1 :]])) for i in range(60) for at in [rng.randrange(60)]]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components(rows)
+
+
 def test_one_of_each_of_odd_rows(spark):
     docs = odd_rows(spark)
     out = neardup.one_of_each(docs)
