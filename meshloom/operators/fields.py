@@ -96,6 +96,12 @@ def _gram(columns: list[str], weight: str):
     return run
 
 
+def _summed(rows: DataFrame) -> np.ndarray:
+    """The sum of the arrays ``sums``, place by place: as many numbers as one array has."""
+    sums = rows.select(F.posexplode("sums").alias("at", "s")).groupBy("at").agg(F.sum("s").alias("s")).orderBy("at").collect()
+    return np.array([r["s"] for r in sums])
+
+
 def _residual_steps(values: np.ndarray, shift: float):
     """What a block does with the residuals of its vectors (x, with matrix times x in ax): solve its own shifted equations for them, and sum their squares."""
 
@@ -111,7 +117,7 @@ def _residual_steps(values: np.ndarray, shift: float):
     def squares(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                yield pd.DataFrame({"r": [(residuals(f) ** 2 / f["mass"].to_numpy()[:, None]).sum(axis=0)]})
+                yield pd.DataFrame({"sums": [(residuals(f) ** 2 / f["mass"].to_numpy()[:, None]).sum(axis=0)]})
 
     return precondition, squares
 
@@ -148,8 +154,8 @@ def diffusion_embedding(entries: DataFrame, mass: DataFrame, k: int, t: float, t
 
     def space(rows: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Lowest values in the space of the columns, and how its vectors are put together; nearly dependent directions are left out."""
-        parts = rows.select("mass", *columns, *(f"a{c}" for c in columns)).mapInPandas(_gram(columns, "mass"), "sums array<double>").collect()  # a row for each task
-        a, b = np.sum([np.array(r["sums"]) for r in parts], axis=0).reshape(2, -1, int(np.sqrt(len(parts[0]["sums"]) / 2)))
+        sums = _summed(rows.select("mass", *columns, *(f"a{c}" for c in columns)).mapInPandas(_gram(columns, "mass"), "sums array<double>"))
+        a, b = sums.reshape(2, -1, int(np.sqrt(len(sums) / 2)))
         scale = 1 / np.sqrt(np.maximum(np.diag(b), 1e-300))
         values, vectors = np.linalg.eigh(b * scale[:, None] * scale[None, :])
         fine = values > 1e-12 * values.max()
@@ -174,7 +180,7 @@ def diffusion_embedding(entries: DataFrame, mass: DataFrame, k: int, t: float, t
     rows = materialise(combined(rows, ["x"], c), "vectors")
     for turn in range(most):
         precondition, worst = _residual_steps(values, shift)
-        norms = np.sqrt(np.sum([np.array(r["r"]) for r in rows.select("mass", "x", "ax").mapInPandas(worst, "r array<double>").collect()], axis=0))
+        norms = np.sqrt(_summed(rows.select("mass", "x", "ax").mapInPandas(worst, "sums array<double>")))
         if (norms[:wanted] <= tolerance * max(abs(values).max(), diagonal / average)).all():
             break
         solved = materialise(own.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(precondition, schema), "directions")

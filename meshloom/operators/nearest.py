@@ -25,6 +25,8 @@ from meshloom.sources.store import materialise
 BLOCK = 512
 MAX_BLOCKS = 1 << 18
 BUNDLE = 512
+#: Points that are compared with every triangle in one scan.
+FEW = 16
 _BUNDLES = "block long, ids array<long>, places array<double>"
 
 
@@ -193,14 +195,10 @@ def nearest(points: DataFrame, targets: DataFrame, axes: Sequence[str] = "xyz")
 
 
 def closest_on_triangles(points: DataFrame, corners: DataFrame) -> DataFrame:
-    """For each of ``points`` (id, x, y, z) the closest place on the triangles ``corners`` (fid, ax, .. cz): id, fid, x, y, z, d; the least fid of equals."""
-    ends = {k: [F.col(f"{c}{k}") for c in "abc"] for k in "xyz"}
-    middle = [(sum(ends[k][1:], ends[k][0]) / 3).alias(k) for k in "xyz"]
-    boxes = [*(F.least(*ends[k]).alias(f"l{k}") for k in "xyz"), *(F.greatest(*ends[k]).alias(f"h{k}") for k in "xyz")]
-    data = F.array(*(F.col(f"{c}{k}") for c in "abc" for k in "xyz")).alias("data")
-    found = _search(points, corners.select(F.col("fid").alias("target"), *middle, *boxes, data), _to_triangles)
-    sides = corners.select("fid", *(f"{c}{k}" for c in "abc" for k in "xyz"))
-    met = found.select("id", F.col("target").alias("fid")).join(points.select("id", *(F.col(k).alias(f"p{k}") for k in "xyz")), "id").join(sides, "fid")
+    """For each of ``points`` (id, x, y, z) the closest place on the triangles ``corners`` (fid, ax, .. cz): id, fid, x, y, z, d; the least fid of equals.
+
+    At most FEW points, such as a mesh's centroid, are a query set that one scan of the triangles answers; more are searched by blocks.
+    """
     p, a, b, c = (vec3.vec(k) for k in "pabc")
     ab, ac, ap = vec3.sub(b, a), vec3.sub(c, a), vec3.sub(p, a)
     d00, d01, d11, d20, d21 = vec3.dot(ab, ab), vec3.dot(ab, ac), vec3.dot(ac, ac), vec3.dot(ap, ab), vec3.dot(ap, ac)
@@ -216,4 +214,15 @@ def closest_on_triangles(points: DataFrame, corners: DataFrame) -> DataFrame:
     pick = lambda q, ok=None: F.when(F.lit(True) if ok is None else ok, F.struct(vec3.distance(p, q).alias("d"), q[0].alias("x"), q[1].alias("y"), q[2].alias("z")))
     within = F.coalesce((v >= 0) & (w >= 0) & (v + w <= 1), F.lit(False))
     best = F.array_min(F.filter(F.array(pick(inside, within), pick(on_side(a, b)), pick(on_side(b, c)), pick(on_side(c, a))), lambda s: s.isNotNull()))
+    named = points.select("id", *(F.col(k).alias(f"p{k}") for k in "xyz"))
+    if points.limit(FEW + 1).count() <= FEW:
+        met = corners.join(F.broadcast(named)).select("id", "fid", best.alias("s")).select("id", F.struct(F.col("s.d").alias("d"), "fid", F.col("s.x").alias("x"), F.col("s.y").alias("y"), F.col("s.z").alias("z")).alias("s"))
+        return met.groupBy("id").agg(F.min("s").alias("s")).select("id", "s.fid", "s.x", "s.y", "s.z", "s.d")
+    ends = {k: [F.col(f"{e}{k}") for e in "abc"] for k in "xyz"}
+    middle = [(sum(ends[k][1:], ends[k][0]) / 3).alias(k) for k in "xyz"]
+    boxes = [*(F.least(*ends[k]).alias(f"l{k}") for k in "xyz"), *(F.greatest(*ends[k]).alias(f"h{k}") for k in "xyz")]
+    data = F.array(*(F.col(f"{e}{k}") for e in "abc" for k in "xyz")).alias("data")
+    found = _search(points, corners.select(F.col("fid").alias("target"), *middle, *boxes, data), _to_triangles)
+    sides = corners.select("fid", *(f"{e}{k}" for e in "abc" for k in "xyz"))
+    met = found.select("id", F.col("target").alias("fid")).join(named, "id").join(sides, "fid")
     return met.select("id", "fid", best.alias("s")).select("id", "fid", "s.x", "s.y", "s.z", "s.d")

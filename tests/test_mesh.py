@@ -98,7 +98,9 @@ def test_closest_places_against_brute_force(spark, monkeypatch):
     corners = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(t)], "fid long, " + ", ".join(f"{c}{k} double" for c in "abc" for k in "xyz"))
     s, u = (x.ravel() for x in np.meshgrid(np.linspace(0, 1, 90), np.linspace(0, 1, 90)))
     weights = np.stack([(1 - s), s * (1 - u), s * u], axis=1)
-    for r in nearest.closest_on_triangles(points, corners).collect():
+    some = nearest.closest_on_triangles(points.filter("id < 9"), corners).collect()  # by one scan
+    assert {r["id"] for r in some} == set(range(9))
+    for r in [*some, *nearest.closest_on_triangles(points, corners).collect()]:
         spots = np.einsum("nk,tkc->tnc", weights, t.reshape(-1, 3, 3))
         least = np.linalg.norm(spots - p[r["id"]], axis=2).min()
         assert r["d"] <= least + 1e-9 and r["d"] >= least - 0.05
