@@ -35,7 +35,7 @@ def dense_of(entries, n):
     return out
 
 
-@pytest.mark.parametrize("block", [20, 4096])
+@pytest.mark.parametrize("block", [40, 4096])
 def test_harmonic_field_equals_dense_solution(spark, limb, block):
     v, f, points, _ = limb
     n = len(points)
@@ -50,16 +50,16 @@ def test_harmonic_field_equals_dense_solution(spark, limb, block):
     assert max(abs(got[i] - t[i]) for i in range(n)) < 1e-8
 
 
-@pytest.mark.parametrize("block", [20, 4096])
+@pytest.mark.parametrize("block", [40, 4096])
 def test_diffusion_map_equals_dense_vectors(limb, block):
     v, f, points, _ = limb
     n, k, t = len(points), 5, 0.01
     entries, mass = metrics.cotan_laplacian(f, v), metrics.lumped_mass(f, v)
-    got = {r["vid"]: r["coordinates"] for r in fields.diffusion_embedding(entries, mass, k, t, block=block).collect()}
+    got = {r["vid"]: r["coordinates"] for r in fields.diffusion_embedding(entries, mass, k, t, tolerance=1e-7, block=block).collect()}
     m = np.array([r["mass"] for r in mass.orderBy("vid").collect()])
     values, vectors = np.linalg.eigh(dense_of(entries, n) / np.sqrt(m)[:, None] / np.sqrt(m)[None, :])
     want = vectors[:, 1 : k + 1] / np.sqrt(m)[:, None] * np.exp(-values[1 : k + 1] * t)
-    assert np.abs(np.abs([got[i] for i in range(n)]) - np.abs(want)).max() < 1e-6
+    assert np.abs(np.abs([got[i] for i in range(n)]) - np.abs(want)).max() < 1e-4
 
 
 def adjacency(limb):
