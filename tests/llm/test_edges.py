@@ -296,6 +296,6 @@ def test_rules_from_a_table_in_several_blocks(spark, monkeypatch):
         plain[i] = max(fits, key=lambda f: len(f[0]), default=(None,))[0]
     assert {r["page_id"]: r["rule"] for r in urls.judge(frame, rules=rules).collect()} == plain
     assert given(rules=rules) == want
-    monkeypatch.setattr(urls, "BLOCK_RULES", 90)
+    monkeypatch.setattr(urls, "BLOCK_RULES", 120)
     assert given(rules=rules) == want
     assert {r["verdict"] for r in urls.judge(frame, rules=rules.limit(0)).collect()} == {"allow"}
