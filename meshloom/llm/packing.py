@@ -32,11 +32,17 @@ LEAST_SALTS = 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+def id_bytes(vocabulary_size: int) -> int:
+    """Bytes of an id in the column ``ids``."""
+    return 2 if vocabulary_size <= 1 << 16 else 4
+
+
 def cut_into_pieces(rows: DataFrame, vocabulary: str, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """The pieces of each doc_id, text row; with_ids: and their ids as little-endian unsigned 32-bit integers."""
+    """The pieces of each doc_id, text row; with_ids: and their ids as little-endian unsigned integers of ``id_bytes``."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
+        width = f"<u{id_bytes(coder.size)}"
         for batch in batches:
             ids_of, texts = batch.column("doc_id"), batch.column("text")
             for i in range(0, len(texts), 512):
@@ -51,7 +57,7 @@ def cut_into_pieces(rows: DataFrame, vocabulary: str, end_id: int = END_ID, capa
                         crc.append(zlib.crc32(piece))
                         total.append(len(raw))
                         if with_ids:
-                            kept.append(piece.tobytes())
+                            kept.append(piece.astype(width).tobytes())
                 long = lambda x: pa.array(x, pa.int64())
                 yield pa.RecordBatch.from_arrays([ids_of.take(long(index)), long(start), long(length), long(crc), long(total), *([pa.array(kept, pa.binary())] if with_ids else [])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])])
 
