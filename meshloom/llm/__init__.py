@@ -1 +1 @@
-"""Training-data operators: ten numbered operators over documents, pages and conversations."""
+"""Training-data operators: numbered operators over documents, pages and conversations."""
