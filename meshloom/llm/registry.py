@@ -1,8 +1,8 @@
 """All queries of this subpackage and their SQL."""
 
-from . import chat, decontaminate, langid, linededup, neardup, packing, pii, quality, token_files, urls, warc
+from . import audit, chat, decontaminate, langid, linededup, neardup, packing, pii, quality, resample, token_files, urls, warc
 
-_MODULES = (neardup, token_files, packing, langid, chat, quality, decontaminate, warc, pii, urls, linededup)
+_MODULES = (neardup, token_files, packing, langid, chat, quality, decontaminate, warc, pii, urls, resample, audit, linededup)
 
 
 def queries() -> dict:

@@ -1,14 +1,18 @@
 """Operators 11 to 13 against plain Python on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import random
-from collections import defaultdict
+import re
+import zlib
+from collections import Counter, defaultdict
+from itertools import permutations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshloom.llm import bloom, linededup
+from meshloom.llm import audit, bloom, linededup, resample
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string"
@@ -91,3 +95,129 @@ def test_filters_never_deny_what_was_seen_twice(spark, most_bits):
 def test_filters_of_nothing(spark):
     twice = bloom.SeenTwice(spark.createDataFrame([], "h long"), lambda batch: iter([]))
     assert twice.hashes == 0 and not twice(np.arange(9, dtype=np.uint64)).any()
+
+
+# 12
+
+
+def plain_audit(docs, labels):
+    """The audit's rows, order by order and document by document; docs are (doc_id, text, lang), labels (doc_id, quality, toxic)."""
+    first = {}
+    for i, text, _ in docs:
+        if i is not None:
+            first[text or ""] = min(i, first.get(text or "", i))
+    good, toxic = ({i for i, *v in labels if i is not None and v[k] == 1} for k in (0, 1))
+    parts = defaultdict(list)
+    for i, text, lang in docs:
+        t = text or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        fails = {"A": len(w) < 200, "B": 100 * len(set(w)) < 50 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 3 * len(t), "D": bool(re.search("[#$%&*|]", t)), "E": i is not None and first[t] < i}
+        parts[lang or ""].append(({f for f, x in fails.items() if x}, i in good, i in toxic))
+    out, removals = {}, Counter()
+    for part, rows in parts.items():
+        for p in permutations("ABCDE"):
+            for k, f in enumerate(p):
+                before = set(p[:k])
+                removed = [r for r in rows if f in r[0] and not r[0] & before]
+                removals[part, f] += len(removed)
+                out[part, "".join(p), k + 1] = (sum(not r[0] & {*before, f} for r in rows), len(removed), sum(f in r[0] and bool(r[0] & before) for r in rows), sum(r[0] == {f} for r in rows), sum(r[1] for r in removed), sum(r[2] for r in removed))
+    return {k: (*v, removals[k[0], k[1][k[2] - 1]]) for k, v in out.items()}
+
+
+def test_filter_audit_equals_plain_loops(spark):
+    odd = odd_documents(spark).withColumn("hash", F.lit("x"))
+    labels = spark.createDataFrame([(1, 1, 0), (4, None, 1), (4, 1, None), (4, 1, 1), (None, 1, 1), (20, 0, 0), (999, 1, 1)], "doc_id long, quality int, toxic int")
+    for docs, known in ((odd, labels), (table(spark, "documents"), table(spark, "labels"))):
+        want = plain_audit([(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()], [(r["doc_id"], r["quality"], r["toxic"]) for r in known.collect()])
+        got = {(r["part"], r["filter_order"], r["step"]): tuple(r[c] for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")) for r in audit.audit(docs, known).collect()}
+        assert got == want
+
+
+def test_filter_audit_of_copies_and_no_rows(spark):
+    docs = spark.createDataFrame([(i % 300 if i else None, "same text" if i % 3 else f"text {i % 7}", "en") for i in range(900)], DOCS).repartition(5)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    fails = Counter(r["fails"] for r in audit.failed(docs).collect())
+    # each text's smallest id, in every row that has both, and the row without an id do not fail E
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    least = {}
+    for i, t in rows:
+        if i is not None:
+            least[t] = min(i, least.get(t, i))
+    assert fails[1] == sum(i is None or least[t] == i for i, t in rows) and fails[17] == 900 - fails[1]
+    assert audit.audit(docs.limit(0), labels).collect() == []
+    assert audit.audit(docs, labels).count() == 600
+
+
+# 11
+
+
+def plain_resampling(docs, target, percent=5, least=20):
+    """(doc_id, n_features, weight, score, rank) rows of (doc_id, text) rows."""
+
+    def words(t):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+    def buckets(t):
+        w = words(t)
+        return [zlib.crc32(" ".join(w[i : i + k]).encode()) % 10000 for k in (1, 2, 3) for i in range(len(w) - k + 1)]
+
+    s, t = Counter(b for _, x in docs for b in buckets(x)), Counter(b for x in target for b in buckets(x))
+    s_all, t_all = s.total(), t.total()
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (s_all + 10000) / ((s[b] + 1) * (t_all + 10000)))) for b in range(10000)]
+    rows = []
+    for i, x in docs:
+        h = int(hashlib.sha256(f"42:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        b = buckets(x)
+        weight = sum(gain[k] for k in b)
+        rows.append((i, len(b), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), len(words(x)) >= least))
+    able = sorted((r for r in rows if r[4]), key=lambda r: (-r[3], r[0] is None, r[0]))
+    n = percent * len(able) // 100
+    return [(*r[:4], k + 1) for k, r in enumerate(able[:n])] + [(*r[:4], None) for r in [*able[n:], *(r for r in rows if not r[4])]]
+
+
+def resampled_rows(docs, target, **how):
+    return ordered(tuple(r) for r in resample.resampled(docs, target, **how).select("doc_id", "n_features", "weight", "score", "rank").collect())
+
+
+def test_resampling_equals_a_plain_version(spark):
+    for docs, target, percent in ((table(spark, "documents"), table(spark, "benchmark"), 5), (odd_documents(spark), spark.createDataFrame([("the line of the licence",), (None,)], "text string"), 100)):
+        want = plain_resampling([(r["doc_id"], r["text"]) for r in docs.collect()], [r["text"] for r in target.collect()], percent)
+        assert resampled_rows(docs, target, percent=percent) == ordered(want)
+
+
+def test_resampling_of_no_rows_and_no_target(spark):
+    docs, none = table(spark, "documents").select("doc_id", "text").limit(60), spark.createDataFrame([], "text string")
+    assert resampled_rows(docs, none) == ordered(plain_resampling([tuple(r) for r in docs.collect()], []))
+    assert resample.resampled(docs.limit(0), docs).collect() == []
+    assert all(r[4] is None for r in resampled_rows(docs.limit(9), none))
+
+
+def test_resampling_of_long_texts(spark):
+    """Texts beyond a slice, cut between words, and a word that is longer than a slice."""
+    rng = random.Random(2)
+    rows = [(1, " ".join(f"w{rng.randrange(5000)}" for _ in range(400_000))), (2, "a B-c " + "x" * 1_500_000 + " d Ünï"), (3, "one")]
+    want = ordered(plain_resampling(rows, ["w1 w2 one"]))
+    assert resampled_rows(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([("w1 w2 one",)], "text string")) == want
+
+
+@pytest.mark.parametrize("width", [1 / 4096, 1 / 16, 4.0])
+def test_the_cutoff_of_ties(spark, width):
+    """A score that a third of the rows share lies at the cutoff; rows that share a doc_id too."""
+    rows = [(None if i % 97 == 0 else i // 2, 30 if i % 5 else 3, 9, 0, 7 if i % 3 else i) for i in range(2000)]
+    scores = spark.createDataFrame(rows, "doc_id long, n_words long, n_features long, weight long, score long").repartition(6)
+    for percent in (1, 40, 100):
+        able = sorted((r for r in rows if r[1] >= 20), key=lambda r: (-r[4], r[0] is None, r[0]))
+        n = percent * len(able) // 100
+        got = resample.drawn(scores, percent, width=width).collect()
+        assert len(got) == len(rows)
+        best = sorted((r for r in got if r["rank"]), key=lambda r: r["rank"])
+        assert [r["rank"] for r in best] == list(range(1, n + 1))
+        assert [(r["score"], r["doc_id"]) for r in best] == [(r[4], r[0]) for r in able[:n]]
+
+
+def test_crcs_of_runs():
+    rng = random.Random(1)
+    a, b = ([rng.randbytes(rng.choice([0, 1, 5, 63, 64, 65, 300, 70_000])) for _ in range(200)] for _ in range(2))
+    crcs = lambda x: np.array([zlib.crc32(t) for t in x], np.uint32)
+    assert (resample.appended(crcs(a), crcs(b), np.array([len(t) for t in b])) == crcs([x + y for x, y in zip(a, b, strict=True)])).all()
