@@ -60,7 +60,7 @@ _NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 LONG_NAME = 64
 _DIGIT = re.compile("[0-9]")
 WORD = 24
-_WORDS_BEFORE = re.compile(r"(?:(?<![\w-])(?:([^\W\d_]{1,24})[\x20\t\n]+))?(?<![\w-])([^\W\d_]{1,24})[\x20\t\n]+([^\W\d_]{1,24})[\x20\t\n]+[\"'`(\[]?\Z")
+_WORD_BEFORE = re.compile(r"(?<![\w-])[^\W\d_]{1,24}\Z")
 _WORD_AFTER = re.compile(r"[\"'`)\]]?[\x20\t\n]+([^\W\d_]{1,24})(?![\w-])")
 _BEFORE = re.compile(r"[\x20\t]*+[\"'`]?")
 _RUN = re.compile(r"[^\s\"'`,;]*+")
@@ -173,6 +173,23 @@ def named_values(text: str, seeds: dict[tuple[int, int], int], starts: dict[int,
     return out
 
 
+def words_before(text: str, at: int) -> list[str]:
+    """Up to three words that stand before ``at``, the last one first, with any number of blanks behind each."""
+    out: list[str] = []
+    if at and text[at - 1] in "\"'`([":
+        at -= 1
+    while len(out) < 3:
+        end = at
+        while end and text[end - 1] in " \t\n":
+            end -= 1
+        word = _WORD_BEFORE.search(text, max(0, end - WORD), end) if end < at else None
+        if word is None:
+            break
+        out.append(word[0].lower())
+        at = word.start()
+    return out
+
+
 def prose_values(text: str, seeds: dict[tuple[int, int], int]) -> list[tuple[str | None, int, int, int, int]]:
     """The same of values that words of prose stand before: seeds, and what has a digit."""
     spots, at, low = sorted(seeds), 0, 0
@@ -196,10 +213,10 @@ def prose_values(text: str, seeds: dict[tuple[int, int], int]) -> list[tuple[str
             at = low = end
     out = []
     for a, b, kind in values:
-        words = _WORDS_BEFORE.search(text, max(0, a - 4 * WORD), a)
-        if words is None:
+        words = words_before(text, a)
+        if len(words) < 2:
             continue
-        third, second, first = (w.lower() if w else None for w in words.groups())
+        first, second, third = (*words, None)[:3]
         after = _WORD_AFTER.match(text, b)
         word = text[a:b]
         instance, kind = _digest(word), kind or (SECRET if _is_hex(word) else 0)
