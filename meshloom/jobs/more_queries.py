@@ -405,7 +405,7 @@ def _harmonic(spark, d):
     v = V(spark, d)
     n = v.agg(F.count("*").alias("n"))
     ends = v.join(F.broadcast(n)).filter("vid < 20 or vid >= n - 20").select("vid", F.when(F.col("vid") < 20, 0.0).otherwise(1.0).alias("value"))
-    return fields.solve_harmonic(_laplacian(spark, d), ends)
+    return fields.solve_harmonic(_laplacian(spark, d), ends, v)
 
 
 @query()
@@ -414,7 +414,7 @@ def harmonic_t(spark, d):
 
 
 def _embedding(spark, d):
-    return materialise(fields.diffusion_embedding(_laplacian(spark, d), metrics.lumped_mass(FACES(spark, d), V(spark, d)), 12, 0.01), "embedding")
+    return materialise(fields.diffusion_embedding(_laplacian(spark, d), metrics.lumped_mass(FACES(spark, d), V(spark, d)), 12, 0.01, V(spark, d)), "embedding")
 
 
 @query()
@@ -422,6 +422,33 @@ def diffusion_embedding(spark, d):
     return _embedding(spark, d).select("vid", F.size("coordinates").cast("long").alias("k"), r6(F.aggregate("coordinates", F.lit(0.0), lambda a, x: a + x * x), "norm2"))
 
 
+@query("SELECT vid, 0.0::DOUBLE AS residual, CASE WHEN vid < 20 THEN 0.0::DOUBLE WHEN vid >= n - 20 THEN 1.0::DOUBLE END AS fixed FROM v, n")
+def harmonic_residual(spark, d):
+    """L1: the Laplacian times the field is zero on every free vertex, and the field keeps its values at the ends."""
+    t = materialise(_harmonic(spark, d), "t")
+    n = t.agg(F.count("*").alias("n"))
+    left = fields.times(_laplacian(spark, d), t, "t").withColumnRenamed("t", "residual")
+    end = (F.col("vid") < 20) | (F.col("vid") >= F.col("n") - 20)
+    both = t.join(left, "vid").join(F.broadcast(n))
+    return both.select("vid", r6(F.when(end, 0.0).otherwise(F.col("residual")), "residual"), F.when(end, F.round("t", 9) + 0.0).alias("fixed"))
+
+
+@query("SELECT a, b, CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS product, 0.0::DOUBLE AS residual FROM (SELECT unnest(range(12)) AS a), (SELECT unnest(range(12)) AS b)")
+def diffusion_checks(spark, d):
+    """L2: vectors are orthonormal by mass (but for their own lengths), and each solves its equation: what the matrix makes of it is a multiple of mass times it."""
+    rows = _embedding(spark, d).select("vid", F.posexplode("coordinates").alias("a", "x"))
+    mass = metrics.lumped_mass(FACES(spark, d), V(spark, d))
+    k = materialise(rows.withColumn("a", F.col("a").cast("long")).join(mass, "vid"), "vectors")
+    moved = k.select(F.col("vid").alias("j"), "a", "x").join(_laplacian(spark, d), "j").groupBy(F.col("i").alias("vid"), "a").agg(F.sum(F.col("val") * F.col("x")).alias("ax"))
+    k = materialise(k.join(moved, ["vid", "a"]), "moved")
+    own = k.groupBy("a").agg(F.sum(F.col("mass") * F.col("x") * F.col("x")).alias("length"), F.sum(F.col("x") * F.col("ax")).alias("value")).withColumn("value", F.col("value") / F.col("length"))
+    k = k.join(own, "a")
+    wrong = k.groupBy("a").agg((F.sqrt(F.sum(F.pow(F.col("ax") - F.col("value") * F.col("mass") * F.col("x"), F.lit(2)) / F.col("mass"))) / F.first("value") / F.sqrt(F.first("length"))).alias("wrong"))
+    one, two = k.join(wrong, "a").select("vid", "a", "mass", "wrong", (F.col("x") / F.sqrt("length")).alias("x")), k.select("vid", F.col("a").alias("b"), (F.col("x") / F.sqrt("length")).alias("y"))
+    both = one.join(two, "vid").groupBy("a", "b", "wrong").agg(F.sum(F.col("mass") * F.col("x") * F.col("y")).alias("s"))
+    return both.select("a", "b", (F.round("s", 5) + 0.0).alias("product"), (F.round("wrong", 4) + 0.0).alias("residual"))
+
+
 @query()
 def diffusion_to_band(spark, d):
     return sampling.nearest_embedded(_embedding(spark, d), plane_band(spark, d)).select("vid", r6("d", "d"))
@@ -490,7 +517,7 @@ def geodesic_path(spark, d):
     """K2: one shortest path between the first and the last vertex."""
     v = V(spark, d)
     target = materialise(v.agg(F.max("vid").alias("vid")), "target")
-    return graph.one_shortest_path(materialise(_edges(spark, d), "edges"), v.filter("vid = 0").select("vid"), target).select("vid", r6("d", "d"))
+    return graph.one_shortest_path(materialise(_edges(spark, d), "edges"), v.filter("vid = 0").select("vid"), target, v).select("vid", r6("d", "d"))
 
 
 @query("SELECT vid, round(z/10,5)+0 AS quality, round(z/10,5)+0 AS quality_longitudinal, round(x,5)+0 AS quality_transverse FROM v")

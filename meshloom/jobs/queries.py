@@ -414,7 +414,7 @@ def _edges(spark, d):
 
 @query(_PLANE + _SP + _GEO + " SELECT vid, round(d,6) AS d FROM r")
 def geodesic_to_band(spark, d):
-    return graph.distances(_edges(spark, d), plane_band(spark, d)).select("vid", r6("d", "d"))
+    return graph.distances(_edges(spark, d), plane_band(spark, d), V(spark, d)).select("vid", r6("d", "d"))
 
 
 _SIGNED = _PLANE + _SP + _GEO + """, q AS (SELECT sd.vid, sd.x, sd.y, sd.z, (d-lo)/(hi-lo) * CASE WHEN s < 0 THEN -1 ELSE 1 END AS quality FROM sd JOIN r USING (vid), (SELECT min(d) AS lo, max(d) AS hi FROM r))"""
@@ -495,7 +495,7 @@ r(vid, d) USING KEY (vid) AS (SELECT vid, 0.0::DOUBLE FROM src UNION SELECT s.w,
 SELECT vid, round(coalesce(d, (SELECT max(d) FROM r)),6) AS d FROM v LEFT JOIN r USING (vid)""")
 def clamp_unreachable(spark, d):
     v, g = V(spark, d), _parts(spark, d)
-    found = graph.distances(topology.with_lengths(topology.edge_incidence(g), v), v.filter("vid < 20").select("vid"))
+    found = graph.distances(topology.with_lengths(topology.edge_incidence(g), v), v.filter("vid < 20").select("vid"), v)
     return planes.clamped(v.select("vid").join(found.select("vid", "d"), "vid", "left"), "d").select("vid", r6("d", "d"))
 
 
@@ -504,12 +504,12 @@ SELECT t AS target, round(d,6) AS length FROM r JOIN far ON vid = t""")
 def geodesic_pair(spark, d):
     v = V(spark, d)
     target = v.agg(F.max("vid").alias("vid"))
-    found = graph.on_shortest_path(materialise(_edges(spark, d), "edges"), v.filter("vid = 0").select("vid"), target)
+    found = graph.on_shortest_path(materialise(_edges(spark, d), "edges"), v.filter("vid = 0").select("vid"), target, v)
     return found.join(F.broadcast(target), "vid").select(F.col("vid").alias("target"), r6("length", "length"))
 
 
 @query(_SP + """, r(vid, src, d) USING KEY (vid, src) AS (SELECT vid, vid, 0.0::DOUBLE FROM v WHERE vid % 97 = 0 UNION SELECT s.w, r.src, min(r.d+s.len) FROM r JOIN sym s ON s.u=r.vid LEFT JOIN recurring.r o ON o.vid=s.w AND o.src=r.src WHERE o.d IS NULL OR r.d+s.len<o.d GROUP BY s.w, r.src)
 SELECT vid, round(min(d),6) AS d, arg_min(src, (d, src)) AS label FROM r GROUP BY vid""")
 def geodesic_label(spark, d):
-    found = graph.distances(_edges(spark, d), V(spark, d).filter("vid % 97 = 0").select("vid"))
+    found = graph.distances(_edges(spark, d), V(spark, d).filter("vid % 97 = 0").select("vid"), V(spark, d))
     return found.select("vid", r6("d", "d"), "label")

@@ -1,9 +1,12 @@
 """Fields over a mesh's vertices from its Laplacian, as iterations on Spark tables: harmonic parameter and diffusion map.
 
-The sparse matrix is a table (i, j, val) dealt in blocks of vertices. Both methods precondition with the blocks of its diagonal:
-a task solves the equations of its own block exactly (dense, SOLVE_BLOCK vertices), whatever the size of the mesh. Products
-with the whole matrix are a join and a sum, scalar products are aggregates, and every step is a table in the shared folder.
-A mesh of one block is solved in one step.
+The sparse matrix is a table (i, j, val). Vertices are dealt in blocks of LEAF along a curve through space, blocks of
+blocks above them and so on, up to a level of at most TOP unknowns (``Levels``). The matrix of each level is that of the one
+below, summed over pairs of blocks. The diagonal blocks of all levels are factored once, and these factors lie bucketed by
+block, so that a round shuffles vectors only. Exact solutions on all levels, added up, are the approximate inverse
+with which both methods are preconditioned: what the blocks of one level cannot say, the level above says, so rounds
+hardly grow with the mesh. Products with the whole matrix are a join and a sum, and a round has one set of scalar products.
+A mesh of at most TOP vertices is solved directly.
 """
 
 from __future__ import annotations
@@ -14,72 +17,136 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from meshloom.operators.graph import block_of
-from meshloom.sources.store import materialise
+from meshloom.operators.graph import block_of, blocks_by_place
+from meshloom.sources.store import bucketed, materialise
 
-SOLVE_BLOCK = 2048
+#: Vertices, or blocks, in a block of a level.
+LEAF = 256
+#: Unknowns that one task solves directly.
+TOP = 2048
+_FACTORS = "block long, ids array<long>, inverse binary"
 
 
-def _dense(ids: np.ndarray, entries: pd.DataFrame) -> np.ndarray:
-    out = np.zeros((len(ids), len(ids)))
-    np.add.at(out, (np.searchsorted(ids, entries["i"]), np.searchsorted(ids, entries["j"])), entries["val"].to_numpy())
-    return out
+def placed_in_blocks(vertices: DataFrame, by_place: bool, leaf: int = LEAF, top: int = TOP) -> DataFrame:
+    """vid and block: runs of ``leaf`` vertices along a curve through space (x, y, z), or of ids; one block for at most ``top`` vertices."""
+    if vertices.count() <= top:
+        return vertices.select("vid", F.lit(0).cast("long").alias("block"))
+    if by_place:
+        return blocks_by_place(vertices, leaf)
+    return vertices.select("vid", block_of("vid", leaf).alias("block"))
 
 
-def _solve_block(entries: pd.DataFrame, ids: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The block's equations for the rows ``ids`` (ascending); a vertex without equation keeps its right side."""
-    dense = _dense(ids, entries[entries["i"].isin(ids) & entries["j"].isin(ids)])
+def _factored(entries: pd.DataFrame) -> pd.DataFrame:
+    """The inverse of a block's matrix, made symmetric; an unknown without equation keeps its right side, a block without any fixed neighbour is shifted by a little."""
+    ids = np.unique(entries["i"])
+    inside = entries[entries["j"].isin(ids)]
+    dense = np.zeros((len(ids), len(ids)))
+    np.add.at(dense, (np.searchsorted(ids, inside["i"]), np.searchsorted(ids, inside["j"])), inside["val"].to_numpy())
     at = np.arange(len(ids))
     dense[at, at] = np.where(np.abs(dense[at, at]) > 1e-300, dense[at, at], 1.0)
-    try:
-        return np.linalg.solve(dense, right)
-    except np.linalg.LinAlgError:  # a part of the mesh with no fixed vertex
-        dense[at, at] += 1e-10 * np.abs(dense[at, at]).mean()
-        return np.linalg.solve(dense, right)
-
-
-def solve_harmonic(entries: DataFrame, fixed: DataFrame, tolerance: float = 1e-10, most: int = 2000, block: int = SOLVE_BLOCK) -> DataFrame:
+    values, vectors = np.linalg.eigh((dense + dense.T) / 2)
+    values = np.maximum(values, 1e-10 * values.max())
+    inverse = (vectors / values) @ vectors.T
+    return pd.DataFrame({"block": [entries["block"].iloc[0]], "ids": [ids], "inverse": [((inverse + inverse.T) / 2).tobytes()]})
+
+
+class Levels:
+    """An approximate inverse of a symmetric sparse matrix: exact solutions in blocks of vertices, of blocks, of blocks of blocks, added up."""
+
+    def __init__(self, entries: DataFrame, leaf: int = LEAF, top: int = TOP):
+        """entries: bi, bj (blocks of i and j), i, j, val."""
+        own = entries.filter("bi = bj").select(F.col("bi").alias("block"), "i", "j", "val")
+        self.factors = bucketed(own.groupBy("block").applyInPandas(_factored, _FACTORS), "block", "factors")
+        self.above: Levels | None = None
+        coarse = entries.groupBy(F.col("bi").alias("i"), F.col("bj").alias("j")).agg(F.sum("val").alias("val"))
+        n = self.factors.count()
+        if n > 1:
+            coarse = materialise(coarse, "coarse")
+            over = (lambda c: F.lit(0).cast("long")) if n <= top else (lambda c: block_of(c, leaf))
+            self.over = over
+            self.above = Levels(coarse.select(over("i").alias("bi"), over("j").alias("bj"), "i", "j", "val"), leaf, top)
+
+    def solve(self, rows: DataFrame, right: str, out: str) -> DataFrame:
+        """``rows`` (with vid, block and an array in the column ``right``) with the column ``out``: the approximate inverse times ``right``, vector by vector."""
+        schema = T.StructType([*(f for f in rows.schema if f.name != out), *T.StructType.fromDDL(f"{out} array<double>, __total array<double>").fields])
+
+        def solve_block(factors: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+            if not len(f):
+                return pd.DataFrame(columns=schema.names)
+            values = np.stack(f[right])
+            solved = values.copy()
+            if len(factors):
+                ids = np.asarray(factors["ids"].iloc[0])
+                inverse = np.frombuffer(factors["inverse"].iloc[0]).reshape(len(ids), len(ids))
+                at = np.minimum(np.searchsorted(ids, f["vid"]), len(ids) - 1)
+                there = ids[at] == f["vid"].to_numpy()
+                whole = np.zeros((len(ids), values.shape[1]))
+                whole[at[there]] = values[there]
+                solved[there] = (inverse @ whole)[at[there]]
+            return f.assign(**{out: list(solved), "__total": [values.sum(axis=0)] + [None] * (len(f) - 1)})[schema.names]
+
+        fine = self.factors.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(solve_block, schema)
+        if self.above is None:
+            return fine.drop("__total")
+        fine = materialise(fine, "fine")
+        coarse = fine.filter("__total is not null").select(F.col("block").alias("vid"), self.over("block").alias("block"), F.col("__total").alias("r"))
+        up = self.above.solve(coarse, "r", "u").select(F.col("vid").alias("block"), F.col("u").alias("__up"))
+        return fine.join(up, "block").withColumn(out, F.zip_with(out, "__up", lambda a, b: a + b)).drop("__up", "__total").select(*(n for n in schema.names if n != "__total"))
+
+
+def solve_harmonic(entries: DataFrame, fixed: DataFrame, vertices: DataFrame | None = None, tolerance: float = 1e-10, most: int = 500, leaf: int = LEAF, top: int = TOP, rounds: list | None = None) -> DataFrame:
     """L1: vid, t of a harmonic field with given values ``fixed`` (vid, value), rescaled to [0, 1]; not to converge is an error.
 
-    Conjugate gradients on the free vertices. A part of the mesh that has no fixed vertex gets the least value.
+    Conjugate gradients on the free vertices, in the form with one set of scalar products a round. ``vertices`` (vid, x, y, z) deals blocks
+    by place. A part of the mesh that has no fixed vertex gets the least value. ``rounds`` gets the number of rounds appended.
     """
     fixed = materialise(fixed.select("vid", "value"), "fixed")
-    known = fixed.select(F.col("vid").alias("i"))
-    rows = entries.join(known, "i", "left_anti")
-    right = rows.join(fixed.select(F.col("vid").alias("j"), "value"), "j").groupBy(F.col("i").alias("vid")).agg((-F.sum(F.col("val") * F.col("value"))).alias("b"))
-    free = materialise(rows.join(fixed.select(F.col("vid").alias("j")), "j", "left_anti").withColumns({"bi": block_of("i", block), "bj": block_of("j", block)}), "free")
-    own = free.filter("bi = bj").select(F.col("bi").alias("block"), "i", "j", "val")
+    rows = entries.join(fixed.select(F.col("vid").alias("i")), "i", "left_anti")
     vids = rows.select(F.col("i").alias("vid")).distinct()
-    state = materialise(vids.join(right, "vid", "left").select(block_of("vid", block).alias("block"), "vid", F.lit(0.0).alias("x"), F.coalesce("b", F.lit(0.0)).alias("r"), F.lit(0.0).alias("p")), "state")
-
-    def precondition(entries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("vid")
-        return rows.assign(z=_solve_block(entries, rows["vid"].to_numpy(), rows["r"].to_numpy()))
-
-    start, before = None, None
-    for _ in range(most):
+    placed = materialise(placed_in_blocks(vids if vertices is None else vertices.join(vids, "vid", "left_semi"), vertices is not None, leaf, top), "blocks")
+    right = rows.join(fixed.select(F.col("vid").alias("j"), "value"), "j").groupBy(F.col("i").alias("vid")).agg((-F.sum(F.col("val") * F.col("value"))).alias("b"))
+    free = rows.join(fixed.select(F.col("vid").alias("j")), "j", "left_anti")
+    for end in "ij":
+        free = free.join(placed.select(F.col("vid").alias(end), F.col("block").alias(f"b{end}")), end)
+    free = bucketed(free.select("bi", "bj", "i", "j", "val"), "j", "free")
+    levels = Levels(free, leaf, top)
+    none = F.lit(0.0)
+    state = placed.join(right, "vid", "left").select("vid", "block", none.alias("x"), F.coalesce("b", none).alias("r"), none.alias("p"), none.alias("s"))
+    state = materialise(state, "state")
+    start, before, step = None, None, None
+    for turn in range(most):
         worst = state.agg(F.max(F.abs("r")).alias("r")).first()["r"]
         start = start or worst
         if not worst or worst <= tolerance * start:
             break
-        z = materialise(own.groupBy("block").cogroup(state.groupBy("block")).applyInPandas(precondition, "block long, vid long, x double, r double, p double, z double"), "z")
-        rz = z.agg(F.sum(F.col("r") * F.col("z")).alias("s")).first()["s"]
-        turned = z.withColumn("p", F.col("z") + (rz / before if before else 0.0) * F.col("p"))
-        product = free.join(turned.select(F.col("vid").alias("j"), "p"), "j").groupBy(F.col("i").alias("vid")).agg(F.sum(F.col("val") * F.col("p")).alias("q"))
-        met = materialise(turned.join(product, "vid", "left").select("block", "vid", "x", "r", "p", F.coalesce("q", F.lit(0.0)).alias("q")), "step")
-        pq = met.agg(F.sum(F.col("p") * F.col("q")).alias("s")).first()["s"]
-        state = materialise(met.select("block", "vid", (F.col("x") + rz / pq * F.col("p")).alias("x"), (F.col("r") - rz / pq * F.col("q")).alias("r"), "p"), "state")
-        before = rz
+        solved = levels.solve(state.withColumn("right", F.array("r")), "right", "u").select("vid", "block", "x", "r", "p", "s", F.col("u")[0].alias("u"))
+        solved = materialise(solved, "solved")
+        product = free.join(solved.select(F.col("vid").alias("j"), "u"), "j").groupBy(F.col("i").alias("vid")).agg(F.sum(F.col("val") * F.col("u")).alias("w"))
+        met = materialise(solved.join(product, "vid", "left").withColumn("w", F.coalesce("w", none)), "met")
+        sums = met.agg(F.sum(F.col("r") * F.col("u")).alias("ru"), F.sum(F.col("w") * F.col("u")).alias("wu")).first()
+        beta = sums["ru"] / before if before else 0.0
+        step = sums["ru"] / (sums["wu"] - beta * sums["ru"] / step if beta else sums["wu"])
+        before = sums["ru"]
+        turned = met.select("vid", "block", "x", "r", (F.col("u") + beta * F.col("p")).alias("p"), (F.col("w") + beta * F.col("s")).alias("s"))
+        state = turned.select("vid", "block", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("s")).alias("r"), "p", "s")
     else:
         raise RuntimeError(f"the harmonic field has not converged in {most} steps")
-    t = state.select("vid", F.col("x").alias("t")).unionByName(fixed.select("vid", F.col("value").alias("t")))
+    if rounds is not None:
+        rounds.append(turn)
+    t = materialise(state.select("vid", F.col("x").alias("t")).unionByName(fixed.select("vid", F.col("value").alias("t"))), "field")
     ends = t.agg(F.min("t").alias("low"), F.max("t").alias("high"))
     span = F.col("high") - F.col("low")
     scaled = F.when(span > 1e-12, (F.col("t") - F.col("low")) / F.nullif(span, F.lit(0.0))).otherwise(F.col("t"))
     return t.join(F.broadcast(ends)).select("vid", F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)).alias("t"))
 
 
+def times(entries: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """vid and ``value``: the matrix (i, j, val) times a vector (vid, value)."""
+    return entries.join(values.select(F.col("vid").alias("j"), F.col(value).alias("__v")), "j").groupBy(F.col("i").alias("vid")).agg(F.sum(F.col("val") * F.col("__v")).alias(value))
+
+
 def _gram(columns: list[str], weight: str):
     """Sums of products of all pairs of the vectors in ``columns`` (arrays), for the rows of a task."""
 
@@ -102,41 +169,42 @@ def _summed(rows: DataFrame) -> np.ndarray:
     return np.array([r["s"] for r in sums])
 
 
-def _residual_steps(values: np.ndarray, shift: float):
-    """What a block does with the residuals of its vectors (x, with matrix times x in ax): solve its own shifted equations for them, and sum their squares."""
+def _residuals(values: np.ndarray):
+    """The residuals of a block's vectors (x, with matrix times x in ax), and the sums of their squares."""
 
     def residuals(f: pd.DataFrame) -> np.ndarray:
         return np.stack(f["ax"]) - np.stack(f["x"]) * values[None, :] * f["mass"].to_numpy()[:, None]
 
-    def precondition(entries: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("vid")
-        ids = f["vid"].to_numpy()
-        extra = pd.DataFrame({"i": ids, "j": ids, "val": shift * f["mass"].to_numpy()})
-        return f.assign(w=list(_solve_block(pd.concat([entries[["i", "j", "val"]], extra]), ids, residuals(f))))
-
     def squares(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
                 yield pd.DataFrame({"sums": [(residuals(f) ** 2 / f["mass"].to_numpy()[:, None]).sum(axis=0)]})
 
-    return precondition, squares
+    return squares
 
 
-def diffusion_embedding(entries: DataFrame, mass: DataFrame, k: int, t: float, tolerance: float = 1e-9, most: int = 200, block: int = SOLVE_BLOCK, guard: int = 4) -> DataFrame:
+def diffusion_embedding(entries: DataFrame, mass: DataFrame, k: int, t: float, vertices: DataFrame | None = None, tolerance: float = 1e-9, most: int = 200, leaf: int = LEAF, top: int = TOP, guard: int = 4, rounds: list | None = None) -> DataFrame:
     """L2: vid and the k coordinates of the diffusion map: the k lowest vectors of ``entries`` x = value * ``mass`` x after the constant one, each times exp(-value t).
 
     Blocks of k + 1 + guard vectors are improved together (preconditioned, with the last direction kept, orthogonalised in the
     small space that the driver sees: a few dozen numbers squared), until residuals are small. Not to converge is an error.
+    ``vertices`` (vid, x, y, z) deals blocks by place. ``rounds`` gets the number of rounds appended.
     """
     n = mass.count()
     wanted = min(k + 1, n)
     m = min(wanted + guard, n)
-    base = mass.select("vid", "mass", block_of("vid", block).alias("block"))
+    at = mass.select("vid") if vertices is None else vertices.join(mass.select("vid"), "vid", "left_semi")
+    placed = materialise(placed_in_blocks(at, vertices is not None, leaf, top), "blocks")
+    base = materialise(mass.select("vid", "mass").join(placed, "vid"), "base")
     diagonal = entries.filter("i = j").agg(F.avg(F.abs("val")).alias("d")).first()["d"] or 1.0
     average = base.agg(F.avg("mass").alias("m")).first()["m"]
     shift = 1e-3 * diagonal / average
-    table = materialise(entries.select(block_of("i", block).alias("bi"), block_of("j", block).alias("bj"), "i", "j", "val"), "entries")
-    own = table.filter("bi = bj").select(F.col("bi").alias("block"), "i", "j", "val")
+    table = entries
+    for end in "ij":
+        table = table.join(placed.select(F.col("vid").alias(end), F.col("block").alias(f"b{end}")), end)
+    table = bucketed(table.select("bi", "bj", "i", "j", "val"), "j", "entries")
+    shifted = base.select(F.col("block").alias("bi"), F.col("block").alias("bj"), F.col("vid").alias("i"), F.col("vid").alias("j"), (shift * F.col("mass")).alias("val"))
+    levels = Levels(table.unionByName(shifted), leaf, top)
     spread = lambda j: F.pmod(F.xxhash64("vid", F.lit(j)), F.lit(1 << 30)) / float(1 << 29) - 1
     empty = F.array().cast("array<double>")
 
@@ -179,16 +247,18 @@ def diffusion_embedding(entries: DataFrame, mass: DataFrame, k: int, t: float, t
     values, c = space(rows, ["x"])
     rows = materialise(combined(rows, ["x"], c), "vectors")
     for turn in range(most):
-        precondition, worst = _residual_steps(values, shift)
-        norms = np.sqrt(_summed(rows.select("mass", "x", "ax").mapInPandas(worst, "sums array<double>")))
+        norms = np.sqrt(_summed(rows.select("mass", "x", "ax").mapInPandas(_residuals(values), "sums array<double>")))
         if (norms[:wanted] <= tolerance * max(abs(values).max(), diagonal / average)).all():
             break
-        solved = materialise(own.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(precondition, schema), "directions")
+        parts = F.transform(F.arrays_zip("ax", "x", F.array(*(F.lit(float(v)) for v in values)).alias("of")), lambda z: z["ax"] - z["of"] * F.col("mass") * z["x"])
+        solved = materialise(levels.solve(rows.withColumn("residual", parts), "residual", "w").drop("residual"), "directions")
         rows = materialise(product(solved, "w"), "space")
         columns = ["x", "w"] if turn == 0 else ["x", "w", "p"]
         values, c = space(rows, columns)
         rows = materialise(combined(rows, columns, c), "vectors")
     else:
         raise RuntimeError(f"the diffusion map has not converged in {most} steps")
+    if rounds is not None:
+        rounds.append(turn)
     weights = [float(np.exp(-v * t)) for v in values[1:wanted]]
     return rows.select("vid", F.array(*(F.col("x")[j + 1] * w for j, w in enumerate(weights))).alias("coordinates"))

@@ -27,6 +27,8 @@ from meshloom.operators.topology import both_ways, corner_rows, edge_incidence,
 from meshloom.sources.store import materialise
 
 BLOCK = 1 << 14
+#: Edges that a task reduces to a forest at once.
+FOREST = 1 << 20
 #: Rounds after which the changes are brought together.
 COMPACT = 16
 _NEWS = "block long, vid long, d double, label long, own boolean"
@@ -77,8 +79,15 @@ def _relax_block(key, edges: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["block", "vid", "d", "label", "own"]).astype({"block": "int64", "vid": "int64", "d": "float64", "label": "int64", "own": "bool"})
 
 
-def relax(edges: DataFrame, seeds: DataFrame, block: int = BLOCK, placed: DataFrame | None = None) -> DataFrame:
-    """vid, d, label: the least d of a seed (vid, d, label) plus a path over undirected ``edges`` (u, w, len), and that seed's label (the least of equals). Vertices that no seed reaches have no row. ``placed`` (vid, block) deals the vertices otherwise than by id."""
+def dealt(vertices: DataFrame | None, block: int = BLOCK) -> DataFrame | None:
+    """vid and block of ``vertices`` by place, written; None (ids deal them) without places or where one block holds all."""
+    if vertices is None or vertices.count() <= block:
+        return None
+    return materialise(blocks_by_place(vertices, block), "blocks")
+
+
+def relax(edges: DataFrame, seeds: DataFrame, block: int = BLOCK, placed: DataFrame | None = None, rounds: list | None = None) -> DataFrame:
+    """vid, d, label: the least d of a seed (vid, d, label) plus a path over undirected ``edges`` (u, w, len), and that seed's label (the least of equals). Vertices that no seed reaches have no row. ``placed`` (vid, block) deals the vertices otherwise than by id. ``rounds`` gets the number of rounds appended."""
     arcs = edges.select(F.inline(F.array(F.struct("u", "w", "len"), F.struct(F.col("w").alias("u"), F.col("u").alias("w"), "len"))))
     if placed is None:
         arcs = arcs.withColumns({"block": block_of("u", block), "there": block_of("w", block)})
@@ -89,8 +98,9 @@ def relax(edges: DataFrame, seeds: DataFrame, block: int = BLOCK, placed: DataFr
         news = seeds.join(placed, "vid")
     arcs = materialise(arcs.select("block", "u", "w", "len", "there"), "arcs")
     columns = ["block", "vid", "d", "label"]
-    known, news = [], materialise(news.select(*columns), "seeds")
+    known, news, turns = [], materialise(news.select(*columns), "seeds"), 0
     while not news.isEmpty():
+        turns += 1
         blocks = news.select("block").distinct()
         parts = [x.join(blocks, "block", "left_semi").withColumn("known", F.lit(True)) for x in known]
         state = reduce(DataFrame.unionByName, parts, news.withColumn("known", F.lit(False)))
@@ -100,6 +110,8 @@ def relax(edges: DataFrame, seeds: DataFrame, block: int = BLOCK, placed: DataFr
         if len(known) > COMPACT:
             known = [materialise(_least(known), "known")]
         news = step.filter("not own").select(*columns)
+    if rounds is not None:
+        rounds.append(turns)
     if not known:
         return seeds.select("vid", "d", "label")
     return materialise(_least(known), "known").select("vid", "d", "label")
@@ -110,34 +122,39 @@ def _least(parts: list[DataFrame]) -> DataFrame:
     return rows.groupBy("block", "vid").agg(F.min(F.struct("d", "label")).alias("s")).select("block", "vid", "s.d", "s.label")
 
 
-def distances(edges: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
-    """K1, K3: vid, d and the nearest source's vid as label."""
-    return relax(edges, sources.select("vid", F.lit(0.0).alias("d"), F.col("vid").alias("label")), block)
+def distances(edges: DataFrame, sources: DataFrame, vertices: DataFrame | None = None, block: int = BLOCK, placed: DataFrame | None = None, rounds: list | None = None) -> DataFrame:
+    """K1, K3: vid, d and the nearest source's vid as label. ``vertices`` (vid, x, y, z) deals blocks by place, ``placed`` (vid, block) as it says."""
+    seeds = sources.select("vid", F.lit(0.0).alias("d"), F.col("vid").alias("label"))
+    return relax(edges, seeds, block, dealt(vertices, block) if placed is None else placed, rounds)
 
 
-def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each vertex of these edges the least vertex that they link it to, as an edge."""
-    parent: dict[int, int] = {}
+def _local_roots(u: np.ndarray, w: np.ndarray) -> pd.DataFrame:
+    """For each vertex of these edges the least vertex that they link it to, as an edge (u, w)."""
+    ids, at = np.unique(np.concatenate([u, w]), return_inverse=True)
+    one, two = at[: len(u)], at[len(u) :]
+    root = np.arange(len(ids))
+    while len(one):
+        low, high = np.minimum(root[one], root[two]), np.maximum(root[one], root[two])
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[one] != root[two]
+        one, two = one[apart], two[apart]
+    moved = root != np.arange(len(ids))
+    return pd.DataFrame({"u": ids[root[moved]], "w": ids[moved]})
 
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
+def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A spanning forest of the edges of a task, up to FOREST edges at a time."""
+    some, n = [], 0
     for f in frames:
-        for u, w in zip(f["u"].tolist(), f["w"].tolist(), strict=True):
-            a, b = find(u), find(w)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-        if len(parent) > 1 << 20:  # what is known so far goes on as edges, too
-            yield _roots(parent, find)
-            parent.clear()
-    yield _roots(parent, find)
-
-
-def _roots(parent: dict[int, int], find) -> pd.DataFrame:
-    return pd.DataFrame([(find(v), v) for v in list(parent) if find(v) != v], columns=["u", "w"]).astype("int64")
+        some.append(f)
+        n += len(f)
+        if n >= FOREST:
+            yield _local_roots(*(np.concatenate([f[c] for f in some]) for c in "uw"))
+            some, n = [], 0
+    if n:
+        yield _local_roots(*(np.concatenate([f[c] for f in some]) for c in "uw"))
 
 
 def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -180,20 +197,21 @@ def boundary_loops(boundary: DataFrame) -> DataFrame:
     return roots.join(numbered.select(F.col("vid").alias("root"), F.col("new_vid").alias("loop")), "root").select("vid", "loop")
 
 
-def on_shortest_path(edges: DataFrame, source: DataFrame, target: DataFrame, slack: float = 1e-9) -> DataFrame:
+def on_shortest_path(edges: DataFrame, source: DataFrame, target: DataFrame, vertices: DataFrame | None = None, slack: float = 1e-9) -> DataFrame:
     """K2: vid, d (from the source) and length of every vertex on a shortest path between two vertices (one-row tables with vid)."""
-    there = distances(edges, source).select("vid", "d")
-    back = distances(edges, target).select("vid", F.col("d").alias("rest"))
+    placed = dealt(vertices)
+    there = distances(edges, source, placed=placed).select("vid", "d")
+    back = distances(edges, target, placed=placed).select("vid", F.col("d").alias("rest"))
     length = there.join(F.broadcast(target), "vid").select(F.col("d").alias("length"))
     return there.join(back, "vid").join(F.broadcast(length)).filter(F.col("d") + F.col("rest") <= F.col("length") + slack).select("vid", "d", "length")
 
 
-def one_shortest_path(edges: DataFrame, source: DataFrame, target: DataFrame, slack: float = 1e-9) -> DataFrame:
+def one_shortest_path(edges: DataFrame, source: DataFrame, target: DataFrame, vertices: DataFrame | None = None, slack: float = 1e-9) -> DataFrame:
     """K2: vid, d and length along one shortest path: from the target always to the least vid before.
 
     The chain from the target is found by doubling, so a path of n vertices takes log n rounds.
     """
-    on = materialise(on_shortest_path(edges, source, target, slack), "on-path")
+    on = materialise(on_shortest_path(edges, source, target, vertices, slack), "on-path")
     d = lambda s: on.select(F.col("vid").alias(s), F.col("d").alias(f"d{s}"))
     arcs = edges.select(F.inline(F.array(F.struct("u", "w", "len"), F.struct(F.col("w").alias("u"), F.col("u").alias("w"), "len"))))
     tight = arcs.join(d("u"), "u").join(d("w"), "w").filter((F.abs(F.col("dw") + F.col("len") - F.col("du")) <= slack) & (F.col("dw") < F.col("du")))

@@ -98,7 +98,7 @@ def quality(vertices: DataFrame, faces: DataFrame, plane: DataFrame, distance: s
     near = materialise(band(placed), "band")
     if distance == "geodesic":
         edges = topology.with_lengths(topology.edge_incidence(faces), vertices)
-        found = graph.distances(edges, near).select("vid", F.col("d").alias("distance"))
+        found = graph.distances(edges, near, vertices).select("vid", F.col("d").alias("distance"))
     elif distance == "euclidean":
         ids = lambda v: v.select(F.col("vid").alias("id"), *("xyz"))
         found = nearest.nearest(ids(vertices), ids(vertices.join(near, "vid", "left_semi"))).select(F.col("id").alias("vid"), F.col("d").alias("distance"))

@@ -246,7 +246,7 @@ def center_weighted(vertices: DataFrame, faces: DataFrame, config: SampleConfig)
     """
     v, f = largest_clean(vertices, faces)
     ends, holes_ = end_sets(v, f, config)
-    t = materialise(fields.solve_harmonic(metrics.cotan_laplacian(f, v), ends), "t")
+    t = materialise(fields.solve_harmonic(metrics.cotan_laplacian(f, v), ends, v), "t")
     drawn = surface_sample(f, v, config.oversample * config.n_points, config.seed)
     corners = f
     for k in topology.CORNERS:

@@ -27,3 +27,12 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, column: str, name: str = "table") -> DataFrame:
+    """``df`` written in buckets of a column: later joins and groups on it leave these rows where they are."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, column).write.bucketBy(n, column).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(table)
+    return spark.table(table)

@@ -35,13 +35,13 @@ def dense_of(entries, n):
     return out
 
 
-@pytest.mark.parametrize("block", [40, 4096])
-def test_harmonic_field_equals_dense_solution(spark, limb, block):
+@pytest.mark.parametrize(("leaf", "top"), [(6, 4), (40, 40), (256, 2048)])
+def test_harmonic_field_equals_dense_solution(spark, limb, leaf, top):
     v, f, points, _ = limb
     n = len(points)
     entries = metrics.cotan_laplacian(f, v)
     ends = spark.createDataFrame([(i, 0.0) for i in range(RING)] + [(i, 1.0) for i in range(n - RING, n)], "vid long, value double")
-    got = {r["vid"]: r["t"] for r in fields.solve_harmonic(entries, ends, block=block).collect()}
+    got = {r["vid"]: r["t"] for r in fields.solve_harmonic(entries, ends, v, leaf=leaf, top=top).collect()}
     a, t = dense_of(entries, n), np.zeros(n)
     t[n - RING :] = 1
     free = np.arange(RING, n - RING)
@@ -50,12 +50,12 @@ def test_harmonic_field_equals_dense_solution(spark, limb, block):
     assert max(abs(got[i] - t[i]) for i in range(n)) < 1e-8
 
 
-@pytest.mark.parametrize("block", [40, 4096])
-def test_diffusion_map_equals_dense_vectors(limb, block):
+@pytest.mark.parametrize(("leaf", "top"), [(20, 8), (256, 2048)])
+def test_diffusion_map_equals_dense_vectors(limb, leaf, top):
     v, f, points, _ = limb
     n, k, t = len(points), 5, 0.01
     entries, mass = metrics.cotan_laplacian(f, v), metrics.lumped_mass(f, v)
-    got = {r["vid"]: r["coordinates"] for r in fields.diffusion_embedding(entries, mass, k, t, tolerance=1e-7, block=block).collect()}
+    got = {r["vid"]: r["coordinates"] for r in fields.diffusion_embedding(entries, mass, k, t, vertices=v, tolerance=1e-7, leaf=leaf, top=top).collect()}
     m = np.array([r["mass"] for r in mass.orderBy("vid").collect()])
     values, vectors = np.linalg.eigh(dense_of(entries, n) / np.sqrt(m)[:, None] / np.sqrt(m)[None, :])
     want = vectors[:, 1 : k + 1] / np.sqrt(m)[:, None] * np.exp(-values[1 : k + 1] * t)
