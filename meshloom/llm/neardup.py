@@ -5,17 +5,21 @@ leading-zero count and ten mantissa bits of its smallest hash in 16 bits, and an
 one that a fixed random order of the bucket prefers, so short documents have whole sketches too. Bands of ROWS registers
 are hashed to keys; documents that share a key are candidates; the Jaccard estimate from equal registers, corrected for
 those that collide by chance, drops far pairs of large sets (small sets borrow many registers, which widens the estimate's
-error, and are cheap to compare); full shingle sets decide.
+error, and are cheap to compare); full shingle sets decide. The estimate drops a pair only where it lies so far below the
+threshold that a pair at 0.75 falls there with a chance below 1e-18, so every doubtful pair meets the exact test.
 
 No group is ever expanded into its pairs:
 
 1. documents with equal sets are one class, its smallest doc_id stands for it;
 2. every representative is verified against one pivot, the smallest member that shares most of its bands;
 3. components of these links are found; only members of different components that share a bucket are still open;
-4. of open documents, the shingles that occur in another component bound every overlap: shingles of at most RARE open
-   documents lead to their pairs directly, and a pair that shares none of these overlaps in frequent shingles only. A pair
-   is compared where the bound allows a similarity of 0.75, so documents that drifted away from a large group meet
-   none of its members, and no link is lost.
+4. open documents are verified against one pivot for each key of two bands together: far pairs hardly ever share one, near
+   ones mostly do, so what links there are join components before any pairs are compared (documents made of the same few
+   passages end in a few components);
+5. of documents that are open still, the shingles that occur in another component bound every overlap: shingles of at most RARE open
+   documents lead to their pairs directly, which have their number of common ones and at most as many frequent ones as either
+   document; a pair that shares none of these overlaps in frequent shingles only. A pair is compared where the bound allows
+   a similarity of 0.75, so documents that drifted away from a large group meet none of its members, and no link is lost.
 
 At a similarity of 0.75 a pair shares no band with a probability of about 4e-8.
 
@@ -36,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import graph
 from . import textblocks as tb
 from .common import materialise, table, text_hash, text_only, without
 
@@ -44,10 +49,12 @@ REGISTERS = 256
 BANDS = 120
 ROWS = 7
 MANTISSA_BITS = 10
-#: Pairs whose estimate is below this are dropped unverified: 0.75 less almost five standard deviations.
-LEAST_ESTIMATE = 0.62
+#: Pairs whose estimate is below this are dropped unverified: 0.75 less eleven standard deviations (Chernoff: exp(-0.2 * REGISTERS) at most, a fifth of the registers borrowed: 1e-18).
+LEAST_ESTIMATE = 0.45
 #: A pair with a set of fewer shingles is verified whatever the estimate.
-SMALL_SET = 256
+SMALL_SET = 512
+#: Bands in one key where open documents look for more pivots.
+DEEP = 2
 #: A shingle of at most so many open documents leads to its pairs directly. Any value gives the same links.
 RARE = 64
 #: Pairs of one pivot that meet its sketch and its set in the same task.
@@ -138,8 +145,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
-def band_keys(rows: DataFrame) -> DataFrame:
-    """(key, doc_id) for each band of each doc_id, registers row."""
+def band_keys(rows: DataFrame, together: int = 1) -> DataFrame:
+    """(key, doc_id) for each band (or so many bands together) of each doc_id, registers row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +154,10 @@ def band_keys(rows: DataFrame) -> DataFrame:
                 part = batch.slice(i, 1024)
                 chosen = _matrix(part.column("registers")).astype(np.uint64)[:, BAND_REGISTERS]
                 total = _BAND_SALT + sum(tb.mix64(chosen[:, :, r] + tb.SHINGLE_CODE[r]) * tb.SHINGLE_CODE[20 + r] for r in range(ROWS))
-                yield pa.RecordBatch.from_arrays([pa.array(tb.mix64(total).view(np.int64).ravel()), pa.array(np.repeat(part.column("doc_id").to_numpy(), BANDS))], names=["key", "doc_id"])
+                keys = tb.mix64(total)
+                if together > 1:
+                    keys = tb.mix64((keys.reshape(len(keys), -1, together) * tb.SHINGLE_CODE[:together]).sum(axis=2, dtype=np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(part.column("doc_id").to_numpy(), keys.shape[1]))], names=["key", "doc_id"])
 
     return rows.select("doc_id", "registers").mapInArrow(run, "key long, doc_id long")
 
@@ -166,8 +176,9 @@ def _likely(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            near = (na < SMALL_SET) | (nb < SMALL_SET)
-            large = np.flatnonzero(~near)
+            possible = 4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)  # no overlap is larger than the smaller set
+            small = (na < SMALL_SET) | (nb < SMALL_SET)
+            near, large = possible & small, np.flatnonzero(possible & ~small)
             if len(large):
                 some = batch.take(pa.array(large))
                 near[large] = estimates(_matrix(some.column("ra")), _matrix(some.column("rb")), na[large], nb[large]) >= LEAST_ESTIMATE
@@ -208,27 +219,37 @@ def verified(pairs: DataFrame, sketch: DataFrame, docs: DataFrame, sets: DataFra
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(doc_id, label): the smallest id that each id of an (a, b) link reaches. Labels spread over links and jump along labels until none changes."""
-    both = materialise(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("label")).select("doc_id", F.least("doc_id", "label").alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("doc_id").alias("b"), F.col("label").alias("near")), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("near").alias("near"))
-        spread = labels.join(near, "doc_id").select("doc_id", "label", F.least("label", "near").alias("new"))
-        target = labels.select(F.col("doc_id").alias("new"), F.col("label").alias("beyond"))
-        moved = materialise(spread.join(target, "new").select("doc_id", "label", F.least("new", "beyond").alias("new")), "labels")
-        labels = moved.select("doc_id", F.col("new").alias("label"))
-        if moved.filter("new < label").isEmpty():
-            return labels
-
-
-def _possible(rows: DataFrame, on: str, shared: str) -> DataFrame:
-    """The (a, b) pairs of different labels among ``rows`` that meet in ``on`` and can be similar if they overlap in ``shared`` at most.
+    """(doc_id, label): the smallest id that each id of an (a, b) link reaches."""
+    edges = materialise(links.select(F.col("a").alias("u"), F.col("b").alias("w")).distinct(), "edges")
+    ends = edges.select(F.explode(F.array("u", "w")).alias("vid")).distinct()
+    return graph.components(edges, ends).select(F.col("vid").alias("doc_id"), F.col("root").alias("label"))
+
+
+def still_open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, doc_id and label of the members of buckets with more than one component."""
+    placed = buckets.select("key", "doc_id").join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    return materialise(placed.join(mixed, "key"), "mixed")
+
+
+def deep_pairs(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): each open document (doc_id, label) with the first one of another component for each of its keys of DEEP bands."""
+    rows = materialise(band_keys(reps.join(members.select("doc_id"), "doc_id", "left_semi"), DEEP).join(members, "doc_id"), "deep")
+    pivots = rows.groupBy("key").agg(F.min(F.struct("doc_id", "label")).alias("first"), F.max("label").alias("high"), F.min("label").alias("low")).filter("low < high")
+    return rows.join(pivots.select("key", F.col("first.doc_id").alias("a"), F.col("first.label").alias("of")), "key").filter("label <> of").select("a", F.col("doc_id").alias("b")).distinct()
+
+
+def _meeting(rows: DataFrame, on: str, shared: str) -> DataFrame:
+    """Rows of two documents x and y of different labels among ``rows`` that meet in ``on`` and can be similar if they overlap in ``shared`` at most.
 
     With at most c common shingles, 100 * c >= 75 * (n + m - c) is 7 * c >= 3 * (n + m).
     """
-    x, y = (rows.select(on, F.col("doc_id").alias(d), F.col("label").alias(f"l{d}"), F.col("n").alias(f"n{d}"), F.col(shared).alias(f"c{d}")) for d in "xy")
-    met = x.join(y, [x[on] == y[on], F.col("lx") < F.col("ly"), 7 * F.least("cx", "cy") >= 3 * (F.col("nx") + F.col("ny"))])
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    x, y = (rows.select(on, F.col("doc_id").alias(d), F.col("of").alias(f"of{d}"), F.col("label").alias(f"l{d}"), F.col("n").alias(f"n{d}"), F.col("frequent").alias(f"f{d}"), F.col(shared).alias(f"c{d}")) for d in "xy")
+    return x.join(y, [x[on] == y[on], F.col("lx") < F.col("ly"), 7 * F.least("cx", "cy") >= 3 * (F.col("nx") + F.col("ny"))])
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def open_pairs(open_: DataFrame, sets: DataFrame, rare: int = RARE) -> DataFrame:
@@ -247,7 +268,10 @@ def open_pairs(open_: DataFrame, sets: DataFrame, rare: int = RARE) -> DataFrame
     placed = materialise(open_.select("key", "doc_id").join(bounds.filter("4 * frequent >= 3 * n"), "doc_id"), "placed")
     mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least")).filter("low < high").select("key", "least")
     many = placed.join(mixed, "key").filter("7 * frequent >= 3 * (n + least)")
-    return _possible(few, "shingle", "any").unionAll(_possible(many, "key", "frequent")).distinct()
+    # what two documents share is their common rare shingles, counted, and no more frequent ones than either has
+    counted = _meeting(few, "shingle", "any").groupBy("x", "y", "ofx", "ofy", "nx", "ny", "fx", "fy").agg(F.count("*").alias("common"))
+    near = counted.filter(7 * (F.col("common") + F.least("fx", "fy")) >= 3 * (F.col("nx") + F.col("ny")))
+    return _ordered(near).unionAll(_ordered(_meeting(many, "key", "frequent"))).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -265,13 +289,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = materialise(chosen.select((-F.col("best.minus")).alias("a"), F.col("doc_id").alias("b")), "pivots")
     links = verified(first, reps, docs)
     labels = components(links)
-    placed = buckets.select("key", "doc_id").join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    open_ = materialise(placed.join(mixed, "key"), "mixed")
-    sets = materialise(_sets(docs, materialise(open_.select("doc_id").distinct(), "open")), "open-sets")
-    pairs = materialise(open_pairs(open_, sets).join(first, ["a", "b"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        labels = components(links.unionAll(verified(pairs, reps, docs, sets)))
+    open_ = still_open(buckets, labels)
+    if not open_.isEmpty():
+        members = materialise(open_.select("doc_id", "label").distinct(), "open")
+        sets = materialise(_sets(docs, members.select("doc_id")), "open-sets")
+        deep = materialise(deep_pairs(members, reps).join(first, ["a", "b"], "left_anti"), "deep-pairs")
+        more = verified(deep, reps, docs, sets)
+        if not more.isEmpty():
+            links = links.unionAll(more)
+            labels = components(links)
+            open_ = still_open(buckets, labels)
+        pairs = materialise(open_pairs(open_, sets).join(first.unionAll(deep), ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            labels = components(links.unionAll(verified(pairs, reps, docs, sets)))
     # class of each row, then component of the class
     leaders = leads.filter("copies > 1").select("class", F.col("doc_id").alias("leader"))
     rows = sketch.select("doc_id", "text_hash", "n_shingles", "class").join(leaders, "class", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("leader", "doc_id").alias("leader"))

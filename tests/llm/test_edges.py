@@ -216,6 +216,67 @@ def test_prose_contexts_find_unseen_identifiers(spark):
     assert all(len(got[i]) == 1 for i in range(40)) and not any(got[300 + i] for i in range(3))
 
 
+@pytest.mark.parametrize("blank", [" ", " " * 60, "\n" * 100, " \t\n" * 1000], ids=["one", "60", "100 lines", "3000"])
+def test_contexts_over_any_blanks(spark, blank):
+    text = f"my{blank}employee{blank}number{blank}is{blank}AB12345{blank}thanks"
+    found = [p for p, *_ in pii.prose_values(text, {})]
+    assert found == ["number is _", "employee number is _", "number is _ thanks"]
+    rows = [(i, t.replace("number is ", f"number{blank}is{blank}")) for i, t in prose_rows()]
+    got = added(rows, pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert all(len(got[100 + i]) == 1 for i in range(4)) and all(len(got[i]) == 1 for i in range(40))
+
+
+def test_blanks_before_values_are_walked_once():
+    start = time.monotonic()
+    for t in ("a b" + " " * 300_000 + "1abcd ", "a" + " \n" * 100_000 + "b " * 3 + "x1234 " * 20_000, ("ab cd" + " " * 50 + "x1234 ") * 5_000, " " * 300_000 + "x1234", "ab " * 100_000 + "x1234"):
+        pii.found_values(t, [])
+    assert time.monotonic() - start < 20
+
+
+def template_documents(n, seed=11, words=12):
+    """n documents of 12 sentences in order, drawn from 18."""
+    rng = random.Random(seed)
+    sentences = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(400)}" for _ in range(words)) for _ in range(18)]
+    return [(i, " ".join(sentences[k] for k in sorted(rng.sample(range(18), 12)))) for i in range(n)]
+
+
+def pairs_compared(spark, monkeypatch, rows):
+    """The result of near-dedup, and how many pairs met the exact test."""
+    counted, plain = [], neardup.verified
+
+    def counting(pairs, *args):
+        counted.append(pairs.count())
+        return plain(pairs, *args)
+
+    monkeypatch.setattr(neardup, "verified", counting)
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()}, sum(counted)
+
+
+def test_documents_of_the_same_passages(spark, monkeypatch):
+    """Far from all pairs are compared, and no link is lost."""
+    found = {}
+    for n in (300, 600):
+        got, found[n] = pairs_compared(spark, monkeypatch, template_documents(n))
+        assert got == components(template_documents(n))
+    assert found[600] < found[300] * 2**1.3
+
+
+def test_large_sets_at_the_threshold_are_linked(spark):
+    """Pairs of sets of 600 to 3,000 shingles just at, and just below, 0.75."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    rows = []
+    for k in range(40):
+        both = [word() for _ in range(604 + 60 * k)]
+        own = (len(both) - 4) // 3
+        own -= own * 3 > len(both) - 4
+        rows += [(3 * k, " ".join(both)), (3 * k + 1, " ".join(both + [word() for _ in range(own)])), (3 * k + 2, " ".join(both + [word() for _ in range(own + 1)]))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = components(rows)
+    assert got == want and all(want[3 * k + 1][1] == 3 * k for k in range(40))
+
+
 def test_pattern_scores_equal_plain_rounds(spark):
     rows = prose_rows() + [(400 + i, f"api_key = '{'%016x' % (i * 7**20)}b' and token: {'%016x' % (i * 7**20)}b") for i in range(12)] + [(500 + i, f"token: word{i}") for i in range(3)]
     edges = defaultdict(dict)
