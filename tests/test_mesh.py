@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from meshloom.jobs import more_queries  # noqa: F401
+from meshloom.jobs import more_queries, shape_queries  # noqa: F401
 from meshloom.jobs.queries import ORACLES, QUERIES
 from meshloom.operators import graph, metrics, nearest, planes, sampling, topology
 from meshloom.sources import ply
