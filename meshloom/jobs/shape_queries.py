@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from meshloom.jobs.queries import FACES, SOUP, V, query, r6
 from meshloom.operators import decimate, repair, topology
 from meshloom.operators.topology import CORNERS
-from meshloom.sources.store import materialise
+from meshloom.sources import stl
+from meshloom.sources.store import materialise, shared_dir
 
 # the soup as a mesh: each corner triple once, numbered by its corners
 _NUMBER = 1 << 20
@@ -218,3 +219,42 @@ def decimated_surface(spark, d):
     of_edges = e.agg(F.count("*").alias("n_edges"), F.count_if(F.col("inc") > 2).alias("n_crowded"))
     rows = f.agg(F.count("*").alias("n_faces")).join(F.broadcast(of_edges)).join(F.broadcast(v.agg(F.count("*").alias("n_vertices")))).join(F.broadcast(loops)).join(F.broadcast(against))
     return rows.select(F.col("n_faces").between(target - 2, target).alias("within_target"), (F.col("n_vertices") - F.col("n_edges") + F.col("n_faces")).alias("euler"), "n_crowded", "n_against", "n_loops")
+
+
+# files
+
+
+@query("SELECT f.fid, round(p.x::FLOAT::DOUBLE,4)+0 AS ax, round(p.y::FLOAT::DOUBLE,4)+0 AS ay, round(p.z::FLOAT::DOUBLE,4)+0 AS az, round(r.x::FLOAT::DOUBLE,4)+0 AS cx, round(r.z::FLOAT::DOUBLE,4)+0 AS cz FROM f JOIN v p ON p.vid = a JOIN v r ON r.vid = c")
+def stl_roundtrip(spark, d):
+    """The tube as STL files and back; the number of a face travels in its attribute."""
+    stl.register(spark)
+    path = f"{shared_dir(spark)}/tube.stl"
+    rows = stl.triangles(V(spark, d), FACES(spark, d)).withColumn("attribute", F.col("fid").cast("int"))
+    rows.select(*stl.PLACES, "attribute").write.format("stl").mode("append").save(path)
+    back = spark.read.format("stl").option("run", 100).load(path)
+    return back.select(F.col("attribute").cast("long").alias("fid"), *((F.round(F.col(c).cast("double"), 4) + 0.0).alias(c) for c in ("ax", "ay", "az", "cx", "cz")))
+
+
+@query("SELECT (SELECT count(*) FROM v) AS n_vertices, count(*) AS n_edges, (SELECT count(*) FROM f) AS n_faces, count(*) FILTER (inc = 1) AS n_boundary FROM edge")
+def stl_welded(spark, d):
+    """Corners that are places become the tube's vertices again."""
+    stl.register(spark)
+    path = f"{shared_dir(spark)}/tube.stl"
+    stl.triangles(V(spark, d), FACES(spark, d)).select(*stl.PLACES).write.format("stl").mode("append").save(path)
+    v, f = stl.welded(spark.read.format("stl").load(path))
+    f = materialise(f, "faces")
+    e = topology.edge_incidence(f).agg(F.count("*").alias("n_edges"), F.count_if(F.col("inc") == 1).alias("n_boundary"))
+    return v.agg(F.count("*").alias("n_vertices")).join(F.broadcast(e)).join(F.broadcast(f.agg(F.count("*").alias("n_faces")))).select("n_vertices", "n_edges", "n_faces", "n_boundary")
+
+
+@query("SELECT fid, a, b, c FROM f")
+def obj_faces(spark, d):
+    """The tube as lines of an OBJ file, read again."""
+    path = f"{shared_dir(spark)}/tube.obj"
+    n = F.format_string
+    rows = V(spark, d).select(F.lit(0).alias("k"), F.col("vid").alias("i"), n("v %.9g %.9g %.9g", "x", "y", "z").alias("value"))
+    rows = rows.unionByName(FACES(spark, d).select(F.lit(1).alias("k"), F.col("fid").alias("i"), n("f %d/1 %d//2 %d", F.col("a") + 1, F.col("b") + 1, F.col("c") + 1).alias("value")))
+    rows.repartitionByRange("k", "i").sortWithinPartitions("k", "i").select("value").write.text(path)
+    f = stl.read_obj(spark, path)[1]
+    # faces are numbered in the order of lines, so the numbers of the tube's faces are their order
+    return f.join(topology.numbered_along(FACES(spark, d).select(F.col("fid").alias("name")), [F.col("name")], "fid"), "fid").select(F.col("name").alias("fid"), *(F.col("idx")[i].alias(c) for i, c in enumerate("abc")))

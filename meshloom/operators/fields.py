@@ -183,7 +183,26 @@ def _residuals(values: np.ndarray):
     return squares
 
 
-def diffusion_embedding(entries: DataFrame, mass: DataFrame, k: int, t: float, vertices: DataFrame | None = None, tolerance: float = 1e-9, most: int = 200, leaf: int = LEAF, top: int = TOP, guard: int = 4, rounds: list | None = None) -> DataFrame:
+def _shares(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How much of each vector of x is in each of w, for the rows of a task."""
+    for f in frames:
+        if len(f):
+            yield pd.DataFrame({"sums": [((np.stack(f["x"]) * f["mass"].to_numpy()[:, None]).T @ np.stack(f["w"])).ravel()]})
+
+
+def _without(shares: np.ndarray):
+    """Take these shares of x out of w: what is left is small beside them, and would be lost in sums of products of w itself."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                x = np.stack(f["x"])
+                yield f.assign(w=list(np.stack(f["w"]) - x @ shares.reshape(x.shape[1], -1)))
+
+    return run
+
+
+def diffusion_embedding(entries: DataFrame, mass: DataFrame, k: int, t: float, vertices: DataFrame | None = None, tolerance: float = 1e-9, most: int = 200, leaf: int = LEAF, top: int = TOP, guard: int = 8, rounds: list | None = None) -> DataFrame:
     """L2: vid and the k coordinates of the diffusion map: the k lowest vectors of ``entries`` x = value * ``mass`` x after the constant one, each times exp(-value t).
 
     Blocks of k + 1 + guard vectors are improved together (preconditioned, with the last direction kept, orthogonalised in the
@@ -252,6 +271,7 @@ def diffusion_embedding(entries: DataFrame, mass: DataFrame, k: int, t: float, v
             break
         parts = F.transform(F.arrays_zip("ax", "x", F.array(*(F.lit(float(v)) for v in values)).alias("of")), lambda z: z["ax"] - z["of"] * F.col("mass") * z["x"])
         solved = materialise(levels.solve(rows.withColumn("residual", parts), "residual", "w").drop("residual"), "directions")
+        solved = solved.mapInPandas(_without(_summed(solved.select("mass", "x", "w").mapInPandas(_shares, "sums array<double>"))), solved.schema)
         rows = materialise(product(solved, "w"), "space")
         columns = ["x", "w"] if turn == 0 else ["x", "w", "p"]
         values, c = space(rows, columns)
