@@ -480,6 +480,21 @@ def center_weighted_geodesic(spark, d):
     return sampling.center_weighted(V(spark, d), FACES(spark, d), config).select("id", *(r6(k, k) for k in (*"xyz", "t", "w")))
 
 
+@query("SELECT true AS enough, 0::BIGINT AS n_conflicts, 0::BIGINT AS n_near_holes, 0::BIGINT AS n_near_ends, 0::BIGINT AS n_other_weights")
+def center_weighted_rules(spark, d):
+    """No two points closer than their spacing, none near a hole or an end, weights of their places."""
+    config = sampling.SampleConfig(n_points=200, oversample=8, rmin=0.4, rmax_mult=3.0, delta=0.1, eps=0.2, hole_keepout=0.3)
+    v, f = V(spark, d), _open_faces(spark, d)
+    chosen = materialise(sampling.center_weighted(v, f, config), "chosen")
+    clashes = sampling.conflicts(chosen, config.rmin * config.rmax_mult).agg(F.count("*").alias("n_conflicts"))
+    v, f = sampling.largest_clean(v, f)
+    holes = sampling.end_sets(v, f, config)[1]
+    near = nearest.nearest(chosen, v.join(holes, "vid", "left_semi").select(F.col("vid").alias("id"), *("xyz"))).agg(F.count_if(F.col("d") < config.hole_keepout).alias("n_near_holes"))
+    weight = metrics.sample_weight(F.col("t"), config.delta, config.eps)
+    own = chosen.agg(F.count("*").between(20, 200).alias("enough"), F.count_if(~F.col("t").between(0.1, 0.9)).alias("n_near_ends"), F.count_if(F.abs(F.col("w") - weight) > 1e-12).alias("n_other_weights"))
+    return own.join(F.broadcast(clashes)).join(F.broadcast(near)).select("enough", "n_conflicts", "n_near_holes", "n_near_ends", "n_other_weights")
+
+
 @query()
 def poisson_exact_75(spark, d):
     """L4: 75 points of one spacing over the surface."""

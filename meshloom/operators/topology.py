@@ -62,6 +62,16 @@ def fan_triangles(polygons: DataFrame) -> DataFrame:
     return polygons.filter(F.size("idx") >= 3).select("fid", F.posexplode(fans).alias("part", "t")).select("fid", F.col("part").cast("long").alias("part"), "t.a", "t.b", "t.c")
 
 
+def counted_before(rows: DataFrame, n: str, key: str, block: int = 1 << 16) -> DataFrame:
+    """``key`` and ``before``, the sum of ``n`` over all smaller keys: within blocks of keys, and over the sums of blocks before."""
+    dealt = rows.select(key, n, F.floor(F.col(key) / block).alias("__block"))
+    upto = lambda w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row for each block of keys
+    shifts = dealt.groupBy("__block").agg(F.sum(n).alias(n)).select("__block", upto(Window.orderBy("__block")).alias("__before"))
+    own = dealt.select(key, "__block", upto(Window.partitionBy("__block").orderBy(key)).alias("__own"))
+    return own.join(shifts, "__block").select(key, (F.col("__before") + F.col("__own")).alias("before"))
+
+
 def padded_triangles(rows: DataFrame) -> DataFrame:
     """faces (fid, a, b, c) of rows (chunk, padded): a chunk's array is 3, a, b, c, 3, a, b, c, ... and chunks follow each other by number. Another count than 3 is an error."""
     n = F.size("padded")
@@ -69,9 +79,7 @@ def padded_triangles(rows: DataFrame) -> DataFrame:
     each = rows.filter(n > 0).select("chunk", F.posexplode(runs).alias("place", "f"))
     ok = (F.size("f") == 4) & (F.col("f")[0] == 3)
     checked = each.select("chunk", "place", F.when(ok, F.col("f")).otherwise(F.raise_error(F.lit("a face is no triangle")).cast("array<long>")).alias("f"))
-    counts = rows.select("chunk", F.floor(n / 4).alias("n"))
-    # a row for each chunk
-    before = counts.select("chunk", F.coalesce(F.sum("n").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = counted_before(rows.select("chunk", F.floor(n / 4).alias("n")), "n", "chunk")
     return checked.join(before, "chunk").select((F.col("before") + F.col("place")).alias("fid"), *(F.col("f")[i + 1].alias(k) for i, k in enumerate(CORNERS)))
 
 
