@@ -98,11 +98,12 @@ def _suspects(rows: DataFrame, twice: SeenTwice, chars: int) -> DataFrame:
 class _Known:
     """The confirmed keys as sorted arrays."""
 
-    def __init__(self, rows: list):
-        rows = sorted((h & (1 << 64) - 1, bytes(d), last) for h, d, last in rows)
-        self.hashes = np.array([r[0] for r in rows], np.uint64)
-        self.digests = np.array([r[1] for r in rows], "S16")
-        self.last = np.array([r[2] for r in rows], np.int64)
+    def __init__(self, rows: pa.Table):
+        hashes = rows.column("hash").to_numpy().view(np.uint64)
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.digests = np.array(rows.column("digest").to_pylist(), "S16")[order]
+        self.last = rows.column("last").to_numpy()[order]
 
     def dropped(self, lines: Lines, ids: np.ndarray) -> list[int]:
         """The indices of ``lines.long`` that go from documents with these ids."""
@@ -164,7 +165,7 @@ def drop_lines(docs: DataFrame, chars: int = CHARS, documents: int = DOCUMENTS,
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     id_, text = F.col("row.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text")
     if repeated.count() <= keys:
-        known = docs.sparkSession.sparkContext.broadcast(_Known(repeated.collect()))
+        known = docs.sparkSession.sparkContext.broadcast(_Known(repeated.toArrow()))
         rows = docs.select(whole).select("row", id_, text)
     else:
         known = None
