@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meshloom.jobs.queries import FACES, SOUP, V, query, r6
-from meshloom.operators import decimate, repair, topology
+from meshloom.operators import decimate, repair, subdivide, topology
 from meshloom.operators.topology import CORNERS
 from meshloom.sources import stl
 from meshloom.sources.store import materialise, shared_dir
@@ -209,9 +209,9 @@ def decimation_round(spark, d):
 
 @query("SELECT true AS within_target, (SELECT count(*) FROM v) - (SELECT count(*) FROM edge) + (SELECT count(*) FROM f) AS euler, 0::BIGINT AS n_crowded, 0::BIGINT AS n_against, 2::BIGINT AS n_loops")
 def decimated_surface(spark, d):
-    """The tube at two thirds of its faces: as many as wanted, the same shape (Euler's number, two open ends), a manifold whose faces agree."""
+    """The tube at four fifths of its faces: as many as wanted, the same shape (Euler's number, two open ends), a manifold whose faces agree."""
     v, f = V(spark, d), FACES(spark, d)
-    target = f.count() * 2 // 3
+    target = f.count() * 4 // 5
     v, f = (materialise(x, "decimated") for x in decimate.decimated(v, f, target))
     e = materialise(topology.edge_incidence(f), "edges")
     loops = repair.loop_ranks(repair.boundary_next(f)).filter("place = 0").agg(F.count("*").alias("n_loops"))
@@ -221,6 +221,33 @@ def decimated_surface(spark, d):
     return rows.select(F.col("n_faces").between(target - 2, target).alias("within_target"), (F.col("n_vertices") - F.col("n_edges") + F.col("n_faces")).alias("euler"), "n_crowded", "n_against", "n_loops")
 
 
+# subdivision of edges longer than 0.45
+
+_SPLIT = """, cut AS (SELECT u, w, inc, (SELECT max(vid) + 1 FROM v) + row_number() OVER (ORDER BY u, w) - 1 AS vid FROM len WHERE len > 0.45::DOUBLE)"""
+_TURN = "SELECT fid, n, {0} AS p, {1} AS q, {2} AS r, {0}{1} AS pq, {1}{2} AS qr, {2}{0} AS rp FROM met WHERE {3}"
+_PLACED = _SPLIT + """, far AS (SELECT least(s, e) AS u, greatest(s, e) AS w, sum(x) AS x, sum(y) AS y, sum(z) AS z FROM (SELECT a AS s, b AS e, c AS o FROM f UNION ALL SELECT b, c, a FROM f UNION ALL SELECT c, a, b FROM f) JOIN v ON v.vid = o GROUP BY ALL),
+arc AS (SELECT e.s, e.o, e.inc, cut.u IS NOT NULL AS split FROM (SELECT u AS s, w AS o, inc FROM edge UNION ALL SELECT w, u, inc FROM edge) e LEFT JOIN cut ON cut.u = least(s, o) AND cut.w = greatest(s, o)),
+nb AS (SELECT s AS vid, count(*) AS n, bool_and(split) AS split, count(*) FILTER (inc <> 2) AS n_rim, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, coalesce(sum(x) FILTER (inc <> 2), 0) AS rx, coalesce(sum(y) FILTER (inc <> 2), 0) AS ry, coalesce(sum(z) FILTER (inc <> 2), 0) AS rz FROM arc JOIN v ON v.vid = o GROUP BY s)"""
+
+
+@query(_PLACED + " SELECT vid, " + ", ".join(f"round(CASE WHEN NOT coalesce(split, false) THEN {k} WHEN n_rim = 0 AND n = 3 THEN 0.4375::DOUBLE*{k}+0.5625::DOUBLE*m{k} WHEN n_rim = 0 THEN 0.625::DOUBLE*{k}+0.375::DOUBLE*m{k} WHEN n_rim = 2 THEN 0.75::DOUBLE*{k}+r{k}/8 ELSE {k} END,6)+0 AS {k}" for k in "xyz")
+       + " FROM v LEFT JOIN nb USING (vid) UNION ALL SELECT cut.vid, " + ", ".join(f"round(CASE WHEN inc = 2 THEN 0.375::DOUBLE*(p.{k}+q.{k})+far.{k}/8 ELSE (p.{k}+q.{k})/2 END,6)+0" for k in "xyz") + " FROM cut JOIN v p ON p.vid = cut.u JOIN v q ON q.vid = cut.w JOIN far ON far.u = cut.u AND far.w = cut.w")
+def subdivision_vertices(spark, d):
+    return subdivide.subdivided(V(spark, d), FACES(spark, d), 0.45)[0].select("vid", *(r6(k, k) for k in "xyz"))
+
+
+@query(_SPLIT + """, met AS (SELECT f.*, i.vid AS ab, j.vid AS bc, k.vid AS ca, (i.vid IS NOT NULL)::INT + (j.vid IS NOT NULL)::INT + (k.vid IS NOT NULL)::INT AS n FROM f
+  LEFT JOIN cut i ON i.u = least(a, b) AND i.w = greatest(a, b) LEFT JOIN cut j ON j.u = least(b, c) AND j.w = greatest(b, c) LEFT JOIN cut k ON k.u = least(c, a) AND k.w = greatest(c, a)),
+t AS (""" + " UNION ALL ".join(_TURN.format(*t) for t in (("a", "b", "c", "n IN (0, 3) OR (n = 1 AND ab IS NOT NULL) OR (n = 2 AND ca IS NULL)"), ("b", "c", "a", "(n = 1 AND bc IS NOT NULL) OR (n = 2 AND ab IS NULL)"), ("c", "a", "b", "(n = 1 AND ca IS NOT NULL) OR (n = 2 AND bc IS NULL)")))
+       + """), d AS (SELECT t.*, pow(p.x-(q.x+r.x)/2,2)+pow(p.y-(q.y+r.y)/2,2)+pow(p.z-(q.z+r.z)/2,2) <= pow((p.x+q.x)/2-r.x,2)+pow((p.y+q.y)/2-r.y,2)+pow((p.z+q.z)/2-r.z,2) AS one FROM t JOIN v p ON p.vid = t.p JOIN v q ON q.vid = t.q JOIN v r ON r.vid = t.r)
+SELECT 4*fid AS fid, p AS a, q AS b, r AS c FROM d WHERE n = 0 UNION ALL SELECT 4*fid, p, pq, r FROM d WHERE n = 1 UNION ALL SELECT 4*fid+1, pq, q, r FROM d WHERE n = 1
+UNION ALL SELECT 4*fid, pq, q, qr FROM d WHERE n = 2 UNION ALL SELECT 4*fid+1, p, pq, CASE WHEN one THEN qr ELSE r END FROM d WHERE n = 2 UNION ALL SELECT 4*fid+2, CASE WHEN one THEN p ELSE pq END, qr, r FROM d WHERE n = 2
+UNION ALL SELECT 4*fid, p, pq, rp FROM d WHERE n = 3 UNION ALL SELECT 4*fid+1, q, qr, pq FROM d WHERE n = 3 UNION ALL SELECT 4*fid+2, r, rp, qr FROM d WHERE n = 3 UNION ALL SELECT 4*fid+3, pq, qr, rp FROM d WHERE n = 3""")
+def subdivision_faces(spark, d):
+    """Faces by which of their sides are cut."""
+    return subdivide.subdivided(V(spark, d), FACES(spark, d), 0.45)[1]
+
+
 # files
 
 

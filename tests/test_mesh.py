@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -67,6 +68,26 @@ def test_distances_over_blocks(spark):
     assert got == {i: (float(d), s) for i, (d, s) in want.items()}
 
 
+def test_shuffled_ids_cost_few_more_rounds(spark):
+    """Blocks by place: a sheet whose ids are shuffled takes about the rounds of one whose ids follow it; by id it takes far more."""
+    n, rng = 20, random.Random(3)
+    name = list(range(n * n))
+    rng.shuffle(name)
+    found = {}
+    for kind, ids in (("ordered", range(n * n)), ("shuffled", name)):
+        at = lambda i, j, ids=ids: ids[i * n + j]
+        v = spark.createDataFrame([(at(i, j), float(i), float(j), 0.0) for i in range(n) for j in range(n)], "vid long, x double, y double, z double")
+        e = spark.createDataFrame([(at(i, j), at(i + a, j + b), 1.0 + (i * 7 + j * 3) % 5 / 10) for i in range(n) for j in range(n) for a, b in ((0, 1), (1, 0)) if i + a < n and j + b < n], "u long, w long, len double")
+        source = spark.createDataFrame([(at(0, 0),)], "vid long")
+        for dealt, places in (("by place", v), ("by id", None)):
+            if (kind, dealt) != ("ordered", "by id"):
+                rounds = []
+                found[kind, dealt] = {ids.index(r["vid"]) if kind == "shuffled" else r["vid"]: r["d"] for r in graph.distances(e, source, places, block=64, rounds=rounds).collect()}, rounds[0]
+    (one, a), (two, b), (three, c) = found.values()
+    assert one.keys() == two.keys() == three.keys() and all(abs(one[k] - two[k]) < 1e-9 and abs(one[k] - three[k]) < 1e-9 for k in one)
+    assert b <= 2 * a and c > 2 * b
+
+
 def test_overlap_keeps_not_a_number(spark):
     v = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, float("nan"), 0.0, 0.0), (2, 5.0, 0.0, 0.0)], "vid long, x double, y double, z double")
     cut = spark.createDataFrame([(0, -0.0, 0.0, 0.0), (1, float("nan"), 0.0, 0.0)], "vid long, x double, y double, z double")
