@@ -8,7 +8,7 @@ under its rarest one. For a url its tokens fetch the rules filed there and only
 compiles when it is first fetched. Rules without a whole token are tried on every url.
 
 Rules are given as tuples or as a table (kind, verdict, text). They are broadcast in blocks of BLOCK_RULES; the blocks judge
-the urls one after the other in the same pass, each handing on the best rule so far, so any number of rules takes one scan.
+the urls one after the other in the same pass, each handing on the best rule so far; the counts of tokens take a scan of the urls for each block before.
 
 The host and path rule with the longest text wins (of equals the first given). Where none fits, any fitting pattern rule
 decides in the same way, and where none does the verdict is ``allow``.
