@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meshloom.jobs.queries import FACES, SOUP, V, query, r6
-from meshloom.operators import decimate, repair, subdivide, topology
+from meshloom.operators import decimate, repair, subdivide, topology, volume
 from meshloom.operators.topology import CORNERS
 from meshloom.sources import stl
 from meshloom.sources.store import materialise, shared_dir
@@ -248,6 +248,63 @@ def subdivision_faces(spark, d):
     return subdivide.subdivided(V(spark, d), FACES(spark, d), 0.45)[1]
 
 
+# reconstruction on a grid
+
+
+def _options(h: float) -> str:
+    """Closest places of the faces to the nodes within reach: by the plane's foot (part 0) and the three sides."""
+    h_, reach = f"{h}::DOUBLE", f"{volume.REACH * h!r}::DOUBLE"
+    dot = lambda u, v: f"({u}x*{v}x+{u}y*{v}y+{u}z*{v}z)"
+    spans = ", ".join(f"ceil((least(a{k},b{e},c{k})-{reach})/{h_})::BIGINT AS {g}0, floor((greatest(a{k},b{e},c{k})+{reach})/{h_})::BIGINT AS {g}1" for k, e, g in (("x", "x", "i"), ("y", "y_", "j"), ("z", "z", "k")))
+    return f""", rim AS (SELECT u, w FROM edge WHERE inc = 1), rv AS (SELECT u AS vid FROM rim UNION SELECT w FROM rim),
+tri AS (SELECT p.*, {spans}, bx-ax AS abx, by_-ay AS aby, bz-az AS abz, cx-ax AS acx, cy-ay AS acy, cz-az AS acz FROM p),
+nm AS (SELECT *, sqrt(mx*mx+my*my+mz*mz) AS ar FROM (SELECT *, aby*acz-abz*acy AS mx, abz*acx-abx*acz AS my, abx*acy-aby*acx AS mz FROM tri)),
+ti AS (SELECT *, unnest(generate_series(i0, i1)) AS i FROM nm WHERE ar > 0), tj AS (SELECT *, unnest(generate_series(j0, j1)) AS j FROM ti), tk AS (SELECT *, unnest(generate_series(k0, k1)) AS k FROM tj),
+pl AS (SELECT *, i*{h_} AS px, j*{h_} AS py, k*{h_} AS pz, mx/ar AS nx, my/ar AS ny, mz/ar AS nz FROM tk),
+bary AS (SELECT *, {dot('ab', 'ab')} AS d00, {dot('ab', 'ac')} AS d01, {dot('ac', 'ac')} AS d11, (px-ax)*abx+(py-ay)*aby+(pz-az)*abz AS d20, (px-ax)*acx+(py-ay)*acy+(pz-az)*acz AS d21 FROM pl),
+foot AS (SELECT *, (d11*d20-d01*d21)/(d00*d11-d01*d01) AS v_, (d00*d21-d01*d20)/(d00*d11-d01*d01) AS w_ FROM bary),
+side AS (""" + " UNION ALL ".join(f"SELECT {n} AS part, f.fid, {q} AS s, {r} AS e, q.x AS sx, q.y AS sy, q.z AS sz, r.x-q.x AS ex, r.y-q.y AS ey, r.z-q.z AS ez FROM f JOIN v q ON q.vid = {q} JOIN v r ON r.vid = {r}" for n, (q, r) in enumerate(("ab", "bc", "ca"), 1)) + f"""),
+flag AS (SELECT side.*, rim.u IS NOT NULL AS fs, a.vid IS NOT NULL AS f0, b.vid IS NOT NULL AS f1 FROM side LEFT JOIN rim ON u = least(s, e) AND w = greatest(s, e) LEFT JOIN rv a ON a.vid = s LEFT JOIN rv b ON b.vid = e),
+al AS (SELECT flag.*, i, j, k, px, py, pz, nx, ny, nz, least(greatest(((px-sx)*ex+(py-sy)*ey+(pz-sz)*ez)/(ex*ex+ey*ey+ez*ez), 0.0::DOUBLE), 1.0::DOUBLE) AS t FROM pl JOIN flag USING (fid)),
+gap AS (SELECT i, j, k, fid, 0 AS part, false AS rim, px-(ax+(abx*v_+acx*w_)) AS gx, py-(ay+(aby*v_+acy*w_)) AS gy, pz-(az+(abz*v_+acz*w_)) AS gz, nx, ny, nz FROM foot WHERE v_ >= 0 AND w_ >= 0 AND v_+w_ <= 1
+  UNION ALL SELECT i, j, k, fid, part, CASE WHEN t <= 0 THEN f0 WHEN t >= 1 THEN f1 ELSE fs END, px-(sx+ex*t), py-(sy+ey*t), pz-(sz+ez*t), nx, ny, nz FROM al),
+op AS (SELECT *, sqrt({dot('g', 'g')}) AS d, {dot('g', 'n')} AS fr FROM gap),
+nd AS (SELECT i, j, k, arg_min(CASE WHEN fr < 0 THEN -d ELSE d END, {{'d': round(d/{h_}, 6), 'f': -round(coalesce(abs(fr)/nullif(d, 0), 1), 6), 'fid': fid, 'part': part}}) AS val, arg_min(rim, {{'d': round(d/{h_}, 6), 'f': -round(coalesce(abs(fr)/nullif(d, 0), 1), 6), 'fid': fid, 'part': part}}) AS rim FROM op WHERE d <= {reach} GROUP BY i, j, k)"""
+
+
+def _extraction(h: float) -> str:
+    """The surface between nodes (i, j, k, val, rim) by the case table."""
+    zero, b = 1 << (volume.BITS - 1), volume.BITS
+    table = ", ".join(f"({t},{m},{part},{e[0][0]},{e[0][1]},{e[1][0]},{e[1][1]},{e[2][0]},{e[2][1]})" for t, m, part, e in volume.cases())
+    walks = ((0, 1, 3, 7), (0, 1, 5, 7), (0, 2, 3, 7), (0, 2, 6, 7), (0, 4, 5, 7), (0, 4, 6, 7))
+    masks = ", ".join("+".join(f"(vals[{c + 1}] < 0)::INT*{1 << n}" for n, c in enumerate(w)) for w in walks)
+    moved = lambda e: f"((((i+{zero}+(l{e}&1))::BIGINT << {b}) + j+{zero}+((l{e}>>1)&1)) << {b}) + k+{zero}+((l{e}>>2)&1)"
+    place = lambda e, g, n: f"({g}+((l{e}>>{n})&1)+vals[l{e}+1]/(vals[l{e}+1]-vals[h{e}+1])*((xor(l{e},h{e})>>{n})&1))*{h}::DOUBLE"
+    return f""", cc AS (SELECT i-(c&1) AS i, j-((c>>1)&1) AS j, k-((c>>2)&1) AS k, c, val, rim FROM nd, range(8) r(c)),
+held AS (SELECT i, j, k, list(val ORDER BY c) AS vals FROM cc GROUP BY i, j, k HAVING count(*) = 8 AND NOT bool_or(rim) AND min(val) < 0 AND max(val) >= 0),
+tet AS (SELECT *, unnest(range(6)) AS tet, unnest([{masks}]) AS mask FROM held),
+cases(tet, mask, part, l0, h0, l1, h1, l2, h2) AS (VALUES {table}),
+cut AS (SELECT (((((i+{zero})::BIGINT << {b}) + j+{zero}) << {b}) + k+{zero})*16 + tet*2 + part AS fid, """ + ", ".join(f"({moved(e)})*8+xor(l{e},h{e}) AS v{e}, " + ", ".join(f"{place(e, g, n)} AS {x}{e}" for n, (g, x) in enumerate((("i", "x"), ("j", "y"), ("k", "z")))) for e in range(3)) + " FROM tet JOIN cases USING (tet, mask))"
+
+
+_GRID = 0.15
+
+
+@query(_options(_GRID) + " SELECT i, j, k, round(val, 6) + 0 AS value, rim FROM nd")
+def grid_distances(spark, d):
+    return volume.distances(V(spark, d), FACES(spark, d), _GRID).select("i", "j", "k", r6("value", "value"), "rim")
+
+
+@query(_options(_GRID) + _extraction(_GRID) + " SELECT fid, v0 AS a, v1 AS b, v2 AS c FROM cut")
+def reconstructed_faces(spark, d):
+    return volume.reconstructed(V(spark, d), FACES(spark, d), _GRID)[1]
+
+
+@query(_options(_GRID) + _extraction(_GRID) + " SELECT DISTINCT vid, round(x, 6) + 0 AS x, round(y, 6) + 0 AS y, round(z, 6) + 0 AS z FROM (" + " UNION ALL ".join(f"SELECT v{e} AS vid, x{e} AS x, y{e} AS y, z{e} AS z FROM cut" for e in range(3)) + ")")
+def reconstructed_vertices(spark, d):
+    return volume.reconstructed(V(spark, d), FACES(spark, d), _GRID)[0].select("vid", *(r6(k, k) for k in "xyz"))
+
+
 # files
 
 

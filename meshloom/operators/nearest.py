@@ -194,12 +194,8 @@ def nearest(points: DataFrame, targets: DataFrame, axes: Sequence[str] = "xyz")
     return _search(points, targets.select(F.col("id").cast("long").alias("target"), *axes, *boxes, data), _to_places, axes)
 
 
-def closest_on_triangles(points: DataFrame, corners: DataFrame) -> DataFrame:
-    """For each of ``points`` (id, x, y, z) the closest place on the triangles ``corners`` (fid, ax, .. cz): id, fid, x, y, z, d; the least fid of equals.
-
-    At most FEW points, such as a mesh's centroid, are a query set that one scan of the triangles answers; more are searched by blocks.
-    """
-    p, a, b, c = (vec3.vec(k) for k in "pabc")
+def closest_options(p: vec3.Vec, a: vec3.Vec, b: vec3.Vec, c: vec3.Vec) -> tuple[Column, vec3.Vec, list[tuple[Column, vec3.Vec]]]:
+    """Whether the foot of ``p`` on a triangle's plane lies within it, that foot, and for the sides ab, bc, ca how far along (0 to 1) the place closest to ``p`` is, and that place."""
     ab, ac, ap = vec3.sub(b, a), vec3.sub(c, a), vec3.sub(p, a)
     d00, d01, d11, d20, d21 = vec3.dot(ab, ab), vec3.dot(ab, ac), vec3.dot(ac, ac), vec3.dot(ap, ab), vec3.dot(ap, ac)
     det = d00 * d11 - d01 * d01
@@ -209,11 +205,21 @@ def closest_on_triangles(points: DataFrame, corners: DataFrame) -> DataFrame:
     def on_side(q, r):
         side = vec3.sub(r, q)
         t = F.coalesce(vec3.dot(vec3.sub(p, q), side) / F.nullif(vec3.dot(side, side), F.lit(0.0)), F.lit(0.0))
-        return vec3.add(q, vec3.scale(side, F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))))
+        t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+        return t, vec3.add(q, vec3.scale(side, t))
+
+    return F.coalesce((v >= 0) & (w >= 0) & (v + w <= 1), F.lit(False)), inside, [on_side(a, b), on_side(b, c), on_side(c, a)]
 
+
+def closest_on_triangles(points: DataFrame, corners: DataFrame) -> DataFrame:
+    """For each of ``points`` (id, x, y, z) the closest place on the triangles ``corners`` (fid, ax, .. cz): id, fid, x, y, z, d; the least fid of equals.
+
+    At most FEW points, such as a mesh's centroid, are a query set that one scan of the triangles answers; more are searched by blocks.
+    """
+    p, a, b, c = (vec3.vec(k) for k in "pabc")
+    within, inside, sides_ = closest_options(p, a, b, c)
     pick = lambda q, ok=None: F.when(F.lit(True) if ok is None else ok, F.struct(vec3.distance(p, q).alias("d"), q[0].alias("x"), q[1].alias("y"), q[2].alias("z")))
-    within = F.coalesce((v >= 0) & (w >= 0) & (v + w <= 1), F.lit(False))
-    best = F.array_min(F.filter(F.array(pick(inside, within), pick(on_side(a, b)), pick(on_side(b, c)), pick(on_side(c, a))), lambda s: s.isNotNull()))
+    best = F.array_min(F.filter(F.array(pick(inside, within), *(pick(place) for _, place in sides_)), lambda s: s.isNotNull()))
     named = points.select("id", *(F.col(k).alias(f"p{k}") for k in "xyz"))
     if points.limit(FEW + 1).count() <= FEW:
         met = corners.join(F.broadcast(named)).select("id", "fid", best.alias("s")).select("id", F.struct(F.col("s.d").alias("d"), "fid", F.col("s.x").alias("x"), F.col("s.y").alias("y"), F.col("s.z").alias("z")).alias("s"))
