@@ -85,7 +85,8 @@ def _met(corners: DataFrame, size: float) -> DataFrame:
     rows = rows.withColumns(spans)
     most = F.greatest(*(F.greatest(F.abs(f"{g}0"), F.abs(f"{g}1")) for g in _STEP))
     rows = rows.withColumn("i0", F.when(most < _ZERO - 1, F.col("i0")).otherwise(F.raise_error(F.lit("the grid is too fine for the mesh's places")).cast("long")))
-    rows = rows.repartition("fid", "s", "t")  # pieces of a large triangle are work for many tasks
+    # pieces of a large triangle are work for many tasks; a stated number, as few small rows would be drawn together in one task and grow there
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fid", "s", "t")
     for g in _STEP:
         rows = rows.withColumn(g, F.explode(F.sequence(f"{g}0", f"{g}1")))
     return rows.withColumns({f"p{k}": F.col(g) * F.lit(size) for k, g in zip("xyz", _STEP, strict=True)})
@@ -118,8 +119,9 @@ def distances(vertices: DataFrame, faces: DataFrame, size: float) -> DataFrame:
     def on(s: str, t: Column) -> Column:
         return F.when(t <= 0, F.col(f"rim_{s[0]}")).when(t >= 1, F.col(f"rim_{s[1]}")).otherwise(F.col(f"side_{s}"))
 
+    # one row at most of a triangle and a node goes to the aggregation
     options = F.array(option(0, F.lit(False), F.col("ok0")), *(option(n, on(s, F.col(f"t{n}")), F.lit(True)) for n, s in enumerate(("ab", "bc", "ca"), 1)))
-    near = met.select(*_STEP, F.explode(F.array_compact(options)).alias("best"))
+    near = met.select(*_STEP, F.explode(F.array_compact(F.array(F.array_min(F.array_compact(options))))).alias("best"))
     node = sum((F.col(g) + _ZERO) * step for g, step in _STEP.items())
     least = near.groupBy(*_STEP).agg(F.min("best").alias("best"))
     return least.select(node.alias("node"), *_STEP, F.col("best.value").alias("value"), F.col("best.rim").alias("rim"))
