@@ -100,6 +100,20 @@ def checked_faces(faces: DataFrame) -> DataFrame:
     return faces.withColumns({k: whole(k) for k in CORNERS})
 
 
+def checked_attributes(rows: DataFrame, normals: list[str] | None = None, colours: list[str] | None = None) -> DataFrame:
+    """Vertices or faces with their columns of normals (three, finite) and colours (three or four, 0 to 1); a bad value fails the query. As columns, attributes have as many rows as what they describe."""
+    if normals is not None and len(normals) != 3:
+        raise ValueError(f"a normal has three columns, not {len(normals)}")
+    if colours is not None and len(colours) not in (3, 4):
+        raise ValueError(f"a colour has three or four columns, not {len(colours)}")
+
+    def checked(k: str, fine: Column, what: str) -> Column:
+        return F.when(F.coalesce(fine, F.lit(False)), F.col(k)).otherwise(F.raise_error(F.concat(F.lit(f"{what} {k}: "), F.coalesce(F.col(k).cast("string"), F.lit("null")))).cast("double"))
+
+    found = {k: checked(k, ~F.isnan(k) & (F.abs(k) < float("inf")), "non-finite normal") for k in normals or ()}
+    return rows.withColumns(found | {k: checked(k, F.col(k).between(0.0, 1.0), "colour outside 0 to 1") for k in colours or ()})
+
+
 def cleaned(vertices: DataFrame, polygons: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertices and faces (fid, part, a, b, c) of a loaded mesh: polygons as fans, coincident vertices merged into the least, unused ones dropped."""
     faces = fan_triangles(polygons)

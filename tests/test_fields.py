@@ -158,6 +158,22 @@ def test_mesh_contract(spark):
         topology.padded_triangles(spark.createDataFrame([(0, [3, 0, 1, 2, 4, 0, 1, 2, 3])], "chunk long, padded array<long>")).collect()
 
 
+def test_contract_of_attributes(spark):
+    rows = lambda *r: spark.createDataFrame([r], "nx double, ny double, nz double, r double, g double, b double")
+    n, c = ["nx", "ny", "nz"], ["r", "g", "b"]
+    assert tuple(topology.checked_attributes(rows(0.0, 0.0, -1.0, 0.0, 0.5, 1.0), n, c).first()) == (0.0, 0.0, -1.0, 0.0, 0.5, 1.0)
+    for bad in ((math.nan, 0.0, 1.0), (None, 0.0, 1.0), (0.0, -math.inf, 1.0)):
+        with pytest.raises(Exception, match="non-finite normal"):
+            topology.checked_attributes(rows(*bad, 0.0, 0.0, 0.0), n, c).collect()
+    for bad in ((0.0, 1.5, 0.0), (-0.1, 0.0, 0.0), (0.0, 0.0, None), (0.0, math.nan, 0.0)):
+        with pytest.raises(Exception, match="colour outside"):
+            topology.checked_attributes(rows(0.0, 0.0, 1.0, *bad), n, c).collect()
+    with pytest.raises(ValueError, match="three columns"):
+        topology.checked_attributes(rows(*[0.0] * 6), ["nx"])
+    with pytest.raises(ValueError, match="three or four"):
+        topology.checked_attributes(rows(*[0.0] * 6), None, ["r", "g"])
+
+
 def test_colour_finder(spark):
     row = lambda **c: spark.createDataFrame([tuple(c.values())], ", ".join(f"{k} array<double>" for k in c))
     assert colour.find(row(a=[1.0, 2.0, 3.0], rgb=[0.0, 0.0, 300.0])) == "rgb"
