@@ -190,7 +190,7 @@ def test_open_volume_is_an_error(spark):
         metrics.volume_about(f, v, origin(spark)).collect()
 
 
-@pytest.mark.parametrize("name", ["face_vertex_join", "edge_incidence", "signed_volume", "cotan_laplacian", "rgb_to_hsv", "overlap_subtract", "geodesic_to_band", "radius_conflicts", "plane_normal", "boundary_loops", "src_ply_faces"])
+@pytest.mark.parametrize("name", ["face_vertex_join", "edge_incidence", "signed_volume", "cotan_laplacian", "rgb_to_hsv", "overlap_subtract", "geodesic_to_band", "radius_conflicts", "plane_normal", "boundary_loops", "src_ply_faces", "reconstructed_faces"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
