@@ -2,7 +2,7 @@
 
 The vocabulary's pre-tokenizer cuts a text into short pieces and merges never cross them, so the ids of a text are
 those of its pieces in order. Inside a task the pieces of a slice of documents are found with numpy, each distinct
-piece is encoded by the library once, and its ids are laid out where the piece occurs. A long text is cut into several
+piece is encoded by the library once and known by its hash in a table of slots, and its ids are laid out where the piece occurs. A long text is cut into several
 slices where a piece ends. The table of known pieces starts anew between slices once it has ``KNOWN_PIECES``, never within
 one, and a slice whose pieces are not all known is an error, so the table's size changes no result.
 
@@ -16,6 +16,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -23,6 +24,8 @@ from .textblocks import SHINGLE_CODE, mix64
 
 KNOWN_PIECES = 600_000
 SLICE_CHARS = 1 << 19
+#: Slots of the table of known pieces at first, as a power of two; it grows so that half of them stay free.
+TABLE_BITS = 20
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 _CHAR_CODE = np.random.default_rng(7).integers(1, 2**63, 1 << 16, dtype=np.uint64) | np.uint64(1)
 _P, _PINV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
@@ -45,6 +48,15 @@ def _kind(point: int) -> int:
     return _LETTER if category[0] == "L" else _NUMBER if category[0] == "N" else _OTHER
 
 
+def _with_room(values: np.ndarray, used: int, n: int) -> np.ndarray:
+    """An array of at least ``n`` entries, the first ``used`` those of ``values``."""
+    if n <= len(values):
+        return values
+    out = np.empty(max(n, len(values) * 3 // 2), values.dtype)
+    out[:used] = values[:used]
+    return out
+
+
 class Encoder:
     """Encodes many texts; one for each Python worker."""
 
@@ -65,10 +77,10 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)  # sorted
-        self.at = np.zeros(0, np.int64)  # where the ids of each key start
-        self.lengths = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.n_keys = self.n_ids = 0
+        self.keys, self.at, self.lengths = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)  # at: where the ids of each key start
+        self.ids = np.empty(0, np.uint32)
+        self._new_slots(TABLE_BITS)
 
     def _kinds(self, points: np.ndarray) -> np.ndarray:
         kinds = self.kinds[points]
@@ -81,17 +93,43 @@ class Encoder:
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         encoded = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        at = np.cumsum(lengths) - lengths + len(self.ids)
-        self.ids = np.concatenate([self.ids, np.fromiter((i for e in encoded for i in e), np.uint32, int(lengths.sum()))])
-        keys, at, lengths = np.concatenate([self.keys, keys]), np.concatenate([self.at, at]), np.concatenate([self.lengths, lengths])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.lengths = keys[order], at[order], lengths[order]
+        first, n, n_ids = self.n_keys, self.n_keys + len(keys), self.n_ids + int(lengths.sum())
+        self.keys, self.at, self.lengths = (_with_room(x, first, n) for x in (self.keys, self.at, self.lengths))
+        self.ids = _with_room(self.ids, self.n_ids, n_ids)
+        self.keys[first:n], self.lengths[first:n] = keys, lengths
+        self.at[first:n] = np.cumsum(lengths) - lengths + self.n_ids
+        self.ids[self.n_ids : n_ids] = np.fromiter(chain.from_iterable(encoded), np.uint32, n_ids - self.n_ids)
+        self.n_keys, self.n_ids = n, n_ids
+        if 2 * n > len(self.slots):
+            self._new_slots((2 * n).bit_length())
+            first = 0
+        self._place(np.arange(first, n, dtype=np.int32))
+
+    def _new_slots(self, bits: int) -> None:
+        """An empty table of numbers of keys. A key stands at its first ``bits`` bits, or behind them in the next free slot."""
+        self.slots, self.shift = np.full(1 << bits, -1, np.int32), np.uint64(64 - bits)
+
+    def _place(self, numbers: np.ndarray) -> None:
+        slot, last = (self.keys[numbers] >> self.shift).astype(np.int64), len(self.slots) - 1
+        while len(numbers):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = numbers[free]  # of several that want a slot one gets it
+            left = self.slots[slot] != numbers
+            numbers, slot = numbers[left], (slot[left] + 1) & last
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
+        """The number of each key, and whether it is there."""
+        slot, last = (keys >> self.shift).astype(np.int64), len(self.slots) - 1
+        found = self.slots[slot]
+        open_ = np.flatnonzero(found >= 0)
+        open_ = open_[self.keys[found[open_]] != keys[open_]]
+        while len(open_):  # another key has the slot
+            slot[open_] = (slot[open_] + 1) & last
+            found[open_] = number = self.slots[slot[open_]]
+            open_, number = open_[number >= 0], number[number >= 0]
+            open_ = open_[self.keys[number] != keys[open_]]
+        known = found >= 0
+        return np.where(known, found, 0), known
 
     def _slice(self, text: str, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of ``text`` and how many come before each of ``edges`` (places in code points where a document begins, and the end)."""
@@ -143,7 +181,7 @@ class Encoder:
         keys = mix64((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64) * SHINGLE_CODE[60])
         at, known = self._find(keys)
         if not known.all():
-            if len(self.keys) > self.known:  # only here, so that all pieces of this slice are there below
+            if self.n_keys > self.known:  # only here, so that all pieces of this slice are there below
                 self._forget()
                 known = np.zeros(len(keys), bool)
             new, where = np.unique(keys[~known], return_index=True)

@@ -42,6 +42,15 @@ def test_table_size_changes_no_ids():
     assert same_as_library(coder, [" ".join(rng.choice(["one's", "2", "drei", " ", "\n\n", "é🙂"]) + str(rng.randrange(50)) for _ in range(40)) for _ in range(30)])
 
 
+def test_keys_that_want_one_slot_keep_their_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "TABLE_BITS", 1)
+    coder = tokens.Encoder(tokens.default_vocabulary())
+    rng = random.Random(3)
+    for _ in range(20):
+        assert same_as_library(coder, [" ".join(rng.choice(["a", "B2", "é", "\n"]) + str(rng.randrange(2000)) for _ in range(60)) for _ in range(3)])
+        assert len(coder.slots) >= 2 * coder.n_keys
+
+
 def test_long_texts_are_cut_where_pieces_end(monkeypatch):
     monkeypatch.setattr(tokens, "SLICE_CHARS", 7)
     coder = tokens.Encoder(tokens.default_vocabulary())
