@@ -278,7 +278,7 @@ def score_patterns(scanned: DataFrame) -> DataFrame:
 
     def confidence(scores: DataFrame) -> DataFrame:
         seeds = F.count(F.when(F.col("kind") > 0, 1))
-        return materialise(scores.groupBy("pattern").agg(F.count("*").alias("instances"), seeds.alias("seeds"), (shares / seeds).alias("share"), (F.sum("score") / (F.count("*") + 1)).alias("confidence")), "patterns")
+        return scores.groupBy("pattern").agg(F.count("*").alias("instances"), seeds.alias("seeds"), (shares / seeds).alias("share"), (F.sum("score") / (F.count("*") + 1)).alias("confidence"))
 
     doubt = F.when(F.col("confidence") >= SPEAKS, F.log(1 - F.least("confidence", F.lit(0.999)))).otherwise(0.0)
     patterns = confidence(edges.withColumn("score", (F.col("kind") > 0).cast("double")))
@@ -308,7 +308,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     plain = scanned.filter(F.size("found") == 0).select("doc_id", "text_hash", "base", F.lit(None).cast(f"array<{_SPAN}>").alias("more"))
     some, here = scanned.filter(F.size("found") > 0).alias("s"), spans.alias("m")
     met = some.join(here, F.col("s.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("s.text_hash") == F.col("m.text_hash")), "left").select("s.doc_id", "s.text_hash", "s.base", "m.more")
-    out = plain.unionByName(met)
+    # few rows in many shuffle partitions would make as many small files; the spans read from Parquet say how many are worth a task
+    out = plain.unionByName(met.coalesce(max(1, scanned.rdd.getNumPartitions())))
     # an added span that meets a base one gives way to it
     free = F.filter(F.coalesce("more", F.array().cast(f"array<{_SPAN}>")), lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     rank = lambda k: F.array_position(F.array(*map(F.lit, KINDS)), k)
