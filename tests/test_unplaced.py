@@ -3,8 +3,10 @@
 import duckdb
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from meshloom.sources import ply
 
 GIVEN = "/root/testdata/sf0.001"
 #: Rows of a tube of 22 rings and 16 vertices of the next.
@@ -32,3 +34,12 @@ def by_sql(path, name):
 def test_equals_its_sql(spark, cut_short, name):
     columns, want = by_sql(cut_short, name)
     assert sorted(tuple(r) for r in entry.queries()[name](spark, cut_short).select(*columns).collect()) == want
+
+
+def test_exported_qualities_keep_their_digits(spark, tmp_path):
+    """Nine digits make 12.18115 of the first, which rounds up."""
+    values = [12.181149953976274, 0.1, 3.0]
+    v = spark.createDataFrame([(i, 0.0, 0.0, 0.0, x, x, x) for i, x in enumerate(values)], "vid long, x double, y double, z double, mine double, quality_longitudinal double, quality_transverse double")
+    f = spark.createDataFrame([(0, 0, 1, 2)], "fid long, a long, b long, c long")
+    back = ply.read_ply(spark, ply.export_mesh(v, f, f"{tmp_path}/a.ply", "mine"))[0]
+    assert [r[0] for r in back.orderBy("vid").select(F.col("quality")).collect()] == values
