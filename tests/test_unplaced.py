@@ -1,11 +1,14 @@
 """A tube whose last ring is not whole has one face that names a vertex without a place; queries say of it what their SQL says."""
 
+import math
+
 import duckdb
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from meshloom.operators import planes
 from meshloom.sources import ply
 
 GIVEN = "/root/testdata/sf0.001"
@@ -43,3 +46,12 @@ def test_exported_qualities_keep_their_digits(spark, tmp_path):
     f = spark.createDataFrame([(0, 0, 1, 2)], "fid long, a long, b long, c long")
     back = ply.read_ply(spark, ply.export_mesh(v, f, f"{tmp_path}/a.ply", "mine"))[0]
     assert [r[0] for r in back.orderBy("vid").select(F.col("quality")).collect()] == values
+
+
+def test_quality_of_a_mesh_within_its_band(spark):
+    v = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 0.0, 1.0, -1.0)], "vid long, x double, y double, z double")
+    f = spark.createDataFrame([(0, 0, 1, 2)], "fid long, a long, b long, c long")
+    plane = spark.createDataFrame([(0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 9.0)], ", ".join(f"{k} double" for k in ("mx", "my", "mz", "cx", "cy", "cz", "ep")))
+    assert [r["quality"] for r in planes.quality(v, f, plane).collect()] == [0.0] * 3
+    q = planes.quality(v, f, plane, flat=float("nan")).withColumn("quality_transverse", F.col("quality"))
+    assert all(math.isnan(r["quality"]) for r in q.collect()) and q.filter(planes.within_bounds(["transverse"])).isEmpty()
