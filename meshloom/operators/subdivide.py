@@ -55,13 +55,13 @@ def kept_places(vertices: DataFrame, faces: DataFrame, split: DataFrame) -> Data
 
 
 def cut_faces(vertices: DataFrame, faces: DataFrame, split: DataFrame) -> DataFrame:
-    """fid (4 times that of the face, and 0 to 3), a, b, c: a face with three new vertices becomes four, with two three (its other part cut along the shorter diagonal, by the middles), with one two."""
+    """fid (4 times that of the face, and 0 to 3), a, b, c: a face with three new vertices becomes four, with two three (its other part cut along the shorter diagonal, by the middles), with one two. A face that names a vertex without a place is left out."""
     rows = faces.select("fid", *CORNERS)
     for name, (p, q) in {"ab": "ab", "bc": "bc", "ca": "ca"}.items():
         side = split.select(F.col("u").alias("__u"), F.col("w").alias("__w"), F.col("vid").alias(name))
         rows = rows.join(side, (F.least(p, q) == F.col("__u")) & (F.greatest(p, q) == F.col("__w")), "left").drop("__u", "__w")
     for k in CORNERS:
-        rows = rows.join(vertices.select(F.col("vid").alias(k), F.struct(*"xyz").alias(f"{k}_at")), k, "left")
+        rows = rows.join(vertices.select(F.col("vid").alias(k), F.struct(*"xyz").alias(f"{k}_at")), k)
     turned = lambda p, q, r: F.struct(*(F.col(c).alias(n) for c, n in ((p, "p"), (q, "q"), (r, "r"), (p + q, "pq"), (q + r, "qr"), (r + p, "rp"), (f"{p}_at", "p_at"), (f"{q}_at", "q_at"), (f"{r}_at", "r_at"))))
     has = {s: F.col(s).isNotNull() for s in ("ab", "bc", "ca")}
     count = sum(c.cast("int") for c in has.values())
