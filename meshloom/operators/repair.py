@@ -148,15 +148,17 @@ def loop_ranks(boundary: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def least_area(points: np.ndarray, barred: set[tuple[int, int]] = frozenset()) -> tuple[float, list[tuple[int, int, int]]]:
-    """The triangulation of a closed polygon (n by 3) of least area that uses no barred chord (i < j), as (i, j, k) places; infinite and none where there is none. The first of equals."""
+    """The triangulation of a closed polygon (n by 3) of least area that uses no barred chord (i < j), as (i, j, k) places; infinite and none where there is none. The first of equals. As few triangles as can be have a corner without a place (NaN); what those count is more than all others."""
     n = len(points)
+    known = ~np.isnan(points).any(axis=1)
+    large = 1 + n * float((np.ptp(points[known], axis=0) ** 2).sum()) if known.any() else 1.0
     cost, cut = np.zeros((n, n)), np.zeros((n, n), int)
     for span in range(2, n):
         for i in range(n - span):
             j = i + span
             k = np.arange(i + 1, j)
             areas = np.linalg.norm(np.cross(points[k] - points[i], points[j] - points[i]), axis=1) / 2
-            total = cost[i, k] + cost[k, j] + areas
+            total = cost[i, k] + cost[k, j] + np.where(np.isnan(areas), large, areas)
             best = int(total.argmin())
             cost[i, j], cut[i, j] = total[best], k[best]
             if (i, j) in barred and span < n - 1:
@@ -177,7 +179,8 @@ def _fill(key, ring: pd.DataFrame, chords: pd.DataFrame) -> pd.DataFrame:
     ring = ring.sort_values("place")
     barred = {(min(i, j), max(i, j)) for i, j in zip(chords["i"], chords["j"], strict=True)}
     vids = ring["vid"].to_numpy()
-    cost, triangles = least_area(ring[list("xyz")].to_numpy(), barred) if len(ring) > 2 else (0.0, [])
+    cost, triangles = least_area(ring[list("xyz")].to_numpy(float), barred) if len(ring) > 2 else (0.0, [])
+    cost = cost if np.isfinite(ring[list("xyz")].to_numpy(float)).all() else None
     rows = [(key[0], at, *(int(vids[i]) for i in t), cost) for at, t in enumerate(triangles)]
     return pd.DataFrame(rows, columns=["loop", "at", "a", "b", "c", "area"]).astype({"loop": "int64", "at": "int64", "a": "int64", "b": "int64", "c": "int64", "area": "float64"})
 
@@ -185,14 +188,14 @@ def _fill(key, ring: pd.DataFrame, chords: pd.DataFrame) -> pd.DataFrame:
 def hole_fillings(vertices: DataFrame, faces: DataFrame, most: int = MOST_HOLE_EDGES) -> DataFrame:
     """loop, at (0, 1, ... within it), a, b, c and area (of the whole filling) of the triangles that close each hole of at most ``most`` edges with least area.
 
-    A chord that is an edge of the mesh already is not used; a loop that cannot be closed so stays open. A task has one loop, of at most ``most`` vertices.
+    A chord that is an edge of the mesh already is not used; a loop that cannot be closed so stays open. A loop with a vertex that has no place is closed too, and its area is null. A task has one loop, of at most ``most`` vertices.
     """
     ranks = materialise(loop_ranks(boundary_next(faces), most), "ranks")
     ends = ranks.select(F.col("vid").alias("u"), F.col("loop").alias("lu"), F.col("place").alias("i")), ranks.select(F.col("vid").alias("w"), F.col("loop").alias("lw"), F.col("place").alias("j"), "n")
     chords = edge_incidence(faces).join(ends[0], "u").join(ends[1], "w").filter("lu = lw").select(F.col("lu").alias("loop"), "i", "j")
     # neighbours on the loop are its own edges
     chords = chords.join(ranks.filter("place = 0").select("loop", "n"), "loop").filter("abs(i - j) > 1 and abs(i - j) < n - 1").select("loop", "i", "j")
-    rings = ranks.join(vertices.select("vid", *"xyz"), "vid")
+    rings = ranks.join(vertices.select("vid", *"xyz"), "vid", "left")
     return rings.groupBy("loop").cogroup(chords.groupBy("loop")).applyInPandas(_fill, "loop long, at long, a long, b long, c long, area double")
 
 
