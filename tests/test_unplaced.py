@@ -33,7 +33,7 @@ def by_sql(path, name):
         return [x[0] for x in found.description], sorted(found.fetchall())
 
 
-@pytest.mark.parametrize("name", ["obj_faces", "mesh_contract", "smooth_uniform", "stl_roundtrip", "stl_welded", "subdivision_faces", "hole_fillings", "closed_holes"])
+@pytest.mark.parametrize("name", ["obj_faces", "mesh_contract", "smooth_uniform", "stl_roundtrip", "stl_welded", "subdivision_faces", "hole_fillings", "closed_holes", "load_surface"])
 def test_equals_its_sql(spark, cut_short, name):
     columns, want = by_sql(cut_short, name)
     assert sorted(tuple(r) for r in entry.queries()[name](spark, cut_short).select(*columns).collect()) == want
