@@ -1,16 +1,17 @@
-"""Fields over a mesh's vertices from its Laplacian, as iterations on Spark tables: harmonic parameter and diffusion map.
-
-The sparse matrix is a table (i, j, val). Vertices are dealt in blocks of LEAF along a curve through space, blocks of
-blocks above them and so on, up to a level of at most TOP unknowns (``Levels``). The matrix of each level is that of the one
-below, summed over pairs of blocks. The diagonal blocks of all levels are factored once, and these factors lie bucketed by
-block, so that a round shuffles vectors only. Exact solutions on all levels, added up, are the approximate inverse
-with which both methods are preconditioned: what the blocks of one level cannot say, the level above says, so rounds
-hardly grow with the mesh. Products with the whole matrix are a join and a sum, and a round has one set of scalar products.
-A mesh of at most TOP vertices is solved directly.
+"""Fields over a mesh's vertices from its Laplacian: harmonic parameter and diffusion map.
+
+The sparse matrix is a table (i, j, val). Vertices are dealt along a curve through space in leaves of LEAF and blocks of TOP, and
+eliminated from the inside out (``Nested``): a task eliminates the vertices of its block all of whose neighbours lie in it, leaf
+by leaf and pair of leaves by pair; what is left, the rims of blocks, is brought together group by group of blocks, and so on up.
+So a task holds a block, or the rims of the groups that meet in it: on a surface of n vertices some multiple of the square root of n,
+on a limb a few rings. A solution is a pass up and a pass down over the groups, and shuffles vectors only. Both methods use it as the
+approximate inverse of an iteration that checks residuals, so what rounding takes comes back: a harmonic field takes a round or two.
+Products with the whole matrix are a join and a sum by block, and a round has one set of scalar products.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,78 +23,188 @@ from pyspark.sql import types as T
 from meshloom.operators.graph import block_of, blocks_by_place
 from meshloom.sources.store import bucketed, materialise
 
-#: Vertices, or blocks, in a block of a level.
-LEAF = 256
-#: Unknowns that one task solves directly.
-TOP = 2048
-_FACTORS = "block long, ids array<long>, inverse binary"
+#: Vertices of a leaf.
+LEAF = 64
+#: Vertices of a block, which one task eliminates.
+TOP = 8192
+_FACTORS = "node long, tree binary, ids array<long>, levels array<int>, schur binary"
+#: The inner equations of a node: places of what goes and of what stays, the inverse of the one, and that times what couples both.
+Step = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def placed_in_blocks(vertices: DataFrame, by_place: bool, leaf: int = LEAF, top: int = TOP) -> DataFrame:
-    """vid and block: runs of ``leaf`` vertices along a curve through space (x, y, z), or of ids; one block for at most ``top`` vertices."""
-    if vertices.count() <= top:
-        return vertices.select("vid", F.lit(0).cast("long").alias("block"))
-    if by_place:
-        return blocks_by_place(vertices, leaf)
-    return vertices.select("vid", block_of("vid", leaf).alias("block"))
+    """vid, leaf and block: runs of ``leaf`` vertices along a curve through space (x, y, z), or of ids, and runs of leaves with ``top`` vertices (one leaf at least)."""
+    leaves = blocks_by_place(vertices, leaf).withColumnRenamed("block", "leaf") if by_place else vertices.select("vid", block_of("vid", leaf).alias("leaf"))
+    return leaves.withColumn("block", F.floor(F.col("leaf") / max(1, top // leaf)).cast("long"))
+
+
+def _eliminated(dense: np.ndarray, gone: np.ndarray) -> tuple[Step, np.ndarray]:
+    """The step that takes the unknowns ``gone`` out of a symmetric matrix, and the matrix of the others. An unknown without equation keeps its right side, a singular part is shifted by a little."""
+    e, r = np.flatnonzero(gone), np.flatnonzero(~gone)
+    own = dense[np.ix_(e, e)]
+    own[np.arange(len(e)), np.arange(len(e))] = np.where(np.abs(own.diagonal()) > 1e-300, own.diagonal(), 1.0)
+    values, vectors = np.linalg.eigh((own + own.T) / 2)
+    values = np.maximum(values, 1e-12 * np.abs(values).max(initial=1e-300))
+    inverse = (vectors / values) @ vectors.T
+    across = inverse @ dense[np.ix_(e, r)]
+    return (e, r, inverse, across), dense[np.ix_(r, r)] - dense[np.ix_(e, r)].T @ across
+
+
+def _pair_levels(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """How often two numbers have to be halved until they are equal."""
+    return np.frexp((one ^ two).astype(float))[1]
 
 
-def _factored(entries: pd.DataFrame) -> pd.DataFrame:
-    """The inverse of a block's matrix, made symmetric; an unknown without equation keeps its right side, a block without any fixed neighbour is shifted by a little."""
+def _factored_block(entries: pd.DataFrame) -> pd.DataFrame:
+    """The steps of a block, and its rim's matrix: vertices with level 0 go, those of a pair of leaves when these are brought together."""
     ids = np.unique(entries["i"])
-    inside = entries[entries["j"].isin(ids)]
-    dense = np.zeros((len(ids), len(ids)))
-    np.add.at(dense, (np.searchsorted(ids, inside["i"]), np.searchsorted(ids, inside["j"])), inside["val"].to_numpy())
-    at = np.arange(len(ids))
-    dense[at, at] = np.where(np.abs(dense[at, at]) > 1e-300, dense[at, at], 1.0)
-    values, vectors = np.linalg.eigh((dense + dense.T) / 2)
-    values = np.maximum(values, 1e-10 * values.max())
-    inverse = (vectors / values) @ vectors.T
-    return pd.DataFrame({"block": [entries["block"].iloc[0]], "ids": [ids], "inverse": [((inverse + inverse.T) / 2).tobytes()]})
+    i, j = np.searchsorted(ids, entries["i"]), np.searchsorted(ids, entries["j"])
+    val, leaf, level = entries["val"].to_numpy(), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int32)
+    leaf[i], level[i] = entries["fi"] - entries["fi"].min(), entries["li"]
+    pair = _pair_levels(leaf[i], leaf[j])
+    ready = np.zeros(len(ids), np.int64)
+    np.maximum.at(ready, i, pair)
+    ready[level > 0] = 1 << 30
+    steps, rims, here = [], {}, 0
+    while True:
+        group = leaf >> here
+        met = np.flatnonzero(pair == here)
+        met = met[np.argsort(group[i[met]], kind="stable")]
+        if here == 0:
+            order = np.argsort(group, kind="stable")
+            members = {int(g[0]): (order[a:b], []) for a, b in _runs(group[order]) for g in (group[order[a : a + 1]],)}
+        else:
+            members = {}
+            for g, rim in rims.items():
+                members.setdefault(g >> 1, []).append(rim)
+            members = {g: (np.sort(np.concatenate([m for m, _ in found])), found) for g, found in members.items()}
+        inside = {int(group[i[met[a]]]): met[a:b] for a, b in _runs(group[i[met]])}
+        rims = {}
+        for g, (m, found) in members.items():
+            dense = np.zeros((len(m), len(m)))
+            for n, matrix in found:
+                at = np.searchsorted(m, n)
+                dense[np.ix_(at, at)] += matrix
+            k = inside.get(g, met[:0])
+            np.add.at(dense, (np.searchsorted(m, i[k]), np.searchsorted(m, j[k])), val[k])
+            gone = ready[m] == here
+            (e, r, inverse, across), rest = _eliminated(dense, gone)
+            steps.append((m[e], m[r], inverse, across))
+            rims[g] = (m[r], rest)
+        if len(rims) == 1 and (leaf >> here).max() == 0:
+            break
+        here += 1
+    rim, matrix = next(iter(rims.values()))
+    return _factors(entries["bi"].iloc[0], ids, steps, ids[rim], level[rim], matrix)
+
+
+def _runs(sorted_: np.ndarray) -> list[tuple[int, int]]:
+    """Where equal values of a sorted array begin and end."""
+    if not len(sorted_):
+        return []
+    first = np.flatnonzero(np.diff(sorted_, prepend=sorted_[:1] - 1))
+    return [(int(a), int(b)) for a, b in zip(first, [*first[1:], len(sorted_)], strict=True)]
+
+
+def _factors(node: int, ids: np.ndarray, steps: list[Step], rim: np.ndarray, level: np.ndarray, matrix: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"node": [node], "tree": [pickle.dumps((ids, steps))], "ids": [rim], "levels": [level.astype(np.int32)], "schur": [matrix.tobytes()]})
 
 
-class Levels:
-    """An approximate inverse of a symmetric sparse matrix: exact solutions in blocks of vertices, of blocks, of blocks of blocks, added up."""
+def _factored_group(level: int):
+    """The same for a group: the rims of its members and the entries between them."""
 
-    def __init__(self, entries: DataFrame, leaf: int = LEAF, top: int = TOP):
-        """entries: bi, bj (blocks of i and j), i, j, val."""
-        own = entries.filter("bi = bj").select(F.col("bi").alias("block"), "i", "j", "val")
-        self.factors = bucketed(own.groupBy("block").applyInPandas(_factored, _FACTORS), "block", "factors")
-        self.above: Levels | None = None
-        coarse = entries.groupBy(F.col("bi").alias("i"), F.col("bj").alias("j")).agg(F.sum("val").alias("val"))
-        n = self.factors.count()
-        if n > 1:
-            coarse = materialise(coarse, "coarse")
-            over = (lambda c: F.lit(0).cast("long")) if n <= top else (lambda c: block_of(c, leaf))
-            self.over = over
-            self.above = Levels(coarse.select(over("i").alias("bi"), over("j").alias("bj"), "i", "j", "val"), leaf, top)
+    def run(rims: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        node = (rims if len(rims) else entries)["node"].iloc[0]
+        ids, levels = (np.concatenate([np.asarray(x, np.int64) for x in rims[c]]) if len(rims) else np.zeros(0, np.int64) for c in ("ids", "levels"))
+        order = np.argsort(ids)
+        ids, levels = ids[order], levels[order]
+        dense = np.zeros((len(ids), len(ids)))
+        for own, matrix in zip(rims["ids"], rims["schur"], strict=True):
+            at = np.searchsorted(ids, np.asarray(own, np.int64))
+            dense[np.ix_(at, at)] += np.frombuffer(matrix).reshape(len(at), len(at))
+        np.add.at(dense, (np.searchsorted(ids, entries["i"]), np.searchsorted(ids, entries["j"])), entries["val"].to_numpy())
+        step, rest = _eliminated(dense, levels == level)
+        return _factors(node, ids, [step], ids[step[1]], levels[step[1]], rest)
+
+    return run
+
+
+def _passed(up: bool, down: bool, schema: T.StructType):
+    """A pass over a node: up takes the part of what goes out of the right sides of what stays (``__rest``), down puts the solution of what stays (``__x``) into what went. Vertices without equation keep their right side."""
+
+    def run(factors: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        if not len(f):
+            return pd.DataFrame(columns=schema.names)
+        values, rest = np.stack(f["__y"]), np.zeros(len(f), bool)
+        if len(factors):
+            ids, steps = pickle.loads(factors["tree"].iloc[0])
+            at = np.minimum(np.searchsorted(ids, f["vid"]), len(ids) - 1)
+            there = ids[at] == f["vid"].to_numpy()
+            whole = np.zeros((len(ids), values.shape[1]))
+            whole[at[there]] = values[there]
+            stays = np.ones(len(ids), bool)
+            for e, *_ in steps:
+                stays[e] = False
+            if up:
+                for e, r, inverse, across in steps:
+                    whole[r] -= across.T @ whole[e]
+                    whole[e] = inverse @ whole[e]
+            else:
+                known = np.flatnonzero(there & stays[at])
+                if len(known):
+                    whole[at[known]] = np.stack(f["__x"].iloc[known])
+            if down:
+                for e, r, _, across in reversed(steps):
+                    whole[e] -= across @ whole[r]
+            values[there], rest[there] = whole[at[there]], stays[at[there]]
+        return f.assign(__y=list(values), __rest=rest)[schema.names]
+
+    return run
+
+
+class Nested:
+    """The inverse of a symmetric sparse matrix by elimination in nested groups of vertices."""
+
+    def __init__(self, entries: DataFrame):
+        """entries: bi, bj, fi, fj (blocks and leaves of i and j), i, j, val."""
+        blocks = (entries.agg(F.max("bi").alias("b")).first()["b"] or 0) + 1
+        self.shifts = [0]
+        while (blocks - 1) >> self.shifts[-1]:
+            self.shifts.append(self.shifts[-1] + (2 if len(self.shifts) < 3 else 1))
+        of = lambda c, s: F.shiftright(c, s)
+        pair = F.lit(len(self.shifts) - 1)
+        for level in reversed(range(len(self.shifts) - 1)):
+            pair = F.when(of("bi", self.shifts[level]) == of("bj", self.shifts[level]), level).otherwise(pair)
+        entries = materialise(entries.select("bi", "fi", "i", "j", "val", pair.cast("int").alias("pair")), "pairs")
+        own = entries.filter("pair = 0")
+        levels = entries.groupBy("i").agg(F.max("pair").alias("li"))
+        found = own.join(levels, "i").groupBy("bi").applyInPandas(_factored_block, _FACTORS)
+        self.factors = [materialise(found, "factors")]
+        for level in range(1, len(self.shifts)):
+            rims = self.factors[-1].select(of("node", self.shifts[level] - self.shifts[level - 1]).alias("node"), "ids", "levels", "schur")
+            between = entries.filter(F.col("pair") == level).select(of("bi", self.shifts[level]).alias("node"), "i", "j", "val")
+            found = rims.groupBy("node").cogroup(between.groupBy("node")).applyInPandas(_factored_group(level), _FACTORS)
+            self.factors.append(materialise(found, "factors"))
 
     def solve(self, rows: DataFrame, right: str, out: str) -> DataFrame:
-        """``rows`` (with vid, block and an array in the column ``right``) with the column ``out``: the approximate inverse times ``right``, vector by vector."""
-        schema = T.StructType([*(f for f in rows.schema if f.name != out), *T.StructType.fromDDL(f"{out} array<double>, __total array<double>").fields])
-
-        def solve_block(factors: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-            if not len(f):
-                return pd.DataFrame(columns=schema.names)
-            values = np.stack(f[right])
-            solved = values.copy()
-            if len(factors):
-                ids = np.asarray(factors["ids"].iloc[0])
-                inverse = np.frombuffer(factors["inverse"].iloc[0]).reshape(len(ids), len(ids))
-                at = np.minimum(np.searchsorted(ids, f["vid"]), len(ids) - 1)
-                there = ids[at] == f["vid"].to_numpy()
-                whole = np.zeros((len(ids), values.shape[1]))
-                whole[at[there]] = values[there]
-                solved[there] = (inverse @ whole)[at[there]]
-            return f.assign(**{out: list(solved), "__total": [values.sum(axis=0)] + [None] * (len(f) - 1)})[schema.names]
-
-        fine = self.factors.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(solve_block, schema)
-        if self.above is None:
-            return fine.drop("__total")
-        fine = materialise(fine, "fine")
-        coarse = fine.filter("__total is not null").select(F.col("block").alias("vid"), self.over("block").alias("block"), F.col("__total").alias("r"))
-        up = self.above.solve(coarse, "r", "u").select(F.col("vid").alias("block"), F.col("u").alias("__up"))
-        return fine.join(up, "block").withColumn(out, F.zip_with(out, "__up", lambda a, b: a + b)).drop("__up", "__total").select(*(n for n in schema.names if n != "__total"))
+        """``rows`` (with vid, block and an array in the column ``right``) with the column ``out``: the inverse times ``right``, vector by vector."""
+        trees = [f.select("node", "tree") for f in self.factors]
+        last = len(trees) - 1
+
+        def passed(level: int, given: DataFrame, up: bool, down: bool) -> DataFrame:
+            schema = T.StructType.fromDDL("vid long, block long, __y array<double>, __rest boolean")
+            key = F.shiftright("block", self.shifts[level]).alias("node")
+            return trees[level].groupBy("node").cogroup(given.groupBy(key)).applyInPandas(_passed(up, down, schema), schema)
+
+        given, ups = rows.select("vid", "block", F.col(right).alias("__y")), []
+        for level in range(last):
+            ups.append(materialise(passed(level, given, True, False), "up"))
+            given = ups[-1].filter("__rest").select("vid", "block", "__y")
+        solved = passed(last, given, True, True)
+        for level in reversed(range(last)):
+            known = ups[level].drop("__rest").join(solved.select("vid", F.col("__y").alias("__x")), "vid", "left")
+            solved = passed(level, known, False, True)
+        return rows.drop(out).join(solved.select("vid", F.col("__y").alias(out)), "vid")
 
 
 def solve_harmonic(entries: DataFrame, fixed: DataFrame, vertices: DataFrame | None = None, tolerance: float = 1e-10, most: int = 500, leaf: int = LEAF, top: int = TOP, rounds: list | None = None) -> DataFrame:
@@ -102,16 +213,16 @@ def solve_harmonic(entries: DataFrame, fixed: DataFrame, vertices: DataFrame | N
     Conjugate gradients on the free vertices, in the form with one set of scalar products a round. ``vertices`` (vid, x, y, z) deals blocks
     by place. A part of the mesh that has no fixed vertex gets the least value. ``rounds`` gets the number of rounds appended.
     """
-    fixed = materialise(fixed.select("vid", "value"), "fixed")
+    entries, fixed = materialise(entries, "entries"), materialise(fixed.select("vid", "value"), "fixed")
     rows = entries.join(fixed.select(F.col("vid").alias("i")), "i", "left_anti")
     vids = rows.select(F.col("i").alias("vid")).distinct()
     placed = materialise(placed_in_blocks(vids if vertices is None else vertices.join(vids, "vid", "left_semi"), vertices is not None, leaf, top), "blocks")
     right = rows.join(fixed.select(F.col("vid").alias("j"), "value"), "j").groupBy(F.col("i").alias("vid")).agg((-F.sum(F.col("val") * F.col("value"))).alias("b"))
     free = rows.join(fixed.select(F.col("vid").alias("j")), "j", "left_anti")
     for end in "ij":
-        free = free.join(placed.select(F.col("vid").alias(end), F.col("block").alias(f"b{end}")), end)
-    free = bucketed(free.select("bi", "bj", "i", "j", "val"), "j", "free")
-    levels = Levels(free, leaf, top)
+        free = free.join(placed.select(F.col("vid").alias(end), F.col("block").alias(f"b{end}"), F.col("leaf").alias(f"f{end}")), end)
+    free = bucketed(free.select("bi", "bj", "fi", "fj", "i", "j", "val"), "j", "free")
+    inverse = Nested(free)
     none = F.lit(0.0)
     state = placed.join(right, "vid", "left").select("vid", "block", none.alias("x"), F.coalesce("b", none).alias("r"), none.alias("p"), none.alias("s"))
     state = materialise(state, "state")
@@ -121,7 +232,7 @@ def solve_harmonic(entries: DataFrame, fixed: DataFrame, vertices: DataFrame | N
         start = start or worst
         if not worst or worst <= tolerance * start:
             break
-        solved = levels.solve(state.withColumn("right", F.array("r")), "right", "u").select("vid", "block", "x", "r", "p", "s", F.col("u")[0].alias("u"))
+        solved = inverse.solve(state.withColumn("right", F.array("r")), "right", "u").select("vid", "block", "x", "r", "p", "s", F.col("u")[0].alias("u"))
         solved = materialise(solved, "solved")
         product = free.join(solved.select(F.col("vid").alias("j"), "u"), "j").groupBy(F.col("i").alias("vid")).agg(F.sum(F.col("val") * F.col("u")).alias("w"))
         met = materialise(solved.join(product, "vid", "left").withColumn("w", F.coalesce("w", none)), "met")
@@ -209,6 +320,7 @@ def diffusion_embedding(entries: DataFrame, mass: DataFrame, k: int, t: float, v
     small space that the driver sees: a few dozen numbers squared), until residuals are small. Not to converge is an error.
     ``vertices`` (vid, x, y, z) deals blocks by place. ``rounds`` gets the number of rounds appended.
     """
+    entries, mass = materialise(entries, "entries"), materialise(mass, "mass")
     n = mass.count()
     wanted = min(k + 1, n)
     m = min(wanted + guard, n)
@@ -218,22 +330,30 @@ def diffusion_embedding(entries: DataFrame, mass: DataFrame, k: int, t: float, v
     diagonal = entries.filter("i = j").agg(F.avg(F.abs("val")).alias("d")).first()["d"] or 1.0
     average = base.agg(F.avg("mass").alias("m")).first()["m"]
     shift = 1e-3 * diagonal / average
+    if vertices is not None:
+        # about the lowest value of a strip as long as the mesh: beside a larger shift the values wanted would look alike
+        box = at.agg(*(F.max(c) - F.min(c) for c in "xyz")).first()
+        shift = max(min(shift, np.pi**2 / max(sum(x * x for x in box), 1e-300)), 1e-9 * diagonal / average)
     table = entries
     for end in "ij":
-        table = table.join(placed.select(F.col("vid").alias(end), F.col("block").alias(f"b{end}")), end)
-    table = bucketed(table.select("bi", "bj", "i", "j", "val"), "j", "entries")
-    shifted = base.select(F.col("block").alias("bi"), F.col("block").alias("bj"), F.col("vid").alias("i"), F.col("vid").alias("j"), (shift * F.col("mass")).alias("val"))
-    levels = Levels(table.unionByName(shifted), leaf, top)
+        table = table.join(placed.select(F.col("vid").alias(end), F.col("block").alias(f"b{end}"), F.col("leaf").alias(f"f{end}")), end)
+    table = bucketed(table.select("bi", "bj", "fi", "fj", "i", "j", "val"), "j", "entries")
+    shifted = base.select(F.col("block").alias("bi"), F.col("block").alias("bj"), F.col("leaf").alias("fi"), F.col("leaf").alias("fj"), F.col("vid").alias("i"), F.col("vid").alias("j"), (shift * F.col("mass")).alias("val"))
+    inverse = Nested(table.unionByName(shifted))
     spread = lambda j: F.pmod(F.xxhash64("vid", F.lit(j)), F.lit(1 << 30)) / float(1 << 29) - 1
     empty = F.array().cast("array<double>")
 
     def product(rows: DataFrame, name: str) -> DataFrame:
         """``rows`` with the matrix times the vectors of a column."""
-        size = F.size(name)
-        terms = table.join(rows.select(F.col("vid").alias("j"), F.col(name).alias("__v")), "j").select("i", F.posexplode(F.transform("__v", lambda x: x * F.col("val"))).alias("at", "term"))
-        sums = terms.groupBy("i", "at").agg(F.sum("term").alias("s")).groupBy(F.col("i").alias("vid")).agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("__a"))
-        zero = F.transform(F.sequence(F.lit(1), size), lambda _: F.lit(0.0))
-        return rows.join(sums, "vid", "left").withColumn(f"a{name}", F.coalesce(F.transform("__a", lambda s: s["s"]), F.when(size > 0, zero).otherwise(empty))).drop("__a")
+        def sums(f: pd.DataFrame) -> pd.DataFrame:
+            ids, place = np.unique(f["i"], return_inverse=True)
+            total = np.zeros((len(ids), len(f["__v"].iloc[0])))
+            np.add.at(total, place, np.stack(f["__v"]) * f["val"].to_numpy()[:, None])
+            return pd.DataFrame({"vid": ids, "__a": list(total)})
+
+        terms = table.join(rows.select(F.col("vid").alias("j"), F.col(name).alias("__v")), "j").select("bi", "i", "val", "__v")
+        found = terms.groupBy("bi").applyInPandas(sums, "vid long, __a array<double>")
+        return rows.join(found, "vid", "left").withColumn(f"a{name}", F.coalesce("__a", F.transform(name, lambda _: F.lit(0.0)))).drop("__a")
 
     first = base.withColumn("x", F.array(F.lit(1.0), *(spread(j) for j in range(1, m))))
     rows = materialise(product(materialise(first, "first"), "x"), "start").withColumns({"p": empty, "ap": empty})
@@ -270,7 +390,7 @@ def diffusion_embedding(entries: DataFrame, mass: DataFrame, k: int, t: float, v
         if (norms[:wanted] <= tolerance * max(abs(values).max(), diagonal / average)).all():
             break
         parts = F.transform(F.arrays_zip("ax", "x", F.array(*(F.lit(float(v)) for v in values)).alias("of")), lambda z: z["ax"] - z["of"] * F.col("mass") * z["x"])
-        solved = materialise(levels.solve(rows.withColumn("residual", parts), "residual", "w").drop("residual"), "directions")
+        solved = materialise(inverse.solve(rows.withColumn("residual", parts), "residual", "w").drop("residual"), "directions")
         solved = solved.mapInPandas(_without(_summed(solved.select("mass", "x", "w").mapInPandas(_shares, "sums array<double>"))), solved.schema)
         rows = materialise(product(solved, "w"), "space")
         columns = ["x", "w"] if turn == 0 else ["x", "w", "p"]
