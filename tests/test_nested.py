@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from meshloom.operators import fields, metrics
+from meshloom.operators import fields, graph, metrics, topology
 
 RING, RINGS = 8, 20
 
@@ -30,3 +30,15 @@ def test_harmonic_field_over_many_blocks_takes_two_rounds(spark):
     t[n - RING :] = 1
     t[free] = np.linalg.solve(a[np.ix_(free, free)], -a[free] @ t)
     assert rounds[0] <= 2 and max(abs(got[i] - (t[i] - t.min()) / (t.max() - t.min())) for i in range(n)) < 1e-8
+
+
+def test_paths_on_a_long_limb_take_few_rounds(spark):
+    """Blocks are pieces of the limb and not strips along it: a path does not pass between them again and again."""
+    rng = np.random.default_rng(5)
+    n, block = RING * 96, 64
+    v = [(i, float(r * math.cos(2 * math.pi * (i % RING) / RING)), float(r * math.sin(2 * math.pi * (i % RING) / RING)), 0.4 * (i // RING)) for i, r in enumerate(rng.uniform(0.5, 1.5, n))]
+    e = [(min(a, b), max(a, b)) for a in range(n) for b in (a // RING * RING + (a + 1) % RING, a + RING) if b < n]
+    v, e = spark.createDataFrame(v, "vid long, x double, y double, z double"), spark.createDataFrame(e, "u long, w long")
+    edges, rounds = topology.with_lengths(e, v), []
+    assert graph.distances(edges, v.filter("vid = 0").select("vid"), v, block=block, rounds=rounds).count() == n
+    assert rounds[0] <= 2 * n // block
