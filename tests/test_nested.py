@@ -42,3 +42,13 @@ def test_paths_on_a_long_limb_take_few_rounds(spark):
     edges, rounds = topology.with_lengths(e, v), []
     assert graph.distances(edges, v.filter("vid = 0").select("vid"), v, block=block, rounds=rounds).count() == n
     assert rounds[0] <= 2 * n // block
+
+
+def test_both_ends_of_a_path_share_their_rounds(spark):
+    n, block = 64, 8
+    edges = spark.createDataFrame([(i, i + 1, 1.0 + i % 3) for i in range(n - 1)], "u long, w long, len double")
+    one, two = (spark.createDataFrame([(i,)], "vid long") for i in (0, n - 1))
+    alone, both = [], []
+    want = [sorted(map(tuple, graph.distances(edges, x, block=block, rounds=alone).collect())) for x in (one, two)]
+    got = graph.from_both(edges, one, two, block=block, rounds=both)
+    assert [sorted(map(tuple, g.collect())) for g in got] == want and both[0] <= max(alone)
